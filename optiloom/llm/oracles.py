@@ -48,4 +48,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT lost > 0.3 * n_words AS kept FROM s"""
 
 
-SQL = {"op3_secret_scan": _op3(), "op6_quality_rules": _op6()}
+def _op8() -> str:
+    words = r"regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii"
+    window = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, 10)) + ")"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} FROM documents),
+b AS (SELECT row_number() OVER () AS r, coalesce(item_id::VARCHAR, '') AS item, {lower} FROM benchmark),
+dw AS (SELECT r, unnest({words}) AS w, generate_subscripts({words}, 1) AS i FROM d),
+bw AS (SELECT r, item, unnest({words}) AS w, generate_subscripts({words}, 1) AS i, len({words}) AS n FROM b),
+pat AS (SELECT DISTINCT item, least(n, 10) AS n, k FROM (SELECT r, item, i, n, {window} AS k FROM bw WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE i + least(n, 10) - 1 <= n),
+short AS (SELECT DISTINCT n FROM pat),
+dv AS (SELECT r, i, s.n, list_aggregate(list(w) OVER (PARTITION BY r, s.n ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)[1:s.n], 'string_agg', ' ') AS k FROM dw, short s),
+h AS (SELECT DISTINCT r, i, n, item FROM dv JOIN pat USING (n, k)),
+hw AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM h, (SELECT unnest(range(0, 10)) AS j) WHERE j < n GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM dw GROUP BY r)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)"""
+
+
+SQL = {"op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8()}
