@@ -8,6 +8,18 @@ from optiloom.llm.secrets import RULES
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _op2() -> str:
+    window = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, 13)) + ")"
+    words = f"regexp_extract_all(text, '{_WORD}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, unnest({words}) AS w, generate_subscripts({words}, 1) AS i FROM d),
+v AS (SELECT r, doc_id, i, {window} AS k, lead(w, 12) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM v WHERE whole) WHERE least < doc_id),
+g AS (SELECT DISTINCT r, i + j AS i FROM c, (SELECT unnest(range(0, 13)) AS j)),
+a AS (SELECT w.r, count(*) AS n, count(g.i) AS gone, string_agg(w, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS kept FROM w LEFT JOIN g ON g.r = w.r AND g.i = w.i GROUP BY w.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (r)"""
+
+
 def _op3() -> str:
     def matches(i: int, pattern: str, group: int) -> str:
         q = pattern.replace("'", "''")
@@ -68,4 +80,4 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT A
 FROM d LEFT JOIN n USING (r) LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)"""
 
 
-SQL = {"op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8()}
+SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import decontaminate, oracles, quality_fm, quality_rules, secrets, simhash, toxicity
+from optiloom.llm import decontaminate, oracles, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_secret_scan, op4_quality_classifier, op6_quality_rules, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op6_quality_rules, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
