@@ -76,7 +76,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: st
     texts = held.join(chosen, (F.col("blob") == F.col("__blob")) & F.col("path").eqNullSafe(F.col("__path")), "left_semi")
     scanned = scan(texts).select("blob", "spans")
     news = scanned.groupBy("blob").agg(F.lit(RULES_VERSION).alias("rules_version"), F.first("spans").alias("spans"))
-    spans = scanned.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    spans = news.select("blob", "spans").where(F.size("spans") > 0)  # above the aggregate, so that only chosen blobs are scanned
     if known is not None:
         spans = spans.unionByName(known.where(F.size("spans") > 0))
     found = address.join(spans, "blob", "left")
