@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import decontaminate, oracles, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import decontaminate, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op6_quality_rules, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op6_quality_rules, op7_sentencepiece, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
