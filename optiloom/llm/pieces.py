@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters indexed by one suffix array.
-INDEX_CHARS = 1 << 18
+INDEX_CHARS = 1 << 20
 #: Words above this many characters are relaxed with a heap instead of in rounds.
 LONG = 256
+#: Texts encoded together.
+ROWS = 2000
 #: Words kept encoded by a worker.
 CACHE = 400_000
 
@@ -246,10 +248,9 @@ def _ids(vocabulary: Vocabulary, joined: str, graph: np.ndarray, symbols: np.nda
     for k in np.flatnonzero(piece < 0).tolist():
         found[k] = tuple(vocabulary.byte_ids[b] for b in joined[at[k]].encode("utf-8", "surrogatepass"))
     cuts = np.searchsorted(owner, np.arange(len(sizes) + 1)).tolist()
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        part = found[a:b]
-        out.append(tuple(part) if not any(isinstance(x, tuple) for x in part) else tuple(i for x in part for i in (x if isinstance(x, tuple) else (x,))))
+    out = [tuple(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    for u in np.unique(owner[piece < 0]).tolist():
+        out[u] = tuple(i for x in out[u] for i in (x if isinstance(x, tuple) else (x,)))
     return out
 
 
@@ -271,8 +272,8 @@ def annotate(docs: DataFrame, vocabulary: Vocabulary, out: str = "pieces", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _kept(vocabulary)
         for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
                 texts = batch.column(text).to_pylist()
                 ids = own.encode_batch(texts)
                 same = [own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]

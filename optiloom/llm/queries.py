@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import decontaminate, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import decontaminate, html_extract, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op6_quality_rules, op7_sentencepiece, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
