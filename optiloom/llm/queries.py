@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import decontaminate, html_extract, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import decontaminate, html_extract, line_dedup, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +46,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece, op8_decontamination, op9_line_dedup, op10_simhash, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

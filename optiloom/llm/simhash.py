@@ -109,7 +109,11 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, that of the least id; rows without an id stay. Same columns."""
+    """One document of each group, that of the least id; of rows that repeat an id one stays; rows without an id all stay. Same columns."""
     found = group(docs, id_col, text)
-    go = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(go, docs[id_col] == go["doc_id"], "left_anti")
+    go = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__go")).distinct()
+    left = docs.join(go, docs[id_col] == go["__go"], "left_anti")
+    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return left
+    single = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return single.unionByName(left.where(F.col(id_col).isNull()))
