@@ -78,51 +78,54 @@ def _phrases(text: Column) -> Column:
     return reduce(or_, [low.contains(x) for x in BOILERPLATE])
 
 
-def _measured(docs: DataFrame, text: str, rules: Rules) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return (
-        docs.withColumn("__tokens", words(whole))
-        .withColumn("__lines", F.split(whole, "\n"))
-        .withColumn("__known", _phrases(whole))
-        .withColumn("__failed", F.transform("__lines", lambda x: line_fails(x, F.col("__known"), rules)))
-    )
+def _measures(whole: Column, rules: Rules) -> Column:
+    """One struct of all measures of a text. Self-contained, so that a filter on it costs no more than a column."""
+
+    def by_lines(lines: Column) -> Column:
+        def judged(known: Column) -> Column:
+            failed = F.filter(lines, lambda x: line_fails(x, known, rules))
+            return F.aggregate(F.transform(failed, lambda x: F.size(words(x))), F.lit(0), lambda a, x: a + x)
+
+        worded = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
+        repeats = let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        return F.struct(let(_phrases(whole), judged).alias("lost"), repeats.alias("repeats"))
 
+    by_tokens = lambda t: F.struct(F.size(t).alias("n"), repeated_words(t, rules.window).alias("windowed"))
+    return F.struct(let(words(whole), by_tokens).alias("t"), let(F.split(whole, "\n"), by_lines).alias("l"))
 
-def _verdict(rules: Rules) -> tuple[Column, Column, Column]:
-    n_words = F.size("__tokens")
-    repeats = repeated_words(F.col("__tokens"), rules.window)
-    base = (n_words < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * n_words)
-    lost = F.aggregate(F.transform(F.filter("__lines", lambda x, i: F.get(F.col("__failed"), i)), lambda x: F.size(words(x))), F.lit(0), lambda a, x: a + x)
-    return repeats, base, lost > rules.max_lost * n_words
+
+def _base_failed(m: Column, rules: Rules) -> Column:
+    return (m["t"]["n"] < rules.min_words) | (100 * m["t"]["windowed"] > rules.max_repeat_pct * m["t"]["n"])
+
+
+def _loses(m: Column, rules: Rules) -> Column:
+    return m["l"]["lost"] > rules.max_lost * m["t"]["n"]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per document: base statistics, base verdict and the line-first verdict."""
-    base_cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text"))
-    measured = _measured(base_cols, "__text", rules)
-    repeats, base, loses = _verdict(rules)
     whole = F.coalesce(F.col("__text"), F.lit(""))
-    worded = F.filter("__lines", lambda x: x.rlike(f"[^{SPACE}]"))
-    return measured.withColumn("n_repeat_words", repeats).select(
+    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text")).withColumn("m", _measures(whole, rules))
+    m = F.col("m")
+    base = _base_failed(m, rules)
+    return measured.select(
         "doc_id",
-        F.size("__tokens").cast("long").alias("n_words"),
+        m["t"]["n"].cast("long").alias("n_words"),
         (F.length(whole) - count_of(whole, SPACE)).cast("long").alias("word_chars"),
         count_of(whole, SYMBOLS).cast("long").alias("n_symbols"),
-        let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        m["l"]["repeats"].cast("long").alias("n_dup_lines"),
+        m["t"]["windowed"].alias("n_repeat_words"),
         base.alias("base_failed"),
-        F.when(base, F.lit(False)).otherwise(~loses).alias("kept"),
+        F.when(base, F.lit(False)).otherwise(~_loses(m, rules)).alias("kept"),
     )
 
 
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
     """Kept documents with their failed lines removed; same columns as ``docs``."""
-    names = docs.columns
-    measured = _measured(docs, text, rules)
-    repeats, base, loses = _verdict(rules)
-    kept = measured.withColumn("n_repeat_words", repeats).where(~base & ~loses)
-    left = F.concat_ws("\n", F.filter("__lines", lambda x, i: ~F.get(F.col("__failed"), i)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    kept = docs.where(let(_measures(whole, rules), lambda m: ~_base_failed(m, rules) & ~_loses(m, rules)))
+    left = let(_phrases(whole), lambda known: F.concat_ws("\n", F.filter(F.split(whole, "\n"), lambda x: ~line_fails(x, known, rules))))
     out = kept.withColumn(text, left)
-    if n_chars in names:
+    if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*names)
+    return out.select(*docs.columns)
