@@ -19,8 +19,8 @@ same words also start in a document of smaller id.
    are the repeats, and a leaf whose id is above the node's least id is one to
    remove. These go back to the sheaves, which cut the words.
 
-A very common passage costs one suffix per sheaf, not one per document. Words
-are compared by 64-bit hashes, windows by all their words' hashes.
+A very common passage costs one suffix per sheaf, not one per document. Windows are compared
+word by word, by hashes of 32 bits each, which is 416 bits a window.
 
 Edge cases: null and empty texts have no words; a null id is neither smaller
 nor larger than any other, so its text stays and removes nothing; repeated rows
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from optiloom.llm.words import Words, as_bytes, chunked, mix, read_words
 
 WINDOW = 13
-GRAM = 6
+GRAM = 8
 #: Bytes of stored input for each sheaf; a sheaf's text is a small multiple of it.
 SHEAF_BYTES = 6 << 20
 #: Suffixes of one anchor gram beyond which its suffixes are partitioned by their whole window.
@@ -47,6 +47,22 @@ GROUP_LIMIT = 4096
 _NULL = np.iinfo(np.int64).max
 
 
+def _folded(hashes: np.ndarray) -> np.ndarray:
+    """Word hashes of 32 bits, by which windows are compared word by word."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def window_keys(codes: np.ndarray) -> np.ndarray:
+    """128-bit keys of windows given by their words' codes, one row each."""
+    out = np.zeros((len(codes), 2), np.uint64)
+    for k in range(codes.shape[1]):
+        word = codes[:, k].astype(np.uint64)
+        for side, salt in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)):
+            out[:, side] = (out[:, side] ^ word) * np.uint64(salt)
+            out[:, side] ^= out[:, side] >> np.uint64(29)
+    return mix(out)
+
+
 def _combined(hashes: np.ndarray, n: int, length: int) -> np.ndarray:
     """Order-sensitive hash of every run of ``n`` word hashes."""
     out = np.zeros(max(length, 0), np.uint64)
@@ -74,15 +90,9 @@ class Windows:
         self.anchor = least[starts] if len(starts) else np.zeros(0, np.uint64)
         self.hashes = h
 
-    def keys(self, window: int) -> np.ndarray:
-        """128-bit window keys as an (n, 2) array."""
-        one = _combined(self.hashes, window, len(self.hashes) - window + 1)
-        two = _combined(self.hashes ^ np.uint64(0xD6E8FEB86659FD93), window, len(self.hashes) - window + 1)
-        return np.column_stack([one[self.start], two[self.start]]) if len(self.start) else np.zeros((0, 2), np.uint64)
-
     def codes(self, at: np.ndarray, window: int) -> np.ndarray:
-        """Word hashes of the windows ``at``, one row each."""
-        return self.hashes[self.start[at][:, None] + np.arange(window)]
+        """Word codes of the windows ``at``, one row each."""
+        return _folded(self.hashes)[self.start[at][:, None] + np.arange(window)]
 
 
 def first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +223,12 @@ def _suffixes_of(window: int, gram: int, n: int):
             hit = np.flatnonzero((shared[at] == win.anchor) & (own[win.doc] != _NULL)) if len(win.anchor) else np.zeros(0, int)
             if not len(hit):
                 continue
-            key, d = win.keys(window)[hit], own[win.doc[hit]]
+            code, d = win.codes(hit, window), own[win.doc[hit]]
+            key = window_keys(code)
             lead, top = _spread(key, d, d)
             at = at[hit[lead]]
             keys.append(key[lead])
-            codes.append(win.codes(hit[lead], window))
+            codes.append(code[lead])
             ids.append(d[lead])
             tops.append(top)
             weights.append(weight[at])
@@ -226,7 +237,7 @@ def _suffixes_of(window: int, gram: int, n: int):
             return empty
         key, code, d, most, w, a = (np.concatenate(x) for x in (keys, codes, ids, tops, weights, anchors))
         at, most = _spread(key, d, most)
-        several = (most != d[at]).astype(np.uint64)
+        several = (most != d[at]).astype(np.uint8)
         prefix = np.where(w[at] > GROUP_LIMIT, key[at, 0], a[at])
         part = (prefix % np.uint64(n)).astype(np.int64)
         by = np.argsort(part, kind="stable")
@@ -236,7 +247,7 @@ def _suffixes_of(window: int, gram: int, n: int):
         for k in np.flatnonzero(np.diff(edges)):
             some = by[edges[k] : edges[k + 1]]
             rows = at[some]
-            blobs.append(np.concatenate([key[rows].T, d[rows].view(np.uint64)[None], several[some][None], code[rows].T]).tobytes())
+            blobs.append(b"".join((d[rows].tobytes(), several[some].tobytes(), np.ascontiguousarray(code[rows].T).tobytes())))
             parts.append(int(k))
         return pa.table({"part": pa.array(parts, pa.int32()), "sheaf": pa.array([sheaf] * len(parts), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -246,17 +257,22 @@ def _suffixes_of(window: int, gram: int, n: int):
 def _repeats_of(window: int):
     def run(table: pa.Table) -> pa.Table:
         sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
-        columns, blob = _split(table.column("blob").to_pylist(), 4 + window)
-        one, two, ids = columns[0], columns[1], columns[2].view(np.int64)
-        leaf, smallest = deep_leaves(np.column_stack(columns[4:]), ids, window)
-        told = (smallest < ids[leaf]) | (columns[3][leaf] > 0)  # sheaves with a text to cut
+        blobs_in = table.column("blob").to_pylist()
+        sizes = [len(b) // (9 + 4 * window) for b in blobs_in]
+        blob = np.repeat(np.arange(len(sizes)), sizes)
+        ids = np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs_in, sizes, strict=True)])
+        several = np.concatenate([np.frombuffer(b, np.uint8, n, 8 * n) for b, n in zip(blobs_in, sizes, strict=True)])
+        codes = np.concatenate([np.frombuffer(b[9 * n :], np.uint32).reshape(window, n).T for b, n in zip(blobs_in, sizes, strict=True)])
+        leaf, smallest = deep_leaves(codes, ids, window)
+        told = (smallest < ids[leaf]) | (several[leaf] > 0)  # sheaves with a text to cut
         leaf, smallest = leaf[told], smallest[told]
+        keys = window_keys(codes[leaf])
         owner = sheaves[blob[leaf]]
         by = np.argsort(owner, kind="stable")
         names, firsts = np.unique(owner[by], return_index=True)
         blobs = []
         for rows in np.split(by, firsts[1:]) if len(names) else []:
-            blobs.append(np.concatenate([one[leaf[rows]], two[leaf[rows]], smallest[rows].view(np.uint64)]).tobytes())
+            blobs.append(np.concatenate([keys[rows, 0], keys[rows, 1], smallest[rows].view(np.uint64)]).tobytes())
         return pa.table({"sheaf": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -273,16 +289,16 @@ def _cut(window: int, gram: int):
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
         for texts, own, words, win in _read(left, window, gram):
             gone = np.zeros(len(words.hashes) + 1, np.int64)
-            if len(one) and len(win.start):
-                key = win.keys(window)
-                at = np.searchsorted(one, key[:, 0])
-                at = np.minimum(at, len(one) - 1)
-                while (late := (one[at] == key[:, 0]) & (two[at] < key[:, 1]) & (at < len(one) - 1)).any():
-                    at = at + late  # equal first halves lie side by side
-                d = own[win.doc]
-                bad = (one[at] == key[:, 0]) & (two[at] == key[:, 1]) & (least[at] < d) & (d != _NULL)
-                np.add.at(gone, win.start[bad], 1)
-                np.add.at(gone, win.start[bad] + window, -1)
+            if len(one):
+                for low in range(0, len(win.start), 1 << 17):
+                    starts, d = win.start[low : low + (1 << 17)], own[win.doc[low : low + (1 << 17)]]
+                    key = window_keys(win.codes(np.arange(low, low + len(starts)), window))
+                    at = np.minimum(np.searchsorted(one, key[:, 0]), len(one) - 1)
+                    while (late := (one[at] == key[:, 0]) & (two[at] < key[:, 1]) & (at < len(one) - 1)).any():
+                        at = at + late  # equal first halves lie side by side
+                    bad = (one[at] == key[:, 0]) & (two[at] == key[:, 1]) & (least[at] < d) & (d != _NULL)
+                    np.add.at(gone, starts[bad], 1)
+                    np.add.at(gone, starts[bad] + window, -1)
             keep = np.cumsum(gone[:-1]) == 0
             for k in range(len(own)):
                 a, b = words.first[k], words.first[k + 1]
