@@ -73,9 +73,9 @@ def _combined(hashes: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of several texts: first word, text, hash of the words, and anchor gram of each."""
+    """Windows of several texts: first word, text, and anchor gram of each (its part of ``parts``, then 32 bits of its hash)."""
 
-    def __init__(self, words: Words, window: int, gram: int):
+    def __init__(self, words: Words, window: int, gram: int, parts: int):
         h, doc = words.hashes, words.doc
         total = len(h) - window + 1
         starts = np.arange(max(total, 0))
@@ -87,7 +87,8 @@ class Windows:
             step = min(width, want - width)
             least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
             width += step
-        self.anchor = least[starts] if len(starts) else np.zeros(0, np.uint64)
+        found = least[starts] if len(starts) else np.zeros(0, np.uint64)
+        self.anchor = (found % np.uint64(parts)) << np.uint64(32) | found >> np.uint64(32)
         self.hashes = h
 
     def codes(self, at: np.ndarray, window: int) -> np.ndarray:
@@ -140,18 +141,18 @@ def _sheaves(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
     return rows.withColumn("sheaf", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("sheaf", "id", "text"), n
 
 
-def _read(table: pa.Table, window: int, gram: int) -> Iterator[tuple[list[bytes], np.ndarray, Words, Windows]]:
+def _read(table: pa.Table, window: int, gram: int, parts: int) -> Iterator[tuple[list[bytes], np.ndarray, Words, Windows]]:
     """Texts, ids (``_NULL`` for null), words and windows, chunk by chunk."""
     texts, ids = as_bytes(table.column("text")), table.column("id").to_pylist()
     for low, high in chunked(texts, 1 << 20):
         words = read_words(texts[low:high])
-        yield texts[low:high], np.array([_NULL if i is None else i for i in ids[low:high]], np.int64), words, Windows(words, window, gram)
+        yield texts[low:high], np.array([_NULL if i is None else i for i in ids[low:high]], np.int64), words, Windows(words, window, gram, parts)
 
 
 def _anchors_of(window: int, gram: int, n: int):
     def run(table: pa.Table) -> pa.Table:
         grams, low, high, count = [], [], [], []
-        for _, ids, _, win in _read(table, window, gram):
+        for _, ids, _, win in _read(table, window, gram, n):
             own = ids[win.doc] if len(win.doc) else np.zeros(0, np.int64)
             live = own != _NULL
             a, d = win.anchor[live], own[live]
@@ -171,13 +172,12 @@ def _anchors_of(window: int, gram: int, n: int):
         cuts = np.flatnonzero(fresh)
         g = g[order][cuts]
         lo, hi, c = np.minimum.reduceat(lo[order], cuts), np.maximum.reduceat(hi[order], cuts), np.add.reduceat(c[order], cuts)
-        part = (g % np.uint64(n)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by], np.arange(n + 1))
+        edges = np.searchsorted(g >> np.uint64(32), np.arange(n + 1))
         blobs, parts = [], []
         for k in np.flatnonzero(np.diff(edges)):
-            at = by[edges[k] : edges[k + 1]]
-            blobs.append(np.concatenate([g[at], lo[at].view(np.uint64), (hi[at] != lo[at]).astype(np.uint64) << np.uint64(32) | c[at].astype(np.uint64)]).tobytes())
+            at = slice(edges[k], edges[k + 1])
+            counted = np.minimum(c[at], 1 << 30).astype(np.uint32) | (hi[at] != lo[at]).astype(np.uint32) << np.uint32(31)
+            blobs.append(b"".join((g[at].astype(np.uint32).tobytes(), lo[at].tobytes(), counted.tobytes())))
             parts.append(int(k))
         return pa.table({"part": pa.array(parts, pa.int32()), "sheaf": pa.array([sheaf] * len(parts), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -190,16 +190,27 @@ def _split(blobs: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray
     return [np.concatenate([a[k] for a in arrays]) for k in range(width)], np.repeat(np.arange(len(arrays)), [a.shape[1] for a in arrays])
 
 
+def _columns(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
+    """Columns of blobs that hold one array of each kind, and the blob of every row."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    sizes, out, at = [len(b) // width for b in blobs], [], 0
+    for kind in kinds:
+        out.append(np.concatenate([np.frombuffer(b, kind, n, at * n) for b, n in zip(blobs, sizes, strict=True)]))
+        at += np.dtype(kind).itemsize
+    return [*out, np.repeat(np.arange(len(sizes)), sizes)]
+
+
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """Anchors of several documents, back to each sheaf that holds them, with their number of suffixes."""
     sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
-    (g, low, flag), blob = _split(table.column("blob").to_pylist(), 3)
+    g, low, counted, blob = _columns(table.column("blob").to_pylist(), [np.uint32, np.int64, np.uint32])
+    g = np.uint64(table.column("part")[0].as_py()) << np.uint64(32) | g.astype(np.uint64)
     order, fresh = first_of(g)
     cuts = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    low, flag = low[order].view(np.int64), flag[order]
-    many = (np.minimum.reduceat(low, cuts) != np.maximum.reduceat(low, cuts)) | (np.maximum.reduceat(flag >> np.uint64(32), cuts) > 0)
-    total = np.add.reduceat(flag & np.uint64(0xFFFFFFFF), cuts)
+    low, counted = low[order], counted[order]
+    many = (np.minimum.reduceat(low, cuts) != np.maximum.reduceat(low, cuts)) | (np.maximum.reduceat(counted >> np.uint32(31), cuts) > 0)
+    total = np.add.reduceat((counted & np.uint32(0x7FFFFFFF)).astype(np.uint64), cuts)
     keep = many[group]
     g, weight, owner = g[order][keep], total[group][keep], sheaves[blob[order][keep]]
     by = np.argsort(owner, kind="stable")
@@ -216,8 +227,8 @@ def _suffixes_of(window: int, gram: int, n: int):
         (shared, weight), _ = _split(right.column("blob").to_pylist(), 2)
         order = np.argsort(shared)
         shared, weight = shared[order], weight[order]
-        keys, codes, ids, tops, weights, anchors = [], [], [], [], [], []
-        for _, own, _, win in _read(left, window, gram):
+        keys, codes, ids, tops, weights, anchors, places, seen = [], [], [], [], [], [], [], 0
+        for _, own, _, win in _read(left, window, gram, n):
             at = np.searchsorted(shared, win.anchor)
             at[at == len(shared)] = 0
             hit = np.flatnonzero((shared[at] == win.anchor) & (own[win.doc] != _NULL)) if len(win.anchor) else np.zeros(0, int)
@@ -233,21 +244,23 @@ def _suffixes_of(window: int, gram: int, n: int):
             tops.append(top)
             weights.append(weight[at])
             anchors.append(win.anchor[hit[lead]])
+            places.append(seen + hit[lead])
+            seen += len(win.start)
         if not keys:
             return empty
-        key, code, d, most, w, a = (np.concatenate(x) for x in (keys, codes, ids, tops, weights, anchors))
+        key, code, d, most, w, a, place = (np.concatenate(x) for x in (keys, codes, ids, tops, weights, anchors, places))
         at, most = _spread(key, d, most)
         several = (most != d[at]).astype(np.uint8)
         prefix = np.where(w[at] > GROUP_LIMIT, key[at, 0], a[at])
-        part = (prefix % np.uint64(n)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
+        part = np.where(w[at] > GROUP_LIMIT, prefix % np.uint64(n), prefix >> np.uint64(32)).astype(np.int64)
+        by = np.lexsort((place[at], a[at], part))  # neighbours overlap by all words but one, which compresses well
         edges = np.searchsorted(part[by], np.arange(n + 1))
         sheaf = left.column("sheaf")[0].as_py()
         parts, blobs = [], []
         for k in np.flatnonzero(np.diff(edges)):
             some = by[edges[k] : edges[k + 1]]
             rows = at[some]
-            blobs.append(b"".join((d[rows].tobytes(), several[some].tobytes(), np.ascontiguousarray(code[rows].T).tobytes())))
+            blobs.append(b"".join((d[rows].tobytes(), several[some].tobytes(), code[rows].tobytes())))
             parts.append(int(k))
         return pa.table({"part": pa.array(parts, pa.int32()), "sheaf": pa.array([sheaf] * len(parts), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -258,11 +271,8 @@ def _repeats_of(window: int):
     def run(table: pa.Table) -> pa.Table:
         sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
         blobs_in = table.column("blob").to_pylist()
-        sizes = [len(b) // (9 + 4 * window) for b in blobs_in]
-        blob = np.repeat(np.arange(len(sizes)), sizes)
-        ids = np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs_in, sizes, strict=True)])
-        several = np.concatenate([np.frombuffer(b, np.uint8, n, 8 * n) for b, n in zip(blobs_in, sizes, strict=True)])
-        codes = np.concatenate([np.frombuffer(b[9 * n :], np.uint32).reshape(window, n).T for b, n in zip(blobs_in, sizes, strict=True)])
+        ids, several, rows, blob = _columns(blobs_in, [np.int64, np.uint8, np.dtype((np.void, 4 * window))])
+        codes = np.frombuffer(rows.tobytes(), np.uint32).reshape(-1, window)
         leaf, smallest = deep_leaves(codes, ids, window)
         told = (smallest < ids[leaf]) | (several[leaf] > 0)  # sheaves with a text to cut
         leaf, smallest = leaf[told], smallest[told]
@@ -278,7 +288,7 @@ def _repeats_of(window: int):
     return run
 
 
-def _cut(window: int, gram: int):
+def _cut(window: int, gram: int, n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         one, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         two = one
@@ -287,7 +297,7 @@ def _cut(window: int, gram: int):
             order = np.lexsort((two, one))
             one, two, least = one[order], two[order], low[order].view(np.int64)
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        for texts, own, words, win in _read(left, window, gram):
+        for texts, own, words, win in _read(left, window, gram, n):
             gone = np.zeros(len(words.hashes) + 1, np.int64)
             if len(one):
                 for low in range(0, len(win.start), 1 << 17):
@@ -322,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "sheaf int, blob binary")
     suffixes = by.cogroup(shared.groupBy("sheaf")).applyInArrow(_suffixes_of(window, gram, n), "part int, sheaf int, blob binary")
     repeats = suffixes.groupBy("part").applyInArrow(_repeats_of(window), "sheaf int, blob binary")
-    return by.cogroup(repeats.groupBy("sheaf")).applyInArrow(_cut(window, gram), "doc_id long, n_words long, n_removed long, kept string")
+    return by.cogroup(repeats.groupBy("sheaf")).applyInArrow(_cut(window, gram, n), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(documents: DataFrame) -> DataFrame:
