@@ -12,7 +12,7 @@ word always stay.
    a token of their prefixes. They are candidates if their sizes and the places
    of the token allow the overlap, and if a parity signature of all tokens
    (which bounds the overlap from above) does.
-4. Candidates are verified on their words.
+4. Candidates are verified on all their words, by 64-bit hashes.
 
 A token in more than ``HOT`` prefixes is not joined with itself at once: there
 each line is first held against the first and the previous line of its size,
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from optiloom.llm.components import checkpointed
+from optiloom.llm.components import saved
 from optiloom.llm.native import SPACE_RUN, let, words
 
 THRESHOLD = 0.8
@@ -74,15 +74,27 @@ def _keys(line: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(keyed))
 
 
-def _parity(keys: Column) -> Column:
-    """64 parities of tokens by hash; sets with overlap o of sizes a and b differ in at most a + b - 2 o of them."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 8).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(keys: Column, half: bool) -> Column:
+    """64 parities of the tokens by hash, of all of them or of the half with a certain hash bit.
+
+    Two sets with overlap o of sizes a and b differ in at most a + b - 2 o tokens,
+    so in no more parities over both halves.
+    """
+    place = lambda k: F.shiftright(k, 8).bitwiseAND(F.lit(63)).cast("int")
+    bit = (lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(1).cast("long"))) if half else (lambda k: F.lit(1).cast("long"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", bit(k), place(k))))
 
 
-def _postings(firsts: DataFrame) -> DataFrame:
-    """token, id, line, n (size), k (place in the prefix), sig for each prefix token; sets below four tokens match equal ones only."""
-    sized = firsts.where(F.col("n") >= 4).select("id", "line", "n", "sig", F.posexplode("prefix").alias("k", "token"))
-    return sized.repartition("token")
+def _postings(sets: DataFrame) -> DataFrame:
+    """token, id, line, n (size), k (place in the prefix), sig, sig2 for each prefix token of the first lines of their sets.
+
+    Sets below four tokens match equal ones only. A line with an equal earlier
+    set has one row of its own, with k = -1, so that one pass serves both.
+    """
+    own = F.array(F.xxhash64("id", "line"))
+    tokens = F.when(~F.col("first"), own).when(F.col("n") >= 4, F.col("prefix")).otherwise(F.array().cast("array<bigint>"))
+    filed = sets.select("id", "line", "n", "sig", "sig2", "first", F.posexplode(tokens).alias("k", "token"))
+    return filed.withColumn("k", F.when(F.col("first"), F.col("k")).otherwise(-1)).drop("first").where(F.col("token").isNotNull()).repartition("token")
 
 
 def _sets(docs: DataFrame, levels: Column) -> DataFrame:
@@ -90,7 +102,7 @@ def _sets(docs: DataFrame, levels: Column) -> DataFrame:
     keyed = _lines(docs).select("id", "line", _keys(F.col("s"), levels).alias("keys"))
     n = F.size("keys")
     least = F.floor((4 * n + 4) / F.lit(5)).cast("int")  # ceil(0.8 n) in integers
-    sized = keyed.select("id", "line", F.struct(F.xxhash64("keys"), F.hash("keys"), n).alias("digest"), n.alias("n"), _parity(F.col("keys")).alias("sig"), F.slice("keys", 1, n - least + 1).alias("prefix"))
+    sized = keyed.select("id", "line", F.struct(F.xxhash64("keys"), F.hash("keys"), n).alias("digest"), n.alias("n"), _parity(F.col("keys"), False).alias("sig"), _parity(F.col("keys"), True).alias("sig2"), F.slice("keys", 1, n - least + 1).alias("prefix"))
     return sized.withColumn("first", F.struct("id", "line") == F.min(F.struct("id", "line")).over(Window.partitionBy("digest")))
 
 
@@ -98,7 +110,8 @@ def _may_match(a: str, b: str) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     need = _need(c(a, "n"), c(b, "n"))
     left = F.least(c(a, "n") - c(a, "k"), c(b, "n") - c(b, "k"))
-    differ = F.bit_count(c(a, "sig").bitwiseXOR(c(b, "sig")))
+    half = c(a, "sig2").bitwiseXOR(c(b, "sig2"))
+    differ = F.bit_count(half) + F.bit_count(c(a, "sig").bitwiseXOR(c(b, "sig")).bitwiseXOR(half))
     return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (left + F.least(c(a, "k"), c(b, "k")) >= need) & (differ <= c(a, "n") + c(b, "n") - 2 * need)
 
 
@@ -115,16 +128,16 @@ def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _by_id(docs: DataFrame, rows: DataFrame, n: int, how: str = "inner") -> DataFrame:
-    """Joins checkpointed rows (one per id, ``n`` of them) to the documents: broadcast if there are few, else shuffled."""
+    """Joins saved rows (one per id, ``n`` of them) to the documents: broadcast if there are few, else shuffled."""
     return docs.join(F.broadcast(rows) if n <= FEW else rows, "id", how)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, line) of checkpointed pairs whose words reach the threshold."""
+    """(id, line) of saved pairs whose token sets reach the threshold."""
     sides = pairs.select("id", "line").unionByName(pairs.select(F.col("id2").alias("id"), F.col("line2").alias("line")))
-    wanted = checkpointed(sides.groupBy("id").agg(F.collect_set("line").alias("wanted")))
+    wanted = saved(sides.groupBy("id").agg(F.collect_set("line").alias("wanted")))
     held = _by_id(docs, wanted, wanted.count()).select("id", F.explode("wanted").alias("line"), F.split("text", "\n").alias("ls"))
-    sets = held.select("id", "line", F.array_distinct(words(F.get("ls", F.col("line")))).alias("t"))
+    sets = held.select("id", "line", F.array_distinct(F.transform(words(F.get("ls", F.col("line"))), lambda w: F.xxhash64(w))).alias("t"))
     both = pairs.join(sets.withColumnRenamed("t", "t1"), ["id", "line"]).join(sets.select(F.col("id").alias("id2"), F.col("line").alias("line2"), F.col("t").alias("t2")), ["id2", "line2"])
     common = F.size(F.array_intersect("t1", "t2"))
     return both.where(9 * common >= 4 * (F.size("t1") + F.size("t2"))).select("id", "line").distinct()
@@ -134,28 +147,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """(id, line): numbers from 0 of the lines to remove, each once; a null id is ``_NO_ID``."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = _sets(base, rarity(base, "text"))
-    counted = _postings(sets.where("first")).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    cold, hot = counted.where(F.col("held").between(2, HOT)), counted.where(F.col("held") > HOT)
-    row = F.struct("id", "line", "n", "k", "sig")
+    counted = _postings(sets).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    cold, hot = counted.where((F.col("k") >= 0) & F.col("held").between(2, HOT)), counted.where((F.col("k") >= 0) & (F.col("held") > HOT))
+    row = F.struct("id", "line", "n", "k", "sig", "sig2")
     order = Window.partitionBy("token", "n").orderBy("id", "line")
     met = hot.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row).over(order)).alias("bs"))
     stars = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b")).select(*_pair())
 
-    # One pass writes the lines with an equal earlier set, the candidate pairs, and the filings of hot tokens.
-    equal = sets.where(~F.col("first")).select("id", "line", F.lit(0).alias("kind"))
+    # One pass writes the lines with an equal earlier set, the candidate pairs, and the filings of hot tokens. All
+    # branches read the same columns of the filings, so that these are shuffled once.
     found = _joined(cold, cold).unionByName(stars).distinct().withColumn("kind", F.lit(1))
-    filed = hot.select("id", "line", "n", "k", "sig", "token", F.lit(2).alias("kind"))
-    state = checkpointed(equal.unionByName(found, True).unionByName(filed, True))
+    filed = counted.where((F.col("k") < 0) | (F.col("held") > HOT)).select("id", "line", "n", "k", "sig", "sig2", "token", F.when(F.col("k") < 0, 0).otherwise(2).alias("kind"))
+    state = saved(found.unionByName(filed, True))
     equal = state.where("kind = 0").select("id", "line")
-    near = checkpointed(_verified(state.where("kind = 1").select("id", "line", "id2", "line2"), base))
-    hot = state.where("kind = 2").select("id", "line", "n", "k", "sig", "token")
+    near = saved(_verified(state.where("kind = 1").select("id", "line", "id2", "line2"), base))
+    hot = state.where("kind = 2").select("id", "line", "n", "k", "sig", "sig2", "token")
     rest = hot.join(near, ["id", "line"], "left_anti")
-    late = _verified(checkpointed(_joined(rest, hot).distinct()), base)
+    late = _verified(saved(_joined(rest, hot).distinct()), base)
     return equal.unionByName(near).unionByName(late).distinct()
 
 
 def _applied(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    gone = checkpointed(removed_lines(docs, id_col, text).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone")))
+    gone = saved(removed_lines(docs, id_col, text).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone")))
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
     lines = F.split(F.col(text), "\n")
     joined = keyed.join(gone, F.col("__key") == F.col("__id"), "left")
