@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import StudySchema, with_feasibility
+from optiloom.functions.storage import checkpointed
 
 OP = "struct<op_code:int,study_id:long,trial_id:long,study_name:string,directions:array<int>,system_attr:string,state:int,value:double,values:array<double>,distributions:map<string,string>,params:map<string,string>,user_attrs:string,system_attrs:string,param_name:string,param_value_internal:double,distribution:string,user_attr:string>"
 DIST = "struct<name:string,low:double,step:double,log:boolean,choices:array<string>,attributes:struct<low:double,step:double,log:boolean,choices:array<string>>>"
@@ -116,14 +117,16 @@ def parse_journal(lines: DataFrame) -> Replay:
     spark = lines.sparkSession
     text = lines.where(F.trim("value") != "")
     good = text.where(F.try_parse_json("value").isNotNull())
-    if not text.isEmpty() and good.isEmpty():
+    # Every branch of the fold reads the parsed operations, so they are parsed once and kept in the shared folder.
+    ops = checkpointed(good.select("line_no", F.from_json("value", OP).alias("o")).select("line_no", "o.*"))
+
+    if ops.isEmpty() and not text.isEmpty():
         raise JournalError("no valid JSON line")
-    ops = good.select("line_no", F.from_json("value", OP).alias("o")).select("line_no", "o.*")
 
     created = ops.where("op_code = 0").select("line_no", "study_name", "directions")
-    studies = with_position(created, "line_no", "study_id").withColumnRenamed("line_no", "study_line")
+    studies = checkpointed(with_position(created, "line_no", "study_id").withColumnRenamed("line_no", "study_line"))
     accepted = ops.where("op_code = 4").join(studies.select("study_id", "study_line"), "study_id").where(F.col("line_no") > F.col("study_line"))
-    trials = with_position(accepted.drop("trial_id", "study_line"), "line_no", "trial_id")
+    trials = checkpointed(with_position(accepted.drop("trial_id", "study_line"), "line_no", "trial_id"))
     born = trials.select("trial_id", "study_id", F.col("line_no").alias("born"))
     later = ops.where("op_code in (5, 6, 8, 9)").drop("study_id").join(born.select("trial_id", "born"), "trial_id").where(F.col("line_no") > F.col("born"))
     inline = trials.where(F.col("distributions").isNotNull())
@@ -151,10 +154,10 @@ def parse_journal(lines: DataFrame) -> Replay:
         rows = rows.join(part, "trial_id", "left")
     empty = F.array().cast("array<double>")
     none = lambda kind: F.from_json(F.lit("{}"), f"map<string,{kind}>")
-    complete = rows.select(
+    complete = checkpointed(rows.select(
         "study_id", "trial_id", F.coalesce("params", none("double")).alias("params"), F.coalesce("param_labels", none("string")).alias("param_labels"), F.coalesce("objectives", empty).alias("objectives"),
         F.coalesce("attrs_num", none("double")).alias("attrs_num"), F.coalesce("attrs_str", none("string")).alias("attrs_str"), F.coalesce("constraints", empty).alias("constraints"),
-    )
+    ))
     return Replay(_study_table(spark, studies, ops, trials, complete), complete)
 
 
