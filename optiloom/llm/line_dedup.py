@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
 BUCKETS = 1 << 16
 #: Prefix lines of a token that are joined with each other at once.
-HOT = 64
+HOT = 1024
 #: Rows (of an id and a few line numbers) that may be broadcast.
 FEW = 200_000
 _NO_ID = -(1 << 63)
