@@ -282,7 +282,7 @@ def _repeats_of(window: int):
         names, firsts = np.unique(owner[by], return_index=True)
         blobs = []
         for rows in np.split(by, firsts[1:]) if len(names) else []:
-            blobs.append(np.concatenate([keys[rows, 0], keys[rows, 1], smallest[rows].view(np.uint64)]).tobytes())
+            blobs.append(b"".join((keys[rows, 0].tobytes(), keys[rows, 1].astype(np.uint16).tobytes(), smallest[rows].tobytes())))
         return pa.table({"sheaf": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -290,12 +290,11 @@ def _repeats_of(window: int):
 
 def _cut(window: int, gram: int, n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        one, least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        two = one
-        if right.num_rows:
-            (one, two, low), _ = _split(right.column("blob").to_pylist(), 3)
+        one, two, least = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        if right.num_rows:  # 80 bits of a key tell the windows of one sheaf apart
+            one, two, low, _ = _columns(right.column("blob").to_pylist(), [np.uint64, np.uint16, np.int64])
             order = np.lexsort((two, one))
-            one, two, least = one[order], two[order], low[order].view(np.int64)
+            one, two, least = one[order], two[order], low[order]
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
         for texts, own, words, win in _read(left, window, gram, n):
             gone = np.zeros(len(words.hashes) + 1, np.int64)
@@ -303,10 +302,11 @@ def _cut(window: int, gram: int, n: int):
                 for low in range(0, len(win.start), 1 << 17):
                     starts, d = win.start[low : low + (1 << 17)], own[win.doc[low : low + (1 << 17)]]
                     key = window_keys(win.codes(np.arange(low, low + len(starts)), window))
+                    short = key[:, 1].astype(np.uint16)
                     at = np.minimum(np.searchsorted(one, key[:, 0]), len(one) - 1)
-                    while (late := (one[at] == key[:, 0]) & (two[at] < key[:, 1]) & (at < len(one) - 1)).any():
+                    while (late := (one[at] == key[:, 0]) & (two[at] < short) & (at < len(one) - 1)).any():
                         at = at + late  # equal first halves lie side by side
-                    bad = (one[at] == key[:, 0]) & (two[at] == key[:, 1]) & (least[at] < d) & (d != _NULL)
+                    bad = (one[at] == key[:, 0]) & (two[at] == short) & (least[at] < d) & (d != _NULL)
                     np.add.at(gone, starts[bad], 1)
                     np.add.at(gone, starts[bad] + window, -1)
             keep = np.cumsum(gone[:-1]) == 0
