@@ -15,6 +15,8 @@ from optiloom.operators.filters import long_form
 from optiloom.operators.sensitivity import moments
 
 MAX_ROUNDS = 300
+#: Values (rows times columns) clustered on the driver; larger data stay distributed.
+LOCAL_VALUES = 1_000_000
 
 
 def features(df: DataFrame, schema: StudySchema, space: str) -> list:
@@ -65,18 +67,42 @@ def assigned(df: DataFrame, names: Sequence[str], centers: np.ndarray) -> DataFr
     return df.withColumn("__d", d).withColumn("d2", F.array_min("__d")).withColumn("label", (F.array_position("__d", F.col("d2")) - 1).cast("int")).drop("__d")
 
 
+def lloyd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(labels, centers, sum of squares) of rows in order, by the same seeding and rounds as the distributed form."""
+    centers = [x[len(x) // 2]]
+    for c in range(1, k):
+        total = np.cumsum(((x[:, None] - np.array(centers)) ** 2).sum(2).min(1))
+        centers.append(x[min(int(np.searchsorted(total, total[-1] / (k - c + 1))), len(x) - 1)])
+    centers, before = np.array(centers, float), None
+    for _ in range(MAX_ROUNDS):
+        d = ((x[:, None] - centers) ** 2).sum(2)
+        label = d.argmin(1)
+        if before is not None and (label == before).all():
+            break
+        before = label
+        for j in np.unique(label):
+            centers[j] = x[label == j].mean(0)
+    return label, centers, float(d.min(1).sum())
+
+
 def kmeans(df: DataFrame, names: Sequence[str], k: int, order: str) -> tuple[DataFrame, np.ndarray, float]:
     """(df with label, centers, within-cluster sum of squares): deterministic seeding, then Lloyd rounds.
 
     The first center is the middle row; each next is the row at which the
-    running sum of squared distances, in row order, reaches its even share.
-    Fewer rows than ``k``: all label 0 and no centers. Centers are the only data
-    on the driver.
+    running sum of squared distances, in row order, reaches its even share. Row
+    orders are unique. Fewer rows than ``k``: all label 0 and no centers. Above
+    ``LOCAL_VALUES`` only centers reach the driver.
     """
     data = checkpointed(df)
     n = data.count()
     if n < k or k < 1:
         return data.withColumn("label", F.lit(0)), np.zeros((0, len(names))), 0.0
+    if n * len(names) <= LOCAL_VALUES:
+        local = data.select(order, *[F.col(c).cast("double").alias(c) for c in names]).toPandas().sort_values(order, kind="stable")
+        label, centers, wcss = lloyd(local[list(names)].to_numpy(), k)
+        kind = data.schema[order].dataType.simpleString()
+        found = df.sparkSession.createDataFrame(list(zip(local[order].tolist(), label.tolist(), strict=True)), f"__o {kind}, label int")
+        return data.join(found, data[order] == found["__o"]).drop("__o"), centers, wcss
     placed = checkpointed(with_position(data, order))
     centers = [list(placed.where(F.col("row_idx") == n // 2).select(*names).first())]
     for c in range(1, k):
