@@ -6,25 +6,12 @@ Edges stay distributed; each round is cut by ``checkpoint()`` into the folder of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: that of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from optiloom.functions.storage import checkpointed, shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
