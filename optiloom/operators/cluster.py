@@ -102,7 +102,8 @@ def kmeans(df: DataFrame, names: Sequence[str], k: int, order: str) -> tuple[Dat
         label, centers, wcss = lloyd(local[list(names)].to_numpy(), k)
         kind = data.schema[order].dataType.simpleString()
         found = df.sparkSession.createDataFrame(list(zip(local[order].tolist(), label.tolist(), strict=True)), f"__o {kind}, label int")
-        return data.join(found, data[order] == found["__o"]).drop("__o"), centers, wcss
+        rows = data.drop("label")
+        return rows.join(found, rows[order] == found["__o"]).drop("__o"), centers, wcss
     placed = checkpointed(with_position(data, order))
     centers = [list(placed.where(F.col("row_idx") == n // 2).select(*names).first())]
     for c in range(1, k):
