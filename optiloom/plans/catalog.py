@@ -92,13 +92,13 @@ def scatter_color(spark, d):
 
 @query
 def detail_table(spark, d):
-    return filters.detail_table(st.part_study(spark, d), roles.StudySchema(("p_size", "p_brand"), ("revenue",))).where(F.col("trial_id") <= 500)
+    return filters.detail_table(st.part_study(spark, d), roles.StudySchema(("p_size", "p_brand"), ("revenue",)))
 
 
 @query
 def colormap(spark, d):
     shade = filters.color_at(F.col("p_size") / 64, ["#000000", "#ffffff"])
-    return st.part_study(spark, d).where(F.col("p_size") % 16 == 0).select("trial_id", shade.alias("shade"))
+    return st.part_study(spark, d).select("trial_id", shade.alias("shade"))
 
 
 @query

@@ -27,3 +27,15 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, part", [("detail_table", " WHERE trial_id <= 500"), ("colormap", " WHERE p_size % 16 = 0")])
+def test_query_covers_all_rows(spark, name, part):
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = catalog.queries()[name](spark, folder)
+    names = sorted(df.columns)
+    whole = oracles.SQL[name].replace(part, "")
+    assert rows(df.select(*names).collect()) == rows(db.sql(f"select {', '.join(names)} from ({whole})").fetchall())
