@@ -294,14 +294,14 @@ def pca_projection(spark, d):
 
 @query
 def kmeans(spark, d):
-    rows, names = st.embedding_columns(spark, d, 4)
+    rows, names = st.embedding_columns(spark, d)
     return cluster.kmeans(rows, names, 4, "vec_id")[0].select("vec_id", F.col("label"))
 
 
 @query
 def elbow(spark, d):
-    rows, names = st.embedding_columns(spark, d, 4)
-    values, best = cluster.elbow(rows, names, "vec_id", 5)
+    rows, names = st.embedding_columns(spark, d)
+    values, best = cluster.elbow(rows, names, "vec_id")
     return spark.createDataFrame([(i + 2, v, i + 2 == best) for i, v in enumerate(values)], "k int, wcss double, recommended boolean")
 
 

@@ -13,6 +13,8 @@ PART_TEXT = StudySchema(("p_size", "p_retailprice", "p_brand"), ("revenue", "dis
 SUPPLIER = StudySchema(("s_nationkey",), ("balance", "discount", "quantity"), ("maximize", "minimize", "maximize"))
 SUPPLIER2 = StudySchema(("s_nationkey",), ("balance", "discount"), ("maximize", "minimize"))
 ORDERS = StudySchema((), ("o_totalprice",), ("minimize",))
+#: Coordinates of an embedding.
+WIDTH = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +49,7 @@ def events_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("trial_id"), "event_type", F.col("value"), props.alias("k"))
 
 
-def embedding_columns(spark: SparkSession, sf_dir: str, n: int = 8) -> tuple[DataFrame, list[str]]:
+def embedding_columns(spark: SparkSession, sf_dir: str, n: int = WIDTH) -> tuple[DataFrame, list[str]]:
     e = table(spark, sf_dir, "embeddings")
     names = [f"e{i}" for i in range(n)]
     return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]), names

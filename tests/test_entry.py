@@ -39,3 +39,15 @@ def test_query_covers_all_rows(spark, name, part):
     names = sorted(df.columns)
     whole = oracles.SQL[name].replace(part, "")
     assert rows(df.select(*names).collect()) == rows(db.sql(f"select {', '.join(names)} from ({whole})").fetchall())
+
+
+def test_embedding_queries_use_all_coordinates(spark):
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    df = catalog.queries()["cluster_stats"](spark, SF)
+    names = sorted(df.columns)
+    whole = oracles.SQL["cluster_stats"].replace("range(0, 8)", "range(0, 64)")
+    got = rows(df.select(*names).collect())
+    assert got == rows(db.sql(f"select {', '.join(names)} from ({whole})").fetchall())
+    assert len({r[names.index("name")] for r in got}) == 64
+    assert [r.k for r in catalog.queries()["elbow"](spark, SF).orderBy("k").collect()] == list(range(2, 11))
