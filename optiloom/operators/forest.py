@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from optiloom.functions.schema import EPS
 
 TREES, DEPTH, LEAF, SEED = 100, 10, 2, 42
+#: Thresholds per feature of a forest that is grown over distributed rows.
+BINS = 1024
 
 
 def _best_split(x: np.ndarray, y: np.ndarray, leaf: int) -> tuple[int, float] | None:
@@ -48,7 +51,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF) ->
 
 
 def fit_distributed(spark: SparkSession, x: np.ndarray, y: np.ndarray, trees: int = TREES) -> list[list[tuple[int, float, int, int]]]:
-    """One tree per task row; the bounded training rows travel with the tasks."""
+    """One tree per task row; the training rows, few enough for the driver, travel with the tasks."""
 
     def run(frames):
         for f in frames:
@@ -73,6 +76,26 @@ def predict(trees: list, x: np.ndarray) -> np.ndarray:
     return total / len(trees)
 
 
+def fit_over_rows(df: DataFrame, names: list[str], y: str, grid: np.ndarray, trees: int = TREES) -> tuple[np.ndarray, float]:
+    """(values at ``grid``, r2 over all rows): trees grown level by level over all distributed rows.
+
+    As above, but bootstrap counts are Poisson draws, and a threshold is one of
+    ``BINS`` quantiles where a feature has more distinct values than that.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    maker = VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep")
+    rows = maker.transform(df.select(*names, y))
+    learner = RandomForestRegressor(featuresCol="__x", labelCol=y, predictionCol="__z", numTrees=trees, maxDepth=DEPTH, minInstancesPerNode=LEAF, maxBins=BINS, featureSubsetStrategy="all", seed=SEED)
+    model = learner.fit(rows)
+    fitted = model.transform(rows)
+    row = fitted.agg((F.var_pop(y) * F.count(y)).alias("total"), F.sum((F.col(y) - F.col("__z")) ** 2).alias("rest")).first()
+    places = df.sparkSession.createDataFrame([(i, *map(float, g)) for i, g in enumerate(grid)], ["__i", *names])
+    z = np.array([r["__z"] for r in model.transform(maker.transform(places)).orderBy("__i").select("__z").collect()])
+    return z, 1.0 if row.total < EPS else float(1 - row.rest / row.total)
+
+
 def r_squared(y: np.ndarray, fitted: np.ndarray) -> float:
     """Not clamped; 1 for a constant target."""
     total = ((y - y.mean()) ** 2).sum()

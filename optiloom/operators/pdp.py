@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiloom.functions.schema import EPS, StudySchema, finite
+from optiloom.functions.storage import checkpointed
 from optiloom.operators import forest, kriging
 from optiloom.operators.sensitivity import ridge_fits
 
-#: Rows a forest or a Gaussian process is fitted on; more are sampled by hash of the id.
-FOREST_ROWS, KRIGING_ROWS = 5000, 1000
+#: Rows a Gaussian process is fitted on; more are sampled by hash of the id.
+KRIGING_ROWS = 1000
+#: Values (rows times columns) that a forest is grown over on single tasks; larger data stay distributed.
+LOCAL_VALUES = 1_000_000
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -43,12 +46,28 @@ def pdp_1d(df: DataFrame, schema: StudySchema, param: str, objective: str, n: in
     return spark.createDataFrame([(x, float(fit.y_mean + fit.beta[j] * (x - fit.mean[j]) / fit.std[j]), float(fit.r2)) for x in xs], kind)
 
 
+def _training(df: DataFrame, schema: StudySchema, cols: list, objective: str) -> DataFrame:
+    """id, x0.. and y of the rows with a finite objective."""
+    return df.where(finite(F.col(objective).cast("double"))).select(schema.id, *[c.alias(f"x{i}") for i, c in enumerate(cols)], F.col(objective).cast("double").alias("y"))
+
+
 def _sampled(df: DataFrame, schema: StudySchema, cols: list, objective: str, limit: int) -> np.ndarray:
-    rows = df.where(finite(F.col(objective).cast("double"))).select(schema.id, *[c.alias(f"x{i}") for i, c in enumerate(cols)], F.col(objective).cast("double").alias("y"))
+    rows = _training(df, schema, cols, objective)
     data = rows.orderBy(F.xxhash64(schema.id), schema.id).limit(limit).toPandas().sort_values(schema.id)  # bounded by limit
     return data[[*(f"x{i}" for i in range(len(cols))), "y"]].to_numpy(float)
 
 
+def _forest(df: DataFrame, schema: StudySchema, cols: list, objective: str, grid: np.ndarray) -> tuple[np.ndarray, float]:
+    """(values at ``grid``, r2) of a forest over all rows."""
+    rows = checkpointed(_training(df, schema, cols, objective))
+    names = [f"x{i}" for i in range(len(cols))]
+    if rows.count() * (len(cols) + 1) > LOCAL_VALUES:
+        return forest.fit_over_rows(rows, names, "y", grid)
+    data = rows.toPandas().sort_values(schema.id)[[*names, "y"]].to_numpy(float)
+    trees = forest.fit_distributed(df.sparkSession, data[:, :-1], data[:, -1])
+    return forest.predict(trees, grid), forest.r_squared(data[:, -1], forest.predict(trees, data[:, :-1]))
+
+
 def surface(df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str, n: int = 50, model: str = "ridge") -> DataFrame:
     """x, y, z, r2 on an n by n grid. ``random_forest`` and ``kriging`` fit on the two params alone; any other name is ridge."""
     spark, kind = df.sparkSession, "x double, y double, z double, r2 double"
@@ -59,9 +78,7 @@ def surface(df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str
     xs, ys = linspace(*_range(df, cols[a]), n), linspace(*_range(df, cols[b]), n)
     gx, gy = (g.ravel() for g in np.meshgrid(xs, ys, indexing="ij"))
     if model == "random_forest":
-        data = _sampled(df, schema, [cols[a], cols[b]], objective, FOREST_ROWS)
-        trees = forest.fit_distributed(spark, data[:, :2], data[:, 2])
-        z, r2 = forest.predict(trees, np.column_stack([gx, gy])), forest.r_squared(data[:, 2], forest.predict(trees, data[:, :2]))
+        z, r2 = _forest(df, schema, [cols[a], cols[b]], objective, np.column_stack([gx, gy]))
     elif model == "kriging":
         data = _sampled(df, schema, [cols[a], cols[b]], objective, KRIGING_ROWS)
         if len(data) < 3:

@@ -157,6 +157,18 @@ def test_forest_and_kriging():
     assert np.abs(kriging.fit(x, target).predict(x) - target).max() < 0.1
 
 
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_forest_uses_all_rows(spark, monkeypatch, local):
+    """A step in 30 of 7,000 rows, none of them among the 5,000 of least id hash."""
+    monkeypatch.setattr(pdp, "LOCAL_VALUES", local)
+    ids = [r.id for r in spark.range(7000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(ids[-30:])
+    rows = [(i, 1.0 if i in late else 0.0, float(i % 3), 100.0 if i in late else 0.0) for i in ids]
+    df = spark.createDataFrame(rows, "trial_id long, a double, b double, y double")
+    found = pdp.surface(df, StudySchema(("a", "b"), ("y",)), "a", "b", "y", 2, "random_forest").collect()
+    assert len(found) == 4 and all((r.z > 90) == (r.x == 1) and r.r2 > 0.95 for r in found)
+
+
 def test_linspace_and_labels():
     assert pdp.linspace(0, 4, 1) == [2] and pdp.linspace(0, 4, 3) == [0, 2, 4]
     assert [pdp.quality_label(v) for v in (0.9, 0.6, 0.1)] == ["Good", "Caution", "Not Recommended"]
