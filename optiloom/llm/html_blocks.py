@@ -10,9 +10,12 @@ from dataclasses import dataclass
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements without content, and elements whose content is never text of the page.
+#: Elements without content; elements of raw text, which is never text of the page (of these, all but
+#: code are taken as ordinary elements where their end tag is missing); and elements in which "/>" ends an element.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe svg math object canvas textarea head title".split())
+RAW_TAGS = frozenset("script style iframe noembed noframes textarea title xmp".split())
+CODE_TAGS = frozenset("script style".split())
+FOREIGN_TAGS = frozenset("svg math".split())
 #: Opening one of these closes an open element of the same family, up to the nearest of its containers.
 _FAMILIES = {"p": (("p",), ()), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -68,14 +71,18 @@ def split_blocks(page: str) -> list[Block]:
             continue
         tag = m[1].lower()
         closing = page[m.start() + 1] == "/"
+        if not closing and m[0].endswith("/>") and (tag in FOREIGN_TAGS or any(t in FOREIGN_TAGS for t, _ in stack)):
+            continue
         if tag in RAW_TAGS and not closing:
-            close() if tag in BLOCK_TAGS else None
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head" and not end:
+            if end or tag in CODE_TAGS:
+                close() if tag in BLOCK_TAGS else None
+                at = end.end() if end else len(page)
                 continue
-            at = end.end() if end else len(page)
-            continue
         block = tag in BLOCK_TAGS
+        if tag == "head":  # not on any path, so that it needs no end tag
+            close()
+            continue
         if block:
             close()
         elif tag == "br":

@@ -243,6 +243,21 @@ def test_blocks():
     assert html_blocks.split_blocks("") == [] and [b.text for b in html_blocks.split_blocks("plain <b>text")] == ["plain text"]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<header><svg class='icon'/>Name</header><p>a <math/> b</p><p>c</p>", ["Name", "a b", "c"]),
+        ("<div><template><p>x</div><p>rest</p>", ["x", "rest"]),
+        ("<p>m <math><mi>y</mi></math> n</p><object><p>o</p></object><noscript><p>s</p></noscript><canvas>v</canvas>", ["m y n", "o", "s", "v"]),
+        ("<svg><path d='x'/><title/><text>label</text></svg><p>q</p>", ["label", "q"]),
+        ("<head><title>T</title><style>s</style><body><p>a<script>b</script></p><p>c</p><script>d<p>e", ["a", "c"]),
+        ("<p>a</p><iframe><p>b</p>", ["a", "b"]),
+    ],
+)
+def test_only_raw_text_is_dropped(page, texts):
+    assert [b.text for b in html_blocks.split_blocks(page)] == texts
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (3, "v", PAGE)], "page_id long, url string, html string")
     got = {(r.page_id, r.n_chars > 0): r.text for r in html_extract.digest(pages).collect()}
