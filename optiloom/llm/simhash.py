@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from optiloom.llm import near_copies
 from optiloom.llm.components import checkpointed, components
 from optiloom.llm.gray_index import spanning_edges
 from optiloom.llm.words import as_bytes
@@ -109,8 +110,8 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, that of the least id; of rows that repeat an id one stays; rows without an id all stay. Same columns."""
-    found = group(docs, id_col, text)
+    """One document of each group of :mod:`near_copies`, that of the least id; of rows that repeat an id one stays; rows without an id all stay. Same columns."""
+    found = near_copies.groups(docs, id_col, text)
     go = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__go")).distinct()
     left = docs.join(go, docs[id_col] == go["__go"], "left_anti")
     if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:

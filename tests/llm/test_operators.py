@@ -177,6 +177,39 @@ def test_simhash(docs, empty, spark):
     assert simhash.digest(empty).count() == 0
 
 
+def test_near_copies(spark):
+    """Copies with words replaced, cut or in chains, at both sides of 4/5, against brute force."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for family in range(12):
+        words = prose(100 + family, int(rng.integers(6, 150))).split()
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for k in rng.integers(0, len(words), int(rng.integers(0, 3))):
+                words[k] = f"new{rng.integers(1000)}"
+            words = words[: len(words) - int(rng.integers(0, 2))]
+    texts += ["", None, "one two", "ONE two", "one two three", prose(100, 100).upper()]
+    rows = [*enumerate(texts), (None, texts[0])]
+
+    def grams(t):
+        w = re.findall(WORD, (t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.dedup(df)
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted(set(root)) and 12 < len(set(root)) < 70
+    assert got.where("doc_id is null").count() == 1 and got.columns == df.columns and simhash.dedup(df.limit(0)).count() == 0
+    page = prose(8, 100).split()
+    near = spark.createDataFrame([(1, " ".join(page)), (2, " ".join([*page[:50], "changed", *page[51:]]))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.dedup(near).collect()] == [1]
+
+
 def test_gray_index_and_links(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
