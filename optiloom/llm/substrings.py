@@ -20,7 +20,7 @@ same words also start in a document of smaller id.
    remove. These go back to the sheaves, which cut the words.
 
 A very common passage costs one suffix per sheaf, not one per document. Windows are compared
-word by word, by hashes of 32 bits each, which is 416 bits a window.
+word by word, by hashes of 64 bits each.
 
 Edge cases: null and empty texts have no words; a null id is neither smaller
 nor larger than any other, so its text stays and removes nothing; repeated rows
@@ -47,16 +47,11 @@ GROUP_LIMIT = 4096
 _NULL = np.iinfo(np.int64).max
 
 
-def _folded(hashes: np.ndarray) -> np.ndarray:
-    """Word hashes of 32 bits, by which windows are compared word by word."""
-    return (hashes >> np.uint64(32)).astype(np.uint32)
-
-
 def window_keys(codes: np.ndarray) -> np.ndarray:
     """128-bit keys of windows given by their words' codes, one row each."""
     out = np.zeros((len(codes), 2), np.uint64)
     for k in range(codes.shape[1]):
-        word = codes[:, k].astype(np.uint64)
+        word = codes[:, k]
         for side, salt in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)):
             out[:, side] = (out[:, side] ^ word) * np.uint64(salt)
             out[:, side] ^= out[:, side] >> np.uint64(29)
@@ -93,7 +88,7 @@ class Windows:
 
     def codes(self, at: np.ndarray, window: int) -> np.ndarray:
         """Word codes of the windows ``at``, one row each."""
-        return _folded(self.hashes)[self.start[at][:, None] + np.arange(window)]
+        return self.hashes[self.start[at][:, None] + np.arange(window)]
 
 
 def first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,8 +266,8 @@ def _repeats_of(window: int):
     def run(table: pa.Table) -> pa.Table:
         sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
         blobs_in = table.column("blob").to_pylist()
-        ids, several, rows, blob = _columns(blobs_in, [np.int64, np.uint8, np.dtype((np.void, 4 * window))])
-        codes = np.frombuffer(rows.tobytes(), np.uint32).reshape(-1, window)
+        ids, several, rows, blob = _columns(blobs_in, [np.int64, np.uint8, np.dtype((np.void, 8 * window))])
+        codes = np.frombuffer(rows.tobytes(), np.uint64).reshape(-1, window)
         leaf, smallest = deep_leaves(codes, ids, window)
         told = (smallest < ids[leaf]) | (several[leaf] > 0)  # sheaves with a text to cut
         leaf, smallest = leaf[told], smallest[told]

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from optiloom.llm import decontaminate, gray_index, html_blocks, html_extract, line_dedup, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm.words import read_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -73,6 +74,19 @@ def test_substrings(docs, empty):
     assert substrings.digest(empty).count() == 0
 
 
+def test_windows_differ_in_one_word_of_like_hash(spark):
+    """Words whose hashes agree in the upper 32 bits do not make windows equal."""
+    names = [f"n{k}" for k in range(300_000)]
+    upper = read_words([" ".join(names).encode()]).hashes >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    at = np.flatnonzero(upper[order[1:]] == upper[order[:-1]])[0]
+    one, two = names[order[at]], names[order[at + 1]]
+    heads = [prose(500 + k, 12) for k in range(8)]
+    rows = [(10 * k + j, f"{head} {word}") for k, head in enumerate(heads) for j, word in enumerate((one, two, one))]
+    got = {r.doc_id: r.n_removed for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10 * k + j: (0, 0, 13)[j] for k in range(8) for j in range(3)}
+
+
 def test_secrets(docs, empty):
     rules = [(k, re.compile(p.replace("\\x20", " ")), g, n) for k, p, g, n in secrets.RULES]
     want = []
