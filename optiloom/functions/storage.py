@@ -3,18 +3,60 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch that removes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Parquet tables in a folder of their own below the shared one.
+
+    A table's shuffle files go when it is written; the tables go with :meth:`drop`,
+    for which every result that still reads them has to be written first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self._n = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read from there."""
+        path = f"{self.folder}/{self._n}"
+        self._n += 1
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read from there: smaller than a checkpoint."""
+    return Scratch(df.sparkSession).save(df)
