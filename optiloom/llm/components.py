@@ -6,19 +6,10 @@ Edges stay distributed; each round is cut by ``checkpoint()`` into the folder of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiloom.functions.storage import checkpointed, shared_folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read from there: smaller than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from optiloom.functions.storage import checkpointed, saved, shared_folder  # noqa: F401
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:

@@ -7,21 +7,26 @@ word always stay.
 
 1. Tokens are counted in a table of fixed size (``BUCKETS``), which orders them
    by rarity; ties are broken by hash.
-2. Lines of equal token sets are brought together; all but the first go.
+2. Lines of equal token sets are reduced to the first of them, with partial
+   minima before the shuffle, so that a very common line is no hot key.
 3. Every first line files its rarest tokens, its prefix: two similar lines share
    a token of their prefixes. They are candidates if their sizes and the places
    of the token allow the overlap, and if a parity signature of all tokens
    (which bounds the overlap from above) does.
-4. Candidates are verified on all their words, by 64-bit hashes.
+4. Groups of near copies are settled in linear work before any pairs are made:
+   under its ``PROBES`` rarest tokens each line is held against the first and
+   the previous line of its size, and the closest of these is verified.
+5. Lines that are not settled meet all lines that share a prefix token.
+6. Candidates are verified on all their words, by 64-bit hashes.
 
-A token in more than ``HOT`` prefixes is not joined with itself at once: there
-each line is first held against the first and the previous line of its size,
-which settles large groups of near copies in linear work; only lines still
-without an earlier match then meet all lines of the token.
+What is kept are the first lines without an earlier match.
 
 Edge cases: null texts have no lines with words and come back null; ids are
-integers, a null id sorts before all others; rows that repeat an id count as one
-text; other columns pass through :func:`clean`.
+integers, a null id sorts before all others; rows that repeat an id are ordered
+by a hash of their text and judged each on its own, but equal rows count as one
+text; empty tables give empty results; very long lines are one row like others;
+other columns pass through :func:`clean`, whose own column names start with
+``__line_`` and may not occur in the input.
 """
 
 from __future__ import annotations
@@ -30,18 +35,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from optiloom.llm.components import saved
-from optiloom.llm.native import SPACE_RUN, let, words
+from optiloom.functions.storage import Scratch, saved
+from optiloom.llm.native import SPACE, let, pieces_of, words
 
 THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
-BUCKETS = 1 << 16
-#: Prefix lines of a token that are joined with each other at once.
-HOT = 1024
-#: Rows (of an id and a few line numbers) that may be broadcast.
+BUCKETS = 1 << 18
+#: Rarest tokens under which a line is held against the first and previous line.
+PROBES = 3
+#: Tokens from which on a line has a second signature.
+LONG = 88
+#: Candidate pairs up to which their ids are broadcast to the documents; more are joined by shuffling.
 FEW = 200_000
 _NO_ID = -(1 << 63)
 _LOW56 = (1 << 56) - 1
+_KEY = ["id", "at"]
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -50,27 +58,27 @@ def _need(a: Column, b: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A constant array: for each bucket of tokens a level that rises with the number of its occurrences.
+    """A constant array: for each bucket of tokens a level that rises with the number of its occurrences, in the upper seven bits.
 
     The counts are made over all documents; what reaches the driver is one
     small number for each of ``BUCKETS`` buckets.
     """
-    tokens = docs.select(F.explode(F.split(F.col(text), SPACE_RUN)).alias("w")).where(F.col("w") != "")
-    counts = tokens.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    tokens = docs.select(F.explode(pieces_of(F.col(text))).alias("w")).where(F.col("w") != "")
+    counts = tokens.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * BUCKETS
     for r in counts.select("b", F.least(F.floor(F.log2(F.col("n").cast("double")) * 4), F.lit(126)).alias("l")).collect():
-        levels[r.b] = str(r.l)
+        levels[r.b] = str(r.l << 56)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.col("s").rlike("[^\\x20\\x09-\\x0D]"))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _keys(line: Column, levels: Column) -> Column:
     """Distinct tokens as longs, rarest first: seven bits of level over 56 bits of hash."""
     hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
+    keyed = F.transform(hashes, lambda h: F.get(levels, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
     return F.sort_array(F.array_distinct(keyed))
 
 
@@ -80,105 +88,136 @@ def _parity(keys: Column, half: bool) -> Column:
     Two sets with overlap o of sizes a and b differ in at most a + b - 2 o tokens,
     so in no more parities over both halves.
     """
-    place = lambda k: F.shiftright(k, 8).bitwiseAND(F.lit(63)).cast("int")
+    place = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
     bit = (lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(1).cast("long"))) if half else (lambda k: F.lit(1).cast("long"))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", bit(k), place(k))))
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """token, id, line, n (size), k (place in the prefix), sig, sig2 for each prefix token of the first lines of their sets.
-
-    Sets below four tokens match equal ones only. A line with an equal earlier
-    set has one row of its own, with k = -1, so that one pass serves both.
-    """
-    own = F.array(F.xxhash64("id", "line"))
-    tokens = F.when(~F.col("first"), own).when(F.col("n") >= 4, F.col("prefix")).otherwise(F.array().cast("array<bigint>"))
-    filed = sets.select("id", "line", "n", "sig", "sig2", "first", F.posexplode(tokens).alias("k", "token"))
-    return filed.withColumn("k", F.when(F.col("first"), F.col("k")).otherwise(-1)).drop("first").where(F.col("token").isNotNull()).repartition("token")
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, at (hash of the text where ids repeat, over the line's number) and s of every line with a word."""
+    parts = docs.select("id", "own", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    return parts.where(F.col("s").rlike(f"[^{SPACE}]")).select("id", F.shiftleft(F.col("own").cast("long"), 32).bitwiseOR(F.col("line").cast("long")).alias("at"), "s")
 
 
 def _sets(docs: DataFrame, levels: Column) -> DataFrame:
-    """Every line with a word: id, line, digest of its token set, n, sig, prefix, and whether it is the first of its set."""
-    keyed = _lines(docs).select("id", "line", _keys(F.col("s"), levels).alias("keys"))
+    """The first line of every token set: id, at, n (size), sig, sig2, and the prefix, rarest first.
+
+    Sets below four tokens match equal ones only, so they file nothing; short sets need no second signature.
+    """
+    keyed = _lines(docs).select("id", "at", _keys(F.col("s"), levels).alias("keys"))
     n = F.size("keys")
     least = F.floor((4 * n + 4) / F.lit(5)).cast("int")  # ceil(0.8 n) in integers
-    sized = keyed.select("id", "line", F.struct(F.xxhash64("keys"), F.hash("keys"), n).alias("digest"), n.alias("n"), _parity(F.col("keys"), False).alias("sig"), _parity(F.col("keys"), True).alias("sig2"), F.slice("keys", 1, n - least + 1).alias("prefix"))
-    return sized.withColumn("first", F.struct("id", "line") == F.min(F.struct("id", "line")).over(Window.partitionBy("digest")))
+    prefix = F.transform(F.slice("keys", 1, F.when(n < 4, 0).otherwise(n - least + 1)), lambda k: F.hash(k))
+    line = F.struct("id", "at", n.alias("n"), _parity(F.col("keys"), False).alias("sig"), F.when(n > LONG, _parity(F.col("keys"), True)).alias("sig2"), prefix.alias("prefix"))
+    return keyed.groupBy(F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), n.alias("n")).agg(F.min(line).alias("x")).select("x.*")
+
+
+def _differ(a: str, b: str) -> Column:
+    """Tokens in which the two sets differ at least."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    whole = c(a, "sig").bitwiseXOR(c(b, "sig"))
+    half = F.coalesce(c(a, "sig2").bitwiseXOR(c(b, "sig2")), F.lit(0).cast("long"))
+    return F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
 
 
 def _may_match(a: str, b: str) -> Column:
+    """Whether sizes, places in the prefixes and signatures allow the overlap."""
     c = lambda side, name: F.col(f"{side}.{name}")
     need = _need(c(a, "n"), c(b, "n"))
     left = F.least(c(a, "n") - c(a, "k"), c(b, "n") - c(b, "k"))
-    half = c(a, "sig2").bitwiseXOR(c(b, "sig2"))
-    differ = F.bit_count(half) + F.bit_count(c(a, "sig").bitwiseXOR(c(b, "sig")).bitwiseXOR(half))
-    return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (left + F.least(c(a, "k"), c(b, "k")) >= need) & (differ <= c(a, "n") + c(b, "n") - 2 * need)
+    return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (left + F.least(c(a, "k"), c(b, "k")) >= need) & (_differ(a, b) <= c(a, "n") + c(b, "n") - 2 * need)
 
 
 def _later(a: str, b: str) -> Column:
-    return (F.col(f"{a}.id") > F.col(f"{b}.id")) | ((F.col(f"{a}.id") == F.col(f"{b}.id")) & (F.col(f"{a}.line") > F.col(f"{b}.line")))
+    return (F.col(f"{a}.id") > F.col(f"{b}.id")) | ((F.col(f"{a}.id") == F.col(f"{b}.id")) & (F.col(f"{a}.at") > F.col(f"{b}.at")))
 
 
-def _pair() -> list[Column]:
-    return [F.col("a.id").alias("id"), F.col("a.line").alias("line"), F.col("b.id").alias("id2"), F.col("b.line").alias("line2")]
+def _closest(firsts: DataFrame) -> DataFrame:
+    """id, at, id2, at2: for each line the closest of the first and previous lines under its rarest tokens."""
+    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode(F.slice("prefix", 1, PROBES)).alias("k", "token"))
+    row = F.struct(*_KEY, "n", "k", "sig", "sig2")
+    order = Window.partitionBy("token", "n").orderBy(*_KEY)
+    met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row).over(order)).alias("bs"))
+    some = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b"))
+    best = some.groupBy("a.id", "a.at").agg(F.min(F.struct(_differ("a", "b").alias("d"), F.col("b.id").alias("id2"), F.col("b.at").alias("at2"))).alias("x"))
+    return best.select(*_KEY, "x.id2", "x.at2")
 
 
-def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.alias("a").join(right.alias("b"), (F.col("a.token") == F.col("b.token")) & _later("a", "b") & _may_match("a", "b")).select(*_pair())
+def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """id, at, id2, at2: lines that are not settled with the earlier lines under any of their prefix tokens.
 
+    ``ask`` is the id of a line that still looks for an earlier one. Both sides
+    read the same columns of the filings, so that these are shuffled once.
+    """
+    held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
+    filed = held.select(*_KEY, "n", "sig", "sig2", F.when(F.col("gone").isNull(), F.col("id")).alias("ask"), F.posexplode("prefix").alias("k", "token"))
+    earlier = (F.col("a.ask") > F.col("b.id")) | ((F.col("a.ask") == F.col("b.id")) & (F.col("a.at") > F.col("b.at")))
+    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match("a", "b"))
+    return pairs.select(F.col("a.ask").alias("id"), "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2")).distinct()
 
-def _by_id(docs: DataFrame, rows: DataFrame, n: int, how: str = "inner") -> DataFrame:
-    """Joins saved rows (one per id, ``n`` of them) to the documents: broadcast if there are few, else shuffled."""
-    return docs.join(F.broadcast(rows) if n <= FEW else rows, "id", how)
 
+def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
+    """(id, at) of saved pairs whose token sets reach the threshold; the documents are read once."""
+    other = pairs.select(F.col("id2").alias("id"), F.col("at2").alias("at"))
+    wanted = pairs.select(*_KEY).unionByName(other).groupBy("id").agg(F.collect_set("at").alias("wanted"))
+    few = pairs.count() <= FEW
+    held = docs.join(F.broadcast(wanted) if few else wanted, "id").select("id", "own", F.split("text", "\n").alias("ls"), F.explode("wanted").alias("at"))
+    line = F.get("ls", _line_number(F.col("at")))
+    tokens = held.where(F.shiftright("at", 32) == F.col("own")).select(*_KEY, F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))).alias("t"))
+    sets = work.save(tokens).groupBy(*_KEY).agg(F.first("t").alias("t"))
+    both = pairs.join(sets.withColumnRenamed("t", "t1"), _KEY).join(sets.select(F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("t").alias("t2")), ["id2", "at2"])
+    return both.where(9 * F.size(F.array_intersect("t1", "t2")) >= 4 * (F.size("t1") + F.size("t2"))).select(*_KEY).distinct()
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, line) of saved pairs whose token sets reach the threshold."""
-    sides = pairs.select("id", "line").unionByName(pairs.select(F.col("id2").alias("id"), F.col("line2").alias("line")))
-    wanted = saved(sides.groupBy("id").agg(F.collect_set("line").alias("wanted")))
-    held = _by_id(docs, wanted, wanted.count()).select("id", F.explode("wanted").alias("line"), F.split("text", "\n").alias("ls"))
-    sets = held.select("id", "line", F.array_distinct(F.transform(words(F.get("ls", F.col("line"))), lambda w: F.xxhash64(w))).alias("t"))
-    both = pairs.join(sets.withColumnRenamed("t", "t1"), ["id", "line"]).join(sets.select(F.col("id").alias("id2"), F.col("line").alias("line2"), F.col("t").alias("t2")), ["id2", "line2"])
-    common = F.size(F.array_intersect("t1", "t2"))
-    return both.where(9 * common >= 4 * (F.size("t1") + F.size("t2"))).select("id", "line").distinct()
 
+def _line_number(at: Column) -> Column:
+    return at.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line): numbers from 0 of the lines to remove, each once; a null id is ``_NO_ID``."""
+
+def _base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id, text, and own: 0, or where any id repeats a hash of the text that tells the rows of an id apart."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = _sets(base, rarity(base, "text"))
-    counted = _postings(sets).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    cold, hot = counted.where((F.col("k") >= 0) & F.col("held").between(2, HOT)), counted.where((F.col("k") >= 0) & (F.col("held") > HOT))
-    row = F.struct("id", "line", "n", "k", "sig", "sig2")
-    order = Window.partitionBy("token", "n").orderBy("id", "line")
-    met = hot.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row).over(order)).alias("bs"))
-    stars = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b")).select(*_pair())
-
-    # One pass writes the lines with an equal earlier set, the candidate pairs, and the filings of hot tokens. All
-    # branches read the same columns of the filings, so that these are shuffled once.
-    found = _joined(cold, cold).unionByName(stars).distinct().withColumn("kind", F.lit(1))
-    filed = counted.where((F.col("k") < 0) | (F.col("held") > HOT)).select("id", "line", "n", "k", "sig", "sig2", "token", F.when(F.col("k") < 0, 0).otherwise(2).alias("kind"))
-    state = saved(found.unionByName(filed, True))
-    equal = state.where("kind = 0").select("id", "line")
-    near = saved(_verified(state.where("kind = 1").select("id", "line", "id2", "line2"), base))
-    hot = state.where("kind = 2").select("id", "line", "n", "k", "sig", "sig2", "token")
-    rest = hot.join(near, ["id", "line"], "left_anti")
-    late = _verified(saved(_joined(rest, hot).distinct()), base)
-    return equal.unionByName(near).unionByName(late).distinct()
+    repeats = base.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    return base.withColumn("own", F.hash("text") if repeats else F.lit(0))
+
+
+def _kept(base: DataFrame) -> DataFrame:
+    """(id, at) of the lines with words that stay, each once; saved."""
+    work = Scratch(base.sparkSession)
+    firsts = work.save(_sets(base, rarity(base, "text")))
+    near = work.save(_verified(work.save(_closest(firsts)), base, work))
+    late = work.save(_verified(work.save(_candidates(firsts, near)), base, work))
+    kept = saved(firsts.select(*_KEY).join(near.unionByName(late), _KEY, "left_anti"))
+    work.drop()
+    return kept
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, line): numbers from 0 of the lines to remove, of each distinct row once; a null id is ``_NO_ID``."""
+    base = _base(docs, id_col, text)
+    gone = _lines(base).select(*_KEY).distinct().join(_kept(base), _KEY, "left_anti")
+    return gone.select("id", _line_number(F.col("at")).alias("line"))
 
 
 def _applied(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    gone = saved(removed_lines(docs, id_col, text).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone")))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
+    """``docs`` with __line_n (lines), __line_gone (lines removed) and __line_left (the text that is left)."""
+    base = _base(docs, id_col, text)
+    kept = _kept(base)
+    stay = kept.groupBy(F.col("id").alias("__line_id"), F.shiftright("at", 32).cast("int").alias("__line_own")).agg(F.sort_array(F.collect_list(_line_number(F.col("at")))).alias("__line_stay"))
+    own = F.hash(F.coalesce(F.col(text), F.lit(""))) if kept.where(F.shiftright("at", 32) != 0).limit(1).count() else F.lit(0)
+    keyed = docs.withColumns({"__line_key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__line_hash": own})
+    joined = keyed.join(stay, (F.col("__line_key") == F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_own")), "left")
     lines = F.split(F.col(text), "\n")
-    joined = keyed.join(gone, F.col("__key") == F.col("__id"), "left")
-    left = let(F.col("__gone"), lambda g: F.concat_ws("\n", F.filter(lines, lambda _, i: ~F.array_contains(g, i))))
-    return joined.withColumn("__n", F.size(lines)).withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
+    left = let(F.coalesce("__line_stay", F.array().cast("array<int>")), lambda s: F.filter(lines, lambda x, i: ~x.rlike(f"[^{SPACE}]") | F.array_contains(s, i)))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    out = joined.withColumn("__line_n", n).withColumn("__line_rest", left)
+    return out.withColumns({"__line_gone": F.col("__line_n") - F.coalesce(F.size("__line_rest"), F.lit(0)), "__line_left": F.when(F.col(text).isNotNull(), F.concat_ws("\n", "__line_rest"))})
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` without the removed lines; same columns and rows."""
-    out = _applied(docs, id_col, text).withColumn(text, F.col("__left"))
+    if clash := [c for c in docs.columns if c.lower().startswith("__line_")]:
+        raise ValueError(f"columns {clash} clash with this operator's own")
+    out = _applied(docs, id_col, text).withColumn(text, F.col("__line_left"))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)
@@ -187,9 +226,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars:
 def digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the text that is left."""
     out = _applied(documents.select("doc_id", "text"), "doc_id", "text")
-    return out.select(
-        "doc_id",
-        F.coalesce(F.greatest("__n", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.greatest(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce("__left", F.lit("")), 256).alias("text_sha256"),
-    )
+    return out.select("doc_id", F.col("__line_n").cast("long").alias("n_lines"), F.col("__line_gone").cast("long").alias("n_removed"), F.sha2(F.coalesce("__line_left", F.lit("")), 256).alias("text_sha256"))

@@ -18,9 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pieces_of(text: Column) -> Column:
+    """Words in order, and empty strings.
+
+    Text whose only white space is spaces and line feeds needs no regular expression to be split.
+    """
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.split(text, SPACE_RUN)).otherwise(plain)
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space, in order."""
-    return F.array_remove(F.split(text, SPACE_RUN), "")
+    return F.array_remove(pieces_of(text), "")
 
 
 def count_of(text: Column, characters: str) -> Column:

@@ -157,22 +157,62 @@ def test_decontamination(docs, empty, spark):
     assert text[span["start"] : span["end"]] == "INTRO, words here"
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
-def test_line_dedup(docs, empty, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT", hot)
-    seen, want = [], set()
-    rows = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in TEXTS})
+def brute_lines(rows):
+    """(id, line, text) of the lines with words that go, for distinct (id, text) in the order of the operator."""
+    seen, gone = [], set()
     for i, t in rows:
         for k, line in enumerate(t.split("\n")):
             s = set(WORD.findall(line))
             if s:
-                if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
-                    want.add((i, k))
+                if any(s == o or (len(s & o) and 9 * len(s & o) >= 4 * (len(s) + len(o))) for o in seen):
+                    gone.add((i, k, t))
                 seen.append(s)
-    assert {(r.id, r.line) for r in line_dedup.removed_lines(docs).collect()} == want
+    return gone
+
+
+def left_of(i, t, gone):
+    return "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k, t) not in gone)
+
+
+def test_line_dedup(docs, empty):
+    rows = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in TEXTS})
+    gone = brute_lines(rows)
+    got = {(r.id, r.line) for r in line_dedup.removed_lines(docs).collect()}
+    assert got == {(i, k) for i, k, _ in gone}
     cleaned = line_dedup.clean(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == len(TEXTS)
-    assert line_dedup.digest(empty).count() == 0
+    want = [(i, None if t is None else left_of(-(1 << 63) if i is None else i, t, gone)) for i, t in TEXTS]
+    assert by_id(cleaned, "text") == sorted(want, key=repr)
+    assert line_dedup.digest(empty).count() == 0 and line_dedup.clean(empty).columns == docs.columns
+    with pytest.raises(ValueError, match="clash"):
+        line_dedup.clean(docs.withColumn("__line_left", F.lit(1)))
+
+
+def test_line_families(spark):
+    """Families of near copies of lines at both sides of 4/5, with words added, cut and replaced, a common line, and long lines."""
+    rng = np.random.default_rng(12)
+    lines = []
+    for family in range(25):
+        base = prose(300 + family, int(rng.integers(4, 150))).split()
+        for _ in range(12):
+            words = list(base)
+            for k in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 8))):
+                words[k] = f"new{rng.integers(400)}"
+            lines.append(" ".join(words[: len(words) - int(rng.integers(0, 2))]))
+    lines += ["one common line of words"] * 60 + ["a b c d", "a b c d e", "a b c", "x", ""]
+    order = rng.permutation(len(lines))
+    rows = [(int(k), "\n".join(lines[j] for j in order[4 * k : 4 * k + 4])) for k in range(-(-len(lines) // 4))]
+    gone = brute_lines(rows)
+    got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {(r.id, r.line) for r in got.collect()} == {(i, k) for i, k, _ in gone} and 100 < len(gone) < len(lines) - 40
+
+
+def test_rows_that_repeat_an_id_are_cut_each_on_its_own(spark):
+    lines = [prose(700 + k, 12) for k in range(4)]
+    rows = [(None, f"{lines[0]}\n{lines[1]}"), (None, f"{lines[2]}\n{lines[1]}"), (None, f"{lines[3]}\n{lines[1]}"), (5, lines[0]), (5, lines[0])]
+    got = sorted(line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), n_chars=None).collect(), key=lambda r: r.text)
+    every = "\n".join(r.text for r in got if r.text)
+    assert all(every.count(x) == 1 for x in lines) and [r.text for r in got if r.doc_id == 5] == ["", ""]
 
 
 def reference_fingerprint(t):
