@@ -4,27 +4,34 @@ A window of ``window`` consecutive words is removed from a document when the
 same words also start in a document of smaller id.
 
 1. Every document is put in one of a number of *sheaves* that grows with the
-   input; a sheaf is the unit of pre-aggregation (a few megabytes of text).
+   bytes of text; a sheaf is the unit of pre-aggregation.
 2. Each sheaf reports its anchors: of the ``window - GRAM + 1`` word grams of
-   a window, the one of least hash. Equal windows have equal anchors, so a
-   window whose anchor occurs in one document only repeats nowhere. Anchors
+   a window, the first one of least hash. Equal windows have equal anchors, so
+   a window whose anchor occurs in one document only repeats nowhere. Anchors
    found in several documents go back to the sheaves that hold them, with the
-   number of their suffixes.
-3. Sheaves emit the suffixes of windows with such anchors, each distinct window
-   once with the least id that holds it. A suffix is partitioned by a prefix:
-   its anchor gram if few suffixes share it, else all of its window. A
-   partition is a memory-sized group.
-4. Each group builds the suffix tree of its suffixes (sorted suffixes and the
-   lengths of common prefixes); internal nodes at least ``window`` words deep
-   are the repeats, and a leaf whose id is above the node's least id is one to
-   remove. These go back to the sheaves, which cut the words.
-
-A very common passage costs one suffix per sheaf, not one per document. Windows are compared
-word by word, by hashes of 64 bits each.
+   number of their occurrences.
+3. Around each such anchor a sheaf cuts a segment, all the words of the windows
+   that have it: the suffixes that the tree needs are the ones that start in
+   it. Each distinct segment goes out once, with the least id that holds it. A
+   segment is partitioned by a prefix of variable length: the anchor's words
+   if few share them, else those of a whole window (then one segment for each
+   window). A partition is a memory-sized group.
+4. Each group builds the suffix tree of its segments (sorted suffixes, lengths
+   of common prefixes, and from these the internal nodes). Nodes at least
+   ``window`` words deep are the repeats; the highest one above a leaf holds all
+   suffixes that start with the same window, so that its least id decides.
+   Windows of a greater id go back to the sheaves, which cut the words.
+
+A very common passage costs one segment per sheaf, not one per document. Words
+are compared by hashes of 64 bits each, windows on their way back by 80 bits.
+The text is dealt to the sheaves once for each of the steps 2, 3 and 4; each
+step's shuffle files go when its result is written.
 
 Edge cases: null and empty texts have no words; a null id is neither smaller
 nor larger than any other, so its text stays and removes nothing; repeated rows
-of one id do not remove each other; ids are integers; other columns are ignored.
+of one id do not remove each other; ids are integers; a very long text is read
+in one piece by one task; empty tables give empty results; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from optiloom.functions.storage import Scratch, saved
 from optiloom.llm.words import Words, as_bytes, chunked, mix, read_words
 
 WINDOW = 13
 GRAM = 8
-#: Bytes of stored input for each sheaf; a sheaf's text is a small multiple of it.
-SHEAF_BYTES = 6 << 20
-#: Suffixes of one anchor gram beyond which its suffixes are partitioned by their whole window.
+#: Bytes of text for each sheaf.
+SHEAF_BYTES = 12 << 20
+#: Occurrences of one anchor beyond which its segments are partitioned by whole windows.
 GROUP_LIMIT = 4096
 _NULL = np.iinfo(np.int64).max
 
@@ -68,7 +76,7 @@ def _combined(hashes: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of several texts: first word, text, and anchor gram of each (its part of ``parts``, then 32 bits of its hash)."""
+    """Windows of several texts: first word, text, anchor (its part of ``parts``, then 32 bits of its hash) and the anchor's first word."""
 
     def __init__(self, words: Words, window: int, gram: int, parts: int):
         h, doc = words.hashes, words.doc
@@ -77,19 +85,34 @@ class Windows:
         starts = starts[doc[starts] == doc[starts + window - 1]] if total > 0 else starts
         self.start, self.doc = starts, doc[starts] if len(starts) else starts
         grams = _combined(h, gram, len(h) - gram + 1)
-        least, width, want = grams, 1, window - gram + 1
-        while width < want:  # running minimum over ``want`` grams, by doubling
-            step = min(width, want - width)
-            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
-            width += step
-        found = least[starts] if len(starts) else np.zeros(0, np.uint64)
+        found, place = (grams[starts], starts.copy()) if len(starts) else (np.zeros(0, np.uint64), starts)
+        for k in range(1, window - gram + 1):
+            less = grams[starts + k] < found
+            found[less], place[less] = grams[starts + k][less], starts[less] + k
         self.anchor = (found % np.uint64(parts)) << np.uint64(32) | found >> np.uint64(32)
-        self.hashes = h
+        self.place, self.hashes = place, h
 
     def codes(self, at: np.ndarray, window: int) -> np.ndarray:
         """Word codes of the windows ``at``, one row each."""
         return self.hashes[self.start[at][:, None] + np.arange(window)]
 
+    def segments(self, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, codes, starts) of the anchors of the windows ``at``, in order.
+
+        A segment begins with the first word any of these windows may have; where the words of its windows end it holds zeros.
+        Bit k of ``starts`` says that a window starts at its word k; ``window`` is the first of them.
+        """
+        if not len(at):
+            return at, np.zeros((0, 2 * window - gram), np.uint64), np.zeros(0, np.uint32)
+        first = np.flatnonzero(np.r_[True, self.place[at[1:]] != self.place[at[:-1]]])
+        own = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
+        low = self.start[at[first]]
+        starts = np.bitwise_or.reduceat(np.uint32(1) << (self.start[at] - low[own]).astype(np.uint32), first)
+        last = np.maximum.reduceat(self.start[at], first) + window
+        words = low[:, None] + np.arange(2 * window - gram)
+        codes = np.where(words < last[:, None], self.hashes[np.minimum(words, len(self.hashes) - 1)], np.uint64(0))
+        return at[first], codes, starts
+
 
 def first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, is_first) of rows sorted by the columns, the first column most significant."""
@@ -112,26 +135,39 @@ def _spread(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return order[cuts], np.maximum.reduceat(high[order], cuts)
 
 
-def deep_leaves(codes: np.ndarray, least: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf, least id): leaves of nodes at least ``window`` deep whose own id is above the node's least id.
-
-    The tree is that of the sorted suffixes: neighbours' common prefixes, where
-    at least ``window`` long, join leaves under one deep internal node.
-    """
+def suffix_tree(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): suffixes (rows, filled up with zeros) in tree order, and the words that each but the first shares with the one before it."""
     order = np.lexsort(codes.T[::-1])
     rows = codes[order]
-    differs = rows[1:] != rows[:-1]
-    common = np.where(differs.any(1), differs.argmax(1), codes.shape[1])
-    node = np.r_[0, np.cumsum(common < window)]
-    ids = least[order]
-    smallest = np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, common < window]))[node]
-    return order, smallest
+    differs = (rows[1:] != rows[:-1]) | (rows[1:] == 0)
+    return order, np.where(differs.any(1), differs.argmax(1), codes.shape[1])
+
+
+def internal_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) leaves of the highest internal nodes at least ``depth`` words deep, where single leaves count as nodes too."""
+    cuts = np.flatnonzero(np.r_[True, common < depth])
+    return cuts, np.r_[cuts[1:], len(common) + 1]
+
+
+def deep_leaves(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, codes of a window, least id) for the suffixes that start in the segments, by the tree's nodes of ``window`` words or more."""
+    width = codes.shape[1]
+    rows, leaf = [], []
+    for k in range(width - window + 1):
+        at = np.flatnonzero(starts >> np.uint32(k) & np.uint32(1))
+        rows.append(np.concatenate([codes[at, k:], np.zeros((len(at), k), np.uint64)], axis=1))
+        leaf.append(at)
+    suffixes, leaves = np.concatenate(rows), np.concatenate(leaf)
+    order, common = suffix_tree(suffixes)
+    first, end = internal_nodes(common, window)
+    least = np.repeat(np.minimum.reduceat(ids[leaves[order]], first), end - first) if len(order) else np.zeros(0, np.int64)
+    return leaves[order], suffixes[order, :window], least
 
 
 def _sheaves(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, -(-min(size, 1 << 60) // SHEAF_BYTES)) if size < 1 << 55 else least
+    """(sheaf, id, text) and the number of sheaves, by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-size // SHEAF_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.withColumn("sheaf", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("sheaf", "id", "text"), n
 
@@ -214,70 +250,67 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"sheaf": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _suffixes_of(window: int, gram: int, n: int):
+def _segments_of(window: int, gram: int, n: int, limit: int):
+    width = 2 * window - gram
+    empty = pa.table({"part": pa.array([], pa.int32()), "sheaf": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"part": pa.array([], pa.int32()), "sheaf": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
             return empty
         (shared, weight), _ = _split(right.column("blob").to_pylist(), 2)
         order = np.argsort(shared)
         shared, weight = shared[order], weight[order]
-        keys, codes, ids, tops, weights, anchors, places, seen = [], [], [], [], [], [], [], 0
+        found, seen = [], 0
         for _, own, _, win in _read(left, window, gram, n):
-            at = np.searchsorted(shared, win.anchor)
-            at[at == len(shared)] = 0
-            hit = np.flatnonzero((shared[at] == win.anchor) & (own[win.doc] != _NULL)) if len(win.anchor) else np.zeros(0, int)
-            if not len(hit):
+            if not len(win.anchor):
                 continue
-            code, d = win.codes(hit, window), own[win.doc[hit]]
-            key = window_keys(code)
-            lead, top = _spread(key, d, d)
-            at = at[hit[lead]]
-            keys.append(key[lead])
-            codes.append(code[lead])
-            ids.append(d[lead])
-            tops.append(top)
-            weights.append(weight[at])
-            anchors.append(win.anchor[hit[lead]])
-            places.append(seen + hit[lead])
+            at = np.minimum(np.searchsorted(shared, win.anchor), len(shared) - 1)
+            hit = (shared[at] == win.anchor) & (own[win.doc] != _NULL)
+            often = weight[at] > limit
+            first, codes, starts = win.segments(np.flatnonzero(hit & ~often), window, gram)
+            alone = np.flatnonzero(hit & often)
+            single = np.zeros((len(alone), width), np.uint64)
+            single[:, :window] = win.codes(alone, window)
+            lead = np.r_[first, alone]
+            prefix = np.r_[win.anchor[first] >> np.uint64(32), window_keys(single)[:, 0] % np.uint64(n)]
+            found.append((np.concatenate([codes, single]), np.r_[starts, np.ones(len(alone), np.uint32)], own[win.doc[lead]], prefix.astype(np.int64), seen + lead))
             seen += len(win.start)
-        if not keys:
+        if not found:
             return empty
-        key, code, d, most, w, a, place = (np.concatenate(x) for x in (keys, codes, ids, tops, weights, anchors, places))
-        at, most = _spread(key, d, most)
-        several = (most != d[at]).astype(np.uint8)
-        prefix = np.where(w[at] > GROUP_LIMIT, key[at, 0], a[at])
-        part = np.where(w[at] > GROUP_LIMIT, prefix % np.uint64(n), prefix >> np.uint64(32)).astype(np.int64)
-        by = np.lexsort((place[at], a[at], part))  # neighbours overlap by all words but one, which compresses well
-        edges = np.searchsorted(part[by], np.arange(n + 1))
+        codes, starts, ids, part, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        at, most = _spread(window_keys(np.column_stack([codes, starts.astype(np.uint64), part.astype(np.uint64)])), ids, ids)
+        several = (most != ids[at]).astype(np.uint8)
+        by = np.lexsort((place[at], part[at]))
+        edges = np.searchsorted(part[at][by], np.arange(n + 1))
         sheaf = left.column("sheaf")[0].as_py()
         parts, blobs = [], []
         for k in np.flatnonzero(np.diff(edges)):
             some = by[edges[k] : edges[k + 1]]
             rows = at[some]
-            blobs.append(b"".join((d[rows].tobytes(), several[some].tobytes(), code[rows].tobytes())))
+            blobs.append(b"".join((ids[rows].tobytes(), several[some].tobytes(), starts[rows].tobytes(), codes[rows].tobytes())))
             parts.append(int(k))
         return pa.table({"part": pa.array(parts, pa.int32()), "sheaf": pa.array([sheaf] * len(parts), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def _repeats_of(window: int):
+def _repeats_of(window: int, gram: int):
+    width = 2 * window - gram
+
     def run(table: pa.Table) -> pa.Table:
         sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
-        blobs_in = table.column("blob").to_pylist()
-        ids, several, rows, blob = _columns(blobs_in, [np.int64, np.uint8, np.dtype((np.void, 8 * window))])
-        codes = np.frombuffer(rows.tobytes(), np.uint64).reshape(-1, window)
-        leaf, smallest = deep_leaves(codes, ids, window)
-        told = (smallest < ids[leaf]) | (several[leaf] > 0)  # sheaves with a text to cut
-        leaf, smallest = leaf[told], smallest[told]
-        keys = window_keys(codes[leaf])
-        owner = sheaves[blob[leaf]]
-        by = np.argsort(owner, kind="stable")
-        names, firsts = np.unique(owner[by], return_index=True)
+        ids, several, starts, rows, blob = _columns(table.column("blob").to_pylist(), [np.int64, np.uint8, np.uint32, np.dtype((np.void, 8 * width))])
+        codes = np.frombuffer(rows.tobytes(), np.uint64).reshape(-1, width)
+        segment, windows, least = deep_leaves(codes, starts, ids, window)
+        told = (least < ids[segment]) | (several[segment] > 0)  # sheaves with a text to cut
+        segment, windows, least = segment[told], windows[told], least[told]
+        keys, owner = window_keys(windows), sheaves[blob[segment]]
+        order, fresh = first_of(owner.astype(np.uint64), keys[:, 0], keys[:, 1])
+        order = order[fresh]  # a window has one least id, whichever segment it was found in
+        names, firsts = np.unique(owner[order], return_index=True)
         blobs = []
-        for rows in np.split(by, firsts[1:]) if len(names) else []:
-            blobs.append(b"".join((keys[rows, 0].tobytes(), keys[rows, 1].astype(np.uint16).tobytes(), smallest[rows].tobytes())))
+        for rows in np.split(order, firsts[1:]) if len(names) else []:
+            blobs.append(b"".join((keys[rows, 0].tobytes(), keys[rows, 1].astype(np.uint16).tobytes(), least[rows].tobytes())))
         return pa.table({"sheaf": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -318,15 +351,16 @@ def _cut(window: int, gram: int, n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces, for every row."""
     gram = min(GRAM, window)
     rows, n = _sheaves(docs, id_col, text)
-    by = rows.groupBy("sheaf")
+    by, work = rows.groupBy("sheaf"), Scratch(docs.sparkSession)
     anchors = by.applyInArrow(_anchors_of(window, gram, n), "part int, sheaf int, blob binary")
-    shared = anchors.groupBy("part").applyInArrow(_shared_anchors, "sheaf int, blob binary")
-    suffixes = by.cogroup(shared.groupBy("sheaf")).applyInArrow(_suffixes_of(window, gram, n), "part int, sheaf int, blob binary")
-    repeats = suffixes.groupBy("part").applyInArrow(_repeats_of(window), "sheaf int, blob binary")
+    shared = work.save(anchors.groupBy("part").applyInArrow(_shared_anchors, "sheaf int, blob binary"))
+    segments = by.cogroup(shared.groupBy("sheaf")).applyInArrow(_segments_of(window, gram, n, limit), "part int, sheaf int, blob binary")
+    repeats = saved(segments.groupBy("part").applyInArrow(_repeats_of(window, gram), "sheaf int, blob binary"))
+    work.drop()
     return by.cogroup(repeats.groupBy("sheaf")).applyInArrow(_cut(window, gram, n), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -74,6 +74,33 @@ def test_substrings(docs, empty):
     assert substrings.digest(empty).count() == 0
 
 
+def test_suffix_tree_nodes():
+    """The highest deep nodes are the groups of equal windows, whichever place they start at in their segment."""
+    rng = np.random.default_rng(14)
+    codes = rng.integers(1, 3, (60, 9)).astype(np.uint64)
+    for row, end in zip(codes, rng.integers(5, 10, 60), strict=True):
+        row[end:] = 0
+    starts = np.array([sum(1 << k for k in range(5) if k + 5 <= (row > 0).sum()) for row in codes], np.uint32)
+    ids = rng.integers(0, 1000, 60)
+    segment, windows, least = substrings.deep_leaves(codes, starts, ids, 5)
+    want, every = {}, []
+    for k, row in enumerate(codes):
+        for j in range((row > 0).sum() - 4):
+            key = tuple(row[j : j + 5].tolist())
+            want[key] = min(want.get(key, 10**6), int(ids[k]))
+            every.append((k, key))
+    assert sorted(zip(segment.tolist(), map(tuple, windows.tolist()))) == sorted(every)
+    assert [want[tuple(w)] for w in windows.tolist()] == least.tolist()
+
+
+def test_longer_prefixes_give_the_same_repeats(spark):
+    passage = prose(900, 60).split()
+    rows = [(k, " ".join([*prose(910 + k, 5).split(), *passage[k % 4 : 60 - k % 3], *prose(950 + k, 9).split()])) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, substrings.remove_repeats(df, limit=limit).collect())) for limit in (1, 4096))
+    assert one == two and sum(r[2] for r in one) > 900
+
+
 def test_windows_differ_in_one_word_of_like_hash(spark):
     """Words whose hashes agree in the upper 32 bits do not make windows equal."""
     names = [f"n{k}" for k in range(300_000)]
