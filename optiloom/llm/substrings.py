@@ -17,7 +17,8 @@ same words also start in a document of smaller id.
    if few share them, else those of a whole window (then one segment for each
    window). A partition is a memory-sized group.
 4. Each group builds the suffix tree of its segments (sorted suffixes, lengths
-   of common prefixes, and from these the internal nodes). Nodes at least
+   of common prefixes, and from these the internal nodes; what lies above a
+   depth of ``window`` words is not built). Nodes at least
    ``window`` words deep are the repeats; the highest one above a leaf holds all
    suffixes that start with the same window, so that its least id decides.
    Windows of a greater id go back to the sheaves, which cut the words.
@@ -49,7 +50,7 @@ from optiloom.llm.words import Words, as_bytes, chunked, mix, read_words
 WINDOW = 13
 GRAM = 8
 #: Bytes of text for each sheaf.
-SHEAF_BYTES = 12 << 20
+SHEAF_BYTES = 6 << 20
 #: Occurrences of one anchor beyond which its segments are partitioned by whole windows.
 GROUP_LIMIT = 4096
 _NULL = np.iinfo(np.int64).max
@@ -135,33 +136,51 @@ def _spread(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return order[cuts], np.maximum.reduceat(high[order], cuts)
 
 
-def suffix_tree(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): suffixes (rows, filled up with zeros) in tree order, and the words that each but the first shares with the one before it."""
-    order = np.lexsort(codes.T[::-1])
-    rows = codes[order]
-    differs = (rows[1:] != rows[:-1]) | (rows[1:] == 0)
-    return order, np.where(differs.any(1), differs.argmax(1), codes.shape[1])
+def suffixes_of(starts: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, first word) of the suffixes that start in the segments."""
+    at = [np.flatnonzero(starts >> np.uint32(k) & np.uint32(1)) for k in range(width - window + 1)]
+    return np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at])
+
+
+def suffix_tree(codes: np.ndarray, segment: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, common, keys): suffixes in tree order, the words each but the first shares with the one before it, and the keys of their windows.
+
+    Only nodes of ``window`` words or more are built, so the edges above them
+    are taken as one symbol, the window's key; below it follow the single words
+    to the end of the segment, which holds zeros behind its last word.
+    """
+    width = codes.shape[1]
+    keys = np.zeros((len(segment), 2), np.uint64)
+    cuts = np.searchsorted(first, np.arange(width - window + 2))
+    for k in range(width - window + 1):
+        at = slice(cuts[k], cuts[k + 1])
+        keys[at] = window_keys(codes[segment[at], k : k + window])
+    word = lambda at, j: np.where(first[at] + j < width, codes[segment[at], np.minimum(first[at] + j, width - 1)], np.uint64(0))
+    every = np.arange(len(segment))
+    order = np.lexsort([*[word(every, j) for j in range(width - 1, window - 1, -1)], keys[:, 1], keys[:, 0]])
+    common = np.zeros(max(0, len(order) - 1), np.int64)
+    going = np.arange(len(common))
+    for j in range(width):  # pairs of neighbours drop out at the first word in which they differ
+        now, before = word(order[going + 1], j), word(order[going], j)
+        going = going[(now == before) & (now != 0)]
+        common[going] += 1
+    return order, common, keys
 
 
 def internal_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, end) leaves of the highest internal nodes at least ``depth`` words deep, where single leaves count as nodes too."""
+    """(first, end) leaves of the highest nodes at least ``depth`` words deep; a leaf that shares less is a node of its own."""
     cuts = np.flatnonzero(np.r_[True, common < depth])
     return cuts, np.r_[cuts[1:], len(common) + 1]
 
 
 def deep_leaves(codes: np.ndarray, starts: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, codes of a window, least id) for the suffixes that start in the segments, by the tree's nodes of ``window`` words or more."""
-    width = codes.shape[1]
-    rows, leaf = [], []
-    for k in range(width - window + 1):
-        at = np.flatnonzero(starts >> np.uint32(k) & np.uint32(1))
-        rows.append(np.concatenate([codes[at, k:], np.zeros((len(at), k), np.uint64)], axis=1))
-        leaf.append(at)
-    suffixes, leaves = np.concatenate(rows), np.concatenate(leaf)
-    order, common = suffix_tree(suffixes)
-    first, end = internal_nodes(common, window)
-    least = np.repeat(np.minimum.reduceat(ids[leaves[order]], first), end - first) if len(order) else np.zeros(0, np.int64)
-    return leaves[order], suffixes[order, :window], least
+    """(segment, key of the window, least id) for each suffix that starts in the segments, by the tree's nodes of ``window`` words or more."""
+    segment, first = suffixes_of(starts, codes.shape[1], window)
+    if not len(segment):
+        return segment, np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    order, common, keys = suffix_tree(codes, segment, first, window)
+    low, high = internal_nodes(common, window)
+    return segment[order], keys[order], np.repeat(np.minimum.reduceat(ids[segment[order]], low), high - low)
 
 
 def _sheaves(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
@@ -301,10 +320,10 @@ def _repeats_of(window: int, gram: int):
         sheaves = np.array(table.column("sheaf").to_pylist(), np.int64)
         ids, several, starts, rows, blob = _columns(table.column("blob").to_pylist(), [np.int64, np.uint8, np.uint32, np.dtype((np.void, 8 * width))])
         codes = np.frombuffer(rows.tobytes(), np.uint64).reshape(-1, width)
-        segment, windows, least = deep_leaves(codes, starts, ids, window)
+        segment, keys, least = deep_leaves(codes, starts, ids, window)
         told = (least < ids[segment]) | (several[segment] > 0)  # sheaves with a text to cut
-        segment, windows, least = segment[told], windows[told], least[told]
-        keys, owner = window_keys(windows), sheaves[blob[segment]]
+        segment, keys, least = segment[told], keys[told], least[told]
+        owner = sheaves[blob[segment]]
         order, fresh = first_of(owner.astype(np.uint64), keys[:, 0], keys[:, 1])
         order = order[fresh]  # a window has one least id, whichever segment it was found in
         names, firsts = np.unique(owner[order], return_index=True)

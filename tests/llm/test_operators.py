@@ -82,15 +82,22 @@ def test_suffix_tree_nodes():
         row[end:] = 0
     starts = np.array([sum(1 << k for k in range(5) if k + 5 <= (row > 0).sum()) for row in codes], np.uint32)
     ids = rng.integers(0, 1000, 60)
-    segment, windows, least = substrings.deep_leaves(codes, starts, ids, 5)
+    segment, keys, least = substrings.deep_leaves(codes, starts, ids, 5)
+    name = lambda key: tuple(substrings.window_keys(np.array([key], np.uint64))[0].tolist())
     want, every = {}, []
     for k, row in enumerate(codes):
         for j in range((row > 0).sum() - 4):
             key = tuple(row[j : j + 5].tolist())
             want[key] = min(want.get(key, 10**6), int(ids[k]))
             every.append((k, key))
-    assert sorted(zip(segment.tolist(), map(tuple, windows.tolist()))) == sorted(every)
-    assert [want[tuple(w)] for w in windows.tolist()] == least.tolist()
+    assert sorted(zip(segment.tolist(), map(tuple, keys.tolist()))) == sorted((k, name(key)) for k, key in every)
+    by_name = {name(key): i for key, i in want.items()}
+    assert [by_name[tuple(k)] for k in keys.tolist()] == least.tolist()
+    first, start = substrings.suffixes_of(starts, 9, 5)
+    order, common, _ = substrings.suffix_tree(codes, first, start, 5)
+    tails = [[w for w in codes[a, b:].tolist() if w] for a, b in zip(first[order], start[order])]
+    shared = [next((j for j, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))) for p, q in zip(tails, tails[1:])]
+    assert shared == common.tolist() and max(shared) > 5
 
 
 def test_longer_prefixes_give_the_same_repeats(spark):
