@@ -15,7 +15,8 @@ word always stay.
    (which bounds the overlap from above) does.
 4. Groups of near copies are settled in linear work before any pairs are made:
    under its ``PROBES`` rarest tokens each line is held against the first and
-   the previous line of its size, and the closest of these is verified.
+   a few previous lines of its size (``BACK``), and the closest of these is
+   verified.
 5. Lines that are not settled meet all lines that share a prefix token.
 6. Candidates are verified on all their words, by 64-bit hashes.
 
@@ -43,22 +44,21 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 18
 #: Rarest tokens under which a line is held against the first and previous line.
 PROBES = 3
+#: Which of the lines before it, by distance in the order of ids, a line is held against there, beside the first.
+BACK = (1, 2, 4, 8, 16, 32)
 #: Tokens from which on a line has a second signature.
 LONG = 88
 #: Candidate pairs up to which their ids are broadcast to the documents; more are joined by shuffling.
-FEW = 200_000
+FEW = 500_000
 _NO_ID = -(1 << 63)
 _LOW56 = (1 << 56) - 1
 _KEY = ["id", "at"]
-
-
-def _need(a: Column, b: Column) -> Column:
-    """Least overlap of sets of sizes ``a`` and ``b``: integers, so that no rounding enters (4 / 9 of the sum)."""
-    return F.floor((4 * (a + b) + 8) / F.lit(9)).cast("int")
+#: Taken from the place of a settled line's token; a text of 2 GB has no place as large.
+_SETTLED = 1 << 26
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A constant array: for each bucket of tokens a level that rises with the number of its occurrences, in the upper seven bits.
+    """A constant array: for each bucket of tokens a level that rises with the number of its occurrences.
 
     The counts are made over all documents; what reaches the driver is one
     small number for each of ``BUCKETS`` buckets.
@@ -67,7 +67,7 @@ def rarity(docs: DataFrame, text: str) -> Column:
     counts = tokens.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * BUCKETS
     for r in counts.select("b", F.least(F.floor(F.log2(F.col("n").cast("double")) * 4), F.lit(126)).alias("l")).collect():
-        levels[r.b] = str(r.l << 56)
+        levels[r.b] = str(r.l)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
@@ -77,8 +77,8 @@ def _bucket(h: Column) -> Column:
 
 def _keys(line: Column, levels: Column) -> Column:
     """Distinct tokens as longs, rarest first: seven bits of level over 56 bits of hash."""
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
-    keyed = F.transform(hashes, lambda h: F.get(levels, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
+    level = lambda w: F.shiftleft(F.get(levels, _bucket(F.xxhash64(w))), 56)
+    keyed = F.transform(words(line), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW56))))  # hashing twice costs less than a second array
     return F.sort_array(F.array_distinct(keyed))
 
 
@@ -121,11 +121,12 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Whether sizes, places in the prefixes and signatures allow the overlap."""
+    """Whether sizes, places in the prefixes and signatures allow an overlap of 4/9 of both sizes, so a difference of 1/9. A line settled before (``_SETTLED``) matches nothing as ``a``."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    need = _need(c(a, "n"), c(b, "n"))
-    left = F.least(c(a, "n") - c(a, "k"), c(b, "n") - c(b, "k"))
-    return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (left + F.least(c(a, "k"), c(b, "k")) >= need) & (_differ(a, b) <= c(a, "n") + c(b, "n") - 2 * need)
+    both = c(a, "n") + c(b, "n")
+    place = lambda side: c(side, "k").bitwiseAND(F.lit(_SETTLED - 1))
+    left = F.least(c(a, "n") - place(a), c(b, "n") - place(b))
+    return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (9 * (left + F.least(c(a, "k"), place(b))) >= 4 * both) & (9 * _differ(a, b) <= both)
 
 
 def _later(a: str, b: str) -> Column:
@@ -133,11 +134,11 @@ def _later(a: str, b: str) -> Column:
 
 
 def _closest(firsts: DataFrame) -> DataFrame:
-    """id, at, id2, at2: for each line the closest of the first and previous lines under its rarest tokens."""
+    """id, at, id2, at2: for each line the closest of the first and some previous lines under its rarest tokens."""
     filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode(F.slice("prefix", 1, PROBES)).alias("k", "token"))
     row = F.struct(*_KEY, "n", "k", "sig", "sig2")
     order = Window.partitionBy("token", "n").orderBy(*_KEY)
-    met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row).over(order)).alias("bs"))
+    met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag(row, k).over(order) for k in BACK]).alias("bs"))
     some = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b"))
     best = some.groupBy("a.id", "a.at").agg(F.min(F.struct(_differ("a", "b").alias("d"), F.col("b.id").alias("id2"), F.col("b.at").alias("at2"))).alias("x"))
     return best.select(*_KEY, "x.id2", "x.at2")
@@ -146,14 +147,13 @@ def _closest(firsts: DataFrame) -> DataFrame:
 def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """id, at, id2, at2: lines that are not settled with the earlier lines under any of their prefix tokens.
 
-    ``ask`` is the id of a line that still looks for an earlier one. Both sides
-    read the same columns of the filings, so that these are shuffled once.
+    Both sides of the join read the same columns of the filings, so that these are shuffled once.
     """
     held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
-    filed = held.select(*_KEY, "n", "sig", "sig2", F.when(F.col("gone").isNull(), F.col("id")).alias("ask"), F.posexplode("prefix").alias("k", "token"))
-    earlier = (F.col("a.ask") > F.col("b.id")) | ((F.col("a.ask") == F.col("b.id")) & (F.col("a.at") > F.col("b.at")))
-    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match("a", "b"))
-    return pairs.select(F.col("a.ask").alias("id"), "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2")).distinct()
+    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", F.posexplode("prefix").alias("k", "token"))
+    filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone")
+    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & _later("a", "b") & _may_match("a", "b"))
+    return pairs.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
