@@ -16,11 +16,15 @@ tasks; executors need neither the file nor the library.
 
 Edge cases: null and empty texts encode to no ids and decode to the empty text;
 a text that holds U+2581 decodes with a space in its place, as in the library;
-repeated rows are encoded alike; other columns pass through.
+repeated rows are encoded alike; a single word of very many characters takes
+about 70 bytes of memory for each of them; empty tables give empty results; other
+columns pass through, and the result's name may not be among them. Models that
+are not byte-pair models, or that normalise text, are refused on loading.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -39,6 +43,8 @@ INDEX_CHARS = 1 << 20
 LONG = 256
 #: Texts encoded together.
 ROWS = 2000
+#: Texts on which a model's own ids are compared on loading, beside joined pieces: spaces, accents, wide and compatibility forms.
+_PROBES = (" two  spaces ", "é e\u0301 ﬁ Ａ ½ ™", "unseparatedwordsthatmanypiecescover", "12345 67.89", "中文字", "🎈", "tab\there", "a\n\nb")
 #: Words kept encoded by a worker.
 CACHE = 400_000
 
@@ -49,6 +55,36 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Encoded:
+    """Encoded words: ids end to end, where each word's begin, and the bytes they decode to."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.spelled: list[bytes] = []
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 12, np.int64)
+        self.size = 0
+
+    def add(self, words: list[str], ids: list[tuple[int, ...]], spelled: list[bytes]) -> None:
+        flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+        n = len(self.place)
+        while self.size + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.size : self.size + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(words)] = self.size + np.cumsum([len(x) for x in ids])
+        self.size += len(flat)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.spelled += [b"".join([spelled[i] for i in x]) for x in ids]
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids) of the words at ``places``."""
+        first, count = self.ends[places], self.ends[places + 1] - self.ends[places]
+        stops = np.cumsum(count)
+        return self.ids[np.repeat(first - stops + count, count) + np.arange(stops[-1] if len(stops) else 0)], count
+
+
 @dataclass
 class Vocabulary:
     """Pieces that spell text (with ids and ranks, best first), ids of bytes, and the bytes every id decodes to."""
@@ -58,11 +94,15 @@ class Vocabulary:
     ranks: list[int]
     byte_ids: list[int]
     spelled: list[bytes]
-    encoded: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    mark: str = ""
+    encoded: Encoded = field(default_factory=Encoded, repr=False)
     _table: tuple | None = field(default=None, repr=False)
 
+    def __post_init__(self):
+        self.mark = hashlib.sha256(repr((self.pieces, self.ids, self.ranks, self.byte_ids, self.spelled)).encode()).hexdigest()
+
     def __getstate__(self):
-        return {**self.__dict__, "encoded": {}, "_table": None}
+        return {**self.__dict__, "encoded": Encoded(), "_table": None}
 
     @classmethod
     def load(cls, path: str | None = None) -> Vocabulary:
@@ -83,7 +123,11 @@ class Vocabulary:
         order = np.lexsort((text, [-model.get_score(i) for i in text]))
         ranks = np.empty(len(text), int)
         ranks[order] = np.arange(len(text))
-        return cls(pieces, text, ranks.tolist(), byte_ids, spelled)
+        made = cls(pieces, text, ranks.tolist(), byte_ids, spelled)
+        probes = [*(p.replace(SPACE, " ") + q for p, q in zip(pieces[::37], pieces[-1::-37], strict=False)), *_PROBES]
+        if any(model.encode(t) != ids for t, ids in zip(probes, made.encode_batch(probes), strict=True)):
+            raise ValueError("not a byte-pair model without normalisation: its ids differ from those of these rules")
+        return made
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pieces as padded code-point rows, lengths, ids, ranks."""
@@ -101,19 +145,23 @@ class Vocabulary:
         for i, u in enumerate(units):
             size += len(u) + 1
             if size >= INDEX_CHARS or i == len(units) - 1:
-                self.encoded.update(zip(units[low : i + 1], _relaxed(self, units[low : i + 1]), strict=True))
+                self.encoded.add(units[low : i + 1], _relaxed(self, units[low : i + 1]), self.spelled)
                 low, size = i + 1, 0
 
+    def placed(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text the places of its words in ``encoded``, which holds all of them then."""
+        split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.encoded.place) > CACHE:
+            self.encoded = Encoded()
+        have = self.encoded.place
+        self.encode_units(list({u: None for units in split for u in units if u not in have}))
+        return [[have[u] for u in units] for units in split]
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.encoded) > CACHE:
-            self.encoded.clear()
-        have = self.encoded
-        self.encode_units(list({u: None for units in split for u in units if u not in have}))
-        return [[i for u in units for i in have[u]] for units in split]
+        return [self.encoded.of(np.array(p, int))[0].tolist() for p in self.placed(texts)]
 
     def decode(self, ids: list[int]) -> str:
         spelled = self.spelled
@@ -256,17 +304,18 @@ def _ids(vocabulary: Vocabulary, joined: str, graph: np.ndarray, symbols: np.nda
 
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 _ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
-#: Vocabularies by identity of the task's copy, so that a worker keeps its encoded words from task to task.
-_WORKER: dict[int, Vocabulary] = {}
+#: Vocabularies by content, so that a worker keeps its encoded words from task to task.
+_WORKER: dict[str, Vocabulary] = {}
 
 
 def _kept(vocabulary: Vocabulary) -> Vocabulary:
-    mark = hash((len(vocabulary.pieces), vocabulary.pieces[-1], tuple(vocabulary.byte_ids)))
-    return _WORKER.setdefault(mark, vocabulary)
+    return _WORKER.setdefault(vocabulary.mark, vocabulary)
 
 
 def annotate(docs: DataFrame, vocabulary: Vocabulary, out: str = "pieces", text: str = "text") -> DataFrame:
     """``docs`` with struct column ``out``: the ids, and whether they decode to the text."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"column {out} is there already")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +324,14 @@ def annotate(docs: DataFrame, vocabulary: Vocabulary, out: str = "pieces", text:
             for low in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(low, ROWS)
                 texts = batch.column(text).to_pylist()
-                ids = own.encode_batch(texts)
-                same = [own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, bounds[-1]))
-                column = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), flat), pa.array(same, pa.bool_())], fields=list(_ARROW))
+                places = own.placed(texts)
+                spelled = own.encoded.spelled
+                back = [b"".join([spelled[k] for k in p]) for p in places]
+                same = [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") == (t or "") for x, t in zip(back, texts, strict=True)]
+                sizes = np.array([len(p) for p in places])
+                flat, count = own.encoded.of(np.fromiter((k for p in places for k in p), np.int64, sizes.sum()))
+                bounds = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]].astype(np.int32)
+                column = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(same, pa.bool_())], fields=list(_ARROW))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
