@@ -5,9 +5,15 @@ runs on a bounded labelled sample; per-coordinate rates and an L1 term leave few
 non-zero weights, which travel to the executors with the task. Scoring sums the
 weights of the distinct features of the whole text, in one narrow pass.
 
-Edge cases: null and empty texts get the score of the intercept; without
-labelled rows of both kinds every weight is zero and all scores are 0.0; repeated
-rows are scored alike; other columns are ignored.
+Step size, penalty, passes and least document count were chosen on inner folds:
+of the residues 0, 1 and 3 of crc32(doc_id) modulo 4 each was predicted from the
+other two. Rows of residue 2 took no part in that.
+
+Edge cases: null and empty texts get the score of the intercept, which is learnt
+without a penalty, so with labels of one kind all scores lie near that kind, and
+without labelled rows near 0; equal and repeated rows are scored alike; texts of
+any length are scored whole; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,11 +40,11 @@ THRESHOLD = 0.3
 class Ftrl:
     """Step size ``alpha``, smoothing ``beta``, penalties ``l1`` and ``l2``, passes over the sample."""
 
-    alpha: float = 1.0
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 6.0
     l2: float = 0.1
-    epochs: int = 4
+    epochs: int = 3
     #: A feature needs this many sample documents.
     min_documents: int = 3
 
@@ -90,8 +96,7 @@ def fit(examples: list[tuple[int, np.ndarray]], params: Ftrl = Ftrl()) -> Model:
         w = -(zs - np.sign(zs) * params.l1) / ((params.beta + np.sqrt(ns)) / params.alpha + params.l2)
         return np.where(np.abs(zs) <= params.l1, 0.0, w)
 
-    bias = 0.0
-    for _ in range(params.epochs if {y for y, _ in examples} == {0, 1} else 0):
+    for _ in range(params.epochs):
         for y, at in examples:
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
@@ -102,7 +107,8 @@ def fit(examples: list[tuple[int, np.ndarray]], params: Ftrl = Ftrl()) -> Model:
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / params.alpha * bias
             bias_n += g * g
     live = np.flatnonzero(np.abs(z) > params.l1)
-    return Model(live, weights(z[live], n[live]).astype(np.float32), float(bias) if len(live) else -35.0)
+    bias = -bias_z / ((params.beta + bias_n**0.5) / params.alpha) if examples else -35.0
+    return Model(live, weights(z[live], n[live]).astype(np.float32), float(bias))
 
 
 def train(documents: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> Model:
