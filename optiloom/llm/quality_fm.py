@@ -94,8 +94,9 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs:
     """AdaGrad on the logistic loss over (label, buckets, values, statistics)."""
     words, rng = 1 << BITS, np.random.default_rng(seed)
     w, v = np.zeros(words + N_STATS), rng.normal(0, 0.02, (words + N_STATS, RANK))
-    if {y for y, *_ in examples} != {0, 1}:
-        return Model(0.0, w, np.zeros_like(v), np.zeros(N_STATS), np.ones(N_STATS))
+    good = sum(y for y, *_ in examples)
+    if good in (0, len(examples)):  # nothing to tell apart: the odds of what was seen
+        return Model(float(np.log((good + 0.5) / (len(examples) - good + 0.5))), w, np.zeros_like(v), np.zeros(N_STATS), np.ones(N_STATS))
     stats = np.array([s for *_, s in examples])
     mean, std = stats.mean(0), np.maximum(stats.std(0), 1e-6)
     gw, gv = np.full(len(w), 1e-6), np.full(v.shape, 1e-6)

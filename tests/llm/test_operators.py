@@ -329,6 +329,10 @@ def test_pieces(docs, empty):
     coded = pieces.annotate(docs, vocabulary).collect()
     assert all(r.pieces.ids == library.encode(r.text or "") and r.pieces.round_trip for r in coded)
     assert pieces.digest(empty, vocabulary).count() == 0
+    with pytest.raises(ValueError, match="there already"):
+        pieces.annotate(docs.withColumnRenamed("id", "pieces"), vocabulary)
+    batch = vocabulary.placed(["one two", None, "two"])
+    assert [len(x) for x in batch] == [2, 0, 1] and vocabulary.encoded.of(np.array([], int))[0].tolist() == []
 
 
 def test_classifiers(spark, empty):
@@ -352,6 +356,63 @@ def test_classifiers(spark, empty):
         assert module.digest(empty, table).count() == 0
 
 
+def test_ftrl_against_plain_loops():
+    """The same weights from dictionaries and one coordinate at a time."""
+    rng = np.random.default_rng(21)
+    examples = [(int(rng.random() < 0.4), np.unique(rng.integers(0, 30, 8)).astype(np.int32)) for _ in range(200)]
+    p = toxicity.Ftrl(alpha=0.7, beta=0.5, l1=0.3, l2=0.2, epochs=2, min_documents=40)
+    held = {}
+    for _, at in examples:
+        for f in at.tolist():
+            held[f] = held.get(f, 0) + 1
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[f] - np.sign(z[f]) * p.l1) / ((p.beta + n[f] ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for y, at in examples:
+            live = [f for f in at.tolist() if held[f] >= p.min_documents]
+            w = {f: weight(f) for f in live}
+            b = -bz / ((p.beta + bn**0.5) / p.alpha)
+            g = 1 / (1 + np.exp(-(b + sum(w.values())))) - y
+            for f in live:
+                z[f] = z.get(f, 0.0) + g - ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / p.alpha * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+            bz, bn = bz + g - ((bn + g * g) ** 0.5 - bn**0.5) / p.alpha * b, bn + g * g
+    model = toxicity.fit(examples, p)
+    want = {f: weight(f) for f in z if weight(f)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(want, rel=1e-5) and 0 < len(want) < 30
+    assert model.bias == pytest.approx(-bz / ((p.beta + bn**0.5) / p.alpha))
+
+
+def test_factorisation_machine_against_pairs():
+    """The sum-of-squares identity equals the sum over all pairs of inputs."""
+    rng = np.random.default_rng(22)
+    words = 1 << quality_fm.BITS
+    model = quality_fm.Model(0.3, rng.normal(size=words + quality_fm.N_STATS), rng.normal(size=(words + quality_fm.N_STATS, 3)), np.zeros(quality_fm.N_STATS), np.ones(quality_fm.N_STATS))
+    doc, bucket = np.array([0, 0, 0, 2, 2]), rng.integers(0, words, 5)
+    value, stats = rng.random(5), rng.normal(size=(3, quality_fm.N_STATS))
+    for k, got in enumerate(model.margins(doc, bucket, value, stats)):
+        x = [*zip(bucket[doc == k], value[doc == k]), *((words + j, s) for j, s in enumerate(np.clip(stats[k], -4, 4)))]
+        want = 0.3 + sum(model.w[i] * a for i, a in x) + sum(model.v[i] @ model.v[j] * a * b for p, (i, a) in enumerate(x) for j, b in x[p + 1 :])
+        assert got == pytest.approx(want)
+
+
+def test_labels_of_one_kind_and_repeated_rows(spark):
+    rows = [(k, "plain words here", 5) for k in range(40)] * 2 + [(99, "x " * 200_000, 5), (100, None, None)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n_chars long, y string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(k, kind, kind) for k in range(100)], "doc_id long, quality int, toxic int")
+        for module in (toxicity, quality_fm):
+            got = module.digest(docs, labels).collect()
+            assert len(got) == len(rows) and {r.predicted for r in got if r.doc_id < 99} == {kind}
+            assert len({r.score for r in got if r.doc_id == 3}) == 1
+    assert all(r.score < 0.01 for r in toxicity.digest(docs, labels.limit(0)).collect())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy now</div>
 <article><h1>Title &amp; more</h1><p>First   part<br>goes on.<p><b>Second &lt;part&gt;</b> here.</p></article>
