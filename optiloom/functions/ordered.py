@@ -1,8 +1,11 @@
 """Positions and running values over a total order without gathering all rows in one task.
 
-Rows are cut into ranges of the order column by quantiles; each range is worked
-on alone and a table of one row per range (at most ``RANGES``) carries what the
-earlier ranges add.
+Rows are dealt to as many ranges of the order columns as the shuffle has
+partitions, by Spark's range partitioning over all of them, so that ties of the
+first column spread too. Each range is worked on alone, and a table of one row
+per range carries what the earlier ranges add. Before that the ranged rows are
+written once to the shared folder: range bounds are sampled, so a range must not
+be computed twice.
 """
 
 from __future__ import annotations
@@ -11,31 +14,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+from optiloom.functions.storage import saved
 
+#: Rows of one range; more rows mean more ranges, at least one for each shuffle partition.
+RANGE_ROWS = 4_000_000
+#: Rows up to which one task sorts them all.
+SMALL = 100_000
 
-def _ranged(df: DataFrame, order: str) -> DataFrame:
-    cuts = df.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: F.col(order) > c))).drop("__cuts")
+
+def _names(order: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (order,) if isinstance(order, str) else tuple(order)
+
+
+def _ranged(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``__range``, which rises with the order columns."""
+    rows = df.count()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 1 if rows <= SMALL else max(least, -(-rows // RANGE_ROWS))
+    dealt = df.repartitionByRange(n, *order) if n > 1 else df.repartition(1)
+    return saved(dealt.withColumn("__range", F.spark_partition_id()))
 
 
 def with_position(df: DataFrame, order: str, out: str = "row_idx", *ties: str) -> DataFrame:
     """``out``: positions from 0 in ascending order of ``order`` and the tie columns."""
-    ranged = _ranged(df, order)
+    ranged = _ranged(df, (order, *ties))
     before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = before.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(order, *ties))
-    placed = ranged.withColumn("__own", own).join(F.broadcast(before), "__range")
+    placed = ranged.withColumn("__own", own).join(F.broadcast(before), "__range")  # a row per range
     return placed.withColumn(out, (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__range", "__own", "__before")
 
 
-def running(df: DataFrame, order: str, value: Column, how, out: str, *ties: str) -> DataFrame:
-    """``out``: ``how`` (F.min or F.max or F.sum) of ``value`` over all rows up to each row."""
-    ranged = _ranged(df, order).withColumn("__v", value)
+def running(df: DataFrame, order: str | tuple[str, ...], value: Column, how, out: str, *ties: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``out``: ``how`` (F.min or F.max or F.sum) of ``value`` over all rows up to each row, in each series of ``by``, whose columns lead the order."""
+    columns = (*_names(order), *ties)
+    columns = (*by, *[c for c in columns if c not in by])
+    ranged = _ranged(df.withColumn("__v", value), columns)
     combine = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + b}[how.__name__]
-    part = ranged.groupBy("__range").agg(how("__v").alias("__whole"))
-    prior = part.select("__range", how("__whole").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"))
-    own = how("__v").over(Window.partitionBy("__range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0))
-    joined = ranged.withColumn("__own", own).join(F.broadcast(prior), "__range")
+    part = ranged.groupBy(*by, "__range").agg(how("__v").alias("__whole"))  # a row per range, and one more per series
+    prior = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    prior = part.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__range").alias("__at"), how("__whole").over(prior).alias("__prior"))
+    own = how("__v").over(Window.partitionBy(*by, "__range").orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0))
+    on = F.col("__range") == F.col("__at")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    joined = ranged.withColumn("__own", own).join(prior, on)
     both = F.when(F.col("__prior").isNull(), F.col("__own")).otherwise(combine(F.col("__own"), F.col("__prior")))
-    return joined.withColumn(out, both).drop("__range", "__own", "__prior", "__v")
+    return joined.withColumn(out, both).drop("__range", "__at", "__own", "__prior", "__v", *[f"__by{k}" for k in range(len(by))])

@@ -16,11 +16,7 @@ def _clean(df: DataFrame, value: str) -> DataFrame:
 
 def best_so_far(df: DataFrame, order: str, value: str, minimize: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """``best``: least (or greatest) value up to each row; rows without a finite value are left out."""
-    how = F.min if minimize else F.max
-    if not by:
-        return running(_clean(df, value), order, F.col(value), how, "best")
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return _clean(df, value).withColumn("best", how(value).over(w))
+    return running(_clean(df, value), order, F.col(value), F.min if minimize else F.max, "best", by=by)
 
 
 def moving_average(df: DataFrame, order: str, value: str, by: tuple[str, ...], window: int = 5) -> DataFrame:

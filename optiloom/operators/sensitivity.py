@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from optiloom.functions.ordered import running, with_position
 from optiloom.functions.schema import EPS, StudySchema, finite
 from optiloom.operators.filters import long_form
 
@@ -17,10 +18,10 @@ SOBOL_SEED = 0xDEADBEEF12345678
 
 
 def label_encode(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
-    """Codes 0, 1, 2, ... of the labels by first appearance in ``order``."""
-    seen = df.groupBy(column).agg(F.min(order).alias("__first"))
-    codes = seen.select(column, (F.row_number().over(Window.orderBy("__first")) - 1).cast("double").alias(out))  # a row per label
-    return df.join(codes, column)
+    """Codes 0, 1, 2, ... of the labels by first appearance in ``order``; null counts as a label."""
+    seen = df.groupBy(F.col(column).alias("__label")).agg(F.min(order).alias("__first"))
+    codes = with_position(seen, "__first", "__code").select("__label", F.col("__code").cast("double").alias(out))
+    return df.join(codes, df[column].eqNullSafe(codes["__label"])).drop("__label")
 
 
 def encoded(df: DataFrame, schema: StudySchema) -> tuple[DataFrame, list[str]]:
@@ -36,14 +37,15 @@ def encoded(df: DataFrame, schema: StudySchema) -> tuple[DataFrame, list[str]]:
 def average_ranks(df: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
     """id, name, value and average rank from 1 (NaN last) of every named column.
 
-    Ranks come from counts of distinct values, so equal values cost one row and
-    the running count is over distinct values of one column.
+    Ranks come from counts of distinct values, so equal values cost one row; the
+    running count goes over ranges of (name, value), so that one column's values
+    are spread over tasks.
     """
     rows = long_form(df, names, id_col)
     counts = rows.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(Window.partitionBy("name").orderBy("value")) - F.col("n")
-    ranked = counts.select("name", F.col("value").alias("__v"), (below + (F.col("n") + 1) / 2).alias("rank"))
-    return rows.join(ranked.withColumnRenamed("name", "__name"), (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__v"))).select(id_col, "name", "value", "rank")
+    upto = running(counts, ("name", "value"), F.col("n"), F.sum, "__upto", by=("name",))
+    ranked = upto.select(F.col("name").alias("__name"), F.col("value").alias("__v"), (F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    return rows.join(ranked, (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__v"))).select(id_col, "name", "value", "rank")
 
 
 def _correlation(x, y):

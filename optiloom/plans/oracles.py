@@ -78,8 +78,8 @@ SQL = {
     "slice_points": f"WITH {PART} SELECT p_size, revenue, p_size > 25 AS selected, CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS alpha FROM part_study",
     "contour_points": f"WITH {PART} SELECT p_size, p_retailprice, revenue, revenue > 100000 AS selected, CASE WHEN revenue > 100000 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS alpha FROM part_study",
     "scatter_color": f"WITH {PART} SELECT trial_id, round((revenue - min(revenue) OVER ()) / (max(revenue) OVER () - min(revenue) OVER ()), 6) AS color FROM part_study",
-    "detail_table": f"WITH {PART} SELECT trial_id, CAST(CAST(p_size AS BIGINT) AS VARCHAR) AS p_size, p_brand, printf('%.4f', revenue) AS revenue FROM part_study WHERE trial_id <= 500",
-    "colormap": f"WITH {PART}, c AS (SELECT trial_id, lpad(lower(to_hex(CAST(round(255 * p_size / 64) AS INTEGER))), 2, '0') AS h FROM part_study WHERE p_size % 16 = 0) SELECT trial_id, '#' || h || h || h AS shade FROM c",
+    "detail_table": f"WITH {PART} SELECT trial_id, CAST(CAST(p_size AS BIGINT) AS VARCHAR) AS p_size, p_brand, printf('%.4f', revenue) AS revenue FROM part_study",
+    "colormap": f"WITH {PART}, c AS (SELECT trial_id, lpad(lower(to_hex(CAST(round(255 * p_size / 64) AS INTEGER))), 2, '0') AS h FROM part_study) SELECT trial_id, '#' || h || h || h AS shade FROM c",
     "scatter_cells": "SELECT a.n AS x, b.n AS y FROM (VALUES ('p_size'), ('p_retailprice'), ('revenue'), ('discount')) a(n), (VALUES ('p_size'), ('p_retailprice'), ('revenue'), ('discount')) b(n)",
     "objective_pairs": "SELECT a.n AS x, b.n AS y FROM (VALUES ('balance'), ('discount'), ('quantity')) a(n), (VALUES ('balance'), ('discount'), ('quantity')) b(n)",
     "report_stats": f"WITH {PART} " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count(*) AS count FROM part_study" for c in _STATS),
@@ -107,7 +107,7 @@ SQL = {
     "importance": f"WITH {_spearman(_COLUMNS)} SELECT param, round(avg(abs(rho)), 6) AS importance FROM rho GROUP BY param",
     "heatmap_threshold": f"WITH {_spearman(_COLUMNS)} SELECT param, objective, round(CASE WHEN max(abs(rho)) OVER (PARTITION BY param) < 0.02 THEN 0 ELSE rho END, 6) AS rho FROM rho",
     "label_encode": f"WITH {PART}, first AS (SELECT p_brand AS b, min(trial_id) AS f FROM part_study GROUP BY p_brand), codes AS (SELECT b, (row_number() OVER (ORDER BY f) - 1)::DOUBLE AS code FROM first) SELECT trial_id, code FROM part_study JOIN codes ON b = p_brand",
-    "cluster_stats": "WITH v AS (SELECT label, 'e' || i AS name, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 8) t(i)), g AS (SELECT name, avg(value) AS gm, var_samp(value) AS gv, count(*) AS gn FROM v GROUP BY name), o AS (SELECT label, name, count(*) AS size, avg(value) AS mean, coalesce(var_samp(value), 0) AS var FROM v GROUP BY label, name) SELECT label, name, size, round(mean, 6) AS mean, round(sqrt(var), 6) AS std, abs(mean - gm) > 3 * sqrt(var / size + gv / gn) AS significant FROM o JOIN g USING (name)",
+    "cluster_stats": "WITH v AS (SELECT label, 'e' || i AS name, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 64) t(i)), g AS (SELECT name, avg(value) AS gm, var_samp(value) AS gv, count(*) AS gn FROM v GROUP BY name), o AS (SELECT label, name, count(*) AS size, avg(value) AS mean, coalesce(var_samp(value), 0) AS var FROM v GROUP BY label, name) SELECT label, name, size, round(mean, 6) AS mean, round(sqrt(var), 6) AS std, abs(mean - gm) > 3 * sqrt(var / size + gv / gn) AS significant FROM o JOIN g USING (name)",
     "pdp_1d_ridge": f"WITH {PART}, {_ridge('revenue')} SELECT round(a1 + (b1 - a1) * i / 19, 3) AS x, round(my + beta1 * (a1 + (b1 - a1) * i / 19 - m1) / s1, 3) AS y FROM fit, range(0, 20) t(i)",
     "pdp_2d_ridge": f"WITH {PART}, {_ridge('revenue')} SELECT round(a1 + (b1 - a1) * i / 14, 3) AS x, round(a2 + (b2 - a2) * j / 14, 3) AS y, round(my + beta1 * (a1 + (b1 - a1) * i / 14 - m1) / s1 + beta2 * (a2 + (b2 - a2) * j / 14 - m2) / s2, 3) AS z FROM fit, range(0, 15) t(i), range(0, 15) u(j)",
     "constraint_feasibility": f"WITH {PART}, c AS (SELECT trial_id, round(discount - 0.05, 9) AS c1, round(0.01 - discount, 9) AS c2 FROM part_study) SELECT trial_id, CASE WHEN c1 <= 0 AND c2 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible, round(c1 + c2, 6) AS constraint_sum FROM c",

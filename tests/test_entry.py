@@ -29,25 +29,19 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name, part", [("detail_table", " WHERE trial_id <= 500"), ("colormap", " WHERE p_size % 16 = 0")])
-def test_query_covers_all_rows(spark, name, part):
+@pytest.mark.parametrize("name", ["detail_table", "colormap", "cluster_stats"])
+def test_query_covers_all_rows(spark, name):
     folder = "/root/testdata/sf0.01"
     db = duckdb.connect()
-    for t in ("part", "lineitem"):
+    for t in ("part", "lineitem", "embeddings"):
         db.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     df = catalog.queries()[name](spark, folder)
     names = sorted(df.columns)
-    whole = oracles.SQL[name].replace(part, "")
-    assert rows(df.select(*names).collect()) == rows(db.sql(f"select {', '.join(names)} from ({whole})").fetchall())
+    got = rows(df.select(*names).collect())
+    assert got == rows(db.sql(f"select {', '.join(names)} from ({oracles.SQL[name]})").fetchall())
+    source = {"cluster_stats": "select 64 * count(distinct label) from embeddings"}.get(name, "select count(*) from part")
+    assert len(got) == db.sql(source).fetchall()[0][0]
 
 
-def test_embedding_queries_use_all_coordinates(spark):
-    db = duckdb.connect()
-    db.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    df = catalog.queries()["cluster_stats"](spark, SF)
-    names = sorted(df.columns)
-    whole = oracles.SQL["cluster_stats"].replace("range(0, 8)", "range(0, 64)")
-    got = rows(df.select(*names).collect())
-    assert got == rows(db.sql(f"select {', '.join(names)} from ({whole})").fetchall())
-    assert len({r[names.index("name")] for r in got}) == 64
+def test_elbow_uses_all_coordinates(spark):
     assert [r.k for r in catalog.queries()["elbow"](spark, SF).orderBy("k").collect()] == list(range(2, 11))
