@@ -18,9 +18,12 @@ CODE_TAGS = frozenset("script style".split())
 FOREIGN_TAGS = frozenset("svg math".split())
 #: Opening one of these closes an open element of the same family, up to the nearest of its containers.
 _FAMILIES = {"p": (("p",), ()), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+#: Outside quotes a tag holds no "<", so a tag that never ends is read once and taken as text.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
+#: Innermost open elements on a block's path.
+PATH = 64
 _SPACE = re.compile(r"\s+")
 
 
@@ -45,21 +48,22 @@ def split_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     parts: list[str] = []
-    links = linked = at = 0
+    links = linked = foreign = at = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(x for _, names in stack for x in names), linked))
+                out.append(Block(text, tuple(x for _, names in stack[-PATH:] for x in names), linked))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         for tag, _ in stack[depth:]:
             links -= tag == "a"
+            foreign -= tag in FOREIGN_TAGS
         del stack[depth:]
 
     while m := _TOKEN.search(page, at):
@@ -71,7 +75,7 @@ def split_blocks(page: str) -> list[Block]:
             continue
         tag = m[1].lower()
         closing = page[m.start() + 1] == "/"
-        if not closing and m[0].endswith("/>") and (tag in FOREIGN_TAGS or any(t in FOREIGN_TAGS for t, _ in stack)):
+        if not closing and m[0].endswith("/>") and (tag in FOREIGN_TAGS or foreign):
             continue
         if tag in RAW_TAGS and not closing:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -105,6 +109,7 @@ def split_blocks(page: str) -> list[Block]:
                         break
             stack.append((tag, _names(tag, m[2])))
             links += tag == "a"
+            foreign += tag in FOREIGN_TAGS
     if at < len(page):
         parts.append(page[at:])
     close()

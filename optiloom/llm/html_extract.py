@@ -10,7 +10,10 @@ There are no labelled pages, so the labeller is trained on page layouts composed
 from the texts of a bounded sample of the pages, where each block's role is
 known by construction (menus, headers, footers, side bars, notices, adverts,
 forms, reader comments, articles), and on the sample itself where its own
-sectioning elements leave no doubt.
+sectioning elements leave no doubt. A share of the composed pages (``PLAIN``) has
+no telling element or class name at all, and a share of all pages
+(``BLIND``) is learnt once more without its paths, so that labels also follow from
+the blocks' own words, shape, links and place.
 
 Edge cases: null and empty pages have no blocks and an empty text; an empty
 table trains on composed pages of fixed words; pages of one block are labelled
@@ -34,14 +37,24 @@ from optiloom.llm.words import read_words
 PATH_DIM, WORD_DIM, HIDDEN = 64, 12, 24
 #: Pages of the training sample, and the longest page taken into it (longer ones are still labelled).
 SAMPLE_PAGES, SAMPLE_BYTES = 150, 100_000
-COMPOSED_PAGES = 360
-#: Blocks of a training page.
-SAMPLE_BLOCKS = 60
+COMPOSED_PAGES = 1200
+#: Share of composed pages whose containers tell nothing, and of training pages that are repeated without paths.
+PLAIN, BLIND = 0.4, 0.3
 _WORDS = np.random.default_rng(3).normal(0, 1, (2048, WORD_DIM))
-_MEASURES = 5
+_MEASURES = 8
 DIM = PATH_DIM + WORD_DIM + _MEASURES
 #: Elements and class words that mark what is not the article.
 OUTSIDE_TAGS = frozenset("nav header footer aside form button select dialog menu".split())
+#: Openings of blocks outside of articles, by role.
+PHRASES = {
+    "bottom": ("Copyright 2020", "Copyright 2024", "\u00a9 2023", "All rights reserved.", "Contact us", "Terms of use | Privacy policy", "Powered by", "About this site", "Imprint", "The Example Company", "Ltd. Registered office", "Published by"),
+    "notice": ("We use cookies to improve", "This site uses cookies", "Accept all cookies", "Subscribe to our newsletter", "Please enable scripts", "Breaking:"),
+    "advert": ("Advertisement", "Sponsored", "Buy now", "Special offer", "Save 50%", "Order today"),
+    "menu": ("Home", "News", "Sports", "About", "Contact", "Login", "Archive", "Search", "Help", "Next page"),
+    "side": ("Related articles", "Most read", "Tags", "Recent posts", "Follow us", "Popular"),
+    "comment": ("Comments", "3 comments", "Reply", "Anonymous wrote:", "Posted by a reader at 12:30", "I agree,", "Great post!"),
+}
+_PLAIN_NAMES = ("c1", "box", "wrap", "col", "row", "inner", "unit", "x7", "block", "grid", "cell", "part", "bodytext", "area", "layer", "zone", "holder", "main-col")
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie footer header menu modal nav newsletter notice popup promo related share sidebar social sponsor subscribe widget".split())
 
 
@@ -70,7 +83,10 @@ def vectors(pages: list[list[Block]], known: dict) -> list[np.ndarray]:
         mean[:, k] = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(count, 1)
     size = np.array([len(b.text) for b in blocks], float)
     linked = np.minimum([b.linked for b in blocks] / size, 1)
-    measures = np.column_stack([np.log1p(size) / 5, linked, np.log1p(count) / 4, [b.text[-1] in ".!?" for b in blocks], [len(b.path) / 8 for b in blocks]])
+    place = np.concatenate([np.arange(len(p)) for p in pages])
+    rest = np.concatenate([np.arange(len(p))[::-1] for p in pages])
+    marks = np.array([b.text.count(",") for b in blocks], float)
+    measures = np.column_stack([np.log1p(size) / 5, linked, np.log1p(count) / 4, [b.text[-1] in ".!?" for b in blocks], [min(len(b.path), 16) / 8 for b in blocks], np.log1p(place) / 4, np.log1p(rest) / 4, marks * 20 / (size + 20)])
     every = np.column_stack([np.array([_path_vector(b.path, known) for b in blocks]), mean * 0.5, measures])
     return np.split(every, np.cumsum([len(p) for p in pages])[:-1])
 
@@ -150,7 +166,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, rate: float = 0.01, seed: int = 11) -> Labeller:
+def fit(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 20, rate: float = 0.01, seed: int = 11) -> Labeller:
     """Adam on the logistic loss of all blocks."""
     model, rng = Labeller.fresh(seed), np.random.default_rng(seed)
     params = [model.wx, model.wh, model.out]
@@ -185,42 +201,63 @@ def compose(texts: list[str], seed: int) -> tuple[str, list[int]]:
     rng = np.random.default_rng(seed)
     parts: list[str] = []
     roles: list[int] = []
+    plain, table = rng.random() < PLAIN, rng.random() < 0.25
 
     def pick(*options: str) -> str:
         return options[rng.integers(len(options))]
 
+    def holder(*options: str) -> list[str]:
+        """Opening and closing tag of a container: one of the options, or on a plain page one that tells nothing."""
+        if not plain:
+            return pick(*options).split("|")
+        name = pick(*_PLAIN_NAMES)
+        if table:
+            return [f'<table><tr><td class="{name}">', "</td></tr></table>"]
+        return pick(f'<div class="{name}">|</div>', f'<div id="{name}">|</div>', "<div>|</div>", "|", f'<section class="{name}">|</section>').split("|")
+
+    def opening(kind: str, often: float = 0.6) -> str:
+        return pick(*PHRASES[kind]) + " " if rng.random() < often else ""
+
     def words(low: int, high: int) -> str:
         have = texts[rng.integers(len(texts))].split() or ["text"]
         at = int(rng.integers(len(have)))
         return " ".join((have[at:] + have)[: int(rng.integers(low, high + 1))]).replace("&", "&amp;").replace("<", "&lt;")
 
-    def put(role: int, open_: str, close: str, low: int, high: int) -> None:
-        parts.append(f"{open_}{words(low, high)}{close}")
+    def put(role: int, open_: str, close: str, low: int, high: int, start: str = "") -> None:
+        parts.append(f"{open_}{start}{words(low, high)}{close}")
         roles.append(role)
 
     def menu() -> None:
-        tag = pick('<nav>|</nav>', '<div class="menu">|</div>', '<ul class="nav">|</ul>', '<div id="navigation">|</div>', '<nav class="breadcrumb">|</nav>').split("|")
-        parts.append(tag[0] + "<ul>")
+        tag = holder('<nav>|</nav>', '<div class="menu">|</div>', '<ul class="nav">|</ul>', '<div id="navigation">|</div>', '<nav class="breadcrumb">|</nav>')
+        outer, inner = pick("<ul>|</ul>#<li>|</li>", "<table><tr>|</tr></table>#<td>|</td>", "|#<p>|</p>").split("#") if plain else ("<ul>|</ul>", "<li>|</li>")
+        parts.append(tag[0] + outer.split("|")[0])
         for _ in range(rng.integers(2, 9)):
-            put(0, '<li><a href="/x">', "</a></li>", 1, 3)
-        parts.append("</ul>" + tag[1])
-
-    def single(low: int, high: int, *opens: str) -> None:
+            put(0, inner.split("|")[0] + '<a href="/x">', "</a>" + inner.split("|")[1], 1, 2, opening("menu", 0.4))
+        parts.append(outer.split("|")[1] + tag[1])
+
+    def single(kind: str, low: int, high: int, *opens: str) -> None:
+        if plain:
+            tag, start = holder(), opening(kind, 0.9)
+            put(0, tag[0] + pick("<p>", "<p>", "<div>") , pick("</p>", "</div>", "</p>") + tag[1], 0 if start else low, min(high, 12), start)
+            return
         open_ = pick(*opens)
         inner = pick("", "", "<p>")
-        put(0, open_ + inner, f"</{open_[1:].split()[0].rstrip('>')}>", low, high)
+        put(0, open_ + inner, f"</{open_[1:].split()[0].rstrip('>')}>", low, high, opening(kind, 0.3))
 
     def advert() -> None:
-        single(2, 30, '<div class="ad">', '<div class="advert">', '<div class="banner">', '<div class="sponsor">', '<div class="promo">', '<section class="related">')
+        single("advert", 2, 30, '<div class="ad">', '<div class="advert">', '<div class="banner">', '<div class="sponsor">', '<div class="promo">', '<section class="related">')
 
     def notice() -> None:
-        single(3, 25, '<div class="cookie-notice">', '<div class="notice">', '<div id="cookie-banner">', '<div class="popup">', '<dialog>', '<div role="alert" class="notice">')
+        single("notice", 3, 25, '<div class="cookie-notice">', '<div class="notice">', '<div id="cookie-banner">', '<div class="popup">', '<dialog>', '<div role="alert" class="notice">')
 
     def side() -> None:
-        tag = pick('<aside>|</aside>', '<div class="sidebar">|</div>', '<aside class="widget">|</aside>', '<section id="sidebar">|</section>').split("|")
+        tag = holder('<aside>|</aside>', '<div class="sidebar">|</div>', '<aside class="widget">|</aside>', '<section id="sidebar">|</section>')
         parts.append(tag[0])
+        if plain:
+            put(0, "<h3>", "</h3>", 0, 1, opening("side", 1.0))
         for _ in range(rng.integers(1, 5)):
-            put(0, pick("<h3>", "<p>", "<li>"), "", 2, 30)
+            link = plain or rng.random() < 0.3
+            put(0, pick("<h3>", "<p>", "<li>") + '<a href="/y">' * link, "</a>" * link, 2, 12 if plain else 30)
         parts.append(tag[1])
 
     def form() -> None:
@@ -230,23 +267,23 @@ def compose(texts: list[str], seed: int) -> tuple[str, list[int]]:
         parts.append("</form>")
 
     def comments() -> None:
-        tag = pick('<section class="comments">|</section>', '<div id="comments">|</div>', '<ol class="comment-list">|</ol>', '<div class="reader-comments">|</div>').split("|")
+        tag = holder('<section class="comments">|</section>', '<div id="comments">|</div>', '<ol class="comment-list">|</ol>', '<div class="reader-comments">|</div>')
         parts.append(tag[0])
-        if rng.random() < 0.6:
-            put(0, "<h3>", "</h3>", 1, 3)
+        if plain or rng.random() < 0.6:
+            put(0, "<h3>", "</h3>", 0 if plain else 1, 1 if plain else 3, opening("comment", 1.0 if plain else 0.3))
         for _ in range(rng.integers(1, 6)):
-            put(0, pick('<div class="comment"><p>', "<li><p>", '<article class="comment"><p>', "<p>"), pick("</p>", "</p></div>"), 3, 60)
+            put(0, "<p>" if plain else pick('<div class="comment"><p>', "<li><p>", '<article class="comment"><p>', "<p>"), pick("</p>", "</p></div>"), 3, 60, opening("comment", 0.9 if plain else 0.2))
         parts.append("</div></li>" + tag[1])
 
     def article() -> None:
-        tag = pick('<article>|</article>', '<article>|</article>', '<main><article>|</article></main>', '<main>|</main>', '<article class="post">|</article>', '<div class="article-body">|</div>', '<div class="content">|</div>', '<div class="entry-content">|</div>', '<section class="story">|</section>').split("|")
+        tag = holder('<article>|</article>', '<article>|</article>', '<main><article>|</article></main>', '<main>|</main>', '<article class="post">|</article>', '<div class="article-body">|</div>', '<div class="content">|</div>', '<div class="entry-content">|</div>', '<section class="story">|</section>')
         parts.append(tag[0])
         if rng.random() < 0.9:
             put(1, "<h1>", "</h1>", 1, 14)
         for _ in range(1 if rng.random() < 0.2 else rng.integers(1, 16)):
             kind = rng.random()
             if kind < 0.7:
-                put(1, "<p>", pick("</p>", "</p>", ""), 1, 120)
+                put(1, "<p>", pick("</p>", "</p>", ""), 12 if plain else 1, 120)
             elif kind < 0.78:
                 put(1, "<h2>", "</h2>", 1, 8)
             elif kind < 0.84:
@@ -264,40 +301,51 @@ def compose(texts: list[str], seed: int) -> tuple[str, list[int]]:
                 pick_one = (advert, form, side)[rng.integers(3)]
                 pick_one()
         if rng.random() < 0.1:
-            single(1, 12, '<div class="share">', '<div class="social-share">')
+            single("side", 1, 12, '<div class="share">', '<div class="social-share">')
         parts.append("</p>" + tag[1])
 
     def top() -> None:
-        single(1, 8, "<header>", '<div class="header">', '<div id="site-header">', '<header class="banner">')
+        single("menu", 1, 8, "<header>", '<div class="header">', '<div id="site-header">', '<header class="banner">')
 
     def bottom() -> None:
-        single(2, 25, "<footer>", "<footer>", '<div class="footer">', '<div id="footer">')
+        single("bottom", 2, 25, "<footer>", "<footer>", '<div class="footer">', '<div id="footer">')
 
     before = [x for x, p in ((notice, 0.25), (top, 0.4), (menu, 0.75), (advert, 0.5), (side, 0.2)) if rng.random() < p]
     after = [x for x, p in ((comments, 0.4), (side, 0.25), (form, 0.25), (advert, 0.25), (menu, 0.1), (bottom, 0.8), (notice, 0.1)) if rng.random() < p]
+    if plain and rng.random() < 0.15:
+        before, after = [], []
     for part in [*before, article, *after]:
         part()
     return "<html><body>" + "".join(parts) + "</body></html>", roles
 
 
-def train(pages: DataFrame, id_col: str = "page_id", text: str = "html") -> Labeller:
-    """Fits on composed pages and on at most ``SAMPLE_PAGES`` pages of the table."""
-    real = [split_blocks(h)[:SAMPLE_BLOCKS] for h in sorted(_sample(pages, id_col, text))]
+def examples(real: list[list[Block]], seeds: range) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Vectors and labels of composed pages, of the real pages whose elements leave no doubt, and of some of both without paths."""
     texts = [b.text for page in real for b in page] or ["These are a few plain words for an empty table of pages."]
-    known: dict = {}
     found, labels = [], []
-    for seed in range(COMPOSED_PAGES):
+    for seed in seeds:
         page, roles = compose(texts, seed)
         blocks = split_blocks(page)
         if len(blocks) == len(roles):
-            found.append(blocks[:SAMPLE_BLOCKS])
-            labels.append(np.array(roles[:SAMPLE_BLOCKS], float))
+            found.append(blocks)
+            labels.append(np.array(roles, float))
     for blocks in real:
         own = own_labels(blocks) if blocks else None
         if own is not None:
-            found.append(blocks)
-            labels.append(own)
-    return fit(vectors(found, known), labels)
+            found += [blocks] * 2
+            labels += [own] * 2
+    x = vectors(found, {})
+    rng = np.random.default_rng(len(x))
+    for k in np.flatnonzero(rng.random(len(x)) < BLIND):
+        x.append(x[k].copy())
+        x[-1][:, :PATH_DIM] = 0
+        labels.append(labels[k])
+    return x, labels
+
+
+def train(pages: DataFrame, id_col: str = "page_id", text: str = "html") -> Labeller:
+    """Fits on composed pages and on at most ``SAMPLE_PAGES`` pages of the table."""
+    return fit(*examples([split_blocks(h) for h in sorted(_sample(pages, id_col, text))], range(COMPOSED_PAGES)))
 
 
 def _sample(pages: DataFrame, id_col: str, text: str) -> list[str]:

@@ -447,6 +447,39 @@ def test_extraction(spark):
     assert got[(2, False)] == got[(3, False)] == ""
 
 
+def test_blocks_of_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, '<a " ' * 200_000, "<!" * 400_000, "<div>x" * 50_000, "<div>" * 20_000 + "<br/>" * 20_000):
+        began = time.perf_counter()
+        html_blocks.split_blocks(page)
+        assert time.perf_counter() - began < 8
+
+
+def test_layouts_without_telling_names(spark):
+    """Composed pages that were not learnt from, and pages whose elements and classes say nothing about their roles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html_extract.train(pages)
+    texts = [b.text for r in pages.orderBy("page_id").limit(40).collect() for b in html_blocks.split_blocks(r.html) if len(b.text) > 100]
+    wrong = total = 0
+    for seed in range(50_000, 50_080):
+        page, roles = html_extract.compose(texts, seed)
+        blocks = html_blocks.split_blocks(page)
+        wrong += (html_extract.label_pages(model, [blocks], {})[0] != np.array(roles, bool)).sum()
+        total += len(roles)
+    assert wrong < 0.04 * total
+    body = "".join(f"<p>{t}</p>" for t in texts[:3])
+    for page in (f'<div class="bodytext"><h1>A heading of it</h1>{body}</div>', f"<table><tr><td><a href=/>Home</a></td><td><a href=/n>News</a></td></tr></table><table><tr><td>{body}</td></tr></table><p>Copyright 2020 The Example Company</p>"):
+        blocks = html_blocks.split_blocks(page)
+        kept = [b.text for b, k in zip(blocks, html_extract.label_pages(model, [blocks], {})[0]) if k]
+        assert set(texts[:3]) <= set(kept)  # the article is never lost; of the rest a few blocks may stay
+
+
+def test_extraction_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    assert html_extract.digest(pages).columns == ["page_id", "url", "text", "n_chars"] and html_extract.digest(pages).count() == 0
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(9)
     model = html_extract.Labeller.fresh(1)
