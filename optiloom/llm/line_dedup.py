@@ -14,9 +14,9 @@ word always stay.
    of the token allow the overlap, and if a parity signature of all tokens
    (which bounds the overlap from above) does.
 4. Groups of near copies are settled in linear work before any pairs are made:
-   under its ``PROBES`` rarest tokens each line is held against the first and
-   a few previous lines of its size (``BACK``), and the closest of these is
-   verified.
+   under one in ``PROBES`` of its prefix tokens each line is held against the
+   first and a few previous lines of like size (``BACK``), and the closest of
+   these (``PICKS``) are verified.
 5. Lines that are not settled meet all lines that share a prefix token.
 6. Candidates are verified on all their words, by 64-bit hashes.
 
@@ -42,8 +42,10 @@ from optiloom.llm.native import SPACE, let, pieces_of, words
 THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
 BUCKETS = 1 << 18
-#: Rarest tokens under which a line is held against the first and previous line.
-PROBES = 3
+#: One in so many prefix tokens, chosen by hash and so alike in all lines, under which a line is held against some earlier lines.
+PROBES = 2
+#: The closest of these lines, as many as are verified.
+PICKS = 3
 #: Which of the lines before it, by distance in the order of ids, a line is held against there, beside the first.
 BACK = (1, 2, 4, 8, 16, 32)
 #: Tokens from which on a line has a second signature.
@@ -134,14 +136,15 @@ def _later(a: str, b: str) -> Column:
 
 
 def _closest(firsts: DataFrame) -> DataFrame:
-    """id, at, id2, at2: for each line the closest of the first and some previous lines under its rarest tokens."""
-    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode(F.slice("prefix", 1, PROBES)).alias("k", "token"))
+    """id, at, id2, at2: for each line the closest few of the first and some previous lines under some of its prefix tokens."""
+    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode("prefix").alias("k", "token")).where(F.pmod("token", F.lit(PROBES)) == 0)
     row = F.struct(*_KEY, "n", "k", "sig", "sig2")
-    order = Window.partitionBy("token", "n").orderBy(*_KEY)
+    order = Window.partitionBy("token", F.floor(F.log(1.25, "n"))).orderBy(*_KEY)  # lines of like size, those of smaller id before
     met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag(row, k).over(order) for k in BACK]).alias("bs"))
     some = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b"))
-    best = some.groupBy("a.id", "a.at").agg(F.min(F.struct(_differ("a", "b").alias("d"), F.col("b.id").alias("id2"), F.col("b.at").alias("at2"))).alias("x"))
-    return best.select(*_KEY, "x.id2", "x.at2")
+    near = some.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2"), _differ("a", "b").alias("d")).distinct()
+    place = F.row_number().over(Window.partitionBy(*_KEY).orderBy("d", "id2", "at2"))
+    return near.withColumn("place", place).where(F.col("place") <= PICKS).select(*_KEY, "id2", "at2")
 
 
 def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
