@@ -16,6 +16,15 @@ BOM = "﻿"
 MAX_PINS = 20
 
 
+def parse_columns(text: str) -> list[str]:
+    """Names of a JSON array of strings. Other members are skipped; text that is no array names nothing."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return []
+    return [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
+
+
 def csv_field(text: Column) -> Column:
     """Quoted only if it holds a comma, a quote or a line feed."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -46,8 +55,11 @@ def csv_text(df: DataFrame, columns: Sequence[str], positions: Sequence[int] | N
 
 
 def csv_write(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Distributed export of one text file per partition."""
-    csv_lines(df, columns).write.mode("overwrite").text(path)
+    """Distributed export: text files whose names rise with ``row_idx``; the first line of the first one is the header."""
+    columns = list(columns) or [c for c in df.columns if c != "row_idx"]
+    header = df.sparkSession.createDataFrame([(-1, ",".join(columns))], "ordinal long, line string")
+    lines = header.unionByName(csv_lines(df, columns, "row_idx").withColumn("ordinal", F.col("ordinal").cast("long")))
+    lines.orderBy("ordinal").select("line").write.mode("overwrite").text(path)
 
 
 def report_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -66,6 +78,16 @@ def html_report(title: str, stats: DataFrame, sections: dict[str, str] | None =
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{extra}<script type="application/json" id="data">{data}</script></body></html>'
 
 
+def report_sections(front: DataFrame, pinned: DataFrame, history: DataFrame, clusters: DataFrame | None, columns: Sequence[str], rows: int = MAX_PINS) -> dict[str, str]:
+    """Texts of a report's sections: sizes and the first ``rows`` of the front, the pinned trials, last best value, cluster sizes."""
+    listed = lambda df: "; ".join(r.line for r in csv_lines(df, columns, "row_idx").orderBy("ordinal").limit(rows).collect())
+    last = history.agg(F.count(F.lit(1)).alias("n"), F.max_by("best", "row_idx").alias("best")).first()
+    out = {"Summary": f"{last.n} trials, best value {last.best}", "Pareto front": f"{front.count()} trials: {listed(front)}", "Pinned trials": listed(pinned), "History": f"best value {last.best} after {last.n} trials"}
+    if clusters is not None:
+        out["Clusters"] = ", ".join(f"{r[0]}: {r[1]}" for r in clusters.groupBy("cluster").count().orderBy("cluster").collect())  # a row per cluster
+    return out
+
+
 def session_document(ranges: dict, selected: Sequence[int], pins: Sequence[int]) -> str:
     return json.dumps({"version": "1.0", "filterRanges": ranges, "selectedIndices": list(selected), "pinnedTrials": list(pins)[:MAX_PINS]})
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ def range_filter(df: DataFrame, ranges: dict[str, tuple[float | None, float | No
     return df.where(range_predicate(df, parse_ranges(ranges) if isinstance(ranges, str) else ranges))
 
 
+@dataclass(frozen=True)
+class Selection:
+    """Ranges of axes and positions brushed by hand; every change gives a new selection. Without either all rows are selected."""
+
+    ranges: Mapping[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    brushed: frozenset[int] | None = None
+
+    def with_range(self, axis: str, low: float | None, high: float | None) -> Selection:
+        return Selection({**self.ranges, axis: (low, high)}, None)
+
+    def without_range(self, axis: str) -> Selection:
+        return Selection({k: v for k, v in self.ranges.items() if k != axis}, None)
+
+    def brush(self, positions: Sequence[int]) -> Selection:
+        """Positions take the place of the ranges' result until a range changes."""
+        return Selection(self.ranges, frozenset(positions))
+
+    def clear(self) -> Selection:
+        return Selection()
+
+    def apply(self, df: DataFrame, position: str = "row_idx") -> DataFrame:
+        if self.brushed is not None:
+            wanted = df.sparkSession.createDataFrame([(p,) for p in sorted(self.brushed)], "__wanted long")
+            return df.join(wanted, F.col(position) == F.col("__wanted"), "left_semi")
+        return range_filter(df, dict(self.ranges)) if self.ranges else df
+
+
 def trial_record(schema: StudySchema, df: DataFrame) -> list[Column]:
     """trial_id, numeric params (missing and text: 0) as a map, objective values as an array."""
     kinds = dict(df.dtypes)
@@ -53,11 +81,13 @@ def all_trials(df: DataFrame, schema: StudySchema) -> DataFrame:
 def trials_batch(df: DataFrame, positions: Sequence[int], position: str = "row_idx") -> DataFrame:
     """Rows at the wanted positions with ``ordinal``; positions out of range are skipped."""
     wanted = df.sparkSession.createDataFrame([(i, p) for i, p in enumerate(positions)], "ordinal long, wanted long")
-    return df.join(F.broadcast(wanted), F.col(position) == F.col("wanted")).drop("wanted")  # as many rows as positions given
+    return df.join(wanted, F.col(position) == F.col("wanted")).drop("wanted")
 
 
-def trial_at(df: DataFrame, index: int, position: str = "row_idx") -> DataFrame:
-    return df.where(F.col(position) == index)
+def trial_at(df: DataFrame, index: int, position: str = "row_idx", schema: StudySchema | None = None) -> DataFrame:
+    """The row at a position; with ``schema`` as a typed record (trial_id, params, values)."""
+    row = df.where(F.col(position) == index)
+    return row if schema is None else all_trials(row, schema)
 
 
 def point_positions(df: DataFrame, schema: StudySchema, position: str = "row_idx") -> DataFrame:

@@ -206,6 +206,31 @@ def history_values(points: np.ndarray, good: np.ndarray, ref: np.ndarray) -> np.
     return out
 
 
+def front_line(df: DataFrame, schema: StudySchema) -> DataFrame:
+    """The front in the order of its first objective, as a line is drawn through it."""
+    return front(df, schema).orderBy(schema.objectives[0], schema.id)
+
+
+def drawn_as_front(df: DataFrame, schema: StudySchema) -> DataFrame:
+    """Rows that a view marks as the front: the front, and rows with a NaN objective, which nothing dominates.
+
+    Unlike :func:`front`, which leaves these out.
+    """
+    odd = F.lit(False)
+    for o in schema.objectives:
+        odd = odd | F.isnan(F.col(o).cast("double"))
+    columns = df.columns
+    return front(df.where(~F.coalesce(odd, F.lit(False))), schema).select(*columns).unionByName(df.where(odd))
+
+
+def ranks_and_volume(df: DataFrame, schema: StudySchema) -> tuple[DataFrame, DataFrame, float | None]:
+    """(rows with ranks, ids of rank 1, hypervolume of these); the volume only for two objectives or more and two such rows or more."""
+    ranked = ranks(df, schema)
+    best = ranked.where("rank = 1").select(schema.id)
+    enough = len(schema.objectives) >= 2 and best.limit(2).count() == 2
+    return ranked, best, hypervolume(df, schema).first().hv if enough else None
+
+
 def comparable(a: Sequence[str], b: Sequence[str]) -> bool:
     """Whether two studies have the same directions in the same order."""
     return list(a) == list(b)

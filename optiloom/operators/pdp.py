@@ -93,8 +93,24 @@ def surface(df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str
     return spark.createDataFrame([(float(x), float(y), float(v), float(r2)) for x, y, v in zip(gx[keep], gy[keep], z[keep], strict=True)], kind)
 
 
+class SurfaceCache:
+    """Surfaces of one study by model, params, objective and grid; another study empties it. A surface has at most n * n rows."""
+
+    def __init__(self):
+        self._study: DataFrame | None = None
+        self._held: dict[tuple, DataFrame] = {}
+
+    def surface(self, df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str, n: int = 50, model: str = "ridge") -> DataFrame:
+        if df is not self._study:
+            self._study, self._held = df, {}
+        key = (model, p1, p2, objective, n)
+        if key not in self._held:
+            self._held[key] = surface(df, schema, p1, p2, objective, n, model)
+        return self._held[key]
+
+
 def quality_label(r2: float) -> str:
     return "Good" if r2 >= 0.8 else "Caution" if r2 >= 0.5 else "Not Recommended"
 
 
-__all__ = ["EPS", "linspace", "pdp_1d", "quality_label", "surface"]
+__all__ = ["EPS", "SurfaceCache", "linspace", "pdp_1d", "quality_label", "surface"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiloom.functions import schema as roles
-from optiloom.functions.storage import shared_folder
+from optiloom.functions.storage import Scratch, shared_folder
 from optiloom.operators import cluster, export, filters, history, mcdm, pareto, pdp, sensitivity
 from optiloom.plans import oracles
 from optiloom.plans import studies as st
@@ -322,11 +322,15 @@ def kriging_surface(spark, d):
 
 @query
 def live_replay(spark, d):
-    """The journal of the part study replayed as a stream of segments."""
+    """The journal of the part study replayed as a stream of four segments, one a batch, whose state goes on from batch to batch."""
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     lines = st.journal_lines(st.part_study(spark, d), st.PART).select(F.lit("part").alias("journal"), F.col("line_no").alias("offset"), "value")
-    lines.repartitionByRange(4, "offset").write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("journal string, offset long, value string").parquet(f"{folder}/in")
+    held = Scratch(spark).save(lines)
+    n = held.count()
+    for k in range(4):  # files are streamed in the order in which they were written
+        part = held.where((F.col("offset") >= k * n // 4) & (F.col("offset") < (k + 1) * n // 4))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("journal string, offset long, value string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run = completed_trials(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("study_id", "trial_id", F.element_at("params", F.lit("p_size")).alias("p_size"), F.get("objectives", F.lit(0)).alias("revenue"))

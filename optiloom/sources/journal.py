@@ -67,10 +67,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__m"))
     packed = text.withColumn("__at", F.struct("file_path", "file_block_start", "__m"))
     parts = packed.groupBy("file_path", "file_block_start").agg(F.min("__m").alias("__least"), F.count(F.lit(1)).alias("__n"))
-    from pyspark.sql.window import Window
-
     before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per split
-    placed = packed.join(F.broadcast(before), ["file_path", "file_block_start"])
+    placed = packed.join(before, ["file_path", "file_block_start"])
     return placed.select((F.col("__before") + F.col("__m") - F.col("__least")).alias("line_no"), "value")
 
 

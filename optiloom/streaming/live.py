@@ -3,7 +3,11 @@
 ``JournalTail`` is a streaming source whose offset is a byte position: each
 batch ends at the last complete line, so a half-written line waits. ``tail``
 folds its lines with keyed state: trials wait until they complete and are then
-appended once, with what the batch replay would give.
+appended once, with what the batch replay would give. Writes that no value can
+be read from are skipped, whatever their form; they never end the stream.
+
+A batch takes at most ``MAX_BYTES``, or one line. The source opens its path as a
+file, so the journal must lie where the driver and all executors can read it.
 """
 
 from __future__ import annotations
@@ -11,14 +15,18 @@ from __future__ import annotations
 import json
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StreamingQuery
 
-OUT = "journal string, study_id long, trial_id long, params map<string,double>, param_labels map<string,string>, objectives array<double>, constraints array<double>"
+OUT = "journal string, study_id long, trial_id long, params map<string,double>, param_labels map<string,string>, objectives array<double>, constraints array<double>, attrs_num map<string,double>, attrs_str map<string,string>"
 STATE = "blob string"
+#: Bytes of a journal read for one batch.
+MAX_BYTES = 32 << 20
 
 
 class JournalTail(DataSource):
@@ -47,7 +55,9 @@ class TailReader(SimpleDataSourceStreamReader):
             return [], start
         with open(self.path, "rb") as f:
             f.seek(start)
-            data = f.read(-1 if end is None else end - start)
+            data = f.read(MAX_BYTES if end is None else end - start)
+            while end is None and data and b"\n" not in data and (more := f.read(MAX_BYTES)):
+                data += more
         stop = data.rfind(b"\n") + 1
         rows, at = [], start
         for line in data[:stop].split(b"\n")[:-1]:
@@ -64,35 +74,73 @@ class TailReader(SimpleDataSourceStreamReader):
 
 
 def _distribution(raw) -> dict:
-    d = json.loads(raw) if isinstance(raw, str) else (raw or {})
-    return {**d.get("attributes", {}), **{k: v for k, v in d.items() if k != "attributes"}}
+    """A distribution's fields from an object, an object with attributes or a JSON string of either; else none."""
+    try:
+        d = json.loads(raw) if isinstance(raw, str) else raw
+    except ValueError:
+        d = None
+    d = d if isinstance(d, dict) else {}
+    inner = d.get("attributes")
+    return {**(inner if isinstance(inner, dict) else {}), **{k: v for k, v in d.items() if k != "attributes"}}
+
+
+def _number(x) -> float | None:
+    if isinstance(x, bool) or not isinstance(x, (int, float)):
+        return None
+    try:
+        return float(x)
+    except OverflowError:
+        return math.copysign(math.inf, x)
+
+
+def _numbers(found) -> list[float] | None:
+    """The numbers of a list without its nulls; None if it is no list of numbers."""
+    if not isinstance(found, list) or any(v is not None and _number(v) is None for v in found):
+        return None
+    return [_number(v) for v in found if v is not None]
 
 
 def _half_up(x: float) -> float:
-    return math.copysign(math.floor(abs(x) + 0.5), x)
+    return math.copysign(math.floor(abs(x) + 0.5), x) if math.isfinite(x) else x
+
+
+def _label(choice) -> str:
+    return choice if isinstance(choice, str) else json.dumps(choice)
+
+
+def _choices(d: dict) -> list:
+    return d["choices"] if isinstance(d.get("choices"), list) else []
 
 
 def _set_param(trial: dict, name: str, raw, x: float) -> None:
     d = _distribution(raw)
-    value = math.exp(x) if d.get("log") and d.get("name") in ("FloatDistribution", "IntDistribution") else x
+    value = x
+    if d.get("log") is True and d.get("name") in ("FloatDistribution", "IntDistribution"):
+        value = math.exp(x) if x < 709 else math.inf
     if d.get("name") == "IntDistribution":
-        value = float(d.get("low") or 0) + _half_up(value) * max(float(d.get("step") or 1), 1.0)
+        value = (_number(d.get("low")) or 0.0) + _half_up(value) * max(_number(d.get("step")) or 1.0, 1.0)
     elif d.get("name") == "CategoricalDistribution":
         value = _half_up(x)
-        choices = d.get("choices") or []
-        if 0 <= int(value) < len(choices):
-            c = choices[int(value)]
-            trial["labels"][name] = c if isinstance(c, str) else json.dumps(c)
-    trial["params"][name] = float(value)
+        if math.isfinite(value) and 0 <= value < len(_choices(d)):
+            trial["labels"][name] = _label(_choices(d)[int(value)])
+    trial["params"][name] = value
+
+
+def _set_attributes(trial: dict, found) -> None:
+    for name, v in (found if isinstance(found, dict) else {}).items():
+        if isinstance(v, str):
+            trial["text"][name] = v
+        elif _number(v) is not None:
+            trial["num"][name] = _number(v)
 
 
 class Fold:
     """State of one journal: counters, and the trials that are not complete yet."""
 
-    def __init__(self, text: str | None = None):
+    def __init__(self, text: str | None = None, studies: int = 0, trials: int = 0):
         held = json.loads(text) if text else {}
-        self.studies = held.get("studies", 0)
-        self.trials = held.get("trials", 0)
+        self.studies = held.get("studies", studies)
+        self.trials = held.get("trials", trials)
         self.pending = {int(k): v for k, v in held.get("pending", {}).items()}
 
     def dump(self) -> str:
@@ -108,29 +156,33 @@ class Fold:
         if op == 0:
             self.studies += 1
         elif op == 4 and isinstance(o.get("study_id"), int) and 0 <= o["study_id"] < self.studies:
-            trial = {"study": o["study_id"], "params": {}, "labels": {}, "values": [], "constraints": []}
+            trial = {"study": o["study_id"], "params": {}, "labels": {}, "values": [], "constraints": [], "num": {}, "text": {}}
             self.pending[self.trials] = trial
             self.trials += 1
-            if "distributions" in o:
-                for name, v in (o.get("params") or {}).items():
-                    choices = _distribution((o["distributions"] or {}).get(name)).get("choices") or []
+            if isinstance(o.get("distributions"), dict):
+                for name, v in (o["params"] if isinstance(o.get("params"), dict) else {}).items():
+                    choices = _choices(_distribution(o["distributions"].get(name)))
                     if v in choices and not isinstance(v, float):
-                        trial["labels"][name] = v if isinstance(v, str) else json.dumps(v)
+                        trial["labels"][name] = _label(v)
                         trial["params"][name] = float(choices.index(v))
-                    elif isinstance(v, (int, float)):
-                        trial["params"][name] = float(v)
-                trial["values"] = o.get("values") or ([o["value"]] if o.get("value") is not None else [])
-                trial["constraints"] = (o.get("system_attrs") or {}).get("constraints") or []
+                    elif _number(v) is not None:
+                        trial["params"][name] = _number(v)
+                trial["values"] = _numbers(o.get("values")) or _numbers([o.get("value")]) or []
+                limits = o.get("system_attrs")
+                trial["constraints"] = _numbers(limits.get("constraints") if isinstance(limits, dict) else None) or []
+                _set_attributes(trial, o.get("user_attrs"))
                 return self._settle(self.trials - 1, o.get("state"))
-        elif op in (5, 6, 9) and o.get("trial_id") in self.pending:
+        elif op in (5, 6, 8, 9) and isinstance(o.get("trial_id"), int) and o["trial_id"] in self.pending:
             trial = self.pending[o["trial_id"]]
-            if op == 5 and o.get("param_name"):
-                _set_param(trial, o["param_name"], o.get("distribution"), float(o.get("param_value_internal") or 0.0))
-            elif op == 9 and "constraints" in (o.get("system_attr") or {}):
-                trial["constraints"] = o["system_attr"]["constraints"]
+            if op == 5 and isinstance(o.get("param_name"), str) and o["param_name"]:
+                _set_param(trial, o["param_name"], o.get("distribution"), _number(o.get("param_value_internal")) or 0.0)
+            elif op == 8:
+                _set_attributes(trial, o.get("user_attr"))
+            elif op == 9 and isinstance(o.get("system_attr"), dict) and (limits := _numbers(o["system_attr"].get("constraints"))) is not None:
+                trial["constraints"] = limits
             elif op == 6:
-                if isinstance(o.get("values"), list):
-                    trial["values"] = [v for v in o["values"] if v is not None]
+                if (values := _numbers(o.get("values"))) is not None:
+                    trial["values"] = values
                 return self._settle(o["trial_id"], o.get("state"))
         return None
 
@@ -142,20 +194,41 @@ class Fold:
         return None
 
 
-def _step(key, frames, state):
-    fold = Fold(state.get[0] if state.exists else None)
-    rows = pd.concat(list(frames)).sort_values("offset")
-    out = [t for t in map(fold.feed, rows["value"]) if t]
-    state.update((fold.dump(),))
-    yield pd.DataFrame(
-        [(key[0], t["study"], t["trial_id"], t["params"], t["labels"], [float(v) for v in t["values"]], [float(c) for c in t["constraints"]]) for t in out],
-        columns=["journal", "study_id", "trial_id", "params", "param_labels", "objectives", "constraints"],
-    )
+def _stepper(studies: int, trials: int):
+    def step(key, frames, state):
+        fold = Fold(state.get[0] if state.exists else None, studies, trials)
+        rows = pd.concat(list(frames)).sort_values("offset")
+        out = [t for t in map(fold.feed, rows["value"]) if t]
+        state.update((fold.dump(),))
+        yield pd.DataFrame(
+            [(key[0], t["study"], t["trial_id"], t["params"], t["labels"], t["values"], t["constraints"], t["num"], t["text"]) for t in out],
+            columns=["journal", "study_id", "trial_id", "params", "param_labels", "objectives", "constraints", "attrs_num", "attrs_str"],
+        )
+
+    return step
 
 
-def completed_trials(lines: DataFrame) -> DataFrame:
-    """Trials that complete, from a stream of journal, offset, value. State is one row per journal."""
-    return lines.groupBy("journal").applyInPandasWithState(_step, OUT, STATE, "append", "NoTimeout")
+def completed_trials(lines: DataFrame, studies: int = 0, next_trial: int = 0) -> DataFrame:
+    """Trials that complete, from a stream of journal, offset, value. State is one row per journal.
+
+    Counting starts with ``studies`` known studies and at ``next_trial``, for a
+    tail that begins behind a batch replay. A new checkpoint resets the state.
+    """
+    return lines.groupBy("journal").applyInPandasWithState(_stepper(studies, next_trial), OUT, STATE, "append", "NoTimeout")
+
+
+def keep_running(start: Callable[[], StreamingQuery], most: int = 3) -> None:
+    """Runs the query that ``start`` begins until it ends by itself. After an error it begins anew, until ``most`` errors follow each other without a batch between them."""
+    failed = 0
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return
+        except StreamingQueryException:
+            failed = 1 if query.lastProgress else failed + 1
+            if failed >= most:
+                raise
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
