@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from optiloom.llm.quality_rules import BOILERPLATE, SYMBOLS
-from optiloom.llm.secrets import RULES
-
+#: Fixed values, written out here and not taken from the operators: the contract's kinds of secrets, then the two that the method adds.
+RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36),
+)
+SYMBOLS = "#*$%&|<>"
+BOILERPLATE = ("accept all cookies", "all rights reserved", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "use of cookies")
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,4 +87,22 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT A
 FROM d LEFT JOIN n USING (r) LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)"""
 
 
-SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8()}
+def _op9() -> str:
+    words = f"list_sort(list_distinct(regexp_extract_all(l, '{_WORD}')))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+li AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+s AS (SELECT r, i, l, {words} AS k, row_number() OVER (ORDER BY doc_id NULLS FIRST, r, i) AS p FROM li),
+w AS (SELECT p, k, len(k) AS n, min(p) OVER (PARTITION BY k) AS first FROM s WHERE len(k) > 0),
+f AS (SELECT p, k, n FROM w WHERE p = first),
+t AS (SELECT p, n, unnest(k) AS tok FROM f WHERE n > 3),
+c AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
+o AS (SELECT p, n, tok, row_number() OVER (PARTITION BY p ORDER BY c, tok) AS place FROM t JOIN c USING (tok)),
+x AS (SELECT * FROM o WHERE place <= n - (4 * n + 4) // 5 + 1),
+j AS (SELECT DISTINCT a.p AS p, b.p AS q FROM x a JOIN x b ON a.tok = b.tok AND a.p > b.p AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+near AS (SELECT DISTINCT j.p FROM j JOIN f a ON a.p = j.p JOIN f b ON b.p = j.q WHERE 9 * len(list_intersect(a.k, b.k)) >= 4 * (a.n + b.n)),
+gone AS (SELECT p FROM w WHERE p <> first UNION SELECT p FROM near),
+e AS (SELECT r, count(*) AS n, count(gone.p) AS g, string_agg(l, chr(10) ORDER BY i) FILTER (WHERE gone.p IS NULL) AS kept FROM s LEFT JOIN gone USING (p) GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN e USING (r)"""
+
+
+SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8(), "op9_line_dedup": _op9()}
