@@ -12,7 +12,7 @@ Edge cases: null texts have no words; a null item id counts as the empty id;
 items without words match nothing; repeated items and rows are harmless (items
 are counted by distinct id); an empty benchmark contaminates nothing. Columns
 of the documents pass through; the result is in one struct column whose name
-the caller chooses.
+the caller chooses and which may not be among them (``__decon`` in :func:`clean`).
 """
 
 from __future__ import annotations
@@ -99,6 +99,8 @@ def _shards(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[st
 
 def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "decon", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with struct column ``out``: n_words, n_hit, sorted item ids, spans in the original text."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"column {out} is there already")
     shards = _shards(benchmark, item_id, item_text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
 

@@ -9,7 +9,9 @@ Blobs are represented by one (path, blob) pair chosen before any text moves, so
 a blob with very many copies costs one hash row per copy and one scan.
 
 Edge cases: a null text is the empty blob; null paths are kept (null-safe
-joins); repeated rows come back once each; other columns are ignored.
+joins); repeated rows come back once each; of spans that start together the one
+of the earlier rule comes first; a text of very many spans takes time that grows
+with their square; an empty table has no findings; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from optiloom.functions.storage import saved
 from optiloom.llm.native import EMPTY_SHA256, let
 
 #: Kind, pattern, group whose length is tested, least length. The order breaks ties between equal starts.
@@ -60,27 +63,42 @@ def scan(blobs: DataFrame, text: str = "text") -> DataFrame:
     return blobs.withColumn("spans", F.sort_array(F.concat(*one)))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, news): spans per version, and the ledger rows (blob, rules_version, spans) to append.
+def _addressed(versions: DataFrame, path: str, text: str) -> DataFrame:
+    held = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return held.withColumn("blob", F.sha2("text", 256))
 
-    ``ledger`` has earlier news; pairs in it are not scanned again.
-    """
-    held = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    address = held.select("path", "blob")
-    unseen = address.groupBy("blob").agg(F.min(F.struct("path")).alias("first"))
-    known = None
+
+def _known(ledger: DataFrame) -> DataFrame:
+    """blob and spans under the present rules, once for each blob however often the ledger holds it."""
+    return ledger.where(F.col("rules_version") == RULES_VERSION).select("blob", "spans").dropDuplicates(["blob"])
+
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text") -> DataFrame:
+    """Rows to append to the ledger (blob, rules_version, spans): those of blobs that it lacks under the present rules."""
+    held = _addressed(versions, path, text)
+    unseen = held.groupBy("blob").agg(F.min(F.struct("path")).alias("first"))
     if ledger is not None:
-        known = ledger.where(F.col("rules_version") == RULES_VERSION).select("blob", "spans")
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+        unseen = unseen.join(_known(ledger).select("blob"), "blob", "left_anti")
     chosen = unseen.select(F.col("blob").alias("__blob"), F.col("first.path").alias("__path"))
     texts = held.join(chosen, (F.col("blob") == F.col("__blob")) & F.col("path").eqNullSafe(F.col("__path")), "left_semi")
     scanned = scan(texts).select("blob", "spans")
-    news = scanned.groupBy("blob").agg(F.lit(RULES_VERSION).alias("rules_version"), F.first("spans").alias("spans"))
-    spans = news.select("blob", "spans").where(F.size("spans") > 0)  # above the aggregate, so that only chosen blobs are scanned
-    if known is not None:
-        spans = spans.unionByName(known.where(F.size("spans") > 0))
-    found = address.join(spans, "blob", "left")
-    return found.select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")), news
+    return scanned.groupBy("blob").agg(F.lit(RULES_VERSION).alias("rules_version"), F.first("spans").alias("spans"))
+
+
+def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path, blob and spans of every version, as the ledger has them."""
+    spans = _known(ledger).where(F.size("spans") > 0)
+    found = _addressed(versions, path, text).select("path", "blob").join(spans, "blob", "left")
+    return found.select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings, news): spans per version, and the ledger rows to append, which are written once to the shared folder.
+
+    ``ledger`` has earlier news; pairs of blob and rules version in it are not scanned again.
+    """
+    news = saved(scan_unseen(versions, ledger, path, text))
+    return findings(versions, news if ledger is None else news.unionByName(ledger), path, text), news
 
 
 def _joined(spans: Column) -> Column:

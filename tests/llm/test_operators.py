@@ -141,6 +141,10 @@ def test_ledger_scans_only_unseen_blobs(docs, spark):
     second, later = secrets.scan_versions(more, news)
     assert later.count() == 1 and second.count() == first.count() + 2
     assert second.where("path = 99").first().spans[0].kind == "assign"
+    twice, none = secrets.scan_versions(more, news.unionByName(news).unionByName(later))  # rows appended twice, as after a retry
+    assert none.count() == 0 and sorted(map(repr, twice.collect())) == sorted(map(repr, second.collect()))
+    old = news.withColumn("rules_version", F.lit(0))
+    assert secrets.scan_versions(versions, old)[1].count() == news.count()
 
 
 def test_quality_rules(docs, empty):
@@ -508,3 +512,16 @@ def test_pipeline(docs, spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 7 not in got and 1 in got and 12 not in got and 9 in got
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "sentencepiece"]
+
+
+def test_pipeline_of_empty_tables(docs, empty, spark, tmp_path):
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, table in (("none", empty), ("some", docs)):
+        folder = str(tmp_path / name)
+        table.select(*columns).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns == ["doc_id", "tokens", "n_tokens", "round_trip"]
+        assert got.count() == 0 if name == "none" else {1, 7, 9} <= {r.doc_id for r in got.collect()}
