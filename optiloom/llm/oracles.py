@@ -105,4 +105,22 @@ e AS (SELECT r, count(*) AS n, count(gone.p) AS g, string_agg(l, chr(10) ORDER B
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN e USING (r)"""
 
 
-SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8(), "op9_line_dedup": _op9()}
+def _op12() -> str:
+    steps = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v ORDER BY h LIMIT 16))",
+    ]
+    for t in range(4):
+        far = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"a{t} AS (SELECT r, any_value(v.vec_id) AS vec_id, any_value(v.e) AS e, min(struct_pack(d := {far}, k := c.k)) AS m FROM v, c{t} AS c GROUP BY r)")
+        if t < 3:
+            steps.append(f"""s{t} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{t}) GROUP BY k, i),
+n{t} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM s{t} GROUP BY k),
+c{t + 1} AS (SELECT c.k, coalesce(n.e, c.e) AS e FROM c{t} AS c LEFT JOIN n{t} AS n USING (k))""")
+    return f"""WITH {", ".join(steps)}
+SELECT a.vec_id, a.m.k::INTEGER AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.k))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a3 AS a JOIN c3 AS c ON c.k = a.m.k"""
+
+
+SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8(), "op9_line_dedup": _op9(), "op12_centroid_clustering": _op12()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import decontaminate, html_extract, line_dedup, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import centroids, decontaminate, html_extract, line_dedup, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(_table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +68,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece, op8_decontamination, op9_line_dedup, op10_simhash, pipeline)}
+    found = (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece)
+    found += (op8_decontamination, op9_line_dedup, op10_simhash, op12_centroid_clustering, op13_token_counts, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
