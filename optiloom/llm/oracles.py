@@ -105,6 +105,24 @@ e AS (SELECT r, count(*) AS n, count(gone.p) AS g, string_agg(l, chr(10) ORDER B
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN e USING (r)"""
 
 
+def _op11() -> str:
+    return """WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n)) AS tab),
+c AS (SELECT c, c - c % 100 AS b, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1]), 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), tab),
+k AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x FROM conversations),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS i, n, x FROM k),
+r AS (SELECT c, 0 AS part, i, n, x FROM c JOIN o ON conv_id = b AND i <= h UNION ALL SELECT c, 1, i, n, x FROM c JOIN o ON conv_id = c AND i > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, n, x FROM r),
+m AS (SELECT c, 0 AS d, []::VARCHAR[] AS p, 0 AS n FROM c UNION ALL SELECT c, d, list(x) OVER (PARTITION BY c ORDER BY d), n FROM s),
+z AS (SELECT c, max(d) AS size FROM m GROUP BY c),
+g AS (SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saves, bool_and(d = size) AS leaf, string_agg(c, ',' ORDER BY c) FILTER (WHERE d = size) AS ends FROM m JOIN z USING (c) GROUP BY p),
+u AS (SELECT DISTINCT a.p AS top, b.p FROM m AS a JOIN m AS b ON a.c = b.c AND b.d >= a.d),
+t AS (SELECT top AS p, sum(leaf::INTEGER)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens FROM u JOIN g USING (p) GROUP BY top),
+h AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1)
+SELECT g.conv_id, g.d AS depth, CASE WHEN g.d > 0 THEN up.conv_id END AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN t USING (p) LEFT JOIN h USING (p) LEFT JOIN g AS up ON up.p = g.p[1:g.d - 1]"""
+
+
 def _op12() -> str:
     steps = [
         """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -123,4 +141,4 @@ SELECT a.vec_id, a.m.k::INTEGER AS cluster, a.m.d AS distance, (sum(a.m.d) OVER
   sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a3 AS a JOIN c3 AS c ON c.k = a.m.k"""
 
 
-SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8(), "op9_line_dedup": _op9(), "op12_centroid_clustering": _op12()}
+SQL = {"op2_substring_dedup": _op2(), "op3_secret_scan": _op3(), "op6_quality_rules": _op6(), "op8_decontamination": _op8(), "op9_line_dedup": _op9(), "op11_conversation_trie": _op11(), "op12_centroid_clustering": _op12()}

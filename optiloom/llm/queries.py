@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiloom.llm import centroids, decontaminate, html_extract, line_dedup, oracles, pieces, quality_fm, quality_rules, secrets, simhash, substrings, token_counts, toxicity
+from optiloom.llm import centroids, decontaminate, html_extract, line_dedup, oracles, pieces, prefix_trie, quality_fm, quality_rules, secrets, simhash, substrings, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(_table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_toxicity, op2_substring_dedup, op3_secret_scan, op4_quality_classifier, op5_html_extraction, op6_quality_rules, op7_sentencepiece)
-    found += (op8_decontamination, op9_line_dedup, op10_simhash, op12_centroid_clustering, op13_token_counts, pipeline)
+    found += (op8_decontamination, op9_line_dedup, op10_simhash, op11_conversation_trie, op12_centroid_clustering, op13_token_counts, pipeline)
     return {f.__name__: f for f in found}
 
 
