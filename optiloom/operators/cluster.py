@@ -8,15 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiloom.functions.ordered import running, with_position
+from optiloom.functions import blocks
+from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import EPS, StudySchema
-from optiloom.functions.storage import checkpointed
+from optiloom.functions.storage import Scratch
 from optiloom.operators.filters import long_form
 from optiloom.operators.sensitivity import moments
 
 MAX_ROUNDS = 300
-#: Values (rows times columns) clustered on the driver; larger data stay distributed.
-LOCAL_VALUES = 1_000_000
+#: Parts of a range of rows whose sums of squared distances are told apart in one scan.
+SECTIONS = 512
+#: Rows that a seeding step fetches at most, for each number of clusters.
+FETCHED = 1024
 
 
 def features(df: DataFrame, schema: StudySchema, space: str) -> list:
@@ -41,24 +44,21 @@ def pca(df: DataFrame, columns: Sequence, k: int) -> tuple[DataFrame, np.ndarray
     values, loads = np.maximum(values[::-1], 0), loads[:, ::-1]
     loads = loads * np.where(loads[np.abs(loads).argmax(0), np.arange(loads.shape[1])] < 0, -1, 1)
     k = min(k, len(values))
-    cols = [F.col(c).cast("double") if isinstance(c, str) else c for c in columns]
-    out = {}
-    for j in range(k):
-        e = F.lit(0.0)
-        for i, c in enumerate(cols):
-            e = e + (c - float(m.mean[i])) * float(loads[i, j])
-        out[f"pc{j + 1}"] = e
-    return df.withColumns(out), values[:k], loads[:, :k]
+    names = [f"__x{i}" for i in range(len(columns))]
+    cols = {n: (F.col(c) if isinstance(c, str) else c).cast("double") for n, c in zip(names, columns, strict=True)}
+    shifted = [f"({n} - {_literal(v)})" for n, v in zip(names, m.mean, strict=True)]
+    out = {f"pc{j + 1}": F.expr(" + ".join(f"{x} * {_literal(v)}" for x, v in zip(shifted, loads[:, j], strict=True))) for j in range(k)}
+    return df.withColumns(cols).withColumns(out).drop(*names), values[:k], loads[:, :k]
+
+
+def _literal(x: float) -> str:
+    return f"({float(x)!r}D)"
 
 
 def _distances(names: Sequence[str], centers: np.ndarray):
-    out = []
-    for c in centers:
-        e = F.lit(0.0)
-        for n, v in zip(names, c, strict=True):
-            e = e + (F.col(n) - float(v)) * (F.col(n) - float(v))
-        out.append(e)
-    return out
+    """Squared distances to each center, added up column by column; one expression text a center, as there are many terms."""
+    quoted = ["`" + n.replace("`", "``") + "`" for n in names]
+    return [F.expr("0D" + "".join(f" + ({n} - {_literal(v)}) * ({n} - {_literal(v)})" for n, v in zip(quoted, c, strict=True))) for c in centers]
 
 
 def assigned(df: DataFrame, names: Sequence[str], centers: np.ndarray) -> DataFrame:
@@ -67,22 +67,156 @@ def assigned(df: DataFrame, names: Sequence[str], centers: np.ndarray) -> DataFr
     return df.withColumn("__d", d).withColumn("d2", F.array_min("__d")).withColumn("label", (F.array_position("__d", F.col("d2")) - 1).cast("int")).drop("__d")
 
 
-def lloyd(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(labels, centers, sum of squares) of rows in order, by the same seeding and rounds as the distributed form."""
-    centers = [x[len(x) // 2]]
-    for c in range(1, k):
-        total = np.cumsum(((x[:, None] - np.array(centers)) ** 2).sum(2).min(1))
-        centers.append(x[min(int(np.searchsorted(total, total[-1] / (k - c + 1))), len(x) - 1)])
-    centers, before = np.array(centers, float), None
-    for _ in range(MAX_ROUNDS):
-        d = ((x[:, None] - centers) ** 2).sum(2)
-        label = d.argmin(1)
-        if before is not None and (label == before).all():
-            break
-        before = label
-        for j in np.unique(label):
-            centers[j] = x[label == j].mean(0)
-    return label, centers, float(d.min(1).sum())
+def squared_distances(x: np.ndarray, center: Sequence[float]) -> np.ndarray:
+    """Of the rows of ``x`` (one array a column), added up column by column as :func:`assigned` does."""
+    out = np.zeros(x.shape[1])
+    for values, c in zip(x, center, strict=True):
+        out += (values - c) * (values - c)
+    return out
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, squared distance); ties go to the lowest label."""
+    d = np.stack([squared_distances(x, c) for c in centers])
+    label = d.argmin(axis=0)
+    return label, d[label, np.arange(len(label))]
+
+
+def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, one array a column) of a batch of row_idx and v."""
+    return batch.column("row_idx").to_numpy(), np.ascontiguousarray(blocks.vectors(batch.column("v")).T)
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b
+
+
+def _sections(rows: DataFrame, centers: dict[int, np.ndarray], at: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+    """For each k the sums of squared distances to its centers over ``SECTIONS`` even sections of its range of positions."""
+    ks = sorted(at)
+    width = {k: -(-(at[k][1] - at[k][0]) // SECTIONS) for k in ks}
+
+    def step(state: np.ndarray | None, batch) -> np.ndarray:
+        place, x = _columns(batch)
+        state = np.zeros(len(ks) * SECTIONS) if state is None else state
+        for i, k in enumerate(ks):
+            inside = np.flatnonzero((place >= at[k][0]) & (place < at[k][1]))
+            if len(inside):
+                d = _nearest(x[:, inside], centers[k])[1]
+                state += np.bincount(i * SECTIONS + (place[inside] - at[k][0]) // width[k], d, len(state))
+        return state
+
+    low, high = min(a for a, _ in at.values()), max(b for _, b in at.values())
+    found = blocks.fold(rows.where(F.col("row_idx").between(low, high - 1)), step, _add)
+    return {k: found[i * SECTIONS : (i + 1) * SECTIONS] for i, k in enumerate(ks)}
+
+
+def _next_centers(rows: DataFrame, n: int, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each k the row at which the running sum of squared distances reaches its even share: found by sums of sections, then of sections of that section, until a few rows are left."""
+    at = dict.fromkeys(centers, (0, n))
+    share: dict[int, float] = {}
+    while wide := {k: r for k, r in at.items() if r[1] - r[0] > FETCHED}:
+        for k, sums in _sections(rows, centers, wide).items():
+            low, high = at[k]
+            width = -(-(high - low) // SECTIONS)
+            upto = np.cumsum(sums)
+            share.setdefault(k, upto[-1] / (k - len(centers[k]) + 1))
+            hit = min(int(np.searchsorted(upto, share[k])), (high - low - 1) // width)
+            share[k] -= upto[hit - 1] if hit else 0.0
+            at[k] = (low + hit * width, min(low + (hit + 1) * width, high))
+    inside = F.lit(False)
+    for low, high in set(at.values()):
+        inside = inside | F.col("row_idx").between(low, high - 1)
+    near = sorted(rows.where(inside).collect(), key=lambda r: r.row_idx)  # at most FETCHED rows a k
+    out = {}
+    for k, (low, high) in at.items():
+        own = np.array([r.v for r in near if low <= r.row_idx < high], float)
+        upto = np.cumsum(_nearest(own.T, centers[k])[1])
+        goal = share.get(k, upto[-1] / (k - len(centers[k]) + 1))
+        out[k] = own[min(int(np.searchsorted(upto, goal)), len(own) - 1)]
+    return out
+
+
+def clusterings(df: DataFrame, names: Sequence[str], ks: Sequence[int], order: str) -> dict[int, tuple[np.ndarray, float]]:
+    """(centers, within-cluster sum of squares) for every k of ``ks``, all advanced by the same scans.
+
+    Rows are numbered by ``order`` and written once, narrow, to the shared folder.
+    A scan sends one state a task: for each k sums and counts by cluster, the sum of
+    squares and a mark of all labels; rounds end for a k when its mark stays.
+    Only centers and such states reach the driver.
+    """
+    work = Scratch(df.sparkSession)
+    try:
+        packed = df.select(F.col(order).alias("__order"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+        rows = work.save(with_position(packed, "__order").select("row_idx", "v"))
+        n = rows.count()
+        centers = {k: np.zeros((0, len(names))) for k in ks if 1 <= k <= n}
+        if not centers:
+            return {k: (np.zeros((0, len(names))), 0.0) for k in ks}
+        first = np.array([rows.where(F.col("row_idx") == n // 2).first().v], float)
+        centers = dict.fromkeys(centers, first)
+        while short := {k: c for k, c in centers.items() if len(c) < k}:
+            for k, row in _next_centers(rows, n, short).items():
+                centers[k] = np.concatenate([centers[k], row[None]])
+        done: dict[int, tuple[np.ndarray, float]] = {k: (np.zeros((0, len(names))), 0.0) for k in ks}
+        marks: dict[int, int] = {}
+        for _ in range(MAX_ROUNDS):
+            for k, (mark, wcss, counts, sums) in _round(rows, centers).items():
+                done[k] = (centers[k], wcss)
+                if marks.get(k) == mark:
+                    del marks[k], centers[k]
+                    continue
+                marks[k] = mark
+                used = counts > 0
+                centers[k] = centers[k].copy()
+                centers[k][used] = sums[used] / counts[used, None]
+            if not centers:
+                break
+        return done
+    finally:
+        work.drop()
+
+
+def _round(rows: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple[int, float, np.ndarray, np.ndarray]]:
+    """For each k: (mark of all labels, sum of squares, counts, sums by cluster)."""
+    ks = sorted(centers)
+    width = centers[ks[0]].shape[1]
+    cuts = np.cumsum([0, *(2 + k * (width + 1) for k in ks)])
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a + b
+        at = cuts[:-1]
+        out[at] = (a[at].view(np.uint64) + b[at].view(np.uint64)).view(float)  # marks add modulo 2**64
+        return out
+
+    def step(state: np.ndarray | None, batch) -> np.ndarray:
+        place, x = _columns(batch)
+        own = np.zeros(cuts[-1])
+        for k, low in zip(ks, cuts, strict=False):
+            label, d = _nearest(x, centers[k])
+            own[low] = _mark(place, label)
+            own[low + 1] = d.sum()
+            own[low + 2 : low + 2 + k] = np.bincount(label, minlength=k)
+            by = own[low + 2 + k : low + 2 + k * (width + 1)].reshape(k, width)
+            for j, values in enumerate(x):
+                by[:, j] = np.bincount(label, values, k)
+        return own if state is None else merge(state, own)
+
+    found = blocks.fold(rows, step, merge)
+    out = {}
+    for k, low in zip(ks, cuts, strict=False):
+        part = found[low : low + 2 + k * (width + 1)]
+        out[k] = int(part[:1].view(np.uint64)[0]), float(part[1]), part[2 : 2 + k], part[2 + k :].reshape(k, width)
+    return out
+
+
+def _mark(place: np.ndarray, label: np.ndarray) -> float:
+    """A 64-bit sum of mixed (position, label) pairs, as the bits of a double."""
+    x = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + label.astype(np.uint64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x.sum(dtype=np.uint64).view(float)
 
 
 def kmeans(df: DataFrame, names: Sequence[str], k: int, order: str) -> tuple[DataFrame, np.ndarray, float]:
@@ -90,47 +224,19 @@ def kmeans(df: DataFrame, names: Sequence[str], k: int, order: str) -> tuple[Dat
 
     The first center is the middle row; each next is the row at which the
     running sum of squared distances, in row order, reaches its even share. Row
-    orders are unique. Fewer rows than ``k``: all label 0 and no centers. Above
-    ``LOCAL_VALUES`` only centers reach the driver.
+    orders are unique. Fewer rows than ``k``: all label 0 and no centers.
     """
-    data = checkpointed(df)
-    n = data.count()
-    if n < k or k < 1:
-        return data.withColumn("label", F.lit(0)), np.zeros((0, len(names))), 0.0
-    if n * len(names) <= LOCAL_VALUES:
-        local = data.select(order, *[F.col(c).cast("double").alias(c) for c in names]).toPandas().sort_values(order, kind="stable")
-        label, centers, wcss = lloyd(local[list(names)].to_numpy(), k)
-        kind = data.schema[order].dataType.simpleString()
-        found = df.sparkSession.createDataFrame(list(zip(local[order].tolist(), label.tolist(), strict=True)), f"__o {kind}, label int")
-        rows = data.drop("label")
-        return rows.join(found, rows[order] == found["__o"]).drop("__o"), centers, wcss
-    placed = checkpointed(with_position(data, order))
-    centers = [list(placed.where(F.col("row_idx") == n // 2).select(*names).first())]
-    for c in range(1, k):
-        near = assigned(placed, names, np.array(centers, float))
-        run = checkpointed(running(near, "row_idx", F.col("d2"), F.sum, "__sum"))
-        total = run.agg(F.max("__sum")).first()[0]
-        hit = run.where(F.col("__sum") >= total / (k - c + 1)).orderBy("row_idx").select(*names).first()
-        centers.append(list(hit))
-    centers = np.array(centers, float)
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = assigned(placed, names, centers)
-        stats = now.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row_idx", "label")).alias("x"), F.sum("d2").alias("w"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(names)]).collect()
-        mark = sorted((r["label"], r["n"], r["x"]) for r in stats)
-        wcss = sum(r["w"] for r in stats)
-        if mark == before:
-            break
-        before = mark
-        for r in stats:
-            centers[r["label"]] = [r[f"__m{i}"] for i in range(len(names))]
-    return assigned(placed, names, centers).drop("row_idx", "d2"), centers, float(wcss)
+    centers, wcss = clusterings(df, names, [k], order)[k]
+    if not len(centers):
+        return df.withColumn("label", F.lit(0)), centers, wcss
+    return assigned(df, names, centers).drop("d2"), centers, wcss
 
 
 def elbow(df: DataFrame, names: Sequence[str], order: str, max_k: int = 10) -> tuple[list[float], int]:
     """(sums of squares for k = 2.., recommended k): the greatest second difference, the last of equal ones."""
     top = min(max_k, df.count())
-    values = [kmeans(df, names, k, order)[2] for k in range(2, top + 1)]
+    found = clusterings(df, names, list(range(2, top + 1)), order)
+    values = [found[k][1] for k in range(2, top + 1)]
     if len(values) < 3:
         return values, min(max(len(values) + 1, 2), max(top, 2))
     bends = [values[i] - 2 * values[i + 1] + values[i + 2] for i in range(len(values) - 2)]

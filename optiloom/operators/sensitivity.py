@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from optiloom.functions import blocks
 from optiloom.functions.ordered import running, with_position
 from optiloom.functions.schema import EPS, StudySchema, finite
 from optiloom.operators.filters import long_form
@@ -84,15 +85,34 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: Sequence) -> Moments:
-    """One aggregation over the rows: the upper triangle of the cross products."""
-    c = [F.col(x).cast("double") if isinstance(x, str) else x for x in columns]
+    """Moments of all rows whose columns are all finite, in one pass.
+
+    Every task adds up centered cross products as matrix products of whole
+    batches; states of two tasks merge by the difference of their means, so large
+    means cost no digits and the plan does not grow with the number of columns.
+    """
+    c = [F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in columns]
     p = len(c)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(c)], *[F.covar_pop(c[i], c[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cross = np.zeros((p, p))
-    for i, j in pairs:
-        cross[i, j] = cross[j, i] = (row[f"c{i}_{j}"] or 0.0) * row["n"]
-    return Moments(row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(p)]), cross)
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        na, nb = a[0], b[0]
+        if not na or not nb:
+            return a if na else b
+        shift = b[1 : p + 1] - a[1 : p + 1]
+        cross = a[p + 1 :] + b[p + 1 :] + (np.outer(shift, shift) * (na * nb / (na + nb))).ravel()
+        return np.concatenate([[na + nb], a[1 : p + 1] + shift * (nb / (na + nb)), cross])
+
+    def step(state: np.ndarray | None, batch) -> np.ndarray:
+        x = blocks.matrix(batch)
+        x = x[np.isfinite(x).all(axis=1)]
+        mean = x.mean(axis=0) if len(x) else np.zeros(p)
+        own = np.concatenate([[len(x)], mean, ((x - mean).T @ (x - mean)).ravel()])
+        return own if state is None else merge(state, own)
+
+    found = blocks.fold(df.select(*[x.alias(f"c{i}") for i, x in enumerate(c)]), step, merge)
+    if found is None:
+        return Moments(0, np.zeros(p), np.zeros((p, p)))
+    return Moments(int(found[0]), found[1 : p + 1], found[p + 1 :].reshape(p, p))
 
 
 @dataclass

@@ -289,7 +289,7 @@ def sobol(spark, d):
 @query
 def pca_projection(spark, d):
     rows, names = st.embedding_columns(spark, d)
-    return cluster.pca(rows, names, 2)[0].select("vec_id", "pc1", "pc2")
+    return _round(cluster.pca(rows, names, 2)[0].select("vec_id", "pc1", "pc2"), 5, "pc1", "pc2")
 
 
 @query
@@ -302,7 +302,7 @@ def kmeans(spark, d):
 def elbow(spark, d):
     rows, names = st.embedding_columns(spark, d)
     values, best = cluster.elbow(rows, names, "vec_id")
-    return spark.createDataFrame([(i + 2, v, i + 2 == best) for i, v in enumerate(values)], "k int, wcss double, recommended boolean")
+    return _round(spark.createDataFrame([(i + 2, v, i + 2 == best) for i, v in enumerate(values)], "k int, wcss double, recommended boolean"), 4, "wcss")
 
 
 @query

@@ -61,6 +61,51 @@ def _topsis(source: str, objectives: list[tuple[str, bool]], weights: list[float
     return f"SELECT trial_id, round(sqrt({minus}) / (sqrt({plus}) + sqrt({minus})), 8) AS score FROM {source}, (SELECT {aggs} FROM {source})"
 
 
+def _pca(squarings: int = 18) -> str:
+    """The two leading components by repeated squaring of the covariance matrix, the second after deflation."""
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+        "m AS MATERIALIZED (SELECT i, avg(x) AS m, count(*) AS n FROM v GROUP BY i)",
+        "z AS MATERIALIZED (SELECT vec_id, i, x - m AS x, n FROM v JOIN m USING (i))",
+        "c1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS c FROM z AS a JOIN z AS b USING (vec_id) GROUP BY a.i, b.i)",
+    ]
+    for k in (1, 2):
+        for t in range(squarings + 1):
+            rows = f"SELECT i, j, c FROM c{k}" if t == 0 else f"SELECT a.i, b.j, sum(a.c * b.c) AS c FROM p{k}_{t - 1} AS a JOIN p{k}_{t - 1} AS b ON a.j = b.i GROUP BY a.i, b.j"
+            steps.append(f"p{k}_{t} AS MATERIALIZED (SELECT i, j, c / sum(c) FILTER (WHERE i = j) OVER () AS c FROM ({rows}))")
+        last = f"p{k}_{squarings}"
+        steps.append(f"w{k} AS MATERIALIZED (SELECT i, c / sqrt((SELECT max(c) FROM {last} WHERE i = j)) AS w FROM {last} WHERE j = (SELECT arg_max(i, c) FROM {last} WHERE i = j))")
+        if k == 1:
+            steps.append("c2 AS MATERIALIZED (SELECT c.i, c.j, c.c - (SELECT sum(a.w * q.c * b.w) FROM c1 AS q JOIN w1 AS a ON a.i = q.i JOIN w1 AS b ON b.i = q.j) * a.w * b.w AS c FROM c1 AS c JOIN w1 AS a ON a.i = c.i JOIN w1 AS b ON b.i = c.j)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, round(sum(x * w1.w), 5) AS pc1, round(sum(x * w2.w), 5) AS pc2 FROM z JOIN w1 USING (i) JOIN w2 USING (i) GROUP BY vec_id"
+
+
+def _kmeans(k: int, rounds: int = 40) -> str:
+    """CTEs of seeding and Lloyd rounds; ``l{k}`` holds rows with their labels and squared distances, settled by the last round."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [f"s{k}_1 AS MATERIALIZED (SELECT 0 AS j, x FROM v WHERE i = (SELECT count(*) // 2 FROM v))"]
+    for c in range(1, k):
+        steps.append(f"d{k}_{c} AS MATERIALIZED (SELECT i, sum(d) OVER (ORDER BY i) AS upto, sum(d) OVER () / {k - c + 1} AS goal FROM (SELECT v.i, min({far}) AS d FROM v, s{k}_{c} AS c GROUP BY v.i))")
+        steps.append(f"s{k}_{c + 1} AS MATERIALIZED (SELECT j, x FROM s{k}_{c} UNION ALL SELECT {c}, x FROM v WHERE i = (SELECT min(i) FROM d{k}_{c} WHERE upto >= goal))")
+    centers = f"s{k}_{k}"
+    for t in range(rounds + 1):
+        steps.append(f"a{k}_{t} AS MATERIALIZED (SELECT v.i, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min(struct_pack(d := {far}, j := c.j)) AS m FROM v, {centers} AS c GROUP BY v.i)")
+        steps.append(f"c{k}_{t} AS MATERIALIZED (SELECT c.j, coalesce(n.x, c.x) AS x FROM {centers} AS c LEFT JOIN (SELECT j, list(x ORDER BY g) AS x FROM (SELECT j, g, avg(x) AS x FROM (SELECT m.j AS j, unnest(x) AS x, generate_subscripts(x, 1) AS g FROM a{k}_{t}) GROUP BY j, g) GROUP BY j) AS n USING (j))")
+        centers = f"c{k}_{t}"
+    steps.append(f"l{k} AS MATERIALIZED (SELECT vec_id, m.j AS label, m.d AS d FROM a{k}_{rounds})")
+    return ", ".join(steps)
+
+
+_VECTORS = "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
+
+
+def _elbow(top: int = 10) -> str:
+    sums = " UNION ALL ".join(f"SELECT {k} AS k, sum(d) AS w FROM l{k}" for k in range(2, top + 1))
+    return f"""WITH {_VECTORS}, {", ".join(_kmeans(k) for k in range(2, top + 1))}, w AS MATERIALIZED ({sums}),
+b AS (SELECT k, lag(w) OVER (ORDER BY k) - 2 * w + lead(w) OVER (ORDER BY k) AS bend FROM w)
+SELECT k, round(w, 4) AS wcss, k = (SELECT k FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k DESC LIMIT 1) AS recommended FROM w"""
+
+
 _BEST = f"{EVENTS}, b AS (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY trial_id ROWS UNBOUNDED PRECEDING) AS best FROM e)"
 _JOURNAL = f"{PART}, {_INDEXED}, j AS (SELECT * FROM i WHERE row_idx % 10 <> 9)"
 _STATS = ["p_size", "p_retailprice", "revenue", "quantity"]
@@ -115,4 +160,7 @@ SQL = {
     "journal_trials": f"WITH {_JOURNAL} SELECT row_idx AS trial_id, p_size, revenue, trial_id AS key, 'x' AS tag, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",
     "journal_study_table": f"WITH {_JOURNAL} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, row_idx AS trial_id, p_size, revenue AS obj0, -1.0::DOUBLE AS c2, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",
     "live_replay": f"WITH {_JOURNAL} SELECT 0::BIGINT AS study_id, row_idx AS trial_id, p_size, revenue FROM j",
+    "pca_projection": _pca(),
+    "kmeans": f"WITH {_VECTORS}, {_kmeans(4)} SELECT vec_id, label::INTEGER AS label FROM l4",
+    "elbow": _elbow(),
 }

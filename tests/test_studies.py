@@ -125,9 +125,7 @@ def test_sobol_bounds(spark):
     assert rows["a"].s1 > 0.8 > 0.2 > rows["b"].s1 and all(0 <= r.st <= 1 for r in rows.values())
 
 
-@pytest.mark.parametrize("local", [1_000_000, 0])
-def test_pca_and_kmeans(spark, monkeypatch, local):
-    monkeypatch.setattr(cluster, "LOCAL_VALUES", local)
+def test_pca_and_kmeans(spark):
     rng = np.random.default_rng(5)
     data = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "i long, x double, y double")
@@ -137,9 +135,63 @@ def test_pca_and_kmeans(spark, monkeypatch, local):
     labelled, centers, wcss = cluster.kmeans(df, ["x", "y"], 3, "i")
     groups = [{r.label for r in labelled.where(F.col("i").between(a, a + 29)).collect()} for a in (0, 30, 60)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and wcss < 10
-    if local:
-        sums, best = cluster.elbow(df, ["x", "y"], "i", 4)
-        assert sums == sorted(sums, reverse=True) and best in (2, 3, 4)
+    sums, best = cluster.elbow(df, ["x", "y"], "i", 4)
+    assert sums == sorted(sums, reverse=True) and best in (2, 3, 4)
+
+
+def lloyd(x, k):
+    """(labels, sum of squares) by the rules of ``kmeans`` on one array."""
+    centers = [x[len(x) // 2]]
+    for c in range(1, k):
+        total = np.cumsum(((x[:, None] - np.array(centers)) ** 2).sum(2).min(1))
+        centers.append(x[min(int(np.searchsorted(total, total[-1] / (k - c + 1))), len(x) - 1)])
+    centers, before = np.array(centers, float), None
+    while True:
+        d = ((x[:, None] - centers) ** 2).sum(2)
+        label = d.argmin(1)
+        if before is not None and (label == before).all():
+            return label, d.min(1).sum()
+        before = label
+        for j in np.unique(label):
+            centers[j] = x[label == j].mean(0)
+
+
+@pytest.mark.parametrize("sections, fetched", [(512, 1024), (4, 5)])
+def test_kmeans_equals_plain_lloyd(spark, monkeypatch, sections, fetched):
+    """Whether seeds are found in one step or by sections of sections."""
+    monkeypatch.setattr(cluster, "SECTIONS", sections)
+    monkeypatch.setattr(cluster, "FETCHED", fetched)
+    x = np.random.default_rng(8).integers(0, 40, (150, 3)).astype(float)
+    df = spark.createDataFrame([(1000 - i, *map(float, r)) for i, r in enumerate(x[::-1])], "i long, x double, `a b` double, label double").repartition(6)
+    found = cluster.clusterings(df, ["x", "a b", "label"], [2, 3, 7, 200, 0], "i")
+    for k in (2, 3, 7):
+        assert found[k][1] == pytest.approx(lloyd(x, k)[1])
+    assert found[200][1] == found[0][1] == 0.0 and not len(found[200][0])
+    labels = [r.label for r in cluster.kmeans(df, ["x", "a b", "label"], 7, "i")[0].orderBy("i").select("label").collect()]
+    assert labels == lloyd(x, 7)[0].tolist()
+    assert {r.label for r in cluster.kmeans(df, ["x"], 151, "i")[0].collect()} == {0}
+
+
+def test_moments_merge_without_loss(spark):
+    """Means of 1e9 with deviations of 1, over many partitions, rows with a null or NaN left out."""
+    x = np.random.default_rng(9).normal(size=(500, 3)) + [1e9, 0, -1e9]
+    rows = [tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0), (math.nan, 1.0, 1.0), (1.0, math.inf, 1.0)]
+    for parts in (1, 40):
+        m = sensitivity.moments(spark.createDataFrame(rows, "a double, b double, c double").repartition(parts), ["a", F.col("b"), "c"])
+        assert m.n == 500 and m.mean == pytest.approx(x.mean(0)) and m.cross / 499 == pytest.approx(np.cov(x.T), rel=1e-6)
+    assert sensitivity.moments(spark.createDataFrame([], "a double"), ["a"]).n == 0
+
+
+def test_cluster_view(spark):
+    rng = np.random.default_rng(10)
+    data = np.concatenate([rng.normal(c, 0.2, (40, 3)) for c in (0, 4)])
+    df = spark.createDataFrame([(i, "t", *map(float, r)) for i, r in enumerate(data)], "trial_id long, t string, p double, q double, y double")
+    labelled, stats = cluster.cluster_view(df, StudySchema(("p", "q", "t"), ("y",)), "all", 2)
+    halves = [{r.label for r in labelled.where(c).collect()} for c in ("trial_id < 40", "trial_id >= 40")]
+    assert sorted(map(len, halves)) == [1, 1] and halves[0] != halves[1]
+    assert {(r.name, r.size) for r in stats.collect()} == {(n, 40) for n in ("p", "q", "y")} and all(r.significant for r in stats.collect())
+    with pytest.raises(ValueError):
+        cluster.cluster_view(df.limit(1), StudySchema(("p",), ()), "param", 2)
 
 
 def test_forest_and_kriging():
