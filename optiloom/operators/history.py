@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from optiloom.functions.ordered import running, with_position
-from optiloom.functions.schema import finite
+from optiloom.functions.ordered import running, scan, trailing_mean, with_position
+from optiloom.functions.schema import StudySchema, finite
 
 
 def _clean(df: DataFrame, value: str) -> DataFrame:
@@ -21,16 +20,16 @@ def best_so_far(df: DataFrame, order: str, value: str, minimize: bool = True, by
 
 def moving_average(df: DataFrame, order: str, value: str, by: tuple[str, ...], window: int = 5) -> DataFrame:
     """Trailing mean of the last ``window`` rows of each series."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - window, 0)
-    return _clean(df, value).withColumn("moving_avg", F.avg(value).over(w))
+    return trailing_mean(_clean(df, value), order, value, window, "moving_avg", by)
 
 
 def improvement(df: DataFrame, order: str, value: str, by: tuple[str, ...], minimize: bool = True) -> DataFrame:
     """Change of the best value against the row before, per cent; 0 on the first row and after a best of 0."""
-    found = best_so_far(df, order, value, minimize, by)
-    prev = F.lag("best").over(Window.partitionBy(*by).orderBy(order))
+    best = {"best": (F.col(value), F.min if minimize else F.max)}
+    found = scan(_clean(df, value), (order,), best, by, before={"best": "__prev"})  # the best of all rows before is that of the row before
+    prev = F.col("__prev")
     pct = F.when(prev.isNull() | (prev == 0), 0.0).otherwise(F.abs((prev - F.col("best")) / prev) * 100)
-    return found.withColumn("improvement", pct)
+    return found.withColumn("improvement", pct).drop("__prev")
 
 
 def phase(position: Column, total: Column) -> Column:
@@ -45,24 +44,37 @@ def with_phase(df: DataFrame, order: str) -> DataFrame:
 
 def record_trials(df: DataFrame, order: str, value: str, by: tuple[str, ...], minimize: bool = True) -> DataFrame:
     """Rows better than all before them in their series."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = (F.min if minimize else F.max)(value).over(w)
+    best = {"__best": (F.col(value), F.min if minimize else F.max)}
     better = F.col(value) < F.col("__before") if minimize else F.col(value) > F.col("__before")
-    return _clean(df, value).withColumn("__before", before).where(F.col("__before").isNull() | better).drop("__before")
+    found = scan(_clean(df, value), (order,), best, by, before={"__best": "__before"})
+    return found.where(F.col("__before").isNull() | better).drop("__best", "__before")
 
 
 def convergence(df: DataFrame, order: str, value: str, by: tuple[str, ...], minimize: bool = True) -> DataFrame:
     """Verdict per series from the change of the best value over the last fifth of its trials."""
-    w = Window.partitionBy(*by)
-    found = best_so_far(df, order, value, minimize, by)
-    found = found.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy(order)) - 1)
+    clean = _clean(df, value)
+    found = scan(clean, (order,), {"best": (F.col(value), F.min if minimize else F.max)}, by, place="i")
+    sizes = clean.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.count(F.lit(1)).alias("n"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
     at = F.floor(F.col("n") * 0.8)
-    ends = found.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("i") == at, F.col("best"))).alias("first"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("best"))).alias("last"))
+    ends = found.join(sizes, on).where((F.col("i") == at) | (F.col("i") == F.col("n") - 1))  # two rows a series
+    ends = ends.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(F.col("i") == at, F.col("best"))).alias("first"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("best"))).alias("last"))
     rate = F.when(F.col("first") == 0, F.abs(F.col("first") - F.col("last"))).otherwise(F.abs((F.col("first") - F.col("last")) / F.when(F.col("first") != 0, F.col("first"))))
     verdict = F.when(F.col("n") < 10, "insufficient").when(rate < 0.001, "converged").when(rate < 0.01, "converging").otherwise("not_converged")
     return ends.select(*by, "n", rate.alias("rate"), verdict.alias("verdict"))
 
 
+def edf_of(df: DataFrame, schema: StudySchema) -> DataFrame:
+    """Empirical distributions of the first two objectives (or the only one): objective, trial id, value, y."""
+    parts = [edf(df.select(schema.id, F.lit(o).alias("objective"), F.col(o).cast("double").alias("value")), "value", schema.id) for o in schema.objectives[:2]]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("objective", schema.id, "value", "y")
+
+
 def edf(df: DataFrame, value: str, tie: str) -> DataFrame:
     """Empirical distribution: one point per row, y = place / n."""
     clean = _clean(df, value)

@@ -1,29 +1,39 @@
 """Replay of append-only JSON-lines journals into study and trial tables.
 
 Every line is an operation; the state of a trial is the last write to each of
-its fields. Replay is therefore a fold by (trial, field) with ``max_by`` over
-the line number, not a loop. Identifiers are running counts of creation lines.
+its fields. So a line is parsed once, into its writes (``operations``), which are
+kept narrow; the last write of each (trial, kind, key) is an aggregate that starts
+before the shuffle, and one more aggregate makes a trial of them. A trial's writes
+before its creation have no effect: as only the last write of a field counts, it is
+enough to compare that one's line with the line of the creation. Identifiers are
+running counts of creation lines, counted within blocks of line numbers and over
+these blocks.
 
 Fixed values: operations 0 create study, 3 study attributes, 4 create trial,
 5 set param, 6 set state and values, 8 user attributes, 9 system attributes;
 direction 2 is maximize, anything else minimize; state 1 is complete. Other
-operations are ignored. Lines that are not strict JSON are skipped.
+operations are ignored. Lines that are not strict JSON are skipped. A missing id
+or state counts as 0, a missing name as empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import StudySchema, with_feasibility
-from optiloom.functions.storage import checkpointed
+from optiloom.functions.storage import saved
+from optiloom.sources import operations as ops
 
-OP = "struct<op_code:int,study_id:long,trial_id:long,study_name:string,directions:array<int>,system_attr:string,state:int,value:double,values:array<double>,distributions:map<string,string>,params:map<string,string>,user_attrs:string,system_attrs:string,param_name:string,param_value_internal:double,distribution:string,user_attr:string>"
-DIST = "struct<name:string,low:double,step:double,log:boolean,choices:array<string>,attributes:struct<low:double,step:double,log:boolean,choices:array<string>>>"
+WRITES = "line_no long, op int, study_id long, trial_id long, kind string, key string, num double, text string, list array<double>"
+#: Low bits of the line numbers that one block of running counts holds.
+BLOCK_BITS = 20
 
 
 class JournalError(ValueError):
@@ -72,96 +82,82 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.select((F.col("__before") + F.col("__m") - F.col("__least")).alias("line_no"), "value")
 
 
-def _label(choices: Column, x: Column) -> Column:
-    at = F.round(x).cast("int")
-    return F.when(at >= 0, F.get(choices, at))
+def journal_writes(lines: DataFrame) -> DataFrame:
+    """A row for every write of every valid line: line_no, op, study_id, trial_id and the write's fields. Other valid lines give a row without kind."""
+    arrow = pa.schema([("line_no", pa.int64()), ("op", pa.int32()), ("study_id", pa.int64()), ("trial_id", pa.int64()), ("kind", pa.string()), ("key", pa.string()), ("num", pa.float64()), ("text", pa.string()), ("list", pa.list_(pa.float64()))])
+    no_write = (None,) * 5
 
+    def rows_of(line_no: int, line: str | None) -> Iterator[tuple]:
+        o = ops.parse(line) if line else None
+        if o is None:
+            return
+        op = ops.whole(o.get("op_code"), None) if isinstance(o, dict) else None
+        op = op if op is not None and op < 10 else None
+        head = (line_no, op, *((ops.whole(o.get("study_id")), ops.whole(o.get("trial_id"))) if op is not None else (None, None)))
+        found = list(ops.writes_of(op, o)) if op is not None else []
+        for write in found or [no_write]:
+            yield (*head, *write)
 
-def _decoded(dist: Column) -> Column:
-    """Distribution from an object, an object with ``attributes`` or a JSON string of either."""
-    raw = F.when(dist.startswith('"'), F.from_json(F.concat(F.lit('{"s":'), dist, F.lit("}")), "s string")["s"]).otherwise(dist)
-    d = F.from_json(raw, DIST)
-    pick = lambda f: F.coalesce(d[f], d["attributes"][f])
-    return F.struct(d["name"].alias("name"), pick("low").alias("low"), F.greatest(F.coalesce(pick("step"), F.lit(1.0)), F.lit(1.0)).alias("step"), F.coalesce(pick("log"), F.lit(False)).alias("log"), pick("choices").alias("choices"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column("line_no").to_pylist()
+            rows = [r for i, x in zip(numbers, batch.column("value").to_pylist(), strict=True) for r in rows_of(i, x)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    return lines.select("line_no", "value").mapInArrow(run, WRITES)
 
-def _display(d: Column, x: Column) -> Column:
-    """External value of an internal one."""
-    raw = F.when(d["log"], F.exp(x)).otherwise(x)
-    return (
-        F.when(d["name"] == "FloatDistribution", raw)
-        .when(d["name"] == "IntDistribution", F.coalesce(d["low"], F.lit(0.0)) + F.round(raw) * d["step"])
-        .when(d["name"] == "CategoricalDistribution", F.round(x))
-        .otherwise(x)
-    )
 
+def _counted(rows: DataFrame, flag: Column, out: str) -> DataFrame:
+    """``out``: how many rows up to each have ``flag``, by line number: counts within a block of lines, plus those of the blocks before."""
+    blocked = rows.withColumn("__block", F.shiftright("line_no", BLOCK_BITS)).withColumn("__flag", flag.cast("long"))
+    blocks = blocked.groupBy("__block").agg(F.sum("__flag").alias("__n"))
+    before = blocks.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))  # a row for 2**BLOCK_BITS lines
+    own = F.sum("__flag").over(Window.partitionBy("__block").orderBy("line_no"))
+    return blocked.withColumn("__own", own).join(before, "__block").withColumn(out, F.col("__own") + F.col("__before")).drop("__block", "__flag", "__own", "__before")
 
-def _attribute_rows(ops: DataFrame, source: str) -> DataFrame:
-    """trial_id, line_no, key, num, text of numeric and string attributes."""
-    flat = ops.where(F.col(source).isNotNull()).select("trial_id", "line_no", F.explode(F.from_json(source, "map<string,variant>")).alias("key", "v"))
-    kind = F.schema_of_variant("v")
-    numeric = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-    return flat.where(numeric | (kind == "STRING")).select("trial_id", "line_no", "key", F.when(numeric, F.try_variant_get("v", "$", "double")).alias("num"), F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).alias("text"))
 
-
-def _last_map(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """trial_id and a map of the last ``value`` written to each key."""
-    last = rows.where(F.col(value).isNotNull()).groupBy("trial_id", "key").agg(F.max_by(value, "line_no").alias("v"))
-    return last.groupBy("trial_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v")))).alias(out))
+def _created(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(studies: study_id, study_line, name, directions; trials: line_no, trial_id, study_id) with ids by order of creation."""
+    births = writes.where(F.col("kind").isin("study", "b")).select("line_no", "kind", F.col("num").cast("long").alias("study_id"), "text", "list")
+    counted = _counted(births, F.col("kind") == "study", "__studies")
+    studies = counted.where("kind = 'study'").select((F.col("__studies") - 1).alias("study_id"), F.col("line_no").alias("study_line"), F.col("text").alias("name"), F.col("list").alias("directions"))
+    accepted = counted.where("kind = 'b'").where(F.col("study_id") < F.col("__studies")).select("line_no", "study_id")
+    trials = _counted(accepted, F.lit(True), "__trials").select("line_no", (F.col("__trials") - 1).alias("trial_id"), "study_id")
+    return studies, trials
 
 
 def parse_journal(lines: DataFrame) -> Replay:
     """Replays ``lines`` (line_no, value). An empty journal has no studies; one without any valid line is an error."""
-    spark = lines.sparkSession
-    text = lines.where(F.trim("value") != "")
-    good = text.where(F.try_parse_json("value").isNotNull())
-    # Every branch of the fold reads the parsed operations, so they are parsed once and kept in the shared folder.
-    ops = checkpointed(good.select("line_no", F.from_json("value", OP).alias("o")).select("line_no", "o.*"))
-
-    if ops.isEmpty() and not text.isEmpty():
+    writes = saved(journal_writes(lines))
+    if writes.isEmpty() and not lines.where(F.trim("value") != "").isEmpty():
         raise JournalError("no valid JSON line")
+    studies, trials = _created(writes)
+
+    value = F.struct("num", "text", "list")
+    fields = ["trial_id", "line_no", "kind", "key", "num", "text", "list"]
+    later = writes.where(F.col("op").isin(5, 6, 8, 9)).select(*fields)
+    at_birth = writes.where("op = 4").drop("trial_id", "study_id").join(trials, "line_no").withColumn("num", F.when(F.col("kind") == "b", F.col("study_id").cast("double")).otherwise(F.col("num"))).select(*fields)
+    last = later.unionByName(at_birth).groupBy("trial_id", "kind", "key").agg(F.max_by(value, "line_no").alias("v"), F.max("line_no").alias("line"))
+    every = last.groupBy("trial_id").agg(F.collect_list(F.struct("kind", "key", "line", "v")).alias("w"))
+    every = every.withColumn("born", F.get(F.filter("w", lambda x: x["kind"] == "b"), F.lit(0))).where(F.col("born").isNotNull())
+    every = every.withColumn("w", F.filter("w", lambda x: x["line"] >= F.col("born")["line"]))
+
+    of = lambda kind: F.filter("w", lambda x: x["kind"] == kind)
+    table = lambda kind, field: F.map_from_entries(F.array_sort(F.transform(of(kind), lambda x: F.struct(x["key"], x["v"][field]))))
+    numbers = lambda kind: F.coalesce(F.get(of(kind), F.lit(0))["v"]["list"], F.array().cast("array<double>"))
+    complete = saved(
+        every.where(F.get(of("s"), F.lit(0))["v"]["num"] == 1).select(
+            F.col("born")["v"]["num"].cast("long").alias("study_id"), "trial_id", table("p", "num").alias("params"), table("l", "text").alias("param_labels"), numbers("v").alias("objectives"),
+            table("n", "num").alias("attrs_num"), table("t", "text").alias("attrs_str"), numbers("c").alias("constraints"),
+        )
+    )
+    return Replay(_study_table(studies, writes, trials, complete), complete)
+
 
-    created = ops.where("op_code = 0").select("line_no", "study_name", "directions")
-    studies = checkpointed(with_position(created, "line_no", "study_id").withColumnRenamed("line_no", "study_line"))
-    accepted = ops.where("op_code = 4").join(studies.select("study_id", "study_line"), "study_id").where(F.col("line_no") > F.col("study_line"))
-    trials = checkpointed(with_position(accepted.drop("trial_id", "study_line"), "line_no", "trial_id"))
-    born = trials.select("trial_id", "study_id", F.col("line_no").alias("born"))
-    later = ops.where("op_code in (5, 6, 8, 9)").drop("study_id").join(born.select("trial_id", "born"), "trial_id").where(F.col("line_no") > F.col("born"))
-    inline = trials.where(F.col("distributions").isNotNull())
-
-    d = _decoded(F.col("distribution"))
-    set_params = later.where("op_code = 5 and param_name is not null and param_name <> ''").select("trial_id", "line_no", F.col("param_name").alias("key"), d.alias("d"), F.col("param_value_internal").alias("x"))
-    set_params = set_params.select("trial_id", "line_no", "key", _display(F.col("d"), F.col("x")).alias("num"), F.when(F.col("d.name") == "CategoricalDistribution", _label(F.col("d.choices"), F.col("x"))).alias("text"))
-    given = inline.select("trial_id", "line_no", "distributions", F.explode("params").alias("key", "raw"))
-    given = given.withColumn("d", _decoded(F.element_at("distributions", F.col("key")))).withColumn("at", F.array_position(F.col("d.choices"), F.col("raw")) - 1)
-    by_choice = (F.col("d.name") == "CategoricalDistribution") & (F.col("at") >= 0)
-    given = given.select("trial_id", "line_no", "key", F.when(by_choice, F.col("at").cast("double")).otherwise(F.expr("try_cast(raw as double)")).alias("num"), F.when(by_choice, F.col("raw")).alias("text"))
-    params = set_params.unionByName(given)
-
-    states = later.where("op_code = 6").select("trial_id", "line_no", "state", "values").unionByName(inline.select("trial_id", "line_no", "state", F.coalesce("values", F.when(F.col("value").isNotNull(), F.array("value"))).alias("values")))
-    numbers = F.filter("values", lambda v: v.isNotNull())
-    final = states.groupBy("trial_id").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("line_no"))).alias("state"), F.max_by(numbers, F.when(F.col("values").isNotNull(), F.col("line_no"))).alias("objectives"))
-
-    attrs = _attribute_rows(later.where("op_code = 8"), "user_attr").unionByName(_attribute_rows(inline, "user_attrs"))
-    limits = later.where("op_code = 9").select("trial_id", "line_no", F.col("system_attr").alias("a")).unionByName(inline.select("trial_id", "line_no", F.col("system_attrs").alias("a")))
-    limits = limits.select("trial_id", "line_no", F.from_json("a", "constraints array<double>")["constraints"].alias("c")).where(F.col("c").isNotNull())
-    limits = limits.groupBy("trial_id").agg(F.max_by(F.filter("c", lambda x: x.isNotNull()), "line_no").alias("constraints"))
-
-    rows = born.join(final.where("state = 1"), "trial_id")
-    for part in (_last_map(params, "num", "params"), _last_map(params, "text", "param_labels"), _last_map(attrs, "num", "attrs_num"), _last_map(attrs, "text", "attrs_str"), limits):
-        rows = rows.join(part, "trial_id", "left")
-    empty = F.array().cast("array<double>")
-    none = lambda kind: F.from_json(F.lit("{}"), f"map<string,{kind}>")
-    complete = checkpointed(rows.select(
-        "study_id", "trial_id", F.coalesce("params", none("double")).alias("params"), F.coalesce("param_labels", none("string")).alias("param_labels"), F.coalesce("objectives", empty).alias("objectives"),
-        F.coalesce("attrs_num", none("double")).alias("attrs_num"), F.coalesce("attrs_str", none("string")).alias("attrs_str"), F.coalesce("constraints", empty).alias("constraints"),
-    ))
-    return Replay(_study_table(spark, studies, ops, trials, complete), complete)
-
-
-def _study_table(spark: SparkSession, studies: DataFrame, ops: DataFrame, trials: DataFrame, complete: DataFrame) -> DataFrame:
-    named = ops.where("op_code = 3").select("study_id", "line_no", F.from_json("system_attr", "`study:metric_names` array<string>")["study:metric_names"].alias("names"))
-    named = named.where(F.size("names") > 0).join(studies.select("study_id", "study_line"), "study_id").where(F.col("line_no") > F.col("study_line")).groupBy("study_id").agg(F.max_by("names", "line_no").alias("metric_names"))
+def _study_table(studies: DataFrame, writes: DataFrame, trials: DataFrame, complete: DataFrame) -> DataFrame:
+    named = writes.where("kind = 'names'").select("study_id", "line_no", F.from_json("text", "array<string>").alias("names"))
+    named = named.join(studies.select("study_id", "study_line"), "study_id").where(F.col("line_no") > F.col("study_line")).groupBy("study_id").agg(F.max_by("names", "line_no").alias("metric_names"))
     counts = trials.groupBy("study_id").agg(F.count(F.lit(1)).alias("total_trials"))
     names = lambda m: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys(m)))))
     found = complete.groupBy("study_id").agg(
@@ -173,7 +169,7 @@ def _study_table(spark: SparkSession, studies: DataFrame, ops: DataFrame, trials
     defaults = F.transform(F.sequence(F.lit(0), F.col("n_objectives") - 1), lambda i: F.concat(F.lit("obj"), i.cast("string")))
     listed = lambda c: F.coalesce(c, text)
     return table.select(
-        "study_id", F.col("study_name").alias("name"), F.transform(F.coalesce("directions", F.array().cast("array<int>")), lambda x: F.when(x == 2, "maximize").otherwise("minimize")).alias("directions"),
+        "study_id", "name", F.transform("directions", lambda x: F.when(x == 2, "maximize").otherwise("minimize")).alias("directions"),
         F.coalesce("completed_trials", F.lit(0)).alias("completed_trials"), F.coalesce("total_trials", F.lit(0)).alias("total_trials"),
         F.array_sort(F.array_union(listed(F.col("pn")), listed(F.col("label_names")))).alias("param_names"), listed(F.col("label_names")).alias("label_names"),
         F.coalesce("metric_names", F.when(F.col("n_objectives") > 0, defaults), text).alias("objective_names"),

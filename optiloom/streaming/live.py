@@ -13,7 +13,6 @@ file, so the journal must lie where the driver and all executors can read it.
 from __future__ import annotations
 
 import json
-import math
 import os
 from collections.abc import Callable, Iterator
 
@@ -23,6 +22,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
+from optiloom.sources import operations as ops
+
 OUT = "journal string, study_id long, trial_id long, params map<string,double>, param_labels map<string,string>, objectives array<double>, constraints array<double>, attrs_num map<string,double>, attrs_str map<string,string>"
 STATE = "blob string"
 #: Bytes of a journal read for one batch.
@@ -73,65 +74,15 @@ class TailReader(SimpleDataSourceStreamReader):
         return iter(self._rows(start["at"], end["at"])[0])
 
 
-def _distribution(raw) -> dict:
-    """A distribution's fields from an object, an object with attributes or a JSON string of either; else none."""
-    try:
-        d = json.loads(raw) if isinstance(raw, str) else raw
-    except ValueError:
-        d = None
-    d = d if isinstance(d, dict) else {}
-    inner = d.get("attributes")
-    return {**(inner if isinstance(inner, dict) else {}), **{k: v for k, v in d.items() if k != "attributes"}}
-
-
-def _number(x) -> float | None:
-    if isinstance(x, bool) or not isinstance(x, (int, float)):
-        return None
-    try:
-        return float(x)
-    except OverflowError:
-        return math.copysign(math.inf, x)
-
-
-def _numbers(found) -> list[float] | None:
-    """The numbers of a list without its nulls; None if it is no list of numbers."""
-    if not isinstance(found, list) or any(v is not None and _number(v) is None for v in found):
-        return None
-    return [_number(v) for v in found if v is not None]
-
-
-def _half_up(x: float) -> float:
-    return math.copysign(math.floor(abs(x) + 0.5), x) if math.isfinite(x) else x
-
+_ROLES = {"p": "params", "l": "labels", "n": "num", "t": "text"}
 
-def _label(choice) -> str:
-    return choice if isinstance(choice, str) else json.dumps(choice)
 
-
-def _choices(d: dict) -> list:
-    return d["choices"] if isinstance(d.get("choices"), list) else []
-
-
-def _set_param(trial: dict, name: str, raw, x: float) -> None:
-    d = _distribution(raw)
-    value = x
-    if d.get("log") is True and d.get("name") in ("FloatDistribution", "IntDistribution"):
-        value = math.exp(x) if x < 709 else math.inf
-    if d.get("name") == "IntDistribution":
-        value = (_number(d.get("low")) or 0.0) + _half_up(value) * max(_number(d.get("step")) or 1.0, 1.0)
-    elif d.get("name") == "CategoricalDistribution":
-        value = _half_up(x)
-        if math.isfinite(value) and 0 <= value < len(_choices(d)):
-            trial["labels"][name] = _label(_choices(d)[int(value)])
-    trial["params"][name] = value
-
-
-def _set_attributes(trial: dict, found) -> None:
-    for name, v in (found if isinstance(found, dict) else {}).items():
-        if isinstance(v, str):
-            trial["text"][name] = v
-        elif _number(v) is not None:
-            trial["num"][name] = _number(v)
+def _apply(trial: dict, write: ops.Write) -> None:
+    kind, key, num, text, values = write
+    if kind in _ROLES:
+        trial[_ROLES[kind]][key] = text if kind in "lt" else num
+    elif kind in "vc":
+        trial["values" if kind == "v" else "constraints"] = values
 
 
 class Fold:
@@ -148,43 +99,24 @@ class Fold:
 
     def feed(self, line: str) -> dict | None:
         """Applies one line; a trial that completes with it comes back, once."""
-        try:
-            o = json.loads(line, parse_constant=lambda _: 1 / 0)
-        except (ValueError, ZeroDivisionError):
-            return None
-        op = o.get("op_code") if isinstance(o, dict) else None
+        o = ops.parse(line)
+        op = ops.whole(o.get("op_code"), None) if isinstance(o, dict) else None
+        trial_id = None
         if op == 0:
             self.studies += 1
-        elif op == 4 and isinstance(o.get("study_id"), int) and 0 <= o["study_id"] < self.studies:
-            trial = {"study": o["study_id"], "params": {}, "labels": {}, "values": [], "constraints": [], "num": {}, "text": {}}
-            self.pending[self.trials] = trial
+        elif op == 4 and (study := ops.whole(o.get("study_id"))) < self.studies:
+            trial_id = self.trials
+            self.pending[trial_id] = {"study": study, "params": {}, "labels": {}, "values": [], "constraints": [], "num": {}, "text": {}}
             self.trials += 1
-            if isinstance(o.get("distributions"), dict):
-                for name, v in (o["params"] if isinstance(o.get("params"), dict) else {}).items():
-                    choices = _choices(_distribution(o["distributions"].get(name)))
-                    if v in choices and not isinstance(v, float):
-                        trial["labels"][name] = _label(v)
-                        trial["params"][name] = float(choices.index(v))
-                    elif _number(v) is not None:
-                        trial["params"][name] = _number(v)
-                trial["values"] = _numbers(o.get("values")) or _numbers([o.get("value")]) or []
-                limits = o.get("system_attrs")
-                trial["constraints"] = _numbers(limits.get("constraints") if isinstance(limits, dict) else None) or []
-                _set_attributes(trial, o.get("user_attrs"))
-                return self._settle(self.trials - 1, o.get("state"))
-        elif op in (5, 6, 8, 9) and isinstance(o.get("trial_id"), int) and o["trial_id"] in self.pending:
-            trial = self.pending[o["trial_id"]]
-            if op == 5 and isinstance(o.get("param_name"), str) and o["param_name"]:
-                _set_param(trial, o["param_name"], o.get("distribution"), _number(o.get("param_value_internal")) or 0.0)
-            elif op == 8:
-                _set_attributes(trial, o.get("user_attr"))
-            elif op == 9 and isinstance(o.get("system_attr"), dict) and (limits := _numbers(o["system_attr"].get("constraints"))) is not None:
-                trial["constraints"] = limits
-            elif op == 6:
-                if (values := _numbers(o.get("values"))) is not None:
-                    trial["values"] = values
-                return self._settle(o["trial_id"], o.get("state"))
-        return None
+        elif op in (5, 6, 8, 9) and ops.whole(o.get("trial_id")) in self.pending:
+            trial_id = ops.whole(o.get("trial_id"))
+        if trial_id is None:
+            return None
+        state = None
+        for write in ops.writes_of(op, o):
+            _apply(self.pending[trial_id], write)
+            state = write[2] if write[0] == "s" else state
+        return self._settle(trial_id, state)
 
     def _settle(self, trial_id: int, state) -> dict | None:
         if state == 1:

@@ -51,6 +51,60 @@ def test_replay(spark):
         found.select(3)
 
 
+def test_replay_of_odd_forms(spark):
+    """Inline trials, metric names, strings that hold distributions, writes before creation, and values of the wrong form."""
+    cat = {"name": "CategoricalDistribution", "attributes": {"choices": ["u", 2, True, 1.5]}}
+    log_int = json.dumps({"name": "IntDistribution", "low": 1, "step": 3, "log": True})
+    ops = [
+        {"op_code": 3, "study_id": 0, "system_attr": {"study:metric_names": ["early"]}},
+        {"op_code": 0},
+        {"op_code": 0, "study_name": "t", "directions": [2]},
+        {"op_code": 3, "study_id": 1, "system_attr": {"study:metric_names": ["loss", 3, "time"]}},
+        {"op_code": 3, "study_id": 1, "system_attr": {"study:metric_names": []}},
+        {"op_code": 4, "study_id": 1, "distributions": {"c": cat}, "params": {"c": True, "d": "nowhere", "e": 2.5, "f": None}, "state": 1, "values": None, "value": 7, "user_attrs": {"k": 1, "t": "x", "z": []}, "system_attrs": {"constraints": [1, None, -2]}},
+        {"op_code": 5, "trial_id": 0, "param_name": "i", "param_value_internal": 0.7, "distribution": log_int},
+        {"op_code": 5, "trial_id": 0, "param_name": "c", "param_value_internal": 3.2, "distribution": cat},
+        {"op_code": 5, "trial_id": 0, "param_name": "g", "param_value_internal": 9.0, "distribution": cat},
+        {"op_code": 5, "trial_id": 0, "param_name": "u"},
+        {"op_code": 8, "trial_id": 0, "user_attr": {"k": "now text"}},
+        {"op_code": 8, "trial_id": 1, "user_attr": {"too": 1}},
+        {"op_code": 4},
+        {"op_code": 6, "trial_id": 1, "state": 1, "values": [1, "x", None, 2]},
+        {"op_code": 6, "trial_id": 1, "values": [5]},
+        {"op_code": 6, "trial_id": 1, "state": 1},
+        {"op_code": True},
+        [1],
+        "null",
+        '{"op_code": 6, "trial_id": 1, "state": 2, "values": [NaN]}',
+    ]
+    found = parse_journal(lines(spark, ops))
+    studies = {r.study_id: r for r in found.studies.collect()}
+    assert (studies[0].name, studies[0].directions, studies[0].objective_names) == ("", [], ["obj0"])
+    assert (studies[1].name, studies[1].directions, studies[1].objective_names) == ("t", ["maximize"], ["loss", "time"])
+    trials = {r.trial_id: r for r in found.trials.collect()}
+    assert trials[0].study_id == 1 and trials[0].params == {"c": 3.0, "d": 0.0, "e": 2.5, "g": 9.0, "i": 7.0, "u": 0.0}
+    assert trials[0].param_labels == {"c": "1.5", "d": "nowhere"} and trials[0].objectives == [7.0] and trials[0].constraints == [1.0, -2.0]
+    assert trials[0].attrs_num == {"k": 1.0} and trials[0].attrs_str == {"k": "now text", "t": "x"}
+    assert trials[1].study_id == 0 and trials[1].objectives == [5.0] and trials[1].attrs_num == {}
+
+
+def test_last_write_of_a_field_counts_over_many_parts(spark):
+    """50,000 writes to one trial over 40 parts; blocks of running counts of 16 lines."""
+    from optiloom.sources import journal
+
+    bits, journal.BLOCK_BITS = journal.BLOCK_BITS, 4
+    try:
+        ops = [{"op_code": 0, "study_name": "s", "directions": [1]}, *({"op_code": 4, "study_id": 0} for _ in range(100))]
+        ops += [{"op_code": 5, "trial_id": 7, "param_name": f"p{i % 5}", "param_value_internal": float(i)} for i in range(5000)]
+        ops += [{"op_code": 6, "trial_id": i, "state": 1, "values": [float(i)]} for i in range(100)]
+        found = parse_journal(lines(spark, ops).repartition(40))
+        trials = {r.trial_id: r for r in found.trials.collect()}
+        assert sorted(trials) == list(range(100)) and trials[7].params == {f"p{k}": float(4995 + k) for k in range(5)}
+        assert all(t.objectives == [float(i)] for i, t in trials.items())
+    finally:
+        journal.BLOCK_BITS = bits
+
+
 def test_empty_and_garbage(spark):
     assert parse_journal(lines(spark, [])).studies.count() == 0
     with pytest.raises(JournalError):

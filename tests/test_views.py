@@ -79,10 +79,7 @@ def test_null_labels_keep_their_rows(spark):
     assert got == {0: 0.0, 1: 1.0, 2: 2.0, 3: 1.0, 4: 0.0}
 
 
-def test_ranges_split_ties_and_series(spark, monkeypatch):
-    from optiloom.functions import ordered
-
-    monkeypatch.setattr(ordered, "SMALL", 0)
+def test_ranges_split_ties_and_series(spark):
     df = spark.range(400).select((F.col("id") % 3).alias("o"), F.col("id").alias("t"), (F.col("id") % 2).alias("s"), (F.col("id") * 7 % 11).alias("v"))
     got = sorted((r.o, r.t, r.row_idx) for r in with_position(df, "o", "row_idx", "t").collect())
     assert [x[2] for x in got] == list(range(400))
@@ -98,12 +95,12 @@ def test_fold_survives_odd_writes():
     feed = lambda **o: fold.feed(json.dumps(o))
     log = {"name": "FloatDistribution", "log": True}
     done = feed(op_code=4, study_id=0, distributions={}, params={"a": "x", "b": 2}, values=[None, 1], user_attrs={"k": 1, "t": "u", "n": None}, state=1)
-    assert done["trial_id"] == 5 and done["values"] == [1.0] and done["params"] == {"b": 2.0} and done["num"] == {"k": 1.0} and done["text"] == {"t": "u"}
+    assert done["trial_id"] == 5 and done["values"] == [1.0] and done["params"] == {"a": 0.0, "b": 2.0} and done["labels"] == {"a": "x"} and done["num"] == {"k": 1.0} and done["text"] == {"t": "u"}
     assert feed(op_code=4, study_id=0) is None
     for o in ({"param_name": "p", "distribution": "{broken", "param_value_internal": 3}, {"param_name": "q", "distribution": log, "param_value_internal": 1000.0}, {"param_name": ["r"]}, {"param_name": "c", "distribution": {"name": "CategoricalDistribution", "choices": 5}, "param_value_internal": "x"}):
         assert feed(op_code=5, trial_id=6, **o) is None
     assert feed(op_code=8, trial_id=6, user_attr={"z": 2.5, "w": "v", "o": {}}) is None and feed(op_code=9, trial_id=6, system_attr={"constraints": "x"}) is None
-    assert feed(op_code=6, trial_id=6, values=["text"]) is None and fold.feed("[1]") is None and fold.feed("nonsense") is None
+    assert feed(op_code=6, trial_id=6, values="text") is None and fold.feed("[1]") is None and fold.feed("nonsense") is None
     done = feed(op_code=6, trial_id=6, state=1, values=[7])
     assert done["params"] == {"p": 3.0, "q": math.inf, "c": 0.0} and done["values"] == [7.0] and done["num"] == {"z": 2.5} and done["text"] == {"w": "v"}
     assert Fold(fold.dump()).trials == 7
@@ -135,3 +132,41 @@ def test_restarts_end_after_errors_in_a_row():
     with pytest.raises(StreamingQueryException):
         keep_running(lambda: begun.append(1) or Failing(), 3)
     assert len(begun) == 3
+
+
+def test_one_long_series_in_fifty_ranges(spark):
+    """Series of one key over many ranges: values cross the ranges' ends, and means the blocks' ends."""
+    import numpy as np
+
+    from optiloom.functions import ordered
+    from optiloom.operators import history
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 10_000, 700).astype(float)
+    rows = [(i, "long", float(x)) for i, x in enumerate(v)] + [(i, None, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "t long, s string, v double").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    size, ordered.AVERAGED = ordered.AVERAGED, 7
+    try:
+        of = lambda df, c: [r[c] for r in df.where("s = 'long'").orderBy("t").collect()]
+        mean = of(history.moving_average(df, "t", "v", ("s",)), "moving_avg")
+        assert mean == pytest.approx([v[max(0, i - 4) : i + 1].mean() for i in range(len(v))])
+        best = np.minimum.accumulate(v)
+        step = [0.0] + [abs((a - b) / a) * 100 if a else 0.0 for a, b in zip(best, best[1:])]
+        assert of(history.improvement(df, "t", "v", ("s",)), "improvement") == pytest.approx(step)
+        records = [i for i in range(len(v)) if i == 0 or v[i] < best[i - 1]]
+        assert of(history.record_trials(df, "t", "v", ("s",)), "t") == records
+        found = {r.s: r for r in history.convergence(df, "t", "v", ("s",)).collect()}
+        assert found["long"].n == 700 and found["long"].rate == pytest.approx(abs((best[560] - best[-1]) / best[560])) and found[None].verdict == "insufficient"
+        assert sorted(r.row_idx for r in with_position(df.where("s = 'long'"), "v", "row_idx", "t").collect()) == list(range(700))
+    finally:
+        ordered.AVERAGED = size
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_edf_of_two_objectives(study):
+    from optiloom.operators import history
+
+    got = sorted((r.objective, r.trial_id, r.value, r.y) for r in history.edf_of(study, STUDY).collect())
+    assert got == [("a", 0, 3.0, 0.75), ("a", 1, 1.0, 0.25), ("a", 2, 2.0, 0.5), ("a", 3, 3.0, 1.0), ("b", 0, 1.0, 0.4), ("b", 1, 3.0, 0.8), ("b", 2, 2.0, 0.6), ("b", 3, 3.0, 1.0), ("b", 4, 0.0, 0.2)]
