@@ -5,38 +5,50 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import StudySchema, finite
 
-NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+Bounds = tuple[float | None, float | None]
 
 
-def parse_ranges(text: str) -> dict[str, tuple[float | None, float | None]]:
-    """``{"x": {"min": 1, "max": null}}``; anything malformed is no range at all."""
+def _bound(x: object) -> float | None:
+    """A number as it is; anything else leaves the range open."""
+    return x if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool) else None
+
+
+def parse_ranges(text: str) -> dict[str, Bounds]:
+    """``{"x": {"min": 1, "max": null}}``; text that is no JSON object is no range at all, a member or bound of another form is open."""
     try:
         found = json.loads(text)
-        return {k: (v.get("min"), v.get("max")) for k, v in found.items()}
-    except (ValueError, AttributeError):
+    except ValueError:
+        return {}
+    if not isinstance(found, dict):
         return {}
+    sides = {k: v if isinstance(v, dict) else {} for k, v in found.items()}
+    return {k: (_bound(v.get("min")), _bound(v.get("max"))) for k, v in sides.items()}
 
 
-def range_predicate(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]]) -> Column:
-    """Conjunction of inclusive ranges. NaN fails any range; an unknown or text column or an empty range fails all rows."""
-    kinds, out = dict(df.dtypes), F.lit(True)
-    for name, (low, high) in ranges.items():
-        if kinds.get(name) not in NUMERIC or (low is not None and high is not None and low > high):
+def range_predicate(df: DataFrame, ranges: Mapping[str, Bounds]) -> Column:
+    """Conjunction of inclusive ranges. NaN fails any range; an unknown column, one that is no number, or an empty range fails all rows."""
+    kinds, out = {f.name: f.dataType for f in df.schema.fields}, F.lit(True)
+    for name, bounds in ranges.items():
+        low, high = map(_bound, bounds)
+        kind = kinds.get(name)
+        if not isinstance(kind, T.NumericType) or (low is not None and high is not None and low > high):
             return F.lit(False)
-        c = F.col(name)
-        out = out & c.isNotNull() & (~F.isnan(c) if kinds[name] in ("double", "float") else F.lit(True))
+        c = F.col(f"`{name}`")
+        out = out & c.isNotNull() & (~F.isnan(c) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else F.lit(True))
         out = out & (c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True))
     return out
 
 
-def range_filter(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]] | str) -> DataFrame:
+def range_filter(df: DataFrame, ranges: dict[str, Bounds] | str) -> DataFrame:
     return df.where(range_predicate(df, parse_ranges(ranges) if isinstance(ranges, str) else ranges))
 
 
@@ -44,7 +56,7 @@ def range_filter(df: DataFrame, ranges: dict[str, tuple[float | None, float | No
 class Selection:
     """Ranges of axes and positions brushed by hand; every change gives a new selection. Without either all rows are selected."""
 
-    ranges: Mapping[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    ranges: Mapping[str, Bounds] = field(default_factory=dict)
     brushed: frozenset[int] | None = None
 
     def with_range(self, axis: str, low: float | None, high: float | None) -> Selection:
@@ -126,12 +138,12 @@ def effective_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> d
     return {k: v for k, v in ranges.items() if k not in extent or v[0] > extent[k][0] + 1e-10 or v[1] < extent[k][1] - 1e-10}
 
 
-def selected_points(df: DataFrame, columns: Sequence[str], selected: Column) -> DataFrame:
-    """Slice (param, objective) or contour (two params, objective) points of finite values, with alpha by selection."""
+def selected_points(df: DataFrame, columns: Sequence[str], selected: Column, full: float = 1.0, dimmed: float = 0.2) -> DataFrame:
+    """Slice (param, objective) or contour (two params, objective) points of finite values, with alpha ``full`` for selected rows and ``dimmed`` for others."""
     ok = F.lit(True)
     for c in columns:
         ok = ok & finite(F.col(c).cast("double"))
-    return df.where(ok).select(*columns, F.coalesce(selected, F.lit(False)).alias("selected")).withColumn("alpha", F.when(F.col("selected"), 1.0).otherwise(0.2))
+    return df.where(ok).select(*columns, F.coalesce(selected, F.lit(False)).alias("selected")).withColumn("alpha", F.when(F.col("selected"), F.lit(float(full))).otherwise(F.lit(float(dimmed))))
 
 
 def scatter_color(df: DataFrame, schema: StudySchema) -> DataFrame:

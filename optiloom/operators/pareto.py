@@ -7,7 +7,7 @@ fronts off that way, each round cut by a checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -248,6 +248,17 @@ def dominance_ratio(main: DataFrame, other: DataFrame, schema: StudySchema) -> D
     return counts.crossJoin(F.broadcast(sizes)).select(share("m").alias("main_pct"), share("o").alias("other_pct"), F.lit(0).alias("non_dominated"))
 
 
+#: Studies that one study is compared with at most.
+MAX_COMPARED = 4
+
+
+def comparisons(main: DataFrame, schema: StudySchema, others: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> dict[str, tuple[str | None, DataFrame | None]]:
+    """:func:`comparison` with each of up to ``MAX_COMPARED`` named (rows, directions)."""
+    if len(others) > MAX_COMPARED:
+        raise ValueError(f"at most {MAX_COMPARED} studies can be compared with one")
+    return {name: comparison(main, rows, schema, directions) for name, (rows, directions) in others.items()}
+
+
 def comparison(main: DataFrame, other: DataFrame, schema: StudySchema, other_directions: Sequence[str]) -> tuple[str | None, DataFrame | None]:
     """(message, None) for studies that can't be compared, else (None, ratio)."""
     if len(schema.directions) != len(other_directions):

@@ -42,6 +42,12 @@ def unknown_column_filter(spark, d):
     return filters.range_filter(st.part_study(spark, d), {"p_brand": (0, 1)}).select("trial_id")
 
 
+@query
+def decimal_range_filter(spark, d):
+    rows = st.part_study(spark, d).withColumn("price", F.col("p_retailprice").cast("decimal(12,2)"))
+    return filters.range_filter(rows, '{"price": {"min": 950.5, "max": 1500}, "revenue": {"min": "any"}, "discount": 7}').select("trial_id", F.col("price").cast("double").alias("price"))
+
+
 @query
 def row_positions(spark, d):
     return filters.indexed(st.part_study(spark, d), st.PART).select("trial_id", "row_idx")
@@ -222,7 +228,7 @@ def ridge_two_param(spark, d):
 @query
 def sensitivity_selected(spark, d):
     rows = st.part_study(spark, d)
-    return _round(sensitivity.sensitivity(rows, st.PART, rows.where(F.col("p_size") > 20)), 4, "rho", "beta", "r2").select("param", "objective", "rho")
+    return _round(sensitivity.sensitivity(rows, st.PART, rows.where(F.col("p_size") > 20)), 4, "rho", "beta", "r2").select("param", "objective", "rho", "beta", "r2")
 
 
 @query
@@ -281,6 +287,21 @@ def journal_study_table(spark, d):
     return found.select(0).select("row_idx", "trial_id", "p_size", "obj0", "c2", "is_feasible")
 
 
+@query
+def journal_mixed(spark, d):
+    rows = parse_journal(st.mixed_journal_lines(st.part_study(spark, d))).trials
+    param, label = (lambda n: F.try_element_at("params", F.lit(n))), (lambda n: F.try_element_at("param_labels", F.lit(n)))
+    found = rows.select("trial_id", "study_id", *[param(n).alias(n) for n in ("n", "price", "brand", "w")], param("c").alias("c_index"), label("brand").alias("brand_label"), label("c").alias("c_label"))
+    found = found.join(rows.select("trial_id", F.get("objectives", F.lit(0)).alias("disc"), F.get("objectives", F.lit(1)).alias("rev"), F.size("attrs_num").alias("n_attrs")), "trial_id")
+    return _round(found, 6, "price")
+
+
+@query
+def journal_mixed_studies(spark, d):
+    found = parse_journal(st.mixed_journal_lines(st.part_study(spark, d))).studies
+    return found.select("study_id", "name", "completed_trials", "total_trials", *[F.array_join(c, ",").alias(c) for c in ("directions", "param_names", "label_names", "objective_names")])
+
+
 @query
 def sobol(spark, d):
     return sensitivity.sobol(st.part_study(spark, d), st.PART, 1024)

@@ -36,6 +36,13 @@ def _ridge_table() -> str:
     return f"WITH {PART} " + " UNION ALL ".join(f"SELECT * FROM {p}" for p in parts)
 
 
+def _selected() -> str:
+    """Rank correlation and ridge of the rows with p_size above 20."""
+    rho = _spearman({"p_size": "p_size", "p_retailprice": "p_retailprice"}).replace("FROM coded)", "FROM coded WHERE p_size > 20)")
+    fits = [f"(WITH part_study AS (SELECT * FROM part_rows WHERE p_size > 20), {_ridge(o)} SELECT '{p}' AS param, '{o}' AS objective, round({b}, 4) AS beta, round(r2, 4) AS r2 FROM fit)" for o in ("revenue", "discount") for p, b in (("p_size", "beta1"), ("p_retailprice", "beta2"))]
+    return f"WITH {rho}, part_rows AS (SELECT * FROM part_study), fits AS ({' UNION ALL '.join(f'SELECT * FROM {f}' for f in fits)}) SELECT param, objective, round(rho, 4) AS rho, beta, r2 FROM rho JOIN fits USING (param, objective)"
+
+
 def _dominated(a: str, b: str, costs: list[str]) -> str:
     """``b`` dominates ``a``."""
     le = " AND ".join(c.format(b) + " <= " + c.format(a) for c in costs)
@@ -114,6 +121,7 @@ SQL = {
     "range_filter": f"WITH {PART} SELECT trial_id, p_size, p_retailprice FROM part_study WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 950 AND 1500",
     "open_range_filter": f"WITH {PART} SELECT trial_id, quantity, discount FROM part_study WHERE quantity >= 800 AND discount <= 0.05",
     "unknown_column_filter": "SELECT p_partkey AS trial_id FROM part WHERE false",
+    "decimal_range_filter": f"WITH {PART} SELECT trial_id, p_retailprice::DECIMAL(12,2)::DOUBLE AS price FROM part_study WHERE p_retailprice::DECIMAL(12,2) BETWEEN 950.5 AND 1500",
     "row_positions": f"WITH {PART}, {_INDEXED} SELECT trial_id, row_idx FROM i",
     "trials_batch": f"WITH {PART}, {_INDEXED}, w AS (SELECT * FROM (VALUES (0::BIGINT, 5), (1, 3), (2, 1000000000), (3, 0), (4, 7)) t(ordinal, p)) SELECT ordinal, row_idx, trial_id FROM i JOIN w ON p = row_idx",
     "all_trials": f"WITH {PART} SELECT trial_id, p_size, 0.0::DOUBLE AS p_brand, revenue AS v0 FROM part_study",
@@ -148,7 +156,7 @@ SQL = {
     "dominance_ratio": f"WITH {PART}, {_FRONT}, n AS (SELECT count(*) FILTER (WHERE p_size <= 25) AS m, count(*) FILTER (WHERE p_size > 25) AS o FROM front) SELECT round(100 * m / (m + o))::INTEGER AS main_pct, round(100 * o / (m + o))::INTEGER AS other_pct, 0 AS non_dominated FROM n",
     "spearman_matrix": f"WITH {_spearman(_COLUMNS)} SELECT param, objective, round(rho, 6) AS rho FROM rho",
     "ridge_two_param": _ridge_table(),
-    "sensitivity_selected": f"WITH {_spearman({'p_size': 'p_size', 'p_retailprice': 'p_retailprice'}).replace('FROM coded)', 'FROM coded WHERE p_size > 20)')} SELECT param, objective, round(rho, 4) AS rho FROM rho",
+    "sensitivity_selected": _selected(),
     "importance": f"WITH {_spearman(_COLUMNS)} SELECT param, round(avg(abs(rho)), 6) AS importance FROM rho GROUP BY param",
     "heatmap_threshold": f"WITH {_spearman(_COLUMNS)} SELECT param, objective, round(CASE WHEN max(abs(rho)) OVER (PARTITION BY param) < 0.02 THEN 0 ELSE rho END, 6) AS rho FROM rho",
     "label_encode": f"WITH {PART}, first AS (SELECT p_brand AS b, min(trial_id) AS f FROM part_study GROUP BY p_brand), codes AS (SELECT b, (row_number() OVER (ORDER BY f) - 1)::DOUBLE AS code FROM first) SELECT trial_id, code FROM part_study JOIN codes ON b = p_brand",
@@ -159,6 +167,8 @@ SQL = {
     "journal_studies": f"WITH {_JOURNAL} SELECT 0::BIGINT AS study_id, 'study' AS name, 'maximize,minimize' AS directions, (SELECT count(*) FROM j) AS completed_trials, (SELECT count(*) FROM i) AS total_trials, 'p_retailprice,p_size' AS params, 'obj0,obj1' AS objectives, 'key,tag' AS attrs, true AS has_constraints",
     "journal_trials": f"WITH {_JOURNAL} SELECT row_idx AS trial_id, p_size, revenue, trial_id AS key, 'x' AS tag, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",
     "journal_study_table": f"WITH {_JOURNAL} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, row_idx AS trial_id, p_size, revenue AS obj0, -1.0::DOUBLE AS c2, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",
+    "journal_mixed": f"WITH {PART}, {_INDEXED} SELECT row_idx AS trial_id, 1::BIGINT AS study_id, 1 + 2 * p_size AS n, round(p_retailprice, 6) AS price, (row_idx % 4)::DOUBLE AS brand, CASE WHEN row_idx % 4 = 1 THEN 2.5::DOUBLE END AS w, CASE WHEN row_idx % 8 = 1 THEN 1.0::DOUBLE WHEN row_idx % 4 = 1 THEN 0.0::DOUBLE END AS c_index, CASE row_idx % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS brand_label, CASE WHEN row_idx % 8 = 1 THEN 'B' WHEN row_idx % 4 = 1 THEN 'A' END AS c_label, discount AS disc, revenue AS rev, 0::INTEGER AS n_attrs FROM i",
+    "journal_mixed_studies": f"WITH {PART} SELECT 0::BIGINT AS study_id, 'empty' AS name, 0::BIGINT AS completed_trials, 0::BIGINT AS total_trials, 'minimize' AS directions, '' AS param_names, '' AS label_names, '' AS objective_names UNION ALL SELECT 1, 'mixed', count(*), count(*), 'minimize,maximize', 'brand,c,n,price,w', 'brand,c', 'disc,rev' FROM part_study",
     "live_replay": f"WITH {_JOURNAL} SELECT 0::BIGINT AS study_id, row_idx AS trial_id, p_size, revenue FROM j",
     "pca_projection": _pca(),
     "kmeans": f"WITH {_VECTORS}, {_kmeans(4)} SELECT vec_id, label::INTEGER AS label FROM l4",

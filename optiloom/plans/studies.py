@@ -74,3 +74,43 @@ def journal_lines(study: DataFrame, schema: StudySchema, keep: str = "trial_id")
     lines = F.array(*[F.to_json(o) for o in ops])
     body = rows.select(w.alias("__i"), F.posexplode(lines).alias("k", "value")).select((F.col("__i") * len(ops) + F.col("k") + 1).alias("line_no"), "value")
     return head.unionByName(body)
+
+
+def mixed_journal_lines(study: DataFrame) -> DataFrame:
+    """A journal (line_no, value) of the part study in its less plain forms: two studies, metric names, rejected and inline trials, writes before creation, integer, logarithmic and categorical params, distributions as strings, nulls among values."""
+    op = lambda code, **fields: F.to_json(F.struct(F.lit(code).alias("op_code"), *[v.alias(k) for k, v in fields.items()]))
+    named = lambda *pairs: F.struct(*[v.alias(k) for k, v in pairs])
+    texts = lambda *values: F.array(*[F.lit(v) for v in values])
+    i = F.col("__i")
+    whole = F.to_json(named(("name", F.lit("IntDistribution")), ("low", F.lit(1)), ("step", F.lit(2))))
+    log = named(("name", F.lit("FloatDistribution")), ("attributes", named(("log", F.lit(True)))))
+    choice = F.to_json(named(("name", F.lit("CategoricalDistribution")), ("attributes", named(("choices", texts("a", "b", "c"))))))
+    inline = op(
+        4,
+        study_id=F.lit(1),
+        distributions=named(("c", named(("name", F.lit("CategoricalDistribution")), ("choices", texts("A", "B"))))),
+        params=named(("c", F.when(i % 8 == 1, "B").otherwise("A")), ("w", F.lit(2.5))),
+        state=F.lit(0),
+    )
+    trial = i.cast("long")
+    lines = [
+        op(8, trial_id=trial + 1, user_attr=named(("early", F.lit(1)))),
+        F.when(i % 4 == 1, inline).otherwise(op(4, study_id=F.lit(1))),
+        op(4, study_id=F.lit(9)),
+        op(5, trial_id=trial, param_name=F.lit("n"), param_value_internal=F.col("p_size"), distribution=whole),
+        op(5, trial_id=trial, param_name=F.lit("price"), param_value_internal=F.log("p_retailprice"), distribution=log),
+        op(5, trial_id=trial, param_name=F.lit("brand"), param_value_internal=(i % 4).cast("double") + 0.2, distribution=choice),
+        op(6, trial_id=trial, state=F.lit(1), values=F.array(F.col("discount"), F.lit(None).cast("double"), F.col("revenue"))),
+    ]
+    head = study.sparkSession.createDataFrame(
+        [
+            (0, '{"op_code": 0, "study_name": "empty", "directions": [1]}'),
+            (1, '{"op_code": 3, "study_id": 1, "system_attr": {"study:metric_names": ["too", "early"]}}'),
+            (2, '{"op_code": 0, "study_name": "mixed", "directions": [1, 2]}'),
+            (3, '{"op_code": 3, "study_id": 1, "system_attr": {"study:metric_names": ["disc", "rev"]}}'),
+            (4, "{broken"),
+        ],
+        "line_no long, value string",
+    )
+    rows = with_position(study, "trial_id", "__i").select("__i", F.posexplode(F.array(*lines)).alias("k", "value"))
+    return head.unionByName(rows.select((F.col("__i") * len(lines) + F.col("k") + 5).alias("line_no"), "value"))

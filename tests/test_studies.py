@@ -1,6 +1,7 @@
 """Hand-computed cases of the study operators."""
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -81,6 +82,28 @@ def test_range_filter(spark):
     assert ids("not json") == [0, 1, 2, 3, 4]
 
 
+def test_ranges_of_odd_forms(spark):
+    rows = spark.createDataFrame([(i, Decimal(i) / 4, i % 2 == 0, str(i), float("nan") if i == 3 else 1.0) for i in range(6)], "trial_id long, `unit price` decimal(10,2), flag boolean, t string, y double")
+    ids = lambda r: [x.trial_id for x in filters.range_filter(rows, r).orderBy("trial_id").collect()]
+    assert ids({"unit price": (0.25, 1)}) == ids('{"unit price": {"min": 0.25, "max": 1}}') == [1, 2, 3, 4]
+    assert ids({"unit price": (Decimal("0.5"), None)}) == [2, 3, 4, 5]
+    assert ids('{"unit price": {"min": "a", "max": true}}') == [0, 1, 2, 3, 4, 5]
+    assert ids('{"trial_id": 5, "unit price": {"max": 0.5}}') == [0, 1, 2] and ids('{"y": []}') == [0, 1, 2, 4, 5]
+    assert ids('{"flag": {"min": 0}}') == ids('{"t": {}}') == [] and ids("[1]") == ids("3") == [0, 1, 2, 3, 4, 5]
+
+
+def test_ranges_that_cover_their_column_are_no_filter(spark):
+    df = frame(spark, [(0, 1.0, 5.0), (1, 2.0, math.nan), (2, 3.0, 7.0)])
+    got = filters.effective_ranges(df, {"a": (1.0, 3.0), "b": (5.0, 6.9), "trial_id": (1.0, 9.0)})
+    assert got == {"b": (5.0, 6.9), "trial_id": (1.0, 9.0)}
+
+
+def test_alpha_of_points(spark):
+    df = frame(spark, [(0, 1.0, 5.0), (1, 2.0, math.nan), (2, 3.0, 7.0)])
+    got = filters.selected_points(df, ["a", "b"], F.col("a") > 1, full=0.9, dimmed=0.05).orderBy("a").collect()
+    assert [(r.a, r.alpha) for r in got] == [(1.0, 0.05), (3.0, 0.9)]
+
+
 def test_feasibility(spark):
     df = spark.createDataFrame([([-0.5, 0.3],), ([-1.0, -0.5, 0.0],), ([],), (None,)], "constraints array<double>")
     got = [(r.is_feasible, round(r.constraint_sum, 9)) for r in with_feasibility(df).collect()]
@@ -242,3 +265,8 @@ def test_dominance_ratio(spark):
     got = pareto.dominance_ratio(points(spark, [(1, 4), (5, 5)]), points(spark, [(2, 2)]), TWO).first()
     assert (got.main_pct, got.other_pct) == (50, 50)
     assert pareto.comparison(points(spark, []), points(spark, []), TWO, ("minimize", "maximize"))[0]
+    other = (points(spark, [(2, 2)]), ("minimize", "minimize"))
+    found = pareto.comparisons(points(spark, [(1, 4), (5, 5)]), TWO, {"x": other, "y": (other[0], ("minimize",))})
+    assert found["x"][1].first().main_pct == 50 and found["y"][0]
+    with pytest.raises(ValueError):
+        pareto.comparisons(other[0], TWO, dict.fromkeys("abcde", other))
