@@ -192,6 +192,16 @@ def hv_history(spark, d):
     return _round(pareto.hypervolume_history(st.supplier_study(spark, d), st.SUPPLIER2), 4, "hv")
 
 
+@query
+def hv_3d(spark, d):
+    return _round(pareto.hypervolume(st.supplier_study(spark, d), st.SUPPLIER), 4, "hv")
+
+
+@query
+def hv_history_3d(spark, d):
+    return _round(pareto.hypervolume_history(st.supplier_study(spark, d), st.SUPPLIER), 4, "hv")
+
+
 @query
 def chebyshev_rank(spark, d):
     found = _round(mcdm.chebyshev(st.part_study(spark, d), st.PART, [0.4, 0.6]), 6, "score")

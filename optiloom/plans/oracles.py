@@ -117,6 +117,10 @@ _BEST = f"{EVENTS}, b AS (SELECT *, min(value) OVER (PARTITION BY event_type ORD
 _JOURNAL = f"{PART}, {_INDEXED}, j AS (SELECT * FROM i WHERE row_idx % 10 <> 9)"
 _STATS = ["p_size", "p_retailprice", "revenue", "quantity"]
 
+_STRIPS = "lead(x, 1, r0) OVER ({0} ORDER BY x, trial_id) - x AS w"
+_FRONT3 = f"front AS (SELECT trial_id, -balance AS x, discount AS y FROM supplier_study a WHERE NOT EXISTS (SELECT 1 FROM supplier_study b WHERE {_dominated('a', 'b', _SUP3)}))"
+_REF = "max(x) + 0.1 * abs(max(x) - min(x)) + 1 AS r0, max(y) + 0.1 * abs(max(y) - min(y)) + 1 AS r1"
+
 SQL = {
     "range_filter": f"WITH {PART} SELECT trial_id, p_size, p_retailprice FROM part_study WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 950 AND 1500",
     "open_range_filter": f"WITH {PART} SELECT trial_id, quantity, discount FROM part_study WHERE quantity >= 800 AND discount <= 0.05",
@@ -150,6 +154,8 @@ SQL = {
     "nd_ranks_2d": _ranks(_SUP2),
     "hv_2d": f"WITH {PART}, {_FRONT}, r AS (SELECT max(-revenue) + 0.1 * abs(max(-revenue) - min(-revenue)) + 1 AS r0, max(discount) + 0.1 * abs(max(discount) - min(discount)) + 1 AS r1, count(*) AS n FROM front), s AS (SELECT -revenue AS x, discount AS y, r0, r1, n, lead(-revenue, 1, r0) OVER (ORDER BY -revenue, discount) - (-revenue) AS w FROM front, r) SELECT CASE WHEN max(n) >= 2 THEN round(sum(w * (r1 - y)), 3) END AS hv FROM s",
     "hv_history": f"WITH {SUPPLIER}, c AS (SELECT trial_id, -balance AS x, discount AS y FROM supplier_study), r AS (SELECT max(x) + 0.1 * abs(max(x) - min(x)) + 1 AS r0, max(y) + 0.1 * abs(max(y) - min(y)) + 1 AS r1 FROM c), p AS (SELECT b.trial_id AS t, a.x, a.y, r0, r1 FROM c a JOIN c b ON a.trial_id <= b.trial_id, r), m AS (SELECT t, x, r0, r1, min(y) OVER (PARTITION BY t ORDER BY x, y ROWS UNBOUNDED PRECEDING) AS low, lead(x, 1, r0) OVER (PARTITION BY t ORDER BY x, y) - x AS w FROM p) SELECT t AS trial_id, round(sum(w * (r1 - low)), 4) AS hv FROM m GROUP BY t",
+    "hv_3d": f"WITH {SUPPLIER}, {_FRONT3}, r AS (SELECT {_REF}, count(*) AS n FROM front), s AS (SELECT n, r1, y, {_STRIPS.format('')} FROM front, r) SELECT CASE WHEN max(n) >= 2 THEN round(sum(w * (r1 - y)), 4) END AS hv FROM s",
+    "hv_history_3d": f"WITH {SUPPLIER}, r AS (SELECT {_REF} FROM (SELECT -balance AS x, discount AS y FROM supplier_study)), p AS (SELECT t.trial_id AS t, a.trial_id, -a.balance AS x, a.discount AS y FROM supplier_study t JOIN supplier_study a ON a.trial_id <= t.trial_id WHERE NOT EXISTS (SELECT 1 FROM supplier_study b WHERE b.trial_id <= t.trial_id AND {_dominated('a', 'b', _SUP3)})), s AS (SELECT t, r1, y, {_STRIPS.format('PARTITION BY t')} FROM p, r) SELECT t AS trial_id, round(sum(w * (r1 - y)), 4) AS hv FROM s GROUP BY t",
     "chebyshev_rank": f"WITH {PART}, s AS (SELECT trial_id, round(greatest(abs(-revenue - min(-revenue) OVER ()) * 0.4, abs(discount - min(discount) OVER ()) * 0.6), 6) AS score FROM part_study) SELECT trial_id, score FROM s ORDER BY score, trial_id LIMIT 50",
     "topsis_rank": f"WITH {PART} " + _topsis("part_study", [("revenue", True), ("discount", False)], [0.5, 0.5]),
     "topsis_top10": f"WITH {SUPPLIER} SELECT * FROM ({_topsis('supplier_study', [('balance', True), ('discount', False), ('quantity', True)], [1 / 3] * 3)}) ORDER BY score DESC, trial_id LIMIT 10",

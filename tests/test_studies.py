@@ -35,21 +35,93 @@ def test_ranks(spark):
     assert ranks(spark, [(1, 1), (math.nan, 0), (2, 2)]) == [1, 3, 2]
 
 
-def test_peeled_ranks_equal_direct_ones(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    rows = rng.integers(0, 7, (40, 2)).tolist()
-    direct = ranks(spark, rows)
-    monkeypatch.setattr(pareto, "RANK_LIMIT", 3)
-    assert ranks(spark, rows) == direct
+def dominates(a, b):
+    return all(x <= y for x, y in zip(a, b)) and any(x < y for x, y in zip(a, b))
+
+
+def ranks_by_hand(rows):
+    found = {}
+
+    def rank(p):
+        if p not in found:
+            found[p] = 1 + max((rank(q) for q in set(rows) if dominates(q, p)), default=0)
+        return found[p]
+
+    return [rank(p) for p in sorted(set(rows))] and [found[p] for p in rows]
+
+
+@pytest.mark.parametrize("m, block", [(2, 8192), (2, 11), (3, 17), (4, 40)])
+def test_ranks_of_blocks(spark, monkeypatch, m, block):
+    """Ranked in one block or in many, with ties and repeated vectors."""
+    monkeypatch.setattr(pareto, "RANKED", block)
+    rows = [tuple(map(float, r)) for r in np.random.default_rng(m).integers(0, 9, (150, m))]
+    names = [f"o{k}" for k in range(m)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "trial_id long, " + ", ".join(f"{n} double" for n in names))
+    schema = StudySchema((), tuple(names), ("minimize",) * m)
+    want = ranks_by_hand(rows)
+    assert [r["rank"] for r in pareto.ranks(df, schema).orderBy("trial_id").collect()] == want
+    assert [r["rank"] for r in pareto.ranks(df, schema, max_rank=2).orderBy("trial_id").collect()] == [min(w, 3) for w in want]
 
 
 def test_ranks_of_many_objectives():
-    assert pareto.ranks_of(np.array([[1, 1, 1, 1], [2, 2, 2, 2], [1, 2, 1, 2.0]])).tolist() == [1, 3, 2]
+    points = np.array([[1, 1, 1, 1], [1, 2, 1, 2], [2, 2, 2, 2.0]])
+    assert pareto.chain_ranks(points, np.zeros(3)).tolist() == [1, 2, 3] and pareto.chain_ranks(points, np.array([4, 0, 0])).tolist() == [5, 6, 7]
+    chain = np.repeat(np.arange(1200.0)[:, None], 2, axis=1)
+    assert pareto.chain_ranks(chain, np.zeros(1200)).tolist() == list(range(1, 1201))
 
 
 def test_hypervolume_steps():
-    p = np.array([(1, 4), (2, 2), (3, 1.0)])
-    assert pareto.history_values(p, np.ones(3, bool), np.array([5, 5.0]))[-1] == pytest.approx(12)
+    steps = pareto.Staircase((5, 5))
+    for p in ((1, 4), (2, 2), (3, 1.0), (3, 3), (9, 0)):
+        steps.add(p)
+    assert steps.area == pytest.approx(12)
+
+
+def strips(points, ref):
+    """The literal sum over a list in the order of arrival."""
+    inside = sorted((p for p in points if p[0] < ref[0] and p[1] < ref[1]), key=lambda p: p[0])
+    ends = [p[0] for p in inside[1:]] + [ref[0]]
+    return sum((e - p[0]) * (ref[1] - p[1]) for p, e in zip(inside, ends))
+
+
+@pytest.mark.parametrize("m, bits", [(2, 16), (2, 3), (3, 16), (3, 4)])
+def test_hypervolume_history(spark, monkeypatch, m, bits):
+    """Two series in one block or in many, against a loop over the rows; NaN rows repeat the value before."""
+    monkeypatch.setattr(pareto, "HISTORY_BITS", bits)
+    rng = np.random.default_rng(m + bits)
+    rows = [(s, i, *map(float, rng.integers(0, 30, m))) for s, n in (("a", 90), (None, 25), ("nan", 2)) for i in range(n)]
+    rows = [(s, i, math.nan, *rest[1:]) if i in (0, 7) or s == "nan" else (s, i, *rest) for s, i, *rest in rows]
+    names = [f"o{k}" for k in range(m)]
+    df = spark.createDataFrame(rows, "s string, trial_id long, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    schema = StudySchema((), tuple(names), ("maximize",) + ("minimize",) * (m - 1))
+    got = {(r.s, r.trial_id): r.hv for r in pareto.hypervolume_history(df, schema, ("s",)).collect()}
+    area = {(r.s, r.trial_id): r.hv for r in pareto.hypervolume_history(df, schema, ("s",), true_area=True).collect()}
+    assert len(got) == len(rows)
+    for s in ("a", None, "nan"):
+        own = [(-r[2], *r[3:]) for r in rows if r[0] == s]
+        good = [p for p in own if not any(map(math.isnan, p))]
+        ref = [max(c) + 0.1 * abs(max(c) - min(c)) + 1 for c in zip(*good)]
+        front, steps, value = [], pareto.Staircase(ref or [0, 0]), 0.0
+        for i, p in enumerate(own):
+            if p in good:
+                if not any(dominates(q, p) for q in front):
+                    front = [q for q in front if not dominates(p, q)] + [p]
+                value = strips(front, ref)
+                steps.add(p)
+            assert got[s, i] == pytest.approx(value) and area[s, i] == pytest.approx(steps.area)
+    one = pareto.hypervolume_history(df.where("s = 'a'"), schema).orderBy("trial_id").collect()
+    assert [r.hv for r in one] == pytest.approx([got["a", i] for i in range(90)])
+    assert {r.hv for r in pareto.hypervolume_history(df, StudySchema((), ("o0",))).collect()} == {0.0}
+    assert pareto.hypervolume_history(df.limit(0), schema).count() == 0
+
+
+def test_hypervolume_of_three_costs(spark):
+    """Front rows that dominate each other in the first two costs: strips as they are, or the true area."""
+    df = spark.createDataFrame([(0, 1.0, 1.0, 9.0), (1, 2.0, 3.0, 1.0), (2, 2.0, 2.0, 2.0)], "trial_id long, a double, b double, c double")
+    schema = StudySchema((), ("a", "b", "c"), ("minimize",) * 3)
+    ref = (2 + 0.1 + 1, 3 + 0.2 + 1)
+    assert pareto.hypervolume(df, schema).first().hv == pytest.approx(strips([(1, 1), (2, 3), (2, 2)], ref))
+    assert pareto.hypervolume(df, schema, true_area=True).first().hv == pytest.approx((ref[0] - 1) * (ref[1] - 1))
 
 
 def test_hypervolume_needs_two_front_rows(spark):
