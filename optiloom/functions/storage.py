@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,33 +30,57 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_lock = threading.Lock()
+_writes = 0
+_before = "false"
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The switch is on while any thread writes, and as it was once none does."""
+    global _writes, _before
+    with _lock:
+        if not _writes:
+            _before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writes += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes -= 1
+            if not _writes:
+                spark.conf.set(_CLEANUP, _before)
+
+
 class Scratch:
     """Parquet tables in a folder of their own below the shared one.
 
     A table's shuffle files go when it is written; the tables go with :meth:`drop`,
-    for which every result that still reads them has to be written first.
+    for which every result that still reads them has to be written first, or else
+    when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self._n = 0
+        path = self._path()
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read from there."""
         path = f"{self.folder}/{self._n}"
         self._n += 1
-        conf = self.spark.conf
-        before = conf.get(_CLEANUP, "false")
-        conf.set(_CLEANUP, "true")
-        try:
+        with _cleaning(self.spark):
             df.write.parquet(path)
-        finally:
-            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path = self._path()
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

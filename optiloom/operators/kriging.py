@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 
 JITTER, ROUNDS, MEMORY = 1e-6, 100, 5
+#: Greatest size of a log parameter; a step beyond it is halved, as its powers would overflow.
+FARTHEST = 100.0
 
 
 def _kernel(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -18,6 +20,8 @@ def _kernel(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray
 
 def objective(theta: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Negative log marginal likelihood and its gradient."""
+    if not np.abs(theta).max() <= FARTHEST:
+        return np.inf, np.zeros_like(theta)
     k, r, d2 = _kernel(x, x, theta)
     n = len(y)
     full = k + (np.exp(2 * theta[-1]) + JITTER) * np.eye(n)

@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiloom.functions.schema import EPS, StudySchema, finite
-from optiloom.functions.storage import checkpointed
+from optiloom.functions.storage import Scratch
 from optiloom.operators import forest, kriging
 from optiloom.operators.sensitivity import ridge_fits
 
 #: Rows a Gaussian process is fitted on; more are sampled by hash of the id.
 KRIGING_ROWS = 1000
-#: Values (rows times columns) that a forest is grown over on single tasks; larger data stay distributed.
-LOCAL_VALUES = 1_000_000
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -59,13 +57,15 @@ def _sampled(df: DataFrame, schema: StudySchema, cols: list, objective: str, lim
 
 def _forest(df: DataFrame, schema: StudySchema, cols: list, objective: str, grid: np.ndarray) -> tuple[np.ndarray, float]:
     """(values at ``grid``, r2) of a forest over all rows."""
-    rows = checkpointed(_training(df, schema, cols, objective))
-    names = [f"x{i}" for i in range(len(cols))]
-    if rows.count() * (len(cols) + 1) > LOCAL_VALUES:
-        return forest.fit_over_rows(rows, names, "y", grid)
-    data = rows.toPandas().sort_values(schema.id)[[*names, "y"]].to_numpy(float)
-    trees = forest.fit_distributed(df.sparkSession, data[:, :-1], data[:, -1])
-    return forest.predict(trees, grid), forest.r_squared(data[:, -1], forest.predict(trees, data[:, :-1]))
+    work = Scratch(df.sparkSession)
+    training = _training(df, schema, cols, objective)
+    rows = work.save(training.select(F.xxhash64(schema.id).alias("h"), *[c for c in training.columns if c != schema.id]))
+    if rows.isEmpty():
+        return np.full(len(grid), np.nan), 1.0
+    trees = forest.fit(rows, len(cols))
+    found = forest.predict(trees, grid), forest.r_squared_over(rows, len(cols), trees)
+    work.drop()
+    return found
 
 
 def surface(df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str, n: int = 50, model: str = "ridge") -> DataFrame:

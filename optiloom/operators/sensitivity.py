@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from optiloom.functions import blocks
 from optiloom.functions.ordered import running, with_position
 from optiloom.functions.schema import EPS, StudySchema, finite
+from optiloom.functions.storage import saved
 from optiloom.operators.filters import long_form
 
 SOBOL_SEED = 0xDEADBEEF12345678
@@ -62,7 +63,8 @@ def spearman_matrix(df: DataFrame, schema: StudySchema) -> DataFrame:
         ok = ok & finite(F.col(o).cast("double"))
     coded, names = encoded(df.where(ok), schema)
     every = [*names, *schema.objectives]
-    ranks = average_ranks(coded, every, schema.id)
+    narrow = saved(coded.select(schema.id, *[F.col(c).cast("double").alias(c) for c in every]))  # read by counts and by ranks
+    ranks = average_ranks(narrow, every, schema.id)
     wide = ranks.groupBy(schema.id).pivot("name", every).agg(F.first("rank"))
     pairs = [(p, n, o) for p, n in zip(schema.params, names, strict=True) for o in schema.objectives]
     row = wide.agg(*[_correlation(F.col(n), F.col(o)).alias(f"__r{i}") for i, (_, n, o) in enumerate(pairs)])

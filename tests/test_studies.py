@@ -304,10 +304,10 @@ def test_forest_and_kriging():
     assert np.abs(kriging.fit(x, target).predict(x) - target).max() < 0.1
 
 
-@pytest.mark.parametrize("local", [1_000_000, 0])
-def test_forest_uses_all_rows(spark, monkeypatch, local):
-    """A step in 30 of 7,000 rows, none of them among the 5,000 of least id hash."""
-    monkeypatch.setattr(pdp, "LOCAL_VALUES", local)
+@pytest.mark.parametrize("limit", [100_000, 2000])
+def test_forest_uses_all_rows(spark, monkeypatch, limit):
+    """A step in 30 of 7,000 rows, none of them among the 5,000 of least id hash; nodes split in tasks or over all of them."""
+    monkeypatch.setattr(forest, "NODE_ROWS", limit)
     ids = [r.id for r in spark.range(7000).orderBy(F.xxhash64("id"), "id").collect()]
     late = set(ids[-30:])
     rows = [(i, 1.0 if i in late else 0.0, float(i % 3), 100.0 if i in late else 0.0) for i in ids]
@@ -316,6 +316,26 @@ def test_forest_uses_all_rows(spark, monkeypatch, local):
     assert len(found) == 4 and all((r.z > 90) == (r.x == 1) and r.r2 > 0.95 for r in found)
 
 
+def test_forests_do_not_depend_on_partitions_or_limits(spark, monkeypatch):
+    """Integer targets, so that sums are exact: the same trees over 1 and 50 partitions, grown in tasks and by levels."""
+    rng = np.random.default_rng(11)
+    rows = [(int(h), float(a), float(b), float(y)) for h, a, b, y in zip(rng.integers(-(2**62), 2**62, 400), rng.integers(0, 30, 400), rng.integers(0, 400, 400), rng.integers(0, 9, 400))]
+    df = spark.createDataFrame(rows, "h long, x0 double, x1 double, y double")
+    one = forest.fit(df.repartition(1), 2, trees=3)
+    assert forest.fit(df.repartition(50), 2, trees=3) == one
+    monkeypatch.setattr(forest, "NODE_ROWS", 60)
+    split = forest.fit(df, 2, trees=3)
+    x = np.array([r[1:3] for r in rows])
+    assert forest.predict(split, x) == pytest.approx(forest.predict(one, x))
+    assert forest.r_squared_over(df, 2, one) == pytest.approx(forest.r_squared(np.array([r[3] for r in rows]), forest.predict(one, x)))
+    for t in range(3):  # each tree equals the plain one over its draws
+        w = forest.draws(np.array([r[0] for r in rows]), t)
+        data = sorted((r, k) for r, k in zip(rows, w.tolist()) if k)
+        plain = forest.grow(np.array([r[1:3] for r, _ in data]), np.array([r[3] for r, _ in data]), np.array([float(k) for _, k in data]))
+        assert forest.predict([one[t]], x) == pytest.approx(forest.predict([plain], x))
+    assert 0.9 < np.mean([forest.draws(np.arange(5000), t).mean() for t in range(5)]) < 1.1
+
+
 def test_linspace_and_labels():
     assert pdp.linspace(0, 4, 1) == [2] and pdp.linspace(0, 4, 3) == [0, 2, 4]
     assert [pdp.quality_label(v) for v in (0.9, 0.6, 0.1)] == ["Good", "Caution", "Not Recommended"]
