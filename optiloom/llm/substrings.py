@@ -24,7 +24,7 @@ same words also start in a document of smaller id.
    Windows of a greater id go back to the sheaves, which cut the words.
 
 A very common passage costs one segment per sheaf, not one per document. Words
-are compared by hashes of 64 bits each, windows on their way back by 80 bits.
+are compared by hashes of 64 bits each (long ones by XXH3), windows on their way back by 80 bits.
 The text is dealt to the sheaves once for each of the steps 2, 3 and 4; each
 step's shuffle files go when its result is written.
 
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiloom.functions.storage import Scratch, saved
-from optiloom.llm.words import Words, as_bytes, chunked, mix, read_words
+from optiloom.llm.words import Words, as_bytes, chunked, mix, read_words, rehash_long
 
 WINDOW = 13
 GRAM = 8
@@ -195,7 +195,7 @@ def _read(table: pa.Table, window: int, gram: int, parts: int) -> Iterator[tuple
     """Texts, ids (``_NULL`` for null), words and windows, chunk by chunk."""
     texts, ids = as_bytes(table.column("text")), table.column("id").to_pylist()
     for low, high in chunked(texts, 1 << 20):
-        words = read_words(texts[low:high])
+        words = rehash_long(read_words(texts[low:high]))
         yield texts[low:high], np.array([_NULL if i is None else i for i in ids[low:high]], np.int64), words, Windows(words, window, gram, parts)
 
 

@@ -12,12 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a word beyond which :func:`rehash_long` hashes it in another way.
+LONG = 64
 #: Text bytes handled at once; a longer text is handled alone.
 CHUNK = 2 << 20
 
@@ -72,6 +75,17 @@ def read_words(texts: list[bytes]) -> Words:
     return Words(data, np.r_[0, np.searchsorted(start, ends)], start, end, hashes)
 
 
+def rehash_long(words: Words) -> Words:
+    """``words`` whose long words have the XXH3 hash of their bytes.
+
+    Products modulo 2**64 lose low bits with every doubling of a word, so that long
+    words made for it (from some 1,000 bytes on) are sure to collide.
+    """
+    for i in np.flatnonzero(words.end - words.start > LONG).tolist():
+        words.hashes[i] = xxhash.xxh3_64_intdigest(words.data[words.start[i] : words.end[i]])
+    return words
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from optiloom.llm import centroids, pieces, prefix_trie, queries, token_counts
+from optiloom.llm import centroids, pieces, prefix_trie, queries, substrings, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -222,3 +222,14 @@ def test_token_counts_do_not_depend_on_the_cache(vocabulary, library, monkeypatc
     monkeypatch.setattr(token_counts, "CACHE", len(counts) + 3)
     texts = ["qwertyuiop asdfghjkl zxcvbnm", "poiuytrewq lkjhgfdsa mnbvcxz", "qwertyuiop mnbvcxz\nzxcvbnm"]
     assert [counts.of([t])[0] for t in texts] == [len(x) for x in library.encode(texts)]
+
+
+@pytest.mark.parametrize("doublings", [5, 6, 7, 10, 11, 16])
+def test_long_words_that_products_confuse_stay_apart(spark, doublings):
+    """Thue-Morse words and their complements, of 32 to 65,536 characters, among twelve equal words: nothing repeats."""
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    rest = " ".join(f"word{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"{rest} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.digest(df).collect()} == {1: 0, 2: 0, 3: 13}
