@@ -12,7 +12,7 @@ PAGE = 48
 
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, extension, category of every file; contents are not read."""
+    """path, size, extension, category of every file that is not empty; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     ext = F.lower(F.substring_index(F.substring_index("path", "/", -1), ".", -1))
     kind = F.lit("other")

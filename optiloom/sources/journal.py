@@ -18,18 +18,22 @@ or state counts as 0, a missing name as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import glob
+import os
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import StudySchema, with_feasibility
 from optiloom.functions.storage import saved
 from optiloom.sources import operations as ops
+from optiloom.sources.byte_ranges import lines_of, ranges_of
 
 WRITES = "line_no long, op int, study_id long, trial_id long, kind string, key string, num double, text string, list array<double>"
 #: Low bits of the line numbers that one block of running counts holds.
@@ -108,6 +112,50 @@ def journal_writes(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", "value").mapInArrow(run, WRITES)
 
 
+class JournalFiles(DataSource):
+    """``spark.read.format("journal_files").option("path", file or folder or pattern)``; rows: line_no, value.
+
+    Files are read in the order of their names, each by byte ranges. A line's number
+    is its position in all files end to end, so it needs no count of lines: numbers
+    rise with the lines, but not by one.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "journal_files"
+
+    def schema(self) -> str:
+        return "line_no long, value string"
+
+    def reader(self, schema):
+        return JournalFilesReader(self.options["path"])
+
+
+class JournalFilesReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> Sequence[InputPartition]:
+        found = glob.glob(os.path.join(self.path, "*") if os.path.isdir(self.path) else self.path)
+        if not found:
+            raise FileNotFoundError(self.path)
+        out, base = [], 0
+        for name in sorted(f for f in found if os.path.isfile(f)):
+            size = os.path.getsize(name)
+            out += [InputPartition(r) for r in ranges_of(name, 0, size, base)]
+            base += size
+        return out or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return iter(()) if partition.value is None else lines_of(partition.value, whole=False)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, value of journals on a file system that driver and executors share; :func:`read_lines` reads any store."""
+    spark.dataSource.register(JournalFiles)
+    return spark.read.format("journal_files").option("path", path).load()
+
+
 def _counted(rows: DataFrame, flag: Column, out: str) -> DataFrame:
     """``out``: how many rows up to each have ``flag``, by line number: counts within a block of lines, plus those of the blocks before."""
     blocked = rows.withColumn("__block", F.shiftright("line_no", BLOCK_BITS)).withColumn("__flag", flag.cast("long"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optiloom.sources.journal import JournalError, parse_journal, read_lines
-from optiloom.streaming.live import TailReader, completed_trials, tail
+from optiloom.streaming.live import completed_trials, tail
 
 
 def lines(spark, ops):
@@ -117,13 +117,6 @@ def test_read_lines_keeps_order(spark, tmp_path):
     assert [r.value for r in got] == [str(i) for i in range(3000)] and [r.line_no for r in got] == list(range(3000))
 
 
-def test_tail_waits_for_whole_lines(tmp_path):
-    path = tmp_path / "j.log"
-    path.write_text('{"a":1}\n{"b"')
-    rows, at = TailReader(str(path)).read({"at": 0})
-    assert [r[2] for r in rows] == ['{"a":1}'] and at == {"at": 8}
-
-
 def test_stream_equals_batch(spark, tmp_path):
     path = tmp_path / "j.log"
     out, state = str(tmp_path / "out"), str(tmp_path / "state")

@@ -10,7 +10,9 @@ from optiloom.functions.ordered import running, with_position
 from optiloom.functions.schema import StudySchema
 from optiloom.operators import export, filters, pareto, pdp, sensitivity
 from optiloom.sources import artifacts
-from optiloom.streaming.live import Fold, TailReader, keep_running
+from optiloom.sources import byte_ranges
+from optiloom.sources.journal import read_files, read_lines
+from optiloom.streaming.live import Births, TailReader, Trials, UpdateHistory, keep_running
 
 STUDY = StudySchema(("p",), ("a", "b"), ("minimize", "minimize"))
 
@@ -90,33 +92,128 @@ def test_ranges_split_ties_and_series(spark):
         assert total == sums[s]
 
 
-def test_fold_survives_odd_writes():
-    fold = Fold(studies=1, trials=5)
-    feed = lambda **o: fold.feed(json.dumps(o))
+def test_state_survives_odd_writes():
+    trials = Trials()
+    feed = lambda trial=6, study=None, **o: trials.feed(trial, json.dumps(o), study)
     log = {"name": "FloatDistribution", "log": True}
-    done = feed(op_code=4, study_id=0, distributions={}, params={"a": "x", "b": 2}, values=[None, 1], user_attrs={"k": 1, "t": "u", "n": None}, state=1)
-    assert done["trial_id"] == 5 and done["values"] == [1.0] and done["params"] == {"a": 0.0, "b": 2.0} and done["labels"] == {"a": "x"} and done["num"] == {"k": 1.0} and done["text"] == {"t": "u"}
-    assert feed(op_code=4, study_id=0) is None
+    done = feed(5, 0, op_code=4, study_id=0, distributions={}, params={"a": "x", "b": 2}, values=[None, 1], user_attrs={"k": 1, "t": "u", "n": None}, state=1)
+    assert done["values"] == [1.0] and done["params"] == {"a": 0.0, "b": 2.0} and done["labels"] == {"a": "x"} and done["num"] == {"k": 1.0} and done["text"] == {"t": "u"}
+    assert feed(6, 0, op_code=4, study_id=0) is None and feed(7, op_code=6, state=1) is None
     for o in ({"param_name": "p", "distribution": "{broken", "param_value_internal": 3}, {"param_name": "q", "distribution": log, "param_value_internal": 1000.0}, {"param_name": ["r"]}, {"param_name": "c", "distribution": {"name": "CategoricalDistribution", "choices": 5}, "param_value_internal": "x"}):
-        assert feed(op_code=5, trial_id=6, **o) is None
-    assert feed(op_code=8, trial_id=6, user_attr={"z": 2.5, "w": "v", "o": {}}) is None and feed(op_code=9, trial_id=6, system_attr={"constraints": "x"}) is None
-    assert feed(op_code=6, trial_id=6, values="text") is None and fold.feed("[1]") is None and fold.feed("nonsense") is None
-    done = feed(op_code=6, trial_id=6, state=1, values=[7])
-    assert done["params"] == {"p": 3.0, "q": math.inf, "c": 0.0} and done["values"] == [7.0] and done["num"] == {"z": 2.5} and done["text"] == {"w": "v"}
-    assert Fold(fold.dump()).trials == 7
+        assert feed(op_code=5, **o) is None
+    assert feed(op_code=8, user_attr={"z": 2.5, "w": "v\ud800", "o": {}}) is None and feed(op_code=9, system_attr={"constraints": "x"}) is None
+    assert feed(op_code=6, values="text") is None
+    held = trials.dump()
+    done = feed(op_code=6, state=1, values=[7])
+    assert done["params"] == {"p": 3.0, "q": math.inf, "c": 0.0} and done["values"] == [7.0] and done["num"] == {"z": 2.5} and done["text"] == {"w": "v?"}
+    assert not trials.pending and Trials(held).feed(6, '{"op_code": 6, "state": 1}', None)["params"] == {"p": 3.0, "q": math.inf, "c": 0.0}
+    births = Births(studies=1, trials=5)
+    assert [births.feed(json.dumps(o)) for o in ({"op_code": 4}, {"op_code": 4, "study_id": 1}, {"op_code": 0}, {"op_code": 4, "study_id": 1})] == [(5, 0), None, None, (6, 1)]
+
+
+def read_all(reader, at=0):
+    """Lines and the end of each batch until there are no more."""
+    seen, ends = [], []
+    reader.partitions({"at": at}, {"at": at})
+    while (end := reader.latestOffset()["at"]) > at:
+        for p in reader.partitions({"at": at}, {"at": end}):
+            seen += list(reader.read(p))
+        ends.append(end)
+        reader.commit({"at": end})
+        at = end
+    return seen, ends
+
+
+@pytest.mark.parametrize("step", [1, 3, 8, 1000])
+def test_byte_ranges_hold_each_line_once(tmp_path, monkeypatch, step):
+    monkeypatch.setattr(byte_ranges, "RANGE_BYTES", step)
+    monkeypatch.setattr(byte_ranges, "_STEP", 2)
+    path = tmp_path / "j"
+    path.write_bytes("ab\n\ncd é\r\na line longer than a range\nrest".encode())
+    seen, ends = read_all(TailReader(str(path)))
+    assert [x[2] for x in seen] == ["ab", "", "cd é\r", "a line longer than a range"] and [x[1] for x in seen] == [0, 3, 4, 11]
+    with path.open("a") as f:
+        f.write(" of it\n")
+    assert [x[2] for x in read_all(TailReader(str(path)), ends[-1])[0]] == ["rest of it"]
 
 
-def test_reads_are_bounded(tmp_path, monkeypatch):
+def test_batches_are_bounded(tmp_path, monkeypatch):
     from optiloom.streaming import live
 
     monkeypatch.setattr(live, "MAX_BYTES", 8)
     path = tmp_path / "j"
-    path.write_text("ab\ncd\na line longer than a read\nrest")
-    reader, at, seen = TailReader(str(path)), 0, []
-    while (got := reader.read({"at": at}))[1]["at"] > at:
-        seen += [r[2] for r in got[0]]
-        at = got[1]["at"]
-    assert seen == ["ab", "cd", "a line longer than a read"]
+    path.write_text("ab\ncd\na line longer than a batch\nrest")
+    reader = TailReader(str(path))
+    reader.initialOffset()
+    seen, ends = read_all(reader)
+    assert [x[2] for x in seen] == ["ab", "cd", "a line longer than a batch"] and ends == [6, 33]
+    assert TailReader(str(tmp_path / "none")).latestOffset() == {"at": 0}
+
+
+def test_a_large_growth_is_planned_as_several_ranges(tmp_path):
+    path = tmp_path / "j"
+    with path.open("wb") as f:
+        f.truncate(1 << 30)
+        f.seek(0, 2)
+        f.write(b"\n")
+    reader = TailReader(str(path))
+    end = reader.latestOffset()
+    assert end == {"at": (1 << 30) + 1} and len(reader.partitions({"at": 0}, end)) == 129
+
+
+def test_files_as_a_batch_source(spark, tmp_path, monkeypatch):
+    (tmp_path / "logs").mkdir()
+    for name, n in (("b", 700), ("a", 300), ("empty", 0)):
+        (tmp_path / "logs" / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    (tmp_path / "logs" / "c").write_text("no end")
+    found = read_files(spark, str(tmp_path / "logs")).orderBy("line_no").collect()
+    assert [r.value for r in found] == [r.value for r in read_lines(spark, str(tmp_path / "logs")).orderBy("line_no").collect()]
+    assert len({r.line_no for r in found}) == len(found) == 1001
+    assert [r.value for r in read_files(spark, str(tmp_path / "logs" / "a*")).orderBy("line_no").collect()] == [f"a{i}" for i in range(300)]
+
+
+def test_update_history_keeps_errors_between_batches(spark, tmp_path):
+    """Two good batches with a failed one between them, over a restart."""
+    history = UpdateHistory()
+    spark.streams.addListener(history)
+    try:
+        source, flag = tmp_path / "in", tmp_path / "fail"
+        source.mkdir()
+        for k in range(3):
+            (source / f"{k}.txt").write_text(f"{k}\n" * (k + 1))
+            flag.write_text("x") if k == 1 else flag.unlink(missing_ok=True)
+
+            def sink(df, _):
+                df.count()
+                if flag.exists():
+                    raise ValueError("the sink is full")
+
+            query = spark.readStream.text(str(source)).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except Exception:
+                assert k == 1
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        got = history.updates
+        assert [(u.rows, u.batch) for u in got] == [(1, 0), (0, 1), (2, 1), (3, 2)] and [bool(u.error) for u in got] == [False, True, False, False]
+        assert "the sink is full" in got[1].error
+        history._held = type(history._held)(got, maxlen=2)
+        assert history.updates == got[-2:]
+    finally:
+        spark.streams.removeListener(history)
+
+
+def test_artifacts(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "t.CSV").write_text("x,y\n" + "".join(f"{i},{i}\n" for i in range(30)))
+    for i in range(60):
+        (tmp_path / "a" / f"p{i:02}.png").write_bytes(b"x" * (i + 1))
+    found = artifacts.list_artifacts(spark, str(tmp_path / "a"))
+    assert {r.category: r["count"] for r in found.groupBy("category").count().collect()} == {"image": 60, "table": 1}
+    pages = [[r.path.rsplit("/", 1)[1] for r in artifacts.gallery_page(found, k).collect()] for k in range(3)]
+    assert [len(p) for p in pages] == [48, 13, 0] and pages[0][0] == "p00.png" and pages[1][-1] == "t.CSV"
+    preview = artifacts.preview_csv(spark, str(tmp_path / "a" / "t.CSV"))
+    assert preview.columns == ["x", "y"] and preview.count() == 20
 
 
 def test_restarts_end_after_errors_in_a_row():
