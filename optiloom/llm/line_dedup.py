@@ -5,12 +5,12 @@ has a token set of Jaccard similarity ``THRESHOLD`` or more. Lines are judged on
 the input, so a removed line still counts as an earlier line. Lines without a
 word always stay.
 
-1. Tokens are counted in a table of fixed size (``BUCKETS``), which orders them
-   by rarity; ties are broken by hash.
+1. Tokens are counted. A table of fixed size (``BUCKETS``) orders them by rarity;
+   ties are broken by hash. Another one (``REPEATED``) says which may occur twice.
 2. Lines of equal token sets are reduced to the first of them, with partial
    minima before the shuffle, so that a very common line is no hot key.
-3. Every first line files its rarest tokens, its prefix: two similar lines share
-   a token of their prefixes. They are candidates if their sizes and the places
+3. Every first line files its rarest tokens, its prefix, but for those that occur
+   once: two similar lines share a token of their prefixes. They are candidates if their sizes and the places
    of the token allow the overlap, and if a parity signature of all tokens
    (which bounds the overlap from above) does.
 4. Groups of near copies are settled in linear work before any pairs are made:
@@ -32,6 +32,8 @@ other columns pass through :func:`clean`, whose own column names start with
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,8 @@ from optiloom.llm.native import SPACE, let, pieces_of, words
 THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
 BUCKETS = 1 << 18
+#: Words of 64 bits that say which tokens may occur twice: a table of fixed size too.
+REPEATED = 1 << 17
 #: One in so many prefix tokens, chosen by hash and so alike in all lines, under which a line is held against some earlier lines.
 PROBES = 2
 #: The closest of these lines, as many as are verified.
@@ -59,18 +63,38 @@ _KEY = ["id", "at"]
 _SETTLED = 1 << 26
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """A constant array: for each bucket of tokens a level that rises with the number of its occurrences.
+@dataclass(frozen=True)
+class Tokens:
+    """Constant arrays made from the counts of all tokens: a level for each bucket that rises with the number of occurrences, and a bit for each hash under which some token occurs twice."""
 
-    The counts are made over all documents; what reaches the driver is one
-    small number for each of ``BUCKETS`` buckets.
-    """
+    levels: Column
+    repeated: Column
+
+
+def token_table(docs: DataFrame, text: str, work: Scratch) -> Tokens:
+    """The counts are made over all documents; what reaches the driver is one small number for each of ``BUCKETS`` buckets, and ``REPEATED`` words of 64 bits."""
     tokens = docs.select(F.explode(pieces_of(F.col(text))).alias("w")).where(F.col("w") != "")
-    counts = tokens.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = work.save(tokens.groupBy(F.xxhash64("w").alias("h")).agg(F.count(F.lit(1)).alias("n")))
     levels = ["0"] * BUCKETS
-    for r in counts.select("b", F.least(F.floor(F.log2(F.col("n").cast("double")) * 4), F.lit(126)).alias("l")).collect():
+    found = counts.groupBy(_bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n"))
+    for r in found.select("b", F.least(F.floor(F.log2(F.col("n").cast("double")) * 4), F.lit(126)).alias("l")).collect():
         levels[r.b] = str(r.l)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+    bits = ["0"] * REPEATED
+    word, bit = _bit_place(F.col("h"))
+    for r in counts.where("n > 1").groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("x")).collect():
+        bits[r.w] = str(r.x)
+    return Tokens(*(F.split(F.lit(",".join(x)), ",").cast("array<bigint>") for x in (levels, bits)))
+
+
+def _bit_place(h: Column) -> tuple[Column, Column]:
+    """(word, bit) of a token's hash, of which the low 56 bits count."""
+    return F.shiftright(h, 6).bitwiseAND(F.lit(REPEATED - 1)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _repeats(key: Column, table: Tokens) -> Column:
+    """Whether a token may occur twice; a token that does not is shared with no other line."""
+    word, bit = _bit_place(key)
+    return F.call_function("shiftright", F.get(table.repeated, word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def _bucket(h: Column) -> Column:
@@ -101,15 +125,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.where(F.col("s").rlike(f"[^{SPACE}]")).select("id", F.shiftleft(F.col("own").cast("long"), 32).bitwiseOR(F.col("line").cast("long")).alias("at"), "s")
 
 
-def _sets(docs: DataFrame, levels: Column) -> DataFrame:
-    """The first line of every token set: id, at, n (size), sig, sig2, and the prefix, rarest first.
+def _sets(docs: DataFrame, table: Tokens) -> DataFrame:
+    """The first line of every token set: id, at, n (size), sig, sig2, and the prefix, rarest first, with null for tokens that occur once.
 
     Sets below four tokens match equal ones only, so they file nothing; short sets need no second signature.
     """
-    keyed = _lines(docs).select("id", "at", _keys(F.col("s"), levels).alias("keys"))
+    keyed = _lines(docs).select("id", "at", _keys(F.col("s"), table.levels).alias("keys"))
     n = F.size("keys")
     least = F.floor((4 * n + 4) / F.lit(5)).cast("int")  # ceil(0.8 n) in integers
-    prefix = F.transform(F.slice("keys", 1, F.when(n < 4, 0).otherwise(n - least + 1)), lambda k: F.hash(k))
+    prefix = F.transform(F.slice("keys", 1, F.when(n < 4, 0).otherwise(n - least + 1)), lambda k: F.when(_repeats(k, table), F.hash(k)))
     line = F.struct("id", "at", n.alias("n"), _parity(F.col("keys"), False).alias("sig"), F.when(n > LONG, _parity(F.col("keys"), True)).alias("sig2"), prefix.alias("prefix"))
     return keyed.groupBy(F.xxhash64("keys").alias("d1"), F.hash("keys").alias("d2"), n.alias("n")).agg(F.min(line).alias("x")).select("x.*")
 
@@ -137,7 +161,7 @@ def _later(a: str, b: str) -> Column:
 
 def _closest(firsts: DataFrame) -> DataFrame:
     """id, at, id2, at2: for each line the closest few of the first and some previous lines under some of its prefix tokens."""
-    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode("prefix").alias("k", "token")).where(F.pmod("token", F.lit(PROBES)) == 0)
+    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode("prefix").alias("k", "token")).where(F.pmod("token", F.lit(PROBES)) == 0)  # null tokens go as well
     row = F.struct(*_KEY, "n", "k", "sig", "sig2")
     order = Window.partitionBy("token", F.floor(F.log(1.25, "n"))).orderBy(*_KEY)  # lines of like size, those of smaller id before
     met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag(row, k).over(order) for k in BACK]).alias("bs"))
@@ -153,7 +177,7 @@ def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     Both sides of the join read the same columns of the filings, so that these are shuffled once.
     """
     held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
-    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", F.posexplode("prefix").alias("k", "token"))
+    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", F.posexplode("prefix").alias("k", "token")).where(F.col("token").isNotNull())
     filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone")
     pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & _later("a", "b") & _may_match("a", "b"))
     return pairs.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2")).distinct()
@@ -186,7 +210,7 @@ def _base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def _kept(base: DataFrame) -> DataFrame:
     """(id, at) of the lines with words that stay, each once; saved."""
     work = Scratch(base.sparkSession)
-    firsts = work.save(_sets(base, rarity(base, "text")))
+    firsts = work.save(_sets(base, token_table(base, "text", work)))
     near = work.save(_verified(work.save(_closest(firsts)), base, work))
     late = work.save(_verified(work.save(_candidates(firsts, near)), base, work))
     kept = saved(firsts.select(*_KEY).join(near.unionByName(late), _KEY, "left_anti"))
