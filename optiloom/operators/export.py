@@ -54,10 +54,14 @@ def csv_text(df: DataFrame, columns: Sequence[str], positions: Sequence[int] | N
     return (BOM if bom else "") + "\n".join([",".join(columns), *(r.line for r in lines)]) + "\n"
 
 
-def csv_write(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Distributed export: text files whose names rise with ``row_idx``; the first line of the first one is the header."""
+def csv_write(df: DataFrame, path: str, columns: Sequence[str], bom: bool = False) -> None:
+    """Distributed export: text files whose names rise with ``row_idx``, end to end equal to :func:`csv_text`.
+
+    The first line of the first file is the header, after a byte order mark if one is
+    asked for. Files appear when all of them are written; a failed task leaves none.
+    """
     columns = list(columns) or [c for c in df.columns if c != "row_idx"]
-    header = df.sparkSession.createDataFrame([(-1, ",".join(columns))], "ordinal long, line string")
+    header = df.sparkSession.createDataFrame([(-1, (BOM if bom else "") + ",".join(columns))], "ordinal long, line string")
     lines = header.unionByName(csv_lines(df, columns, "row_idx").withColumn("ordinal", F.col("ordinal").cast("long")))
     lines.orderBy("ordinal").select("line").write.mode("overwrite").text(path)
 

@@ -32,6 +32,11 @@ def improvement(df: DataFrame, order: str, value: str, by: tuple[str, ...], mini
     return found.withColumn("improvement", pct).drop("__prev")
 
 
+def with_place(df: DataFrame, order: str, out: str, *ties: str) -> DataFrame:
+    """``out``: places from 0 along ``order``."""
+    return with_position(df, order, out, *ties)
+
+
 def phase(position: Column, total: Column) -> Column:
     at = position / total
     return F.when(at < 0.3, "exploration").when(at < 0.7, "exploitation").otherwise("convergence")

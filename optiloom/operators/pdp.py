@@ -94,14 +94,17 @@ def surface(df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str
 
 
 class SurfaceCache:
-    """Surfaces of one study by model, params, objective and grid; another study empties it. A surface has at most n * n rows."""
+    """Surfaces of one study by model, params, objective and grid; another study empties it. A surface has at most n * n rows.
+
+    A study is the same if its plan is, so one that is read again finds its surfaces.
+    """
 
     def __init__(self):
         self._study: DataFrame | None = None
         self._held: dict[tuple, DataFrame] = {}
 
     def surface(self, df: DataFrame, schema: StudySchema, p1: str, p2: str, objective: str, n: int = 50, model: str = "ridge") -> DataFrame:
-        if df is not self._study:
+        if self._study is None or not df.sameSemantics(self._study):
             self._study, self._held = df, {}
         key = (model, p1, p2, objective, n)
         if key not in self._held:

@@ -278,6 +278,80 @@ def constraint_feasibility(spark, d):
     return _round(roles.with_feasibility(rows), 6, "constraint_sum").select("trial_id", "is_feasible", "constraint_sum")
 
 
+@query
+def selection_rows(spark, d):
+    rows = filters.indexed(st.part_study(spark, d), st.PART)
+    ranged = filters.Selection().with_range("p_size", 10, 20).with_range("revenue", None, 0)
+    parts = {"ranged": ranged.without_range("revenue"), "none": ranged, "brushed": ranged.brush([1, 5, 10**9]), "narrowed": ranged.brush([1]).with_range("revenue", 50000, 90000)}
+    out = None
+    for name, chosen in parts.items():
+        part = chosen.apply(rows).select(F.lit(name).alias("selection"), "trial_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def single_trial(spark, d):
+    row = filters.trial_at(filters.indexed(st.part_study(spark, d), st.PART), 7, schema=st.PART)
+    return row.select("trial_id", F.element_at("params", F.lit("p_size")).alias("p_size"), F.get("values", F.lit(0)).alias("v0"), F.get("values", F.lit(1)).alias("v1"))
+
+
+@query
+def effective_ranges(spark, d):
+    """Sliders at the ends of their column are no filter; what the others leave."""
+    rows = st.part_study(spark, d)
+    ends = rows.agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).first()
+    kept = filters.effective_ranges(rows, {"p_size": (ends.low, ends.high), "p_retailprice": (930.0, 975.5), "discount": (-1.0, 2.0)})
+    return filters.range_filter(rows, kept).select("trial_id", F.lit(",".join(sorted(kept))).alias("axes"))
+
+
+@query
+def front_line(spark, d):
+    found = pareto.front_line(st.part_study(spark, d), st.PART)
+    return history.with_place(found, "revenue", "place", "trial_id").select("trial_id", "place", "revenue")
+
+
+def _with_gaps(spark, d):
+    """The part study without a revenue (NaN) where p_size is 7."""
+    return st.part_study(spark, d).withColumn("revenue", F.when(F.col("p_size") == 7, float("nan")).otherwise(F.col("revenue")))
+
+
+@query
+def drawn_front(spark, d):
+    return pareto.drawn_as_front(_with_gaps(spark, d), st.PART).select("trial_id")
+
+
+@query
+def ranks_with_gaps(spark, d):
+    rows = st.supplier_study(spark, d).withColumn("discount", F.when(F.col("s_nationkey") % 5 == 0, float("nan")).otherwise(F.col("discount")))
+    ranked, best, volume = pareto.ranks_and_volume(rows, st.SUPPLIER2)
+    marked = ranked.join(best.withColumn("front", F.lit(True)), "trial_id", "left")
+    return _round(marked.select("trial_id", "rank", F.coalesce("front", F.lit(False)).alias("front"), F.lit(volume).alias("hv")), 4, "hv")
+
+
+@query
+def edf_objectives(spark, d):
+    return _round(history.edf_of(st.part_study(spark, d), st.PART), 9, "y").select("objective", "trial_id", "value", "y")
+
+
+@query
+def csv_quoted(spark, d):
+    rows = st.part_study(spark, d).withColumn("note", F.concat(F.col("p_brand"), F.when(F.col("p_size") > 25, ', "large"').otherwise("")))
+    return export.csv_lines(rows, ["note", "discount"], "trial_id")
+
+
+@query
+def compared_studies(spark, d):
+    """Dominance of the small parts against those of each of two types, and a study that cannot be compared."""
+    rows = st.part_study(spark, d)
+    others = {t: (rows.where(F.col("p_type") == t), st.PART.directions) for t in ("ECONOMY", "PROMO")} | {"other way": (rows, ("minimize", "minimize"))}
+    out = None
+    for name, (message, ratio) in pareto.comparisons(rows.where(F.col("p_size") <= 25), st.PART, others).items():
+        part = spark.range(1).select(F.lit(name).alias("study"), F.lit(message).alias("message"), *[F.lit(None).cast("int").alias(c) for c in ("main_pct", "other_pct")]) if ratio is None else ratio.select(F.lit(name).alias("study"), F.lit(None).cast("string").alias("message"), "main_pct", "other_pct")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def journal_studies(spark, d):
     found = parse_journal(st.journal_lines(st.part_study(spark, d), st.PART)).studies

@@ -170,6 +170,18 @@ SQL = {
     "pdp_1d_ridge": f"WITH {PART}, {_ridge('revenue')} SELECT round(a1 + (b1 - a1) * i / 19, 3) AS x, round(my + beta1 * (a1 + (b1 - a1) * i / 19 - m1) / s1, 3) AS y FROM fit, range(0, 20) t(i)",
     "pdp_2d_ridge": f"WITH {PART}, {_ridge('revenue')} SELECT round(a1 + (b1 - a1) * i / 14, 3) AS x, round(a2 + (b2 - a2) * j / 14, 3) AS y, round(my + beta1 * (a1 + (b1 - a1) * i / 14 - m1) / s1 + beta2 * (a2 + (b2 - a2) * j / 14 - m2) / s2, 3) AS z FROM fit, range(0, 15) t(i), range(0, 15) u(j)",
     "constraint_feasibility": f"WITH {PART}, c AS (SELECT trial_id, round(discount - 0.05, 9) AS c1, round(0.01 - discount, 9) AS c2 FROM part_study) SELECT trial_id, CASE WHEN c1 <= 0 AND c2 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible, round(c1 + c2, 6) AS constraint_sum FROM c",
+    "selection_rows": f"WITH {PART}, {_INDEXED} SELECT 'ranged' AS selection, trial_id FROM i WHERE p_size BETWEEN 10 AND 20 UNION ALL SELECT 'none', trial_id FROM i WHERE p_size BETWEEN 10 AND 20 AND revenue <= 0 UNION ALL SELECT 'brushed', trial_id FROM i WHERE row_idx IN (1, 5) UNION ALL SELECT 'narrowed', trial_id FROM i WHERE p_size BETWEEN 10 AND 20 AND revenue BETWEEN 50000 AND 90000",
+    "single_trial": f"WITH {PART}, {_INDEXED} SELECT trial_id, p_size, revenue AS v0, discount AS v1 FROM i WHERE row_idx = 7",
+    "effective_ranges": f"WITH {PART} SELECT trial_id, 'p_retailprice' AS axes FROM part_study WHERE p_retailprice BETWEEN 930 AND 975.5",
+    "front_line": f"WITH {PART}, {_FRONT} SELECT trial_id, row_number() OVER (ORDER BY revenue, trial_id) - 1 AS place, revenue FROM front",
+    "drawn_front": f"WITH {PART}, g AS (SELECT * FROM part_study WHERE p_size <> 7) SELECT trial_id FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE {_dominated('a', 'b', _PART_COSTS)}) UNION ALL SELECT trial_id FROM part_study WHERE p_size = 7",
+    "ranks_with_gaps": f"""WITH RECURSIVE {SUPPLIER}, g AS (SELECT * FROM supplier_study WHERE s_nationkey % 5 <> 0), edge AS (SELECT b.trial_id AS u, a.trial_id AS v FROM g a JOIN g b ON {_dominated('a', 'b', _SUP2)}),
+chain(id, l) AS (SELECT trial_id, 1 FROM g UNION SELECT v, l + 1 FROM chain JOIN edge ON u = id), k AS (SELECT id AS trial_id, max(l)::INTEGER AS rank FROM chain GROUP BY id),
+f AS (SELECT trial_id, -balance AS x, discount AS y FROM g JOIN k USING (trial_id) WHERE rank = 1), r AS (SELECT {_REF}, count(*) AS n FROM f), s AS (SELECT n, r1, y, {_STRIPS.format('')} FROM f, r), h AS (SELECT CASE WHEN max(n) >= 2 THEN round(sum(w * (r1 - y)), 4) END AS hv FROM s)
+SELECT trial_id, coalesce(rank, (SELECT max(rank) + 1 FROM k))::INTEGER AS rank, coalesce(rank = 1, false) AS front, hv FROM supplier_study LEFT JOIN k USING (trial_id), h""",
+    "edf_objectives": f"WITH {PART}, v AS (SELECT 'revenue' AS objective, trial_id, revenue AS value FROM part_study UNION ALL SELECT 'discount', trial_id, discount FROM part_study) SELECT objective, trial_id, value, round(row_number() OVER (PARTITION BY objective ORDER BY value, trial_id) / count(*) OVER (PARTITION BY objective), 9) AS y FROM v",
+    "csv_quoted": f"WITH {PART}, t AS (SELECT trial_id, discount, p_brand || CASE WHEN p_size > 25 THEN ', \"large\"' ELSE '' END AS note FROM part_study) SELECT trial_id AS ordinal, CASE WHEN note LIKE '%,%' OR note LIKE '%\"%' THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END || ',' || {_NUMBER.format(x='discount')} AS line FROM t",
+    "compared_studies": f"WITH {PART}, o AS (SELECT * FROM part_study WHERE p_type IN ('ECONOMY', 'PROMO')), pool AS (SELECT t.p_type AS study, true AS main, revenue, discount FROM part_study s, (SELECT DISTINCT p_type FROM o) t WHERE p_size <= 25 UNION ALL SELECT p_type, false, revenue, discount FROM o), f AS (SELECT study, main FROM pool a WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.study = a.study AND {_dominated('a', 'b', _PART_COSTS)})), n AS (SELECT study, count(*) FILTER (WHERE main) AS m, count(*) FILTER (WHERE NOT main) AS o FROM f GROUP BY study) SELECT study, NULL::VARCHAR AS message, round(100 * m / (m + o))::INTEGER AS main_pct, round(100 * o / (m + o))::INTEGER AS other_pct FROM n UNION ALL SELECT 'other way', 'The studies optimize in different directions.', NULL, NULL",
     "journal_studies": f"WITH {_JOURNAL} SELECT 0::BIGINT AS study_id, 'study' AS name, 'maximize,minimize' AS directions, (SELECT count(*) FROM j) AS completed_trials, (SELECT count(*) FROM i) AS total_trials, 'p_retailprice,p_size' AS params, 'obj0,obj1' AS objectives, 'key,tag' AS attrs, true AS has_constraints",
     "journal_trials": f"WITH {_JOURNAL} SELECT row_idx AS trial_id, p_size, revenue, trial_id AS key, 'x' AS tag, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",
     "journal_study_table": f"WITH {_JOURNAL} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, row_idx AS trial_id, p_size, revenue AS obj0, -1.0::DOUBLE AS c2, CASE WHEN discount - 0.05 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_feasible FROM j",

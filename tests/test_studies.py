@@ -220,6 +220,36 @@ def test_sobol_bounds(spark):
     assert rows["a"].s1 > 0.8 > 0.2 > rows["b"].s1 and all(0 <= r.st <= 1 for r in rows.values())
 
 
+def test_sobol_equals_plain_numpy(spark):
+    """Surrogate, design and indices written out on one array: all draws of the generator, quadratic ridge, Saltelli sums."""
+    rng = np.random.default_rng(12)
+    x = rng.random((40, 2)) * [3, 1]
+    y = x[:, 0] ** 2 + x[:, 1] - 0.5 * x[:, 0] * x[:, 1]
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "trial_id long, a double, b double, y double").repartition(4)
+    n, state, draws = 64, 0xDEADBEEF12345678, []
+    for _ in range(2 * n * 2):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        draws.append((state >> 11) / 2**53)
+    low, high = x.min(0), x.max(0)
+    a, b = (low + (high - low) * np.array(d).reshape(n, 2) for d in (draws[: 2 * n], draws[2 * n :]))
+
+    def terms(v):
+        z = (v - x.mean(0)) / x.std(0)
+        return np.column_stack([z, z**2, z[:, 0] * z[:, 1]])
+
+    q = terms(x)
+    scaled = (q - q.mean(0)) / q.std(0)
+    beta = np.linalg.solve(scaled.T @ scaled + np.eye(5), scaled.T @ (y - y.mean()))
+    value = lambda v: y.mean() + (terms(v) - q.mean(0)) / q.std(0) @ beta
+    fa, fb = value(a), value(b)
+    for k, r in enumerate(sensitivity.sobol(df, StudySchema(("a", "b"), ("y",)), n).orderBy("param").collect()):
+        mixed = a.copy()
+        mixed[:, k] = b[:, k]
+        fm = value(mixed)
+        s1, st = (fb * (fm - fa)).mean() / fa.var(), ((fa - fm) ** 2).mean() / (2 * fa.var())
+        assert (r.s1, r.st) == pytest.approx((min(max(s1, 0), 1), min(max(st, 0), 1)))
+
+
 def test_pca_and_kmeans(spark):
     rng = np.random.default_rng(5)
     data = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])

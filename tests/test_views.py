@@ -49,8 +49,15 @@ def test_fronts_of_views(study):
 def test_columns_and_files(study, spark, tmp_path):
     assert export.parse_columns('["a", 3, "b"]') == ["a", "b"] and export.parse_columns("[broken") == [] and export.parse_columns('{"a": 1}') == []
     export.csv_write(study, str(tmp_path / "csv"), ["trial_id", "a"])
-    parts = sorted((tmp_path / "csv").glob("part-*"))
-    assert "".join(p.read_text() for p in parts).split() == ["trial_id,a", "0,3", "1,1", "2,2", "3,3", "4,NaN"] or parts[0].read_text().startswith("trial_id,a")
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert read("csv") == export.csv_text(study, ["trial_id", "a"]) == "trial_id,a\n0,3\n1,1\n2,2\n3,3\n4,\n"
+    many = spark.range(5000).select(F.col("id").alias("row_idx"), F.concat(F.lit('a "b",'), "id").alias("t"), (F.col("id") / 7).alias("x")).repartition(9)
+    export.csv_write(many, str(tmp_path / "many"), ["t", "x", "none"], bom=True)
+    assert read("many") == export.csv_text(many, ["t", "x", "none"], bom=True) and read("many").startswith(export.BOM)
+    broken = many.withColumn("t", F.when(F.col("row_idx") == 4000, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        export.csv_write(broken, str(tmp_path / "broken"), ["t"])
+    assert not [p for p in (tmp_path / "broken").rglob("*") if p.is_file()]
     found = {r.category for r in artifacts.list_artifacts(spark, str(tmp_path / "csv")).collect()}
     assert "text" in found
 
@@ -68,6 +75,9 @@ def test_surface_cache(study):
     first = cache.surface(study.where("trial_id < 4"), schema, "p", "b", "a", 3)
     other = study.where("trial_id < 3")
     assert cache.surface(other, schema, "p", "b", "a", 3) is cache.surface(other, schema, "p", "b", "a", 3) is not first
+    again = study.where("trial_id < 3")
+    assert again is not other and cache.surface(again, schema, "p", "b", "a", 3) is cache.surface(other, schema, "p", "b", "a", 3)
+    assert cache.surface(again, schema, "p", "b", "a", 2) is not cache.surface(again, schema, "p", "b", "a", 3)
 
 
 def test_typed_record(study):
