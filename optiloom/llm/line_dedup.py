@@ -234,7 +234,10 @@ def _applied(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     keyed = docs.withColumns({"__line_key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__line_hash": own})
     joined = keyed.join(stay, (F.col("__line_key") == F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_own")), "left")
     lines = F.split(F.col(text), "\n")
-    left = let(F.coalesce("__line_stay", F.array().cast("array<int>")), lambda s: F.filter(lines, lambda x, i: ~x.rlike(f"[^{SPACE}]") | F.array_contains(s, i)))
+    stay = F.coalesce("__line_stay", F.array().cast("array<int>"))
+    blank = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~F.get(ls, i).rlike(f"[^{SPACE}]"))
+    left = let(lines, lambda ls: F.transform(F.array_sort(F.concat(stay, blank(ls))), lambda i: F.get(ls, i)))  # numbers of lines that stay, then the lines
+    left = F.when(F.col(text).isNotNull(), left)
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     out = joined.withColumn("__line_n", n).withColumn("__line_rest", left)
     return out.withColumns({"__line_gone": F.col("__line_n") - F.coalesce(F.size("__line_rest"), F.lit(0)), "__line_left": F.when(F.col(text).isNotNull(), F.concat_ws("\n", "__line_rest"))})
