@@ -6,7 +6,9 @@ and scanned once, and hits are mapped back to offsets in the original text.
 
 The automaton lives in every worker, so its input is bounded: a benchmark of
 more than ``SHARD_BYTES`` of text is split by item and the documents pass
-through one automaton after another in the same task, without a shuffle.
+through one automaton after another in the same task, without a shuffle. A worker
+keeps ``KEPT`` automata from task to task; with more of them documents are gathered
+to ``GROUP_BYTES`` before each automaton is made anew and reads them all.
 
 Edge cases: null texts have no words; a null item id counts as the empty id;
 items without words match nothing; repeated items and rows are harmless (items
@@ -17,6 +19,7 @@ the caller chooses and which may not be among them (``__decon`` in :func:`clean`
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,10 @@ from optiloom.llm.words import as_bytes
 WINDOW = 10
 #: Benchmark text in one automaton. A byte costs about ten trie nodes of some fifty bytes.
 SHARD_BYTES = 256 << 10
+#: Automata that a worker keeps.
+KEPT = 4
+#: Bytes of documents that pass through all automata together where these are more than a worker keeps.
+GROUP_BYTES = 64 << 20
 #: ASCII letters and digits, lower-cased, and all bytes of other characters stay; the rest become spaces.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ORIGINAL_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -92,9 +99,38 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 def _shards(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, bytes]]]:
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where(F.length("t") > 0)
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-size // SHARD_BYTES)
-    return [[(r.i, r.t.encode()) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+    out: list[list[tuple[str, bytes]]] = []
+    size = SHARD_BYTES
+    for r in sorted(rows.distinct().collect()):
+        if size >= SHARD_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append((r.i, r.t.encode()))
+        size += len(out[-1][-1][1])
+    return out
+
+
+#: Automata by their patterns, the ones used last at the end.
+_WORKER: dict[str, object] = {}
+
+
+def _automaton(mark: str, items: list[tuple[str, bytes]]):
+    found = _WORKER.pop(mark) if mark in _WORKER else build(items)
+    _WORKER[mark] = found
+    while len(_WORKER) > KEPT:
+        del _WORKER[next(iter(_WORKER))]
+    return found
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "decon", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -104,20 +140,25 @@ def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "decon", text: st
     shards = _shards(benchmark, item_id, item_text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
 
+    marks = [hashlib.sha256(repr(x).encode()).hexdigest() for x in shards]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [build(x) for x in shards] if len(shards) < 2 else None
-        for batch in batches:
-            texts = as_bytes(batch.column(text))
-            state = [(len(normal_words(x)), None, set()) for x in texts] if not shards else None
-            for shard in range(len(shards)):
-                automaton = automata[shard] if automata else build(shards[shard])
-                new = [scan_text(automaton, x) for x in texts]
-                state = new if state is None else [(n, a | b, i | j) for (n, a, i), (_, b, j) in zip(state, new, strict=True)]
-            rows = []
-            for raw, (n, hit, ids) in zip(texts, state, strict=True):
-                some = hit is not None and hit.any()
-                rows.append({"n_words": n, "n_hit": int(hit.sum()) if some else 0, "items": sorted(ids), "spans": original_spans(raw.decode(), hit) if some else []})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=[*batch.schema.names, out])
+        for held in _gathered(batches, 0 if len(shards) <= KEPT else GROUP_BYTES):
+            texts = [as_bytes(b.column(text)) for b in held]
+            states = [[(len(normal_words(x)), None, set()) for x in own] for own in texts] if not shards else None
+            for mark, items in zip(marks, shards, strict=True):
+                automaton = _automaton(mark, items)
+                new = [[scan_text(automaton, x) for x in own] for own in texts]
+                states = new if states is None else [[(n, a | b, i | j) for (n, a, i), (_, b, j) in zip(*both, strict=True)] for both in zip(states, new, strict=True)]
+            for batch, own, state in zip(held, texts, states, strict=True):
+                yield told(batch, own, state)
+
+    def told(batch: pa.RecordBatch, texts: list[bytes], state: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        for raw, (n, hit, ids) in zip(texts, state, strict=True):
+            some = hit is not None and hit.any()
+            rows.append({"n_words": n, "n_hit": int(hit.sum()) if some else 0, "items": sorted(ids), "spans": original_spans(raw.decode("utf-8", "replace"), hit) if some else []})
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(scan, schema)
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from optiloom.llm import centroids, pieces, prefix_trie, queries, substrings, token_counts
+from optiloom.llm import centroids, decontaminate, pieces, prefix_trie, queries, substrings, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -233,3 +233,33 @@ def test_long_words_that_products_confuse_stay_apart(spark, doublings):
     rest = " ".join(f"word{i}" for i in range(12))
     df = spark.createDataFrame([(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"{rest} {b}")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substrings.digest(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+@pytest.mark.parametrize("kept", [1, 4])
+def test_many_automata_are_made_once(spark, monkeypatch, kept):
+    """Six automata, more than a worker keeps: over twelve batches each is made once for all of them."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "KEPT", kept)
+    made = []
+    build = decontaminate.build
+    monkeypatch.setattr(decontaminate, "build", lambda items: made.append(len(items)) or build(items))
+    monkeypatch.setattr(decontaminate, "_WORKER", {})
+    import pyarrow as pa
+
+    items = [(f"q{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(6)]
+    benchmark = spark.createDataFrame([*items, items[0], ("none", None), (None, "a b")], "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"before {items[k][1]} after") for k in range(6)] + [(6, "nothing"), (7, None)], "doc_id long, text string")
+    run = {}
+
+    class Docs:
+        columns, schema = docs.columns, docs.schema
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+
+    decontaminate.annotate(Docs(), benchmark)
+    rows = docs.orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    got = [r for b in run["f"](iter([rows.slice(k % 8, 1) for k in range(16)])) for r in pa.Table.from_batches([b]).to_pylist()]
+    assert [r["decon"]["items"] for r in got] == [[f"q{k % 8}"] if k % 8 < 6 else [] for k in range(16)]
+    assert sum(made) == 7 and len(made) == 6  # the item of the empty id shares one
+    assert {r.doc_id: r.n_hit for r in decontaminate.digest(docs, benchmark).collect()} == {**dict.fromkeys(range(6), 12), 6: 0, 7: 0}
