@@ -7,8 +7,10 @@ sum less the sum of squares, factor by factor. It is fitted on a bounded
 labelled sample and scored in one narrow pass over whole texts.
 
 Edge cases: null and empty texts have zero words and statistics of an empty
-text; without labelled rows of both kinds all scores are 0.5; a missing or null
-``n_chars`` is taken from the text; repeated rows are scored alike.
+text; with labelled rows of one kind only all scores are the odds of that kind,
+without any 0.5; an ``n_chars`` that is missing, null or no number is taken from
+the text; repeated rows are scored alike, so ties are; very long texts are scored
+whole, by one task each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs:
 
 
 def _selected(documents: DataFrame) -> DataFrame:
-    n_chars = F.coalesce(F.col("n_chars").cast("double"), F.length("text").cast("double"), F.lit(0.0)) if "n_chars" in documents.columns else F.coalesce(F.length("text").cast("double"), F.lit(0.0))
+    n_chars = F.coalesce(F.col("n_chars").try_cast("double"), F.length("text").cast("double"), F.lit(0.0)) if "n_chars" in documents.columns else F.coalesce(F.length("text").cast("double"), F.lit(0.0))
     return documents.select("doc_id", n_chars.alias("n"), "text")
 
 

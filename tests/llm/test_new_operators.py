@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from optiloom.llm import centroids, decontaminate, pieces, prefix_trie, queries, substrings, token_counts
+from optiloom.llm import centroids, decontaminate, pieces, prefix_trie, quality_fm, queries, substrings, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -263,3 +263,11 @@ def test_many_automata_are_made_once(spark, monkeypatch, kept):
     assert [r["decon"]["items"] for r in got] == [[f"q{k % 8}"] if k % 8 < 6 else [] for k in range(16)]
     assert sum(made) == 7 and len(made) == 6  # the item of the empty id shares one
     assert {r.doc_id: r.n_hit for r in decontaminate.digest(docs, benchmark).collect()} == {**dict.fromkeys(range(6), 12), 6: 0, 7: 0}
+
+
+def test_quality_of_rows_whose_count_is_no_number(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 30, "many" if i % 2 else None) for i in range(12)], "doc_id long, text string, n_chars string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    plain = {r.doc_id: r.score for r in quality_fm.digest(docs.drop("n_chars"), labels).collect()}
+    assert {r.doc_id: r.score for r in quality_fm.digest(docs, labels).collect()} == pytest.approx(plain)
+    assert {r.score for r in quality_fm.digest(docs, labels.limit(0)).collect()} == {0.5}
