@@ -349,11 +349,12 @@ def train(pages: DataFrame, id_col: str = "page_id", text: str = "html") -> Labe
 
 
 def _sample(pages: DataFrame, id_col: str, text: str) -> list[str]:
-    """Pages of least id hash among those short enough; only their ids are sorted."""
+    """Pages of least id hash among those short enough; only their ids are sorted. Of pages that repeat an id the one of least hash counts."""
     short = pages.where(F.octet_length(text).between(1, SAMPLE_BYTES)).select(F.col(id_col).alias("i"))
     chosen = short.distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE_PAGES)
     rows = pages.join(F.broadcast(chosen), F.col(id_col) == F.col("i")).where(F.octet_length(text).between(1, SAMPLE_BYTES))
-    return [r[0] for r in rows.select(text).limit(2 * SAMPLE_PAGES).collect()]
+    html = F.col(text)
+    return [r.one.html for r in rows.groupBy("i").agg(F.min(F.struct(F.xxhash64(html).alias("h"), html.alias("html"))).alias("one")).collect()]  # at most SAMPLE_PAGES
 
 
 def label_pages(model: Labeller, pages: list[list[Block]], known: dict) -> list[np.ndarray]:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from optiloom.llm import centroids, decontaminate, pieces, prefix_trie, quality_fm, queries, substrings, token_counts
+from optiloom.llm import centroids, decontaminate, html_extract, pieces, prefix_trie, quality_fm, queries, substrings, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -271,3 +271,40 @@ def test_quality_of_rows_whose_count_is_no_number(spark):
     plain = {r.doc_id: r.score for r in quality_fm.digest(docs.drop("n_chars"), labels).collect()}
     assert {r.doc_id: r.score for r in quality_fm.digest(docs, labels).collect()} == pytest.approx(plain)
     assert {r.score for r in quality_fm.digest(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_fingerprints_and_components_of_all_documents(spark):
+    """Every document's fingerprint and component against a loop over all pairs."""
+    import re
+
+    import xxhash
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    prints = {}
+    for r in rows:
+        words = re.findall("[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64)
+        bits = [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(hashes) for b in range(64)]
+        prints[r.doc_id] = sum(1 << b for b, on in enumerate(bits) if on)
+    parent = {i: i for i in prints}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 2 and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash(spark, SF).collect()}
+    assert got == {i: (f"{p:016x}", top(i)) for i, p in prints.items()}
+
+
+def test_pages_of_one_id_are_sampled_alike(spark):
+    pages = spark.createDataFrame([(k % 3, "u", f"<p>page {k}</p>") for k in range(60)] + [(9, "u", None)], "page_id long, url string, html string")
+    first = sorted(html_extract._sample(pages, "page_id", "html"))
+    assert len(first) == 3 and all(sorted(html_extract._sample(pages.repartition(n), "page_id", "html")) == first for n in (1, 7))

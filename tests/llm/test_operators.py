@@ -319,7 +319,17 @@ def test_gray_index_and_links(spark):
     for a, b in want:
         a, b = (int(np.uint64(x).view(np.int64)) for x in (a, b))
         assert a == b or root[a] == root[b]
-    assert len(set(root.values())) == len(np.unique(list(root.values())))
+    parent = {int(np.uint64(x).view(np.int64)): int(np.uint64(x).view(np.int64)) for x in points}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        a, b = (top(int(np.uint64(x).view(np.int64))) for x in (a, b))
+        parent[max(a, b)] = min(a, b)
+    assert {x: top(x) for x in root} == root and all(top(x) == x for x in parent if x not in root)
 
 
 def test_pieces(docs, empty):
