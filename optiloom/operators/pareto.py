@@ -1,7 +1,7 @@
 """Dominance: fronts, ranks, hypervolume and its history, comparison of studies.
 
 The front of a union is the front of the parts' fronts, so a first pass keeps
-each partition's own front and only survivors meet in one place.
+each partition's own front, and only survivors meet, part by part.
 
 A rank is one more than the greatest rank of the vectors that dominate a vector.
 In lexicographic order these come first, so blocks of that order are ranked one
@@ -31,6 +31,8 @@ from optiloom.functions.storage import Scratch, saved
 
 #: Distinct objective vectors that one task ranks among themselves.
 RANKED = 8192
+#: Survivors of the partitions' own fronts in one part; pairs of parts meet.
+MERGED = 16_384
 #: Low bits of the positions that one block of a hypervolume history holds.
 HISTORY_BITS = 16
 _BLOCK = 512
@@ -134,9 +136,33 @@ def _local_fronts(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _front_vectors(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct vectors of the first front: local fronts, merged in ever fewer partitions."""
-    distinct = df.select(*names).distinct()
-    return _local_fronts(_local_fronts(_local_fronts(distinct, names).repartition(8), names).coalesce(1), names)
+    """Distinct vectors of the first front.
+
+    What survives in its own partition is dealt to parts of ``MERGED`` vectors, and
+    every pair of parts meets in a task that finds the vectors of the one which the
+    other one dominates: no task sees more than two parts, however large the front is.
+    """
+    names = list(names)
+    local = saved(_local_fronts(df.select(*names).distinct(), names))
+    parts = max(1, -(-local.count() // MERGED))
+    own, every = F.pmod(F.hash(*names), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    judged = local.select(*names, own.alias("__i"), every.alias("__j"), F.lit(True).alias("__judged"))
+    rivals = local.select(*names, every.alias("__i"), own.alias("__j"), F.lit(False).alias("__judged"))
+
+    def beaten(f: pd.DataFrame) -> pd.DataFrame:
+        mine = f["__judged"].to_numpy(bool)
+        points, others = f.loc[mine, names].to_numpy(float), f.loc[~mine, names].to_numpy(float)
+        others = others[skyline(others)]
+        gone = np.zeros(len(points), bool)
+        for low in range(0, len(points), _BLOCK):
+            block = points[low : low + _BLOCK][:, None]
+            for a in range(0, len(others), 4096):
+                some = others[a : a + 4096][None]
+                gone[low : low + _BLOCK] |= ((some <= block).all(2) & (some < block).any(2)).any(1)
+        return pd.DataFrame(points[gone], columns=names)
+
+    lost = judged.unionByName(rivals).groupBy("__i", "__j").applyInPandas(beaten, ", ".join(f"{n} double" for n in names))
+    return local.join(lost, names, "left_anti").distinct()
 
 
 def front(df: DataFrame, schema: StudySchema) -> DataFrame:

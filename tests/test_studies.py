@@ -63,6 +63,20 @@ def test_ranks_of_blocks(spark, monkeypatch, m, block):
     assert [r["rank"] for r in pareto.ranks(df, schema, max_rank=2).orderBy("trial_id").collect()] == [min(w, 3) for w in want]
 
 
+@pytest.mark.parametrize("part", [16_384, 12])
+def test_front_of_many_parts(spark, monkeypatch, part):
+    """Five costs, so that most rows survive; repeated rows, NaN left out."""
+    monkeypatch.setattr(pareto, "MERGED", part)
+    rows = [tuple(map(float, r)) for r in np.random.default_rng(21).integers(0, 6, (200, 5))]
+    rows[3] = (math.nan, *rows[3][1:])
+    names = [f"o{k}" for k in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "trial_id long, " + ", ".join(f"{n} double" for n in names)).repartition(6)
+    want = [i for i, p in enumerate(rows) if i != 3 and not any(dominates(q, p) for k, q in enumerate(rows) if k != 3)]
+    found = pareto.front(df, StudySchema((), tuple(names), ("minimize",) * 5))
+    assert sorted(r.trial_id for r in found.collect()) == want and found.columns == df.columns
+    assert pareto.front(df.limit(0), StudySchema((), tuple(names))).count() == 0
+
+
 def test_ranks_of_many_objectives():
     points = np.array([[1, 1, 1, 1], [1, 2, 1, 2], [2, 2, 2, 2.0]])
     assert pareto.chain_ranks(points, np.zeros(3)).tolist() == [1, 2, 3] and pareto.chain_ranks(points, np.array([4, 0, 0])).tolist() == [5, 6, 7]
