@@ -6,8 +6,8 @@ and scanned once, and hits are mapped back to offsets in the original text.
 
 The automaton lives in every worker, so its input is bounded: a benchmark of
 more than ``SHARD_BYTES`` of text is split by item and the documents pass
-through one automaton after another in the same task, without a shuffle. A worker
-keeps ``KEPT`` automata from task to task; with more of them documents are gathered
+through one automaton after another in the same task, without a shuffle. A task
+keeps ``KEPT`` automata over all its batches; with more of them documents are gathered
 to ``GROUP_BYTES`` before each automaton is made anew and reads them all.
 
 Edge cases: null texts have no words; a null item id counts as the empty id;
@@ -19,7 +19,6 @@ the caller chooses and which may not be among them (``__decon`` in :func:`clean`
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,9 +33,9 @@ from optiloom.llm.words import as_bytes
 WINDOW = 10
 #: Benchmark text in one automaton. A byte costs about ten trie nodes of some fifty bytes.
 SHARD_BYTES = 256 << 10
-#: Automata that a worker keeps.
+#: Automata that a task keeps.
 KEPT = 4
-#: Bytes of documents that pass through all automata together where these are more than a worker keeps.
+#: Bytes of documents that pass through all automata together where these are more than a task keeps.
 GROUP_BYTES = 64 << 20
 #: ASCII letters and digits, lower-cased, and all bytes of other characters stay; the rest become spaces.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -110,18 +109,6 @@ def _shards(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[st
     return out
 
 
-#: Automata by their patterns, the ones used last at the end.
-_WORKER: dict[str, object] = {}
-
-
-def _automaton(mark: str, items: list[tuple[str, bytes]]):
-    found = _WORKER.pop(mark) if mark in _WORKER else build(items)
-    _WORKER[mark] = found
-    while len(_WORKER) > KEPT:
-        del _WORKER[next(iter(_WORKER))]
-    return found
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -140,14 +127,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "decon", text: st
     shards = _shards(benchmark, item_id, item_text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
 
-    marks = [hashlib.sha256(repr(x).encode()).hexdigest() for x in shards]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches, 0 if len(shards) <= KEPT else GROUP_BYTES):
+        few = len(shards) <= KEPT
+        automata = [build(items) for items in shards] if few else None
+        for held in _gathered(batches, 0 if few else GROUP_BYTES):
             texts = [as_bytes(b.column(text)) for b in held]
             states = [[(len(normal_words(x)), None, set()) for x in own] for own in texts] if not shards else None
-            for mark, items in zip(marks, shards, strict=True):
-                automaton = _automaton(mark, items)
+            for k, items in enumerate(shards):
+                automaton = automata[k] if automata else build(items)
                 new = [[scan_text(automaton, x) for x in own] for own in texts]
                 states = new if states is None else [[(n, a | b, i | j) for (n, a, i), (_, b, j) in zip(*both, strict=True)] for both in zip(states, new, strict=True)]
             for batch, own, state in zip(held, texts, states, strict=True):

@@ -235,15 +235,14 @@ def test_long_words_that_products_confuse_stay_apart(spark, doublings):
     assert {r.doc_id: r.n_removed for r in substrings.digest(df).collect()} == {1: 0, 2: 0, 3: 13}
 
 
-@pytest.mark.parametrize("kept", [1, 4])
+@pytest.mark.parametrize("kept", [4, 6])
 def test_many_automata_are_made_once(spark, monkeypatch, kept):
-    """Six automata, more than a worker keeps: over twelve batches each is made once for all of them."""
+    """Six automata, more than a task keeps or not: over sixteen batches each is made once for all of them."""
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40)
     monkeypatch.setattr(decontaminate, "KEPT", kept)
     made = []
     build = decontaminate.build
     monkeypatch.setattr(decontaminate, "build", lambda items: made.append(len(items)) or build(items))
-    monkeypatch.setattr(decontaminate, "_WORKER", {})
     import pyarrow as pa
 
     items = [(f"q{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(6)]
