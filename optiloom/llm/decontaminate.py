@@ -127,7 +127,6 @@ def annotate(docs: DataFrame, benchmark: DataFrame, out: str = "decon", text: st
     shards = _shards(benchmark, item_id, item_text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
 
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = len(shards) <= KEPT
         automata = [build(items) for items in shards] if few else None
