@@ -22,8 +22,8 @@ _FAMILIES = {"p": (("p",), ()), "li": (("li",), ("ul", "ol", "menu")), "dt": (("
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-#: Innermost open elements on a block's path.
-PATH = 64
+#: Outermost and innermost open elements on a block's path; that of a block which lies deeper leaves out those between.
+OUTER, INNER = 24, 40
 _SPACE = re.compile(r"\s+")
 
 
@@ -55,7 +55,8 @@ def split_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(x for _, names in stack[-PATH:] for x in names), linked))
+                held = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                out.append(Block(text, tuple(x for _, names in held for x in names), linked))
             parts.clear()
         linked = 0
 

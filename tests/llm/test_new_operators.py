@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from optiloom.llm import centroids, decontaminate, html_extract, pieces, prefix_trie, quality_fm, queries, substrings, token_counts
+from optiloom.llm import centroids, decontaminate, html_blocks, html_extract, pieces, prefix_trie, quality_fm, queries, substrings, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -307,3 +307,10 @@ def test_pages_of_one_id_are_sampled_alike(spark):
     pages = spark.createDataFrame([(k % 3, "u", f"<p>page {k}</p>") for k in range(60)] + [(9, "u", None)], "page_id long, url string, html string")
     first = sorted(html_extract._sample(pages, "page_id", "html"))
     assert len(first) == 3 and all(sorted(html_extract._sample(pages.repartition(n), "page_id", "html")) == first for n in (1, 7))
+
+
+def test_deep_blocks_keep_their_outer_path():
+    """An article's text below 200 more elements still says that it lies in the article."""
+    page = "<body><article class='main'>" + "<div>" * 200 + "deep text" + "</div>" * 200 + "</article></body>"
+    block = html_blocks.split_blocks(page)[0]
+    assert block.text == "deep text" and block.path[:3] == ("body", "article", ".main") and block.path.count("div") == 62
