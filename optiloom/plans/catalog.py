@@ -412,7 +412,7 @@ def elbow(spark, d):
 
 @query
 def cluster_view(spark, d):
-    return cluster.cluster_view(st.part_study(spark, d), st.PART, "all", 3)[1]
+    return _round(cluster.cluster_view(st.part_study(spark, d), st.PART, "all", 3)[1], 4, "mean", "std")
 
 
 @query

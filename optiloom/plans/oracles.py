@@ -68,12 +68,12 @@ def _topsis(source: str, objectives: list[tuple[str, bool]], weights: list[float
     return f"SELECT trial_id, round(sqrt({minus}) / (sqrt({plus}) + sqrt({minus})), 8) AS score FROM {source}, (SELECT {aggs} FROM {source})"
 
 
-def _pca(squarings: int = 18) -> str:
-    """The two leading components by repeated squaring of the covariance matrix, the second after deflation."""
+def _pca(vectors: str, squarings: int = 18) -> str:
+    """CTE ``pc`` of the two leading components of ``vectors`` (vec_id, embedding), by repeated squaring of the covariance matrix, the second after deflation."""
     steps = [
-        "v AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
-        "m AS MATERIALIZED (SELECT i, avg(x) AS m, count(*) AS n FROM v GROUP BY i)",
-        "z AS MATERIALIZED (SELECT vec_id, i, x - m AS x, n FROM v JOIN m USING (i))",
+        f"u AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM {vectors})",
+        "m AS MATERIALIZED (SELECT i, avg(x) AS m, count(*) AS n FROM u GROUP BY i)",
+        "z AS MATERIALIZED (SELECT vec_id, i, x - m AS x, n FROM u JOIN m USING (i))",
         "c1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / (any_value(a.n) - 1) AS c FROM z AS a JOIN z AS b USING (vec_id) GROUP BY a.i, b.i)",
     ]
     for k in (1, 2):
@@ -84,7 +84,8 @@ def _pca(squarings: int = 18) -> str:
         steps.append(f"w{k} AS MATERIALIZED (SELECT i, c / sqrt((SELECT max(c) FROM {last} WHERE i = j)) AS w FROM {last} WHERE j = (SELECT arg_max(i, c) FROM {last} WHERE i = j))")
         if k == 1:
             steps.append("c2 AS MATERIALIZED (SELECT c.i, c.j, c.c - (SELECT sum(a.w * q.c * b.w) FROM c1 AS q JOIN w1 AS a ON a.i = q.i JOIN w1 AS b ON b.i = q.j) * a.w * b.w AS c FROM c1 AS c JOIN w1 AS a ON a.i = c.i JOIN w1 AS b ON b.i = c.j)")
-    return f"WITH {', '.join(steps)} SELECT vec_id, round(sum(x * w1.w), 5) AS pc1, round(sum(x * w2.w), 5) AS pc2 FROM z JOIN w1 USING (i) JOIN w2 USING (i) GROUP BY vec_id"
+    steps.append("pc AS MATERIALIZED (SELECT vec_id, sum(x * w1.w) AS pc1, sum(x * w2.w) AS pc2 FROM z JOIN w1 USING (i) JOIN w2 USING (i) GROUP BY vec_id)")
+    return ", ".join(steps)
 
 
 def _kmeans(k: int, rounds: int = 40) -> str:
@@ -106,6 +107,16 @@ def _kmeans(k: int, rounds: int = 40) -> str:
 _VECTORS = "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
 
 
+def _cluster_view() -> str:
+    """Components of four columns of the part study, three clusters of them, statistics of the columns."""
+    names = ("p_size", "p_retailprice", "revenue", "discount")
+    rows = " UNION ALL ".join(f"SELECT label, '{n}' AS name, {n} AS value FROM part_study JOIN l3 ON vec_id = trial_id" for n in names)
+    return f"""WITH {PART}, e AS (SELECT trial_id AS vec_id, [{", ".join(names)}] AS embedding FROM part_study), {_pca("e")},
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, [pc1, pc2] AS x FROM pc), {_kmeans(3)}, r AS MATERIALIZED ({rows}),
+g AS (SELECT name, avg(value) AS gm, var_samp(value) AS gv, count(*) AS gn FROM r GROUP BY name), o AS (SELECT label, name, count(*) AS size, avg(value) AS mean, coalesce(var_samp(value), 0) AS var FROM r GROUP BY label, name)
+SELECT label::INTEGER AS label, name, size, round(mean, 4) AS mean, round(sqrt(var), 4) AS std, abs(mean - gm) > 3 * sqrt(var / size + gv / gn) AS significant FROM o JOIN g USING (name)"""
+
+
 def _elbow(top: int = 10) -> str:
     sums = " UNION ALL ".join(f"SELECT {k} AS k, sum(d) AS w FROM l{k}" for k in range(2, top + 1))
     return f"""WITH {_VECTORS}, {", ".join(_kmeans(k) for k in range(2, top + 1))}, w AS MATERIALIZED ({sums}),
@@ -188,7 +199,8 @@ SELECT trial_id, coalesce(rank, (SELECT max(rank) + 1 FROM k))::INTEGER AS rank,
     "journal_mixed": f"WITH {PART}, {_INDEXED} SELECT row_idx AS trial_id, 1::BIGINT AS study_id, 1 + 2 * p_size AS n, round(p_retailprice, 6) AS price, (row_idx % 4)::DOUBLE AS brand, CASE WHEN row_idx % 4 = 1 THEN 2.5::DOUBLE END AS w, CASE WHEN row_idx % 8 = 1 THEN 1.0::DOUBLE WHEN row_idx % 4 = 1 THEN 0.0::DOUBLE END AS c_index, CASE row_idx % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS brand_label, CASE WHEN row_idx % 8 = 1 THEN 'B' WHEN row_idx % 4 = 1 THEN 'A' END AS c_label, discount AS disc, revenue AS rev, 0::INTEGER AS n_attrs FROM i",
     "journal_mixed_studies": f"WITH {PART} SELECT 0::BIGINT AS study_id, 'empty' AS name, 0::BIGINT AS completed_trials, 0::BIGINT AS total_trials, 'minimize' AS directions, '' AS param_names, '' AS label_names, '' AS objective_names UNION ALL SELECT 1, 'mixed', count(*), count(*), 'minimize,maximize', 'brand,c,n,price,w', 'brand,c', 'disc,rev' FROM part_study",
     "live_replay": f"WITH {_JOURNAL} SELECT 0::BIGINT AS study_id, row_idx AS trial_id, p_size, revenue FROM j",
-    "pca_projection": _pca(),
+    "pca_projection": f"WITH {_pca('embeddings')} SELECT vec_id, round(pc1, 5) AS pc1, round(pc2, 5) AS pc2 FROM pc",
+    "cluster_view": _cluster_view(),
     "kmeans": f"WITH {_VECTORS}, {_kmeans(4)} SELECT vec_id, label::INTEGER AS label FROM l4",
     "elbow": _elbow(),
 }
