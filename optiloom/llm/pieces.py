@@ -207,14 +207,15 @@ def _bound(text: np.ndarray, order: np.ndarray, rows: np.ndarray, lengths: np.nd
 def edges(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, piece) of every occurrence of every piece, by start then length."""
     rows, lengths, _, _ = vocabulary.table()
-    order = suffix_array(text, rows.shape[1])
+    order = suffix_array(text, rows.shape[1]).astype(np.int32)  # there are several edges a character, so they are held in 32 bits
     first, last = _bound(text, order, rows, lengths, False), _bound(text, order, rows, lengths, True)
     count = last - first
-    piece = np.repeat(np.arange(len(rows)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = order[first[piece] + offset]
-    by = np.lexsort((lengths[piece], start))
-    return start[by], lengths[piece[by]], piece[by]
+    piece = np.repeat(np.arange(len(rows), dtype=np.int32), count)
+    begin = (first - np.cumsum(count) + count).astype(np.int32)  # place in the suffix array less number of the edge
+    start = order[begin[piece] + np.arange(count.sum(), dtype=np.int32)]
+    length = lengths.astype(np.int32)[piece]
+    by = np.lexsort((length, start))
+    return start[by], length[by], piece[by]
 
 
 def _relaxed(vocabulary: Vocabulary, units: list[str]) -> list[tuple[int, ...]]:
