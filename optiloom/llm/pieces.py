@@ -95,6 +95,7 @@ class Vocabulary:
     byte_ids: list[int]
     spelled: list[bytes]
     mark: str = ""
+    index_chars: int = INDEX_CHARS
     encoded: Encoded = field(default_factory=Encoded, repr=False)
     _table: tuple | None = field(default=None, repr=False)
 
@@ -144,7 +145,7 @@ class Vocabulary:
         low = size = 0
         for i, u in enumerate(units):
             size += len(u) + 1
-            if size >= INDEX_CHARS or i == len(units) - 1:
+            if size >= self.index_chars or i == len(units) - 1:
                 self.encoded.add(units[low : i + 1], _relaxed(self, units[low : i + 1]), self.spelled)
                 low, size = i + 1, 0
 
