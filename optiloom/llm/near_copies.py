@@ -5,17 +5,22 @@ Two documents are near copies if the Jaccard similarity of their sets of
 pairs. Words are split at ASCII white space and compared without ASCII case.
 
 1. Documents of equal sets are one node, named by 64 bits of its hashes.
-2. Shingles are counted in a table of fixed size (``BUCKETS``), which orders
-   them by rarity, then by hash. Every node files the rarest of its set, its
-   prefix: two similar sets share one, and texts that only share common passages
-   mostly do not. Sizes, places and the number of shared hashes rule out most
-   other pairs.
-3. Large groups are settled in linear work: in a few ``ROUNDS`` every node is held
+2. SimHash fingerprints of these shingles are linked at ``NEAR_BITS`` or fewer
+   differing bits over Gray-order hierarchical indexes (:mod:`fingerprints`).
+   These links are verified, and what they connect is one component from then on.
+3. No radius of a fingerprint finds all pairs of similarity 4/5, which differ in
+   ten bits of 64 on average, so the rest are found by prefixes. Shingles are
+   counted in a table of fixed size (``BUCKETS``), which orders them by rarity,
+   then by hash. Every node files the rarest of its set, its prefix: two similar
+   sets share one, and texts that only share common passages mostly do not.
+   Sizes, places and the number of shared hashes rule out most other pairs.
+4. Large groups are settled in linear work: in a few ``ROUNDS`` every node is held
    against ``PICKS`` nodes of other components so far, of those that come first
    or a few places before it (``BACK``) in its files the ones met most often. Files
    that lie in one component by then are closed; in the others all pairs across
    components are held against each other.
-4. Every pair is verified on the whole sets of 64-bit hashes.
+5. Every pair is verified on the whole sets of 64-bit hashes, if the parities of
+   both sets (:func:`sketch`), which bound the overlap from above, allow a match.
 
 Edge cases: null and empty texts have the empty set and are one group; texts
 shorter than a shingle are one shingle; rows with a null id take part but never
@@ -34,9 +39,12 @@ from pyspark.sql.window import Window
 
 from optiloom.functions.storage import Scratch, saved
 from optiloom.llm.components import components
+from optiloom.llm.fingerprints import links, majority, shingle_hashes
 from optiloom.llm.words import as_bytes
 
 SHINGLE = 5
+#: Bits in which linked fingerprints differ at most; wider than op10's two.
+NEAR_BITS = 3
 #: Places before a node in a file whose nodes it is held against at first.
 BACK = (1, 2, 4, 8, 16, 32)
 ROUNDS = 3
@@ -46,16 +54,22 @@ PICKS = 4
 FEW = 500_000
 #: Counters of the rarity table: its size doesn't grow with the corpus.
 BUCKETS = 1 << 18
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Distinct XXH64 values (seed 42) of the shingles, ascending."""
-    import xxhash
+    return np.unique(shingle_hashes(text, size))
+
 
-    words = text.translate(_LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[k : k + size]), 42) for k in range(max(1, len(words) - size + 1))] if words else [], np.uint64))
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes by their low bits, two to four for each hash (256 at least), in a power of two of words.
+
+    Two sets that differ in d elements differ in d parities at most, also when the
+    halves of the longer sketch are folded into one.
+    """
+    n = 1 << max(2, (len(s) // 32).bit_length())
+    odd = np.bincount((s & np.uint64(64 * n - 1)).astype(np.int64), minlength=64 * n).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
 
 
 def prefix_length(n: int) -> int:
@@ -86,27 +100,46 @@ def rarity(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return levels
 
 
-def _mapped(docs: DataFrame, size: int, levels: np.ndarray | None) -> DataFrame:
-    """id, fp (name of the set), n and the set's hashes, all of them or with ``levels`` those of its prefix, rarest first."""
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)), pa.array(flat.view(np.int64)))
 
-    def held(s: np.ndarray) -> np.ndarray:
-        return s if levels is None else s[np.lexsort((s, levels[_bucket(s)]))][: prefix_length(len(s))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _named(s: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
+
+def _marked(docs: DataFrame, size: int, levels: np.ndarray) -> DataFrame:
+    """id, fp (name of the set), n, print (the SimHash fingerprint), sketch, and the hashes of the prefix, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                sets = [shingles(x, size) for x in as_bytes(part.column(1))]
-                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-                kept = [held(s) for s in sets]
-                flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in kept])].astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), lists], names=["id", "fp", "n", "hashes"])
+                every = [shingle_hashes(x, size) for x in as_bytes(part.column(1))]
+                prints = np.array([majority(x) for x in every], np.uint64).view(np.int64)
+                sets = [np.unique(x) for x in every]
+                fps = np.array([_named(s) for s in sets], np.uint64).view(np.int64)
+                kept = [s[np.lexsort((s, levels[_bucket(s)]))][: prefix_length(len(s))] for s in sets]
+                columns = [part.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints), _lists([sketch(s) for s in sets]), _lists(kept)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "n", "print", "sketch", "hashes"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, fp long, n int, hashes array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, fp long, n int, print long, sketch array<bigint>, hashes array<bigint>")
+
+
+def _whole(docs: DataFrame, size: int) -> DataFrame:
+    """fp and all hashes of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                sets = [shingles(x, size) for x in as_bytes(batch.column(0).slice(low, 256))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_named(s) for s in sets], np.uint64).view(np.int64)), _lists(sets)], names=["fp", "hashes"])
+
+    return docs.select("text").mapInArrow(run, "fp long, hashes array<bigint>")
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -132,20 +165,60 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return _shared(rows).where(9 * (F.col("c") + F.greatest(rest(F.col("un")), rest(F.col("vn")))) >= 4 * (F.col("un") + F.col("vn"))).select("u", "v")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """fp of every node of the saved pairs; few enough are broadcast."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    return F.broadcast(ends) if pairs.count() <= FEW // 2 else ends
+
+
+def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with the structs ``a`` and ``b`` of the other columns of ``nodes``."""
+    rest = F.struct(*[c for c in nodes.columns if c != "fp"])
+    return pairs.join(nodes.select(F.col("fp").alias("u"), rest.alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), rest.alias("b")), "v")
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Parities in which two sketches differ, the longer one folded to the length of the other."""
+    halves = lambda x: F.zip_with(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), halves(x)).otherwise(x)
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
+def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The saved pairs whose sizes and sketches allow a difference of 1/9 of both sizes."""
+    some = marked.select("fp", "n", "sketch").join(_ends(pairs), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    alike = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
+    near = F.when(alike, 9 * _differ(F.col("a.sketch"), F.col("b.sketch")) <= F.col("a.n") + F.col("b.n"))
+    return _both(pairs, some).where(near).select("u", "v")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, size: int) -> DataFrame:
     """The saved pairs whose sets reach the threshold, saved."""
     work = Scratch(docs.sparkSession)
+    pairs = work.save(_possible(pairs, marked))
     wanted = work.save(pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct())
     if wanted.count() <= FEW:
         ids = marked.join(wanted, "fp").groupBy("fp").agg(F.min("id").alias("__id"))
         docs = docs.join(F.broadcast(ids), docs["id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = work.save(_mapped(docs, size, None).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("s")))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("s1")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("s2")), "v")
-    found = saved(both.where(9 * F.size(F.array_intersect("s1", "s2")) >= 4 * (F.size("s1") + F.size("s2"))).select("u", "v"))
+    sets = work.save(_whole(docs, size).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("s")))
+    found = saved(_both(pairs, sets).where(9 * F.size(F.array_intersect("a.s", "b.s")) >= 4 * (F.size("a.s") + F.size("b.s"))).select("u", "v"))
     work.drop()
     return found
 
 
+def by_fingerprint(marked: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+    """u, v: pairs of nodes that connect all nodes whose fingerprints are linked at ``bits`` or fewer differing bits."""
+    work = Scratch(marked.sparkSession)
+    prints = work.save(marked.groupBy("print").agg(F.min("fp").alias("least")))
+    same = marked.select("fp", "print").distinct().join(prints, "print").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    linked = work.save(links(prints.select(F.col("print").alias("fp")), bits))
+    sides = [prints.select(F.col("print").alias(c), F.col("least").alias(f"{c}_")) for c in ("u", "v")]
+    linked = linked.join(sides[0], "u").join(sides[1], "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
+    pairs = saved(same.unionByName(linked).distinct())
+    work.drop()
+    return pairs
+
+
 def _placed(held: DataFrame, roots: DataFrame) -> DataFrame:
     """The files that lie in several components, with the component of every node."""
     rows = held.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "k", F.coalesce("root", "fp").alias("root"))
@@ -168,13 +241,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     """(doc_id, component_id), the least id of its group, for every row."""
     work = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    marked = saved(_mapped(base, size, rarity(base, size)))
+    marked = saved(_marked(base, size, rarity(base, size)))
+    near = _verified(by_fingerprint(marked), base, marked, size)
+    roots = work.save(components(near))
     nodes = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     filed = nodes.select("fp", "n", F.posexplode("hashes").alias("k", "token"))
     held = work.save(filed.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1").drop("held"))
 
-    near = docs.sparkSession.createDataFrame([], "u long, v long")
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for _ in range(ROUNDS):
         new = _verified(work.save(_closest(_placed(held, roots))), base, marked, size)
         if new.isEmpty():

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from optiloom.llm import decontaminate, gray_index, html_blocks, html_extract, line_dedup, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import decontaminate, gray_index, html_blocks, html_extract, line_dedup, near_copies, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 from optiloom.llm.words import read_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -302,6 +302,53 @@ def test_near_copies(spark):
     assert [r.doc_id for r in simhash.dedup(near).collect()] == [1]
 
 
+def test_near_copies_are_first_linked_by_fingerprints(spark):
+    """The links of five-word SimHash fingerprints against all pairs, and their verification."""
+    texts = []
+    for k in range(20):
+        words = prose(500 + k, 300).split()
+        texts += [" ".join(words), " ".join([*words[:150], "changed", *words[151:]]), " ".join([*words[:200], *prose(600 + k, 100).split()])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    marked = near_copies._marked(df, 5, near_copies.rarity(df)).localCheckpoint()
+    fps = {r.fp: np.uint64(r.print & (2**64 - 1)) for r in marked.collect()}
+    assert len(fps) == len(texts)
+    got = [(r.u, r.v) for r in near_copies.by_fingerprint(marked).collect()]
+    every = [(u, v) for u in fps for v in fps if u < v and np.bitwise_count(fps[u] ^ fps[v]) <= near_copies.NEAR_BITS]
+
+    def parts(edges):
+        root = {x: x for x in fps}
+        for u, v in edges:
+            low, high = sorted((root[u], root[v]))
+            root = {x: low if r == high else r for x, r in root.items()}
+        return root
+
+    assert parts(got) == parts(every) and 4 <= len(every)
+    sets = {int(np.uint64(near_copies._named(x)).view(np.int64)): x for x in (near_copies.shingles(t.encode()) for t in texts)}
+    alike = {(u, v) for u, v in got if 9 * len(np.intersect1d(sets[u], sets[v])) >= 4 * (len(sets[u]) + len(sets[v]))}
+    verified = near_copies._verified(near_copies.saved(near_copies.by_fingerprint(marked)), df, marked, 5)
+    assert {tuple(sorted(r)) for r in verified.collect()} == {tuple(sorted(x)) for x in alike} and alike
+
+
+def test_sketches_bound_the_difference_of_sets(spark):
+    """No pair of similarity 4/5 is ruled out, whatever its sizes; unrelated sets are."""
+    rng = np.random.default_rng(21)
+    rows, pairs, alike = [], [], set()
+    for k, n in enumerate([1, 4, 9, 31, 100, 127, 250, 500, 1000, 1023, 5000, 20000]):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        grown = np.unique(np.r_[a, rng.integers(0, 2**64, n // 4, dtype=np.uint64)])
+        changed = np.unique(np.r_[a[n // 9 :], rng.integers(0, 2**64, n // 9, dtype=np.uint64)])
+        other = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for j, s in enumerate((a, grown, changed, other)):
+            rows.append((10 * k + j, len(s), near_copies.sketch(s).view(np.int64).tolist()))
+            if j:
+                pairs.append((10 * k + j, 10 * k))
+                if 9 * len(np.intersect1d(a, s)) >= 4 * (len(a) + len(s)):
+                    alike.add(pairs[-1])
+    marked = spark.createDataFrame(rows, "fp long, n int, sketch array<bigint>")
+    found = {(r.u, r.v) for r in near_copies._possible(spark.createDataFrame(pairs, "u long, v long"), marked).collect()}
+    assert alike <= found and len(alike) >= 24 and not {x for x in found if x[0] % 10 == 3}
+
+
 def test_gray_index_and_links(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
