@@ -79,7 +79,7 @@ def _bucket(h: Column) -> Column:
 
 def _keys(line: Column, levels: Column) -> Column:
     """Distinct tokens as longs, rarest first: seven bits of level over 56 bits of hash."""
-    level = lambda w: F.shiftleft(F.get(levels, _bucket(F.xxhash64(w))), 56)
+    level = lambda w: F.shiftleft(F.coalesce(F.get(levels, _bucket(F.xxhash64(w))), F.lit(0).cast("long")), 56)  # noqa: E731  never null, so that the array is sorted as plain longs
     keyed = F.transform(words(line), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW56))))  # hashing twice costs less than a second array
     return F.sort_array(F.array_distinct(keyed))
 
@@ -147,16 +147,26 @@ def _closest(firsts: DataFrame) -> DataFrame:
     return near.withColumn("place", place).where(F.col("place") <= PICKS).select(*_KEY, "id2", "at2")
 
 
-def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+def _met(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """id, at, id2, at2: lines that are not settled with the earlier lines under any of their prefix tokens.
 
+    Where both lines have the same token before, they have met under that one: sizes, and the sum of
+    the tokens before and the least rest, allow as much there as here. So near copies, whose prefixes
+    share long runs of tokens, meet once for each run.
     Both sides of the join read the same columns of the filings, so that these are shuffled once.
     """
     held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
-    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", F.posexplode("prefix").alias("k", "token"))
+    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", "prefix", F.posexplode("prefix").alias("k", "token"))
+    filed = filed.withColumn("before", F.get("prefix", F.col("k") - 1)).drop("prefix")
     filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone")
-    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & _later("a", "b") & _may_match("a", "b"))
-    return pairs.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2")).distinct()
+    met = F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
+    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & ~met & _later("a", "b") & _may_match("a", "b"))
+    return pairs.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2"))
+
+
+def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """The pairs of :func:`_met`, each once."""
+    return _met(firsts, settled).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
