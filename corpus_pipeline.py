@@ -12,6 +12,8 @@ comes to is said at each stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,9 @@ from optiloom.llm import decontaminate, line_dedup, pieces, quality_rules, simha
 
 #: Characters in one suffix array of the last stage: few, as its executors still hold the heap of the stages before.
 INDEX_CHARS = 1 << 18
+#: Rows of an Arrow batch, of which JVM and Python hold a few at once beside that heap.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +68,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` rows at most; afterwards of as many as before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``, each written to the shared folder and read again."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         work = Scratch(spark)
-        docs = work.save(stage(spark, docs, sf_dir))
+        with small_batches(spark):
+            docs = work.save(stage(spark, docs, sf_dir))
         if before is not None:
             before.drop()
         before = work

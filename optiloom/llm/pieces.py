@@ -149,20 +149,23 @@ class Vocabulary:
                 self.encoded.add(units[low : i + 1], _relaxed(self, units[low : i + 1]), self.spelled)
                 low, size = i + 1, 0
 
-    def placed(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the places of its words in ``encoded``, which holds all of them then."""
-        split = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    def placed(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the places of its words in ``encoded``, which holds all of them then; only new words are held as strings."""
         if len(self.encoded.place) > CACHE:
             self.encoded = Encoded()
-        have = self.encoded.place
-        self.encode_units(list({u: None for units in split for u in units if u not in have}))
-        return [[have[u] for u in units] for units in split]
+        have, new, out = self.encoded.place, {}, []
+        n = len(have)
+        for t in texts:
+            units = _UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else []
+            out.append(np.array([have[u] if u in have else new.setdefault(u, n + len(new)) for u in units], np.int32))
+        self.encode_units(list(new))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        return [self.encoded.of(np.array(p, int))[0].tolist() for p in self.placed(texts)]
+        return [self.encoded.of(p)[0].tolist() for p in self.placed(texts)]
 
     def decode(self, ids: list[int]) -> str:
         spelled = self.spelled
@@ -328,10 +331,10 @@ def annotate(docs: DataFrame, vocabulary: Vocabulary, out: str = "pieces", text:
                 texts = batch.column(text).to_pylist()
                 places = own.placed(texts)
                 spelled = own.encoded.spelled
-                back = [b"".join([spelled[k] for k in p]) for p in places]
+                back = [b"".join([spelled[k] for k in p.tolist()]) for p in places]
                 same = [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") == (t or "") for x, t in zip(back, texts, strict=True)]
                 sizes = np.array([len(p) for p in places])
-                flat, count = own.encoded.of(np.fromiter((k for p in places for k in p), np.int64, sizes.sum()))
+                flat, count = own.encoded.of(np.concatenate(places))
                 bounds = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]].astype(np.int32)
                 column = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(same, pa.bool_())], fields=list(_ARROW))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])

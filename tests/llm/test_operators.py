@@ -245,6 +245,18 @@ def test_line_families(spark):
     assert {(r.id, r.line) for r in got.collect()} == {(i, k) for i, k, _ in gone} and 100 < len(gone) < len(lines) - 40
 
 
+def test_near_lines_meet_once_for_each_run_of_shared_tokens(spark):
+    """Lines of a family that share all rare tokens are joined under the first of these only."""
+    words = prose(900, 60).split()
+    rows = [(k, " ".join([*words, *(f"own{k}x{j}" for j in range(4))])) for k in range(30)]
+    base = line_dedup._base(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    firsts = line_dedup._sets(base, line_dedup.rarity(base, "text")).localCheckpoint()
+    nothing = spark.createDataFrame([], "id long, at long")
+    pairs = line_dedup._candidates(firsts, nothing)
+    assert pairs.count() == 30 * 29 // 2
+    assert line_dedup._met(firsts, nothing).count() <= 2 * 30 * 29 // 2
+
+
 def test_rows_that_repeat_an_id_are_cut_each_on_its_own(spark):
     lines = [prose(700 + k, 12) for k in range(4)]
     rows = [(None, f"{lines[0]}\n{lines[1]}"), (None, f"{lines[2]}\n{lines[1]}"), (None, f"{lines[3]}\n{lines[1]}"), (5, lines[0]), (5, lines[0])]
@@ -571,6 +583,24 @@ def test_pipeline(docs, spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "sentencepiece"]
 
 
+def test_pipeline_restores_the_size_of_batches(spark):
+    import corpus_pipeline
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with corpus_pipeline.small_batches(spark):
+        assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_ROWS
+    assert spark.conf.get(key) == seen
+
+
+def test_words_are_placed_as_numbers():
+    """Places of words that are new in one text and met again in the next, without a string for each occurrence."""
+    vocabulary = pieces.Vocabulary.load()
+    texts = ["new words here", "here new words again", None, "", "again"]
+    places = vocabulary.placed(texts)
+    assert all(p.dtype == np.int32 for p in places) and [len(p) for p in places] == [3, 4, 0, 0, 1]
+    assert [b"".join(vocabulary.encoded.spelled[k] for k in p)[1:].decode() for p in places] == [t or "" for t in texts]
+
+
 def test_pipeline_of_empty_tables(docs, empty, spark, tmp_path):
     import corpus_pipeline
 
