@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -153,11 +155,11 @@ class Vocabulary:
         """For each text the places of its words in ``encoded``, which holds all of them then; only new words are held as strings."""
         if len(self.encoded.place) > CACHE:
             self.encoded = Encoded()
-        have, new, out = self.encoded.place, {}, []
-        n = len(have)
+        have, out = self.encoded.place, []
+        new: defaultdict[str, int] = defaultdict(itertools.count(len(have)).__next__)  # numbers words as they come
         for t in texts:
             units = _UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else []
-            out.append(np.array([have[u] if u in have else new.setdefault(u, n + len(new)) for u in units], np.int32))
+            out.append(np.array([have[u] if u in have else new[u] for u in units], np.int32))
         self.encode_units(list(new))
         return out
 
@@ -174,15 +176,24 @@ class Vocabulary:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``text`` (code points) ordered by their first ``depth`` characters or more, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    done = 1
+    """Positions of ``text`` (code points) ordered by their first ``depth`` characters or more, by prefix doubling.
+
+    The first round packs as many characters as fit into one number, by their places in the text's alphabet.
+    """
+    seen = np.unique(text)
+    bits = max(len(seen).bit_length(), 1)
+    code = np.searchsorted(seen, text).astype(np.int64) + 1
+    done = min(62 // bits, max(depth, 1))  # characters that one number holds
+    rank = np.zeros_like(code)
+    for k in range(done):
+        rank[: max(len(code) - k, 0)] |= code[k:] << (bits * (done - 1 - k))
     while done < depth:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
         later = np.zeros_like(rank)
         later[:-done] = rank[done:] if done < len(rank) else 0
-        rank = np.unique(rank * (len(rank) + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
+        rank = rank * (len(rank) + 2) + later
         done *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def _bound(text: np.ndarray, order: np.ndarray, rows: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
@@ -208,8 +219,8 @@ def _bound(text: np.ndarray, order: np.ndarray, rows: np.ndarray, lengths: np.nd
     return low
 
 
-def edges(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, piece) of every occurrence of every piece, by start then length."""
+def occurrences(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, piece) of every occurrence of every piece, piece by piece."""
     rows, lengths, _, _ = vocabulary.table()
     order = suffix_array(text, rows.shape[1]).astype(np.int32)  # there are several edges a character, so they are held in 32 bits
     first, last = _bound(text, order, rows, lengths, False), _bound(text, order, rows, lengths, True)
@@ -217,7 +228,12 @@ def edges(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     piece = np.repeat(np.arange(len(rows), dtype=np.int32), count)
     begin = (first - np.cumsum(count) + count).astype(np.int32)  # place in the suffix array less number of the edge
     start = order[begin[piece] + np.arange(count.sum(), dtype=np.int32)]
-    length = lengths.astype(np.int32)[piece]
+    return start, lengths.astype(np.int32)[piece], piece
+
+
+def edges(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The :func:`occurrences` by start, then length."""
+    start, length, piece = occurrences(vocabulary, text)
     by = np.lexsort((length, start))
     return start[by], length[by], piece[by]
 
@@ -226,7 +242,7 @@ def _relaxed(vocabulary: Vocabulary, units: list[str]) -> list[tuple[int, ...]]:
     joined = "\n".join([*units, ""])  # no piece holds a line feed
     text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     _, _, ids, ranks = vocabulary.table()
-    start, length, piece = edges(vocabulary, text)
+    start, length, piece = occurrences(vocabulary, text)  # a graph by place needs no order of its edges
     wide = vocabulary.table()[0].shape[1] + 1
     graph = np.full((len(text), wide), -1, np.int32)
     graph[start, length] = piece

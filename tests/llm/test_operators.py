@@ -592,6 +592,24 @@ def test_pipeline_restores_the_size_of_batches(spark):
     assert spark.conf.get(key) == seen
 
 
+def test_suffixes_are_sorted_in_few_rounds(monkeypatch):
+    """Against plain sorting, on small and wide alphabets and very short texts; edges are not sorted for the graph."""
+    draw = np.random.default_rng(7)
+    for size, letters in ((0, 1), (1, 1), (3, 2), (400, 2), (400, 60), (400, 100_000)):
+        text = draw.integers(1, letters + 1, size).astype(np.uint32)
+        order = pieces.suffix_array(text, 16)
+        assert sorted(order.tolist()) == list(range(size))
+        heads = [text[i : i + 16].tolist() for i in order]
+        assert heads == sorted(heads)
+    rounds, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: rounds.append(1) or unique(*a, **k))
+    pieces.suffix_array(draw.integers(1, 61, 400).astype(np.uint32), 16)
+    assert len(rounds) <= 2
+    vocabulary = pieces.Vocabulary.load()
+    monkeypatch.setattr(np, "lexsort", None)
+    assert vocabulary.decode(vocabulary.encode("several edges start at a place")) == "several edges start at a place"
+
+
 def test_words_are_placed_as_numbers():
     """Places of words that are new in one text and met again in the next, without a string for each occurrence."""
     vocabulary = pieces.Vocabulary.load()
