@@ -11,12 +11,12 @@ word always stay.
    minima before the shuffle, so that a very common line is no hot key.
 3. Every first line files its rarest tokens, its prefix: two similar lines share
    a token of their prefixes. They are candidates if their sizes and the places
-   of the token allow the overlap, and if a parity signature of all tokens
-   (which bounds the overlap from above) does.
+   of the first such token allow the overlap, and if a parity signature of all
+   tokens (which bounds the overlap from above) does.
 4. Groups of near copies are settled in linear work before any pairs are made:
-   under one in ``PROBES`` of its prefix tokens each line is held against the
-   first and a few previous lines of like size (``BACK``), and the closest of
-   these (``PICKS``) are verified.
+   under the prefix tokens of least and of greatest hash each line is held
+   against the first and a few previous lines of like size (``BACK``), and the
+   closest of these (``PICKS``) are verified.
 5. Lines that are not settled meet all lines that share a prefix token.
 6. Candidates are verified on all their words, by 64-bit hashes.
 
@@ -42,8 +42,6 @@ from optiloom.llm.native import SPACE, let, pieces_of, words
 THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
 BUCKETS = 1 << 18
-#: One in so many prefix tokens, chosen by hash and so alike in all lines, under which a line is held against some earlier lines.
-PROBES = 2
 #: The closest of these lines, as many as are verified.
 PICKS = 3
 #: Which of the lines before it, by distance in the order of ids, a line is held against there, beside the first.
@@ -66,20 +64,20 @@ def rarity(docs: DataFrame, text: str) -> Column:
     small number for each of ``BUCKETS`` buckets.
     """
     tokens = docs.select(F.explode(pieces_of(F.col(text))).alias("w")).where(F.col("w") != "")
-    counts = tokens.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = ["0"] * BUCKETS
     for r in counts.select("b", F.least(F.floor(F.log2(F.col("n").cast("double")) * 4), F.lit(126)).alias("l")).collect():
         levels[r.b] = str(r.l)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _bucket(w: Column) -> Column:
+    return F.hash(w).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _keys(line: Column, levels: Column) -> Column:
     """Distinct tokens as longs, rarest first: seven bits of level over 56 bits of hash."""
-    level = lambda w: F.shiftleft(F.coalesce(F.get(levels, _bucket(F.xxhash64(w))), F.lit(0).cast("long")), 56)  # noqa: E731  never null, so that the array is sorted as plain longs
+    level = lambda w: F.shiftleft(F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long")), 56)  # noqa: E731  never null, so that the array is sorted as plain longs
     keyed = F.transform(words(line), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW56))))  # hashing twice costs less than a second array
     return F.sort_array(F.array_distinct(keyed))
 
@@ -122,26 +120,28 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Whether sizes, places in the prefixes and signatures allow an overlap of 4/9 of both sizes, so a difference of 1/9. A line settled before (``_SETTLED``) matches nothing as ``a``."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(a, "n") + c(b, "n")
-    place = lambda side: c(side, "k").bitwiseAND(F.lit(_SETTLED - 1))
-    left = F.least(c(a, "n") - place(a), c(b, "n") - place(b))
-    return (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n"))) & (9 * (left + F.least(c(a, "k"), place(b))) >= 4 * both) & (9 * _differ(a, b) <= both)
+def _alike(a: str, b: str) -> Column:
+    """Whether sizes and signatures allow an overlap of 4/9 of both sizes, so a difference of 1/9."""
+    n = lambda side: F.col(f"{side}.n")
+    return (5 * F.least(n(a), n(b)) >= 4 * F.greatest(n(a), n(b))) & (9 * _differ(a, b) <= n(a) + n(b))
 
 
 def _later(a: str, b: str) -> Column:
     return (F.col(f"{a}.id") > F.col(f"{b}.id")) | ((F.col(f"{a}.id") == F.col(f"{b}.id")) & (F.col(f"{a}.at") > F.col(f"{b}.at")))
 
 
+def _probes(prefix: Column) -> Column:
+    """The prefix tokens of least and of greatest hash: near copies have one of them in common as a rule."""
+    return F.array_distinct(F.array(F.array_min(prefix), F.array_max(prefix)))
+
+
 def _closest(firsts: DataFrame) -> DataFrame:
-    """id, at, id2, at2: for each line the closest few of the first and some previous lines under some of its prefix tokens."""
-    filed = firsts.select(*_KEY, "n", "sig", "sig2", F.posexplode("prefix").alias("k", "token")).where(F.pmod("token", F.lit(PROBES)) == 0)
-    row = F.struct(*_KEY, "n", "k", "sig", "sig2")
+    """id, at, id2, at2: for each line the closest few of the first and some previous lines under two of its prefix tokens."""
+    filed = firsts.where(F.size("prefix") > 0).select(*_KEY, "n", "sig", "sig2", F.explode(_probes(F.col("prefix"))).alias("token"))
+    row = F.struct(*_KEY, "n", "sig", "sig2")
     order = Window.partitionBy("token", F.floor(F.log(1.25, "n"))).orderBy(*_KEY)  # lines of like size, those of smaller id before
     met = filed.select(row.alias("a"), F.array(F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)), *[F.lag(row, k).over(order) for k in BACK]).alias("bs"))
-    some = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _may_match("a", "b"))
+    some = met.select("a", F.explode("bs").alias("b")).where(F.col("b").isNotNull() & _later("a", "b") & _alike("a", "b"))
     near = some.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2"), _differ("a", "b").alias("d")).distinct()
     place = F.row_number().over(Window.partitionBy(*_KEY).orderBy("d", "id2", "at2"))
     return near.withColumn("place", place).where(F.col("place") <= PICKS).select(*_KEY, "id2", "at2")
@@ -150,18 +150,25 @@ def _closest(firsts: DataFrame) -> DataFrame:
 def _met(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """id, at, id2, at2: lines that are not settled with the earlier lines under any of their prefix tokens.
 
-    Where both lines have the same token before, they have met under that one: sizes, and the sum of
-    the tokens before and the least rest, allow as much there as here. So near copies, whose prefixes
-    share long runs of tokens, meet once for each run.
+    At the first token that two similar lines share, ``a``, the smaller one (of equal sizes the earlier),
+    has at most n / 9 tokens before it, and what is left of both has room for the overlap. Where both
+    lines have the same token before, they have met under that one, where there is as much room or more.
+    So near copies, whose prefixes share long runs of tokens, meet once for each run.
     Both sides of the join read the same columns of the filings, so that these are shuffled once.
     """
     held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
-    filed = held.select(*_KEY, "n", "sig", "sig2", "gone", "prefix", F.posexplode("prefix").alias("k", "token"))
+    filed = held.select(*_KEY, "sig", "sig2", "n", "gone", "prefix", F.posexplode("prefix").alias("k", "token"))
     filed = filed.withColumn("before", F.get("prefix", F.col("k") - 1)).drop("prefix")
     filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone")
-    met = F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
-    pairs = filed.alias("a").join(filed.alias("b"), (F.col("a.token") == F.col("b.token")) & ~met & _later("a", "b") & _may_match("a", "b"))
-    return pairs.select("a.id", "a.at", F.col("b.id").alias("id2"), F.col("b.at").alias("at2"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    left = lambda side: c(side, "n") - c(side, "k").bitwiseAND(F.lit(_SETTLED - 1))
+    swap = _later("a", "b")
+    smaller = (c("a", "n") < c("b", "n")) | ((c("a", "n") == c("b", "n")) & _later("b", "a"))
+    room = 9 * F.least(left("a"), left("b")) >= 4 * (c("a", "n") + c("b", "n"))
+    met = F.coalesce(c("a", "before") == c("b", "before"), F.lit(False))
+    pairs = filed.alias("a").join(filed.alias("b"), (c("a", "token") == c("b", "token")) & smaller & room & _alike("a", "b") & ~met & (F.when(swap, c("a", "k")).otherwise(c("b", "k")) >= 0))
+    late, early = ([F.when(swap, c(x, name)).otherwise(c(y, name)).alias(f"{name}{end}") for name in _KEY] for x, y, end in (("a", "b", ""), ("b", "a", "2")))
+    return pairs.select(*late, *early)
 
 
 def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:

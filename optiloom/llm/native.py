@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ def pieces_of(text: Column) -> Column:
     Text whose only white space is spaces and line feeds needs no regular expression to be split.
     """
     plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
-    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.split(text, SPACE_RUN)).otherwise(plain)
+    other = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\v\f\r"))
+    return F.when(other, F.split(text, SPACE_RUN)).otherwise(plain)
 
 
 def words(text: Column) -> Column:

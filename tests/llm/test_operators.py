@@ -257,6 +257,14 @@ def test_near_lines_meet_once_for_each_run_of_shared_tokens(spark):
     assert line_dedup._met(firsts, nothing).count() <= 2 * 30 * 29 // 2
 
 
+def test_lines_meet_only_where_the_first_shared_token_leaves_room(spark):
+    """Of 20 tokens two similar lines have at most two of their own: places 0 to 2 of the prefix leave room, place 3 does not."""
+    prefixes = [[1, 2, 3, 4, 5], [6, 7, 8, 4, 9], [11, 12, 13, 14, 15], [16, 17, 13, 18, 19]]
+    rows = [(k, 0, 20, 0, None, prefix) for k, prefix in enumerate(prefixes)]
+    firsts = spark.createDataFrame(rows, "id long, at long, n int, sig long, sig2 long, prefix array<int>")
+    assert [tuple(r) for r in line_dedup._met(firsts, spark.createDataFrame([], "id long, at long")).collect()] == [(3, 0, 2, 0)]
+
+
 def test_rows_that_repeat_an_id_are_cut_each_on_its_own(spark):
     lines = [prose(700 + k, 12) for k in range(4)]
     rows = [(None, f"{lines[0]}\n{lines[1]}"), (None, f"{lines[2]}\n{lines[1]}"), (None, f"{lines[3]}\n{lines[1]}"), (5, lines[0]), (5, lines[0])]
