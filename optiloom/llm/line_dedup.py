@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from optiloom.functions.storage import Scratch, saved
-from optiloom.llm.native import SPACE, let, pieces_of, words
+from optiloom.llm.native import is_blank, let, pieces_of, words
 
 THRESHOLD = 0.8
 #: Counters of the rarity table: its size doesn't grow with the corpus.
@@ -77,8 +77,8 @@ def _bucket(w: Column) -> Column:
 
 def _keys(line: Column, levels: Column) -> Column:
     """Distinct tokens as longs, rarest first: seven bits of level over 56 bits of hash."""
-    level = lambda w: F.shiftleft(F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long")), 56)  # noqa: E731  never null, so that the array is sorted as plain longs
-    keyed = F.transform(words(line), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW56))))  # hashing twice costs less than a second array
+    level = lambda w: F.shiftleft(F.coalesce(levels[_bucket(w)], F.lit(0).cast("long")), 56)  # noqa: E731  never null, so that the array is sorted as plain longs
+    keyed = F.transform(words(line, line=True), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW56))))  # hashing twice costs less than a second array
     return F.sort_array(F.array_distinct(keyed))
 
 
@@ -96,7 +96,7 @@ def _parity(keys: Column, half: bool) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """id, at (hash of the text where ids repeat, over the line's number) and s of every line with a word."""
     parts = docs.select("id", "own", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    return parts.where(F.col("s").rlike(f"[^{SPACE}]")).select("id", F.shiftleft(F.col("own").cast("long"), 32).bitwiseOR(F.col("line").cast("long")).alias("at"), "s")
+    return parts.where(~is_blank(F.col("s"))).select("id", F.shiftleft(F.col("own").cast("long"), 32).bitwiseOR(F.col("line").cast("long")).alias("at"), "s")
 
 
 def _sets(docs: DataFrame, levels: Column) -> DataFrame:
@@ -147,6 +147,18 @@ def _closest(firsts: DataFrame) -> DataFrame:
     return near.withColumn("place", place).where(F.col("place") <= PICKS).select(*_KEY, "id2", "at2")
 
 
+def _place(k: Column) -> Column:
+    return k.bitwiseAND(F.lit(_SETTLED - 1))
+
+
+def _seeking(filed: DataFrame) -> DataFrame:
+    """The filings under which a line may meet larger ones: those with at most n / 9 tokens before.
+
+    A plain filter would be moved before the exchange, which both sides then could not share.
+    """
+    return filed.withColumn("k", F.explode(F.when(9 * _place(F.col("k")) <= F.col("n"), F.array("k"))))
+
+
 def _met(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """id, at, id2, at2: lines that are not settled with the earlier lines under any of their prefix tokens.
 
@@ -154,19 +166,20 @@ def _met(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     has at most n / 9 tokens before it, and what is left of both has room for the overlap. Where both
     lines have the same token before, they have met under that one, where there is as much room or more.
     So near copies, whose prefixes share long runs of tokens, meet once for each run.
-    Both sides of the join read the same columns of the filings, so that these are shuffled once.
+    Only filings with at most n / 9 tokens before seek others, which is settled after the exchange:
+    both sides of the join read the same columns of all filings, so that these are shuffled once.
     """
     held = firsts.join(settled.withColumn("gone", F.lit(True)), _KEY, "left")
     filed = held.select(*_KEY, "sig", "sig2", "n", "gone", "prefix", F.posexplode("prefix").alias("k", "token"))
     filed = filed.withColumn("before", F.get("prefix", F.col("k") - 1)).drop("prefix")
-    filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone")
+    filed = filed.withColumn("k", F.when(F.col("gone"), F.col("k") - _SETTLED).otherwise(F.col("k"))).drop("gone").repartition("token")
     c = lambda side, name: F.col(f"{side}.{name}")
-    left = lambda side: c(side, "n") - c(side, "k").bitwiseAND(F.lit(_SETTLED - 1))
+    left = lambda side: c(side, "n") - _place(c(side, "k"))
     swap = _later("a", "b")
     smaller = (c("a", "n") < c("b", "n")) | ((c("a", "n") == c("b", "n")) & _later("b", "a"))
     room = 9 * F.least(left("a"), left("b")) >= 4 * (c("a", "n") + c("b", "n"))
     met = F.coalesce(c("a", "before") == c("b", "before"), F.lit(False))
-    pairs = filed.alias("a").join(filed.alias("b"), (c("a", "token") == c("b", "token")) & smaller & room & _alike("a", "b") & ~met & (F.when(swap, c("a", "k")).otherwise(c("b", "k")) >= 0))
+    pairs = _seeking(filed).alias("a").join(filed.alias("b"), (c("a", "token") == c("b", "token")) & smaller & room & _alike("a", "b") & ~met & (F.when(swap, c("a", "k")).otherwise(c("b", "k")) >= 0))
     late, early = ([F.when(swap, c(x, name)).otherwise(c(y, name)).alias(f"{name}{end}") for name in _KEY] for x, y, end in (("a", "b", ""), ("b", "a", "2")))
     return pairs.select(*late, *early)
 
@@ -181,9 +194,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, work: Scratch) -> DataFrame:
     other = pairs.select(F.col("id2").alias("id"), F.col("at2").alias("at"))
     wanted = pairs.select(*_KEY).unionByName(other).groupBy("id").agg(F.collect_set("at").alias("wanted"))
     few = pairs.count() <= FEW
-    held = docs.join(F.broadcast(wanted) if few else wanted, "id").select("id", "own", F.split("text", "\n").alias("ls"), F.explode("wanted").alias("at"))
-    line = F.get("ls", _line_number(F.col("at")))
-    tokens = held.where(F.shiftright("at", 32) == F.col("own")).select(*_KEY, F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))).alias("t"))
+    held = docs.join(F.broadcast(wanted) if few else wanted, "id")
+    lines = let(F.split("text", "\n"), lambda ls: F.transform("wanted", lambda at: F.struct(at.alias("at"), F.get(ls, _line_number(at)).alias("s"))))
+    found = held.select("id", "own", F.explode(lines).alias("x")).select("id", "own", "x.*")  # the lines alone, not a copy of the text for each
+    tokens = found.where(F.shiftright("at", 32) == F.col("own")).select(*_KEY, F.array_distinct(F.transform(words(F.col("s"), line=True), lambda w: F.xxhash64(w))).alias("t"))
     sets = work.save(tokens).groupBy(*_KEY).agg(F.first("t").alias("t"))
     both = pairs.join(sets.withColumnRenamed("t", "t1"), _KEY).join(sets.select(F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("t").alias("t2")), ["id2", "at2"])
     return both.where(9 * F.size(F.array_intersect("t1", "t2")) >= 4 * (F.size("t1") + F.size("t2"))).select(*_KEY).distinct()
@@ -225,10 +239,10 @@ def _applied(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     stay = kept.groupBy(F.col("id").alias("__line_id"), F.shiftright("at", 32).cast("int").alias("__line_own")).agg(F.sort_array(F.collect_list(_line_number(F.col("at")))).alias("__line_stay"))
     own = F.hash(F.coalesce(F.col(text), F.lit(""))) if kept.where(F.shiftright("at", 32) != 0).limit(1).count() else F.lit(0)
     keyed = docs.withColumns({"__line_key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__line_hash": own})
-    joined = keyed.join(stay, (F.col("__line_key") == F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_own")), "left")
+    joined = keyed.join(stay.hint("shuffle_hash"), (F.col("__line_key") == F.col("__line_id")) & (F.col("__line_hash") == F.col("__line_own")), "left")
     lines = F.split(F.col(text), "\n")
     stay = F.coalesce("__line_stay", F.array().cast("array<int>"))
-    blank = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~F.get(ls, i).rlike(f"[^{SPACE}]"))
+    blank = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: is_blank(F.get(ls, i)))
     left = let(lines, lambda ls: F.transform(F.array_sort(F.concat(stay, blank(ls))), lambda i: F.get(ls, i)))  # numbers of lines that stay, then the lines
     left = F.when(F.col(text).isNotNull(), left)
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))

@@ -20,19 +20,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def pieces_of(text: Column) -> Column:
+def is_blank(text: Column) -> Column:
+    """Whether ``text`` holds ASCII white space only; what follows the first other character is not read."""
+    return F.ltrim(text, F.lit(" \t\n\v\f\r")) == ""
+
+
+def pieces_of(text: Column, line: bool = False) -> Column:
     """Words in order, and empty strings.
 
-    Text whose only white space is spaces and line feeds needs no regular expression to be split.
+    Text whose only white space is spaces and line feeds needs no regular expression to be split;
+    a ``line`` has no line feeds.
     """
-    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    plain = F.split(text if line else F.replace(text, F.lit("\n"), F.lit(" ")), " ")
     other = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\v\f\r"))
     return F.when(other, F.split(text, SPACE_RUN)).otherwise(plain)
 
 
-def words(text: Column) -> Column:
-    """Maximal runs of characters other than ASCII white space, in order."""
-    return F.array_remove(pieces_of(text), "")
+def words(text: Column, line: bool = False) -> Column:
+    """Maximal runs of characters other than ASCII white space, in order; a ``line`` has no line feeds."""
+    return F.array_remove(pieces_of(text, line), "")
 
 
 def count_of(text: Column, characters: str) -> Column:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from optiloom.llm import decontaminate, gray_index, html_blocks, html_extract, line_dedup, near_copies, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
+from optiloom.llm import decontaminate, gray_index, html_blocks, html_extract, line_dedup, native, near_copies, pieces, quality_fm, quality_rules, secrets, simhash, substrings, toxicity
 from optiloom.llm.words import read_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,6 +265,25 @@ def test_lines_meet_only_where_the_first_shared_token_leaves_room(spark):
     assert [tuple(r) for r in line_dedup._met(firsts, spark.createDataFrame([], "id long, at long")).collect()] == [(3, 0, 2, 0)]
 
 
+def test_only_the_first_ninth_of_a_line_seeks_others(spark):
+    """Of ten filings of a line of 45 tokens six may meet larger lines; both sides of the join share one exchange."""
+    firsts = spark.createDataFrame([(k, 0, 45, 0, None, list(range(10 * k, 10 * k + 10))) for k in range(2)], "id long, at long, n int, sig long, sig2 long, prefix array<int>")
+    filed = firsts.select("n", F.posexplode("prefix").alias("k", "token"))
+    settled = filed.withColumn("k", F.col("k") - line_dedup._SETTLED)
+    assert sorted(r.token for r in line_dedup._seeking(filed).collect()) == [0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 14, 15]
+    assert line_dedup._seeking(settled).count() == 12
+    met = line_dedup._met(firsts, spark.createDataFrame([], "id long, at long"))
+    assert not met.collect()
+    assert re.search(r"ReusedExchange \[[^\n]*token#", met._jdf.queryExecution().executedPlan().toString())
+
+
+def test_blank_lines(spark):
+    """White space is the six ASCII characters; other spaces are words."""
+    lines = ["", " ", " \t\v\f\r ", "a", " \t a", "\u00a0", " \u2003", "\x1c", "\x85", None]
+    got = spark.createDataFrame(list(enumerate(lines)), "id long, s string").select("id", native.is_blank(F.col("s")).alias("b"))
+    assert [r.b for r in got.orderBy("id").collect()] == [True] * 3 + [False] * 6 + [None]
+
+
 def test_rows_that_repeat_an_id_are_cut_each_on_its_own(spark):
     lines = [prose(700 + k, 12) for k in range(4)]
     rows = [(None, f"{lines[0]}\n{lines[1]}"), (None, f"{lines[2]}\n{lines[1]}"), (None, f"{lines[3]}\n{lines[1]}"), (5, lines[0]), (5, lines[0])]
