@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiloom.functions import blocks
+from optiloom.functions import blocks, exact
 from optiloom.functions.ordered import with_position
 from optiloom.functions.schema import EPS, StudySchema
 from optiloom.functions.storage import Scratch
@@ -87,42 +89,50 @@ def _columns(batch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("row_idx").to_numpy(), np.ascontiguousarray(blocks.vectors(batch.column("v")).T)
 
 
-def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a + b
-
-
-def _sections(rows: DataFrame, centers: dict[int, np.ndarray], at: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
-    """For each k the sums of squared distances to its centers over ``SECTIONS`` even sections of its range of positions."""
+def _sections(rows: DataFrame, centers: dict[int, np.ndarray], at: dict[int, tuple[int, int]]) -> dict[int, list[int]]:
+    """For each k the sums of squared distances to its centers over ``SECTIONS`` even sections of its range of positions, as whole numbers of :mod:`exact`."""
     ks = sorted(at)
+    cells = len(ks) * SECTIONS
     width = {k: -(-(at[k][1] - at[k][0]) // SECTIONS) for k in ks}
 
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return exact.merged(a, b, cells)
+
     def step(state: np.ndarray | None, batch) -> np.ndarray:
         place, x = _columns(batch)
-        state = np.zeros(len(ks) * SECTIONS) if state is None else state
+        cell, d = [], []
         for i, k in enumerate(ks):
             inside = np.flatnonzero((place >= at[k][0]) & (place < at[k][1]))
-            if len(inside):
-                d = _nearest(x[:, inside], centers[k])[1]
-                state += np.bincount(i * SECTIONS + (place[inside] - at[k][0]) // width[k], d, len(state))
-        return state
+            cell.append(i * SECTIONS + (place[inside] - at[k][0]) // width[k])
+            d.append(_nearest(x[:, inside], centers[k])[1])
+        own = exact.state(np.concatenate(cell), np.concatenate(d), cells)
+        return own if state is None else merge(state, own)
 
     low, high = min(a for a, _ in at.values()), max(b for _, b in at.values())
-    found = blocks.fold(rows.where(F.col("row_idx").between(low, high - 1)), step, _add)
+    found = exact.sums(blocks.fold(rows.where(F.col("row_idx").between(low, high - 1)), step, merge), cells)
     return {k: found[i * SECTIONS : (i + 1) * SECTIONS] for i, k in enumerate(ks)}
 
 
+def _share(total: int, parts: int) -> int:
+    """The least whole sum that reaches its even share; the first infinite or NaN one where there are such."""
+    return exact.NAN if total >= exact.NAN else exact.INF if total >= exact.INF else -(-total // parts)
+
+
 def _next_centers(rows: DataFrame, n: int, centers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """For each k the row at which the running sum of squared distances reaches its even share: found by sums of sections, then of sections of that section, until a few rows are left."""
+    """For each k the row at which the running sum of squared distances reaches its even share: found by sums of sections, then of sections of that section, until a few rows are left.
+
+    Sums are exact, as in tables that repeat rows they meet the share to the last bit.
+    """
     at = dict.fromkeys(centers, (0, n))
-    share: dict[int, float] = {}
+    share: dict[int, int] = {}
     while wide := {k: r for k, r in at.items() if r[1] - r[0] > FETCHED}:
         for k, sums in _sections(rows, centers, wide).items():
             low, high = at[k]
             width = -(-(high - low) // SECTIONS)
-            upto = np.cumsum(sums)
-            share.setdefault(k, upto[-1] / (k - len(centers[k]) + 1))
-            hit = min(int(np.searchsorted(upto, share[k])), (high - low - 1) // width)
-            share[k] -= upto[hit - 1] if hit else 0.0
+            upto = list(accumulate(sums))
+            share.setdefault(k, _share(upto[-1], k - len(centers[k]) + 1))
+            hit = min(bisect_left(upto, share[k]), (high - low - 1) // width)
+            share[k] -= upto[hit - 1] if hit else 0
             at[k] = (low + hit * width, min(low + (hit + 1) * width, high))
     inside = F.lit(False)
     for low, high in set(at.values()):
@@ -131,9 +141,9 @@ def _next_centers(rows: DataFrame, n: int, centers: dict[int, np.ndarray]) -> di
     out = {}
     for k, (low, high) in at.items():
         own = np.array([r.v for r in near if low <= r.row_idx < high], float)
-        upto = np.cumsum(_nearest(own.T, centers[k])[1])
-        goal = share.get(k, upto[-1] / (k - len(centers[k]) + 1))
-        out[k] = own[min(int(np.searchsorted(upto, goal)), len(own) - 1)]
+        upto = list(accumulate(exact.whole(_nearest(own.T, centers[k])[1])))
+        goal = share.get(k, _share(upto[-1], k - len(centers[k]) + 1))
+        out[k] = own[min(bisect_left(upto, goal), len(own) - 1)]
     return out
 
 

@@ -2,11 +2,15 @@
 
 import math
 from decimal import Decimal
+from fractions import Fraction
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from optiloom.functions import exact
 from optiloom.functions.ordered import running, with_position
 from optiloom.functions.schema import StudySchema, with_feasibility
 from optiloom.operators import cluster, export, filters, forest, history, kriging, mcdm, pareto, pdp, sensitivity
@@ -311,6 +315,39 @@ def test_kmeans_equals_plain_lloyd(spark, monkeypatch, sections, fetched):
     assert {r.label for r in cluster.kmeans(df, ["x"], 151, "i")[0].collect()} == {0}
 
 
+def exact_seed(x, centers, parts):
+    """Row at which the running sum of squared distances reaches its share, in fractions."""
+    upto = list(accumulate(map(Fraction, cluster._nearest(x.T, centers)[1].tolist())))
+    return next(i for i, v in enumerate(upto) if v * parts >= upto[-1])
+
+
+@pytest.mark.parametrize("sections, fetched", [(512, 1024), (4, 5)])
+def test_seeds_of_repeated_rows(spark, monkeypatch, sections, fetched):
+    """Where a table holds equal blocks of rows the share is met at a block's end, to the last bit."""
+    monkeypatch.setattr(cluster, "SECTIONS", sections)
+    monkeypatch.setattr(cluster, "FETCHED", fetched)
+    for seed in range(4):
+        x = np.tile(np.random.default_rng(seed).lognormal(0, 3, (37, 2)), (6, 1))
+        rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_idx long, v array<double>").repartition(5)
+        first = np.array([x[len(x) // 2]])
+        found = cluster._next_centers(rows, len(x), {2: first, 3: first, 6: first})
+        for k, row in found.items():
+            assert row.tolist() == x[exact_seed(x, first, k)].tolist()
+
+
+def test_exact_sums():
+    rng = np.random.default_rng(4)
+    d = np.concatenate([10.0 ** rng.uniform(-320, 308, 3000), rng.random(3000), [0.0, 5e-324, 1.7976931348623157e308] * 2])
+    cell = rng.integers(0, 7, len(d))
+    whole = [sum(Fraction(v) * 2**1126 for v in d[cell == c].tolist()) for c in range(7)]
+    parts = [exact.state(cell[at], d[at], 7) for at in np.array_split(rng.permutation(len(d)), 9)] + [exact.state(cell[:0], d[:0], 7), exact.state(cell[:1], np.zeros(1), 7)]
+    for order in (parts, parts[::-1]):
+        assert exact.sums(reduce(lambda a, b: exact.merged(a, b, 7), order), 7) == whole
+    assert sum(exact.whole(d)) == sum(whole)
+    odd = exact.sums(exact.state(np.arange(4), np.array([math.nan, math.inf, 1e308, 0.0]), 4), 4)
+    assert odd[0] >= exact.NAN > odd[1] >= exact.INF > odd[2] > odd[3] == 0
+
+
 def test_moments_merge_without_loss(spark):
     """Means of 1e9 with deviations of 1, over many partitions, rows with a null or NaN left out."""
     x = np.random.default_rng(9).normal(size=(500, 3)) + [1e9, 0, -1e9]
